@@ -1,8 +1,8 @@
 """All queries of this package and the SQL they can be held against."""
 
-from . import fingerprint, mixing
+from . import fingerprint, mixing, simhash, substring, suffix
 
-MODULES = (fingerprint, mixing)
+MODULES = (suffix, fingerprint, mixing, simhash, substring)
 
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
