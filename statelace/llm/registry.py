@@ -1,8 +1,8 @@
 """All queries of this package and the SQL they can be held against."""
 
-from . import embedding, fingerprint, mixing, packing, pii, simhash, substring, suffix
+from . import embedding, fingerprint, mixing, packing, pii, simhash, substring, suffix, toxicity
 
-MODULES = (suffix, embedding, packing, pii, fingerprint, mixing, simhash, substring)
+MODULES = (suffix, embedding, toxicity, packing, pii, fingerprint, mixing, simhash, substring)
 
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
