@@ -159,7 +159,7 @@ class Model:
                     for s, e, k in candidates(new):
                         if k == kind and s <= lo + 1 and e >= lo + len(form) - 1:
                             rows.append((features(new, s, e, k), int(true), k, t))
-        x = np.array([r[0] for r in rows], float).reshape(len(rows), -1)
+        x = np.array([r[0] for r in rows], float).reshape(len(rows), -1 if rows else 1)
         y, kinds, turn = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], str), np.array([r[3] for r in rows], int)
         held = turn % 4 == 0
         if not len(y) or not (~held).any():

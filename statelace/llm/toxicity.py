@@ -129,7 +129,7 @@ def words(text: str) -> set[str]:
         for m in SPACED.finditer(text):
             s = "".join(m[0].split())
             if sum(c.isalpha() for c in s) * 2 >= len(s):
-                found.add(s)
+                found.update((s, s[1:], s[:-1], s[1:-1]))  # a word of one letter may stand before or after
     return found
 
 
