@@ -25,7 +25,7 @@ from .common import Scratch
 #: Bytes of text that a map task works on at a time.
 PIECE = 3 << 20
 #: A key is sent window by window if it holds more packed strings than this and than a 2000th of all.
-FREQUENT = 50_000
+FREQUENT = 2_000
 
 PACKED = "key long, doc long, rid long, start int, n int, many boolean, packed binary, first_doc long, first_rid long, first_start int"
 RUNS = "doc long, rid long, start int, n int, ref_doc long, ref_rid long, ref_start int"
