@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .superkmer import FREQUENT, Words, covered, first_occurrences, identified, packed_windows
+from .superkmer import FREQUENT, Words, covered, first_occurrences, identified, packed_windows, squeezed
 
 WINDOW = 20
 GRAM = 4
@@ -36,13 +36,16 @@ def remove_repeated_words(
     """
     rows = identified(docs)
     found = repeated_word_spans(rows, window, gram, frequent).withColumnsRenamed({"doc": "d", "rid": "r"})
-    both = rows.join(found, (F.col("doc") == F.col("d")) & (F.col("rid") == F.col("r")), "left").drop("d", "r", "rid")
+    both = squeezed(rows).join(found, (F.col("doc") == F.col("d")) & (F.col("rid") == F.col("r")), "left").drop("d", "r", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor().decompress
         for b in batches:
             out = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans")):
-                words = (text or "").encode().split()
+            for z, spans in zip(b.column("z"), b.column("spans")):
+                words = unpack(z.as_py()).split()
                 kept = words
                 if spans.is_valid:
                     s = spans.values
@@ -57,7 +60,7 @@ def remove_repeated_words(
             n, gone, sha, kept = zip(*out) if out else ((), (), (), ())
             yield pa.record_batch({"doc": b.column("doc"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.string())})
 
-    out = both.select("doc", "text", "spans").mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = both.select("doc", "z", "spans").mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumn("doc_id", F.when(F.col("doc") > F.lit(-(1 << 63)), F.col("doc"))).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
 
 

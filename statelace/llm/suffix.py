@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .superkmer import FREQUENT, Bytes, covered, first_occurrences, identified, packed_windows
+from .superkmer import FREQUENT, Bytes, covered, first_occurrences, identified, packed_windows, squeezed
 
 LENGTH = 100
 GRAM = 8
@@ -100,13 +100,16 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     """
     rows = identified(docs)
     found = repeated_byte_spans(rows, length, gram, frequent).withColumnsRenamed({"doc": "d", "rid": "r"})
-    both = rows.join(found, (F.col("doc") == F.col("d")) & (F.col("rid") == F.col("r")), "left")
+    both = squeezed(rows).join(found, (F.col("doc") == F.col("d")) & (F.col("rid") == F.col("r")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor().decompress
         for b in batches:
             out = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans")):
-                data = (text or "").encode()
+            for z, spans in zip(b.column("z"), b.column("spans")):
+                data = unpack(z.as_py())
                 kept, n_spans = data, 0
                 if spans.is_valid:
                     s = spans.values
@@ -118,7 +121,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.record_batch([b.column("doc"), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = both.select("doc", "text", "spans").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = both.select("doc", "z", "spans").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc") > F.lit(-(1 << 63)), F.col("doc"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
