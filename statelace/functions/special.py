@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,21 +68,21 @@ def f_quantile(p: float, d1: float, d2: float) -> float:
     return _root(lambda f: float(f_sf(f, d1, d2)) - (1 - p), 0.0, 1e7)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(np.where(t.isna() | df.isna() | (df <= 0), np.nan, t_sf2(t.fillna(0), df.fillna(1).clip(lower=1e-9))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(np.where(f.isna(), np.nan, f_sf(f.fillna(0), d1.fillna(1), d2.fillna(1))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series(np.where(z.isna(), np.nan, normal_sf2(z.fillna(0))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_upper(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_quantile(a, b) if b and b > 0 else np.nan for a, b in zip(p, df)])

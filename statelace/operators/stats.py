@@ -211,7 +211,7 @@ def _adjust_all(tests: DataFrame, method: str, family: tuple[str, ...]) -> DataF
         return g
 
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in tests.schema) + ", p_adj double"
-    return tests.groupBy(*(family or [F.lit(1)])).applyInPandas(run, schema)
+    return tests.groupBy(*family).applyInPandas(run, schema)
 
 
 # --- reliability -----------------------------------------------------------------------------------------------------
