@@ -2,8 +2,9 @@
 
 Prefix doubling gives each byte position a rank that is equal where the following bytes are equal. Here the rank
 of a position is the first place where its string starts, so ranks of copied passages run in step with their
-positions and are kept as runs, not as a row per byte. The first rank covers half the threshold and comes from
-sorting packed strings; positions that are unique by then are out. The doubling step pairs a position's rank with
+positions and are kept as runs, not as a row per byte. A first round ranks anchors alone, one short string in each
+window of the threshold's length, chosen by content: windows whose anchor is unique are out. The next rank covers half
+the threshold and comes from sorting packed strings; positions that are unique by then are out, too. The doubling step pairs a position's rank with
 the rank at the offset of that length: pairs that run on in the same earlier place are settled at once, all others
 are sorted by Spark as (rank, rank at offset) pairs, and the first position of each pair is the new rank. That is
 past the threshold.
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .superkmer import FREQUENT, Bytes, covered, first_occurrences, identified, packed_windows, squeezed
+from .superkmer import FREQUENT, Bytes, covered, first_occurrences, identified, packed_windows, segments, squeezed
 
 LENGTH = 100
 GRAM = 8
+#: Length of the anchors that find the positions worth ranking.
+ANCHOR = 16
 
 PAIRS = "doc long, rid long, start int, n int, d1 long, r1 long, s1 int, d2 long, r2 long, s2 int"
 
@@ -80,7 +83,9 @@ def double(ranks: DataFrame, half: int) -> DataFrame:
 def repeated_byte_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
     """(doc, rid, spans): runs (start, n) of positions whose next ``length`` bytes start earlier too. ``length`` is even."""
     half = length // 2
-    ranks = first_ranks(rows, half, gram, frequent)
+    anchor = min(ANCHOR, half)
+    parts = Scratch(rows.sparkSession).write(segments(rows, Bytes(), length, anchor), "segments")
+    ranks = first_ranks(parts, half, gram, frequent)
     pairs = Scratch(rows.sparkSession).write(double(ranks, half), "pairs")
     settled = pairs.where("d2 is null").select("doc", "rid", "start", "n")
     each = pairs.where("d2 is not null").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))

@@ -112,18 +112,20 @@ class Words:
         return [b" ".join(words[j : j + k]) for j in range(n)]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of PIECE bytes or a little more, with doc, rid and at of each."""
     for b in batches:
         texts, size, begin = [], 0, 0
-        doc, rid = b.column("doc").to_numpy(), b.column("rid").to_numpy()
+        doc, rid, at = (b.column(c).to_numpy() for c in ("doc", "rid", "at"))
         for i, t in enumerate(b.column("text")):
-            texts.append((t.as_py() or "").encode())
+            t = t.as_py() or b""
+            texts.append(t.encode() if isinstance(t, str) else t)
             size += len(texts[-1])
             if size >= PIECE:
-                yield texts, doc[begin : i + 1], rid[begin : i + 1]
+                yield texts, doc[begin : i + 1], rid[begin : i + 1], at[begin : i + 1]
                 texts, size, begin = [], 0, i + 1
         if texts:
-            yield texts, doc[begin:], rid[begin:]
+            yield texts, doc[begin:], rid[begin:], at[begin:]
 
 
 def _runs(unit, texts: list[bytes], k: int, m: int):
@@ -153,7 +155,7 @@ def _frequent(docs: DataFrame, unit, k: int, m: int, least: int) -> list[int]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, _, _ in _pieces(batches):
+        for texts, *_ in _pieces(batches):
             key = _runs(unit, texts, k, m)[0]
             keys, n = np.unique(key.view(np.int64), return_counts=True)
             often = n >= 4
@@ -171,11 +173,12 @@ def _frequent(docs: DataFrame, unit, k: int, m: int, least: int) -> list[int]:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """(doc, rid, text): doc_id with null as the least; rid tells apart texts under one doc_id and is 0 where each occurs once."""
+    """(doc, rid, at, text): doc_id with null as the least; rid tells apart texts under one doc_id and is 0 where each
+    occurs once; at is where the text begins in its document, 0 for whole ones."""
     doc: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     twice = docs.groupBy("doc_id").count().where("count > 1")
     rid = F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64("text")
-    return docs.select(doc.alias("doc"), rid.alias("rid"), F.col("text").cast("string").alias("text"))
+    return docs.select(doc.alias("doc"), rid.alias("rid"), F.lit(0).alias("at"), F.col("text").cast("string").alias("text"))
 
 
 def squeezed(rows: DataFrame) -> DataFrame:
@@ -192,6 +195,82 @@ def squeezed(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "rid", "text").mapInArrow(run, "doc long, rid long, z binary")
 
 
+def candidates(rows: DataFrame, unit, k: int, m: int) -> DataFrame:
+    """(doc, rid, start, n): super-k-mers whose minimiser occurs more than once, by its hash; all others are unique.
+
+    Only keys and places are shuffled. A key that a map task meets twice is known to be repeated there: one row goes
+    under the key, to tell other tasks, and the rest are spread by place.
+    """
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, doc, rid, at in _pieces(batches):
+            key, of, s, n, _, before = _runs(unit, texts, k, m)
+            if not len(key):
+                continue
+            order = np.argsort(key, kind="stable")
+            same = np.concatenate([[False], key[order][1:] == key[order][:-1]])
+            sure, rest = np.zeros(len(key), bool), np.zeros(len(key), bool)
+            rest[order[same]] = True
+            sure[order[same]] = sure[order[np.flatnonzero(same) - 1]] = True
+            d, r, start = doc[of], rid[of], s - before[of] + at[of]
+            spread = _mix(_mix(d.view(np.uint64) ^ r.view(np.uint64)) + start.astype(np.uint64))
+            out = pa.record_batch(
+                {
+                    "key": pa.array(np.where(rest, spread, key).view(np.int64)),
+                    "doc": pa.array(d),
+                    "rid": pa.array(r),
+                    "start": pa.array(start.astype(np.int32)),
+                    "n": pa.array(n.astype(np.int32)),
+                    "sure": pa.array(sure),
+                }
+            )
+            for i in range(0, out.num_rows, 50_000):
+                yield out.slice(i, 50_000)
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, None  # the row held back, and the key before it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b if last is None else pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            key = b.column("key").to_numpy()
+            same = key[1:] == key[:-1]
+            first = before is not None and key[0] == before
+            twice = b.column("sure").to_numpy(zero_copy_only=False) | np.concatenate([[first], same]) | np.append(same, False)
+            keep = np.flatnonzero(twice[:-1])
+            if len(keep):
+                yield b.take(pa.array(keep)).select(["doc", "rid", "start", "n"])
+            before = key[-2] if len(key) > 1 else before
+            last = b.slice(b.num_rows - 1)
+        if last is not None and (last.column("sure")[0].as_py() or before == last.column("key")[0].as_py()):
+            yield last.select(["doc", "rid", "start", "n"])
+
+    keys = rows.mapInArrow(places, "key long, doc long, rid long, start int, n int, sure boolean")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(repeated, "doc long, rid long, start int, n int")
+
+
+def segments(rows: DataFrame, unit, k: int, m: int) -> DataFrame:
+    """(doc, rid, at, text): the byte stretches of documents that hold all their windows that can be repeated."""
+    found = candidates(rows, unit, k, m).groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    met = squeezed(rows).join(found.withColumnsRenamed({"doc": "d", "rid": "r"}), (F.col("doc") == F.col("d")) & (F.col("rid") == F.col("r")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor().decompress
+        schema = pa.schema([("doc", pa.int64()), ("rid", pa.int64()), ("at", pa.int32()), ("text", pa.binary())])
+        for b in batches:
+            out = []
+            for doc, rid, z, spans in zip(b.column("doc").to_pylist(), b.column("rid").to_pylist(), b.column("z"), b.column("spans")):
+                data, s = unpack(z.as_py()), spans.values
+                lo, hi = covered(s.field("start").to_numpy().astype(np.int64), s.field("n").to_numpy().astype(np.int64), k)
+                out += [(doc, rid, x, data[x:y]) for x, y in zip(lo.tolist(), hi.tolist())]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema)
+
+    return met.select("doc", "rid", "z", "spans").mapInArrow(cut, "doc long, rid long, at int, text binary")
+
+
 def packed_windows(docs: DataFrame, unit, k: int, m: int, frequent: int = FREQUENT) -> DataFrame:
     """Rows of PACKED from ``identified`` documents: packed strings, and short rows (packed null) for copies inside a task."""
     hot = np.array(_frequent(docs, unit, k, m, frequent), np.int64)
@@ -199,7 +278,7 @@ def packed_windows(docs: DataFrame, unit, k: int, m: int, frequent: int = FREQUE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for texts, doc, rid in _pieces(batches):
+        for texts, doc, rid, at0 in _pieces(batches):
             key, of, s, n, pack, before = _runs(unit, texts, k, m)
             key = key.view(np.int64)
             single = np.isin(key, hot)
@@ -213,7 +292,7 @@ def packed_windows(docs: DataFrame, unit, k: int, m: int, frequent: int = FREQUE
                 at = np.flatnonzero(single)
                 key = key.copy()
                 key[at] = np.array([xxh64_intdigest(packed[i], 7) for i in at], np.uint64).view(np.int64)
-            start = s - before[of] if len(s) else s
+            start = s - before[of] + at0[of] if len(s) else s
             d, r = doc[of], rid[of]
             many = np.zeros(len(key), bool)
             first = np.full(len(key), -1)
