@@ -34,7 +34,7 @@ def run_ctes(source: str, keys: str = "recording_id", out: str = "runs") -> str:
 WIN = """w AS (SELECT recording_id, CAST(floor(sample_ix / 20) AS BIGINT) AS window_ix, sample_ix % 20 AS sample_ix, label
   FROM (SELECT *, count(*) OVER (PARTITION BY recording_id) AS c FROM seg) WHERE floor(sample_ix / 20) < floor(c / 20))"""
 
-EPO = f"""{SEG}, epo AS (SELECT recording_id AS trial, CAST((sample_ix - 20) * 10.0 AS DOUBLE) AS t_ms, label FROM seg WHERE sample_ix < 40)"""
+EPO = f"""{SEG}, epo AS (SELECT recording_id AS trial, CAST((sample_ix - 20) * 10.0 AS DOUBLE) AS t_ms, label FROM seg)"""
 
 VALUES = """vals AS (SELECT event_type AS feature, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS grp, CAST(floor(user_id / 2) AS BIGINT) AS subject,
   avg(value) AS value FROM events GROUP BY event_type, user_id)"""
@@ -257,11 +257,11 @@ query("silhouette", f"""WITH {DIST}, m AS (SELECT i, si, sj, avg(d) AS m FROM dd
 query("dunn", f"WITH {DIST}, q AS (SELECT min(d) FILTER (si <> sj) / max(d) FILTER (si = sj) AS value FROM dd) SELECT {r6('value')} FROM q")(lambda s, d: rounded(cluster.dunn(_own(s, d)), "value"))
 query("within_dispersion", f"WITH {DIST}, t AS (SELECT si, sum(d * d) AS s FROM dd WHERE si = sj GROUP BY 1), n AS (SELECT state, count(*) AS n FROM cc GROUP BY 1), q AS (SELECT sum(s / (2 * n)) AS value FROM t JOIN n ON si = state) SELECT {r6('value')} FROM q")(lambda s, d: rounded(cluster.within_dispersion(_own(s, d)), "value"))
 
-CURVE = "cur AS (SELECT c_mktsegment AS method, CAST(c_custkey % 9 + 2 AS INTEGER) AS k, sum(c_acctbal) AS score FROM customer WHERE c_custkey < 200 GROUP BY 1, 2)"
+CURVE = "cur AS (SELECT c_mktsegment AS method, CAST(c_custkey % 9 + 2 AS INTEGER) AS k, sum(c_acctbal) AS score FROM customer GROUP BY 1, 2)"
 
 
 def _curve(s: SparkSession, d: str) -> DataFrame:
-    c = V.read(s, d, "customer").where("c_custkey < 200")
+    c = V.read(s, d, "customer")
     return c.groupBy(F.col("c_mktsegment").alias("method"), (F.col("c_custkey") % 9 + 2).cast("int").alias("k")).agg(F.sum("c_acctbal").alias("score"))
 
 
@@ -358,11 +358,11 @@ q AS (SELECT feature, (12 / (n * (n + 1.0)) * q - 3 * (n + 1)) / (1 - ties / (n
 query("one_way_anova", f"""WITH {VALUES}, g AS (SELECT feature, grp, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM vals GROUP BY 1, 2), a AS (SELECT *, sum(n * m) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) AS am FROM g),
 q AS (SELECT feature, (sum(n * (m - am) ** 2) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS stat FROM a GROUP BY 1) SELECT feature, {r6('stat')} FROM q""")(lambda s, d: rounded(stats.one_way(V.values(s, d)).select("feature", "stat"), "stat"))
 
-PV = "pv AS (SELECT p_brand AS feature, sum(p_size) / 5000.0 AS p FROM part WHERE p_partkey <= 150 GROUP BY 1)"
+PV = "pv AS (SELECT p_brand AS feature, count(*) FILTER (p_size <= 2) / count(*) AS p FROM part GROUP BY 1)"
 
 
 def _p(s: SparkSession, d: str) -> DataFrame:
-    return V.read(s, d, "part").where("p_partkey <= 150").groupBy(F.col("p_brand").alias("feature")).agg((F.sum("p_size") / 5000.0).alias("p"))
+    return V.read(s, d, "part").groupBy(F.col("p_brand").alias("feature")).agg((F.count_if(F.col("p_size") <= 2) / F.count("*")).alias("p"))
 
 
 UP = "PARTITION BY 1 ORDER BY p, feature"
@@ -402,7 +402,7 @@ query("gee")(lambda s, d: rounded(stats.gee(V.values(s, d), "a", "b"), "coef", "
 
 
 def _series(s: SparkSession, d: str) -> DataFrame:
-    e = V.segmentation(s, d).where("sample_ix < 40")
+    e = V.segmentation(s, d)
     return e.select(F.col("recording_id").alias("subject"), ((F.col("sample_ix") - 20) * 10.0).alias("t_ms"), (F.col("value") - 50.0).alias("value"))
 
 
@@ -411,7 +411,7 @@ query("tfce_clusters")(lambda s, d: stats.clusters(stats.tfce(_series(s, d), 100
 
 # --- joins, names, channels -----------------------------------------------------------------------------------------------------------
 
-FILES = """nm AS (SELECT 'sub-' || lpad(c_custkey::VARCHAR, 3, '0') || '_task-rest' || c || '_trial1' AS name FROM customer, (SELECT unnest(['_Pre', '_Post']) AS c) WHERE c_custkey <= 60 AND NOT (c_custkey % 7 = 0 AND c = '_Post'))"""
+FILES = """nm AS (SELECT 'sub-' || lpad(c_custkey::VARCHAR, 9, '0') || '_task-rest' || c || '_trial1' AS name FROM customer, (SELECT unnest(['_Pre', '_Post']) AS c) WHERE NOT (c_acctbal < 0 AND c = '_Post'))"""
 query("subject_id", f"WITH {FILES}, q AS (SELECT name, ltrim(regexp_extract(name, 'sub-(\\d+)', 1), '0') AS n FROM nm) SELECT name, CASE WHEN length(n) < 2 THEN lpad(n, 2, '0') ELSE n END AS subject FROM q")(
     lambda s, d: V.file_names(s, d).select("name", N.subject_id(F.col("name")).alias("subject"))
 )
@@ -422,10 +422,10 @@ query("condition_pairs", f"WITH {FILES}, b AS (SELECT name, regexp_replace(name,
 query("matched_subjects", f"WITH {VALUES} SELECT DISTINCT subject FROM vals WHERE grp = 'a' AND feature = 'error' AND subject IN (SELECT subject FROM vals WHERE grp = 'b' AND feature = 'signup')")(
     lambda s, d: joins.matched_subjects(V.values(s, d).where("grp = 'a' and feature = 'error'"), V.values(s, d).where("grp = 'b' and feature = 'signup'"))
 )
-query("missing_states", f"WITH {SEG}, a AS (SELECT DISTINCT r.recording_id, l.label FROM (SELECT DISTINCT recording_id FROM seg) r, (SELECT DISTINCT label FROM seg WHERE label IS NOT NULL) l), w AS (SELECT DISTINCT recording_id, label FROM seg WHERE sample_ix < 10) SELECT * FROM a ANTI JOIN w USING (recording_id, label)")(
+query("missing_states", f"WITH {SEG}, a AS (SELECT DISTINCT r.recording_id, l.label FROM (SELECT DISTINCT recording_id FROM seg) r, (SELECT DISTINCT label FROM seg WHERE label IS NOT NULL) l), w AS (SELECT DISTINCT recording_id, label FROM seg WHERE value > 200) SELECT * FROM a ANTI JOIN w USING (recording_id, label)")(
     lambda s, d: joins.missing(
         V.segmentation(s, d).select("recording_id").distinct().join(V.segmentation(s, d).where("label is not null").select("label").distinct(), how="cross"),
-        V.segmentation(s, d).where("sample_ix < 10").select("recording_id", "label"),
+        V.segmentation(s, d).where("value > 200").select("recording_id", "label"),
         ["recording_id", "label"],
     )
 )
@@ -440,7 +440,7 @@ query("common_column_union", "SELECT c_custkey AS id, c_acctbal AS bal, 'c' AS s
         }
     )
 )
-CH = "ch AS (SELECT p_partkey % 10 AS recording_id, p_partkey AS channel_ix, CASE WHEN p_size % 2 = 0 THEN upper('Ch' || (p_partkey % 13)) ELSE 'Ch' || (p_partkey % 13) END AS channel, p_size > 45 AS is_bad, p_brand AS montage FROM part WHERE p_partkey <= 120)"
+CH = "ch AS (SELECT p_partkey % 10 AS recording_id, p_partkey AS channel_ix, CASE WHEN p_size % 2 = 0 THEN 'CH' ELSE 'Ch' END || CAST(floor(sqrt(p_partkey)) AS BIGINT) AS channel, p_size > 45 AS is_bad, p_brand AS montage FROM part)"
 query("channel_consistency", f"WITH {CH}, o AS (SELECT *, row_number() OVER (PARTITION BY lower(channel) ORDER BY recording_id, channel_ix) AS i FROM ch) SELECT max(channel) FILTER (i = 1) AS channel, count(DISTINCT recording_id) AS files, count(DISTINCT recording_id) = (SELECT count(DISTINCT recording_id) FROM ch) AS consistent FROM o GROUP BY lower(channel)")(
     lambda s, d: joins.channel_consistency(V.channels(s, d))
 )
@@ -453,10 +453,10 @@ query("auxiliary_channels", "SELECT DISTINCT p_name AS channel, (" + " OR ".join
 query("event_match", "SELECT DISTINCT event_type AS name, contains(lower(event_type), 'up') OR contains('up', lower(event_type)) AS partial FROM events")(
     lambda s, d: V.read(s, d, "events").select(F.col("event_type").alias("name"), N.event_matches(F.col("event_type"), F.lit("UP"), "partial").alias("partial")).distinct()
 )
-query("neighbour_channels", """WITH p AS (SELECT p_partkey::INTEGER AS k, p_partkey::DOUBLE % 7 AS x, p_partkey::DOUBLE * 0.37 % 3 AS y, p_partkey::DOUBLE * p_partkey % 11 * 0.1 AS z FROM part WHERE p_partkey <= 30),
-d AS (SELECT a.k, b.k AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM p a JOIN p b ON a.k <> b.k), r AS (SELECT *, row_number() OVER w AS rank, lead(d) OVER w - d AS st FROM d WINDOW w AS (PARTITION BY k ORDER BY d, j)),
+query("neighbour_channels", """WITH p AS (SELECT 'm' || (p_partkey // 32) AS m, p_partkey::INTEGER AS k, p_partkey::DOUBLE % 7 AS x, p_partkey::DOUBLE * 0.37 % 3 AS y, p_partkey::DOUBLE * p_partkey % 11 * 0.1 AS z FROM part),
+d AS (SELECT a.m, a.k, b.k AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM p a JOIN p b ON a.m = b.m AND a.k <> b.k), r AS (SELECT *, row_number() OVER w AS rank, lead(d) OVER w - d AS st FROM d WINDOW w AS (PARTITION BY k ORDER BY d, j)),
 u AS (SELECT *, avg(st) FILTER (rank <= 3) OVER (PARTITION BY k) AS us FROM r), c AS (SELECT *, min(rank) FILTER (st > 2 * us AND rank >= 3) OVER (PARTITION BY k) AS cut FROM u)
-SELECT 'm' AS montage, k AS channel_ix, j AS neighbour_ix, rank::INTEGER AS rank FROM c WHERE rank <= least(8, coalesce(cut, 8))""")(lambda s, d: signal.neighbours(V.positions(s, d)))
+SELECT m AS montage, k AS channel_ix, j AS neighbour_ix, rank::INTEGER AS rank FROM c WHERE rank <= least(8, coalesce(cut, 8))""")(lambda s, d: signal.neighbours(V.positions(s, d)))
 
 # --- signals and sources ----------------------------------------------------------------------------------------------------------------------
 

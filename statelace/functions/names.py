@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 # The order in which subject patterns are tried.
 SUBJECT_PATTERNS = (r"(?i)sub-?0*(\d+)", r"(?i)subj(?:ect)?[_-]?0*(\d+)", r"(?i)part(?:icipant)?[_-]?0*(\d+)", r"\bS0*(\d{1,3})\b", r"\bP0*(\d{1,3})\b", r"^0*(\d+)")
 
-# Names of channels that aren't scalp electrodes.
-AUXILIARY = ("EOG", "ECG", "EKG", "EMG", "REF", "TRIG", "STATUS", "STIM", "GSR", "RESP", "AUX", "ACC", "MISC", "PHOTO", "A1", "A2", "M1", "M2")
+# Parts of the names of channels that aren't scalp electrodes.
+AUXILIARY = (
+    "EOG", "HEOG", "VEOG", "EYE", "LEOG", "REOG", "VPVA", "VNVB", "HPHL", "HNHR", "HOHL", "ROC", "LOC", "RLC", "LUC", "PG1", "PG2",
+    "ECG", "EKG", "HEART", "CARD", "ERBS",
+    "EMG", "LEMG", "REMG", "CHIN", "JAW", "ORBOCC", "MASS",
+    "RESP", "ABDOMEN", "RESP ABDOMEN",
+    "PHOTIC", "IBI", "BURSTS", "SUPPR",
+    "REF", "GND", "TRIGGER", "SYNC", "STATUS",
+    "NOSE", "NASION", "LPA", "RPA", "A1", "A2",
+    "ARTF", "ARTIFACT", "BAD", "NULL",
+)
 
 
 def subject_id(name: Column) -> Column:

@@ -23,8 +23,8 @@ def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(trial, t_ms, label): the first 40 samples of each user as a trial around 0 ms."""
-    s = segmentation(spark, sf_dir).where("sample_ix < 40")
+    """(trial, t_ms, label): the samples of each user as a trial, 10 ms apart, from -200 ms on."""
+    s = segmentation(spark, sf_dir)
     return s.select(F.col("recording_id").alias("trial"), ((F.col("sample_ix") - 20) * 10.0).cast("double").alias("t_ms"), "label")
 
 
@@ -54,23 +54,23 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(name): a pre and a post recording of most customers."""
-    c = read(spark, sf_dir, "customer").where("c_custkey <= 60")
-    base = F.concat(F.lit("sub-"), F.lpad(F.col("c_custkey").cast("string"), 3, "0"), F.lit("_task-rest"))
-    both = F.when(F.col("c_custkey") % 7 == 0, F.array(F.lit("_Pre"))).otherwise(F.array(F.lit("_Pre"), F.lit("_Post")))
+    """(name): a pre and a post recording of each customer, the first alone of those in debt."""
+    c = read(spark, sf_dir, "customer")
+    base = F.concat(F.lit("sub-"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit("_task-rest"))
+    both = F.when(F.col("c_acctbal") < 0, F.array(F.lit("_Pre"))).otherwise(F.array(F.lit("_Pre"), F.lit("_Post")))
     return c.select(base.alias("base"), F.explode(both).alias("part")).select(F.concat("base", "part", F.lit("_trial1")).alias("name"))
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(recording_id, channel_ix, channel, is_bad, montage): parts as channels of recordings, spelt in two ways."""
-    p = read(spark, sf_dir, "part").where("p_partkey <= 120")
-    name = F.concat(F.lit("Ch"), (F.col("p_partkey") % 13).cast("string"))
-    spelt = F.when(F.col("p_size") % 2 == 0, F.upper(name)).otherwise(name)
+    p = read(spark, sf_dir, "part")
+    prefix = F.when(F.col("p_size") % 2 == 0, "CH").otherwise("Ch")
+    spelt = F.concat(prefix, F.floor(F.sqrt("p_partkey")).cast("string"))
     return p.select((F.col("p_partkey") % 10).alias("recording_id"), F.col("p_partkey").alias("channel_ix"), spelt.alias("channel"), (F.col("p_size") > 45).alias("is_bad"), F.col("p_brand").alias("montage"))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(montage, channel_ix, x, y, z): parts as electrodes."""
-    p = read(spark, sf_dir, "part").where("p_partkey <= 30")
+    """(montage, channel_ix, x, y, z): parts as electrodes, 32 to a montage."""
+    p = read(spark, sf_dir, "part")
     k = F.col("p_partkey").cast("double")
-    return p.select(F.lit("m").alias("montage"), F.col("p_partkey").cast("int").alias("channel_ix"), (k % 7).alias("x"), (k * 0.37 % 3).alias("y"), (k * k % 11 * 0.1).alias("z"))
+    return p.select(F.concat(F.lit("m"), F.floor(F.col("p_partkey") / 32).cast("string")).alias("montage"), F.col("p_partkey").cast("int").alias("channel_ix"), (k % 7).alias("x"), (k * 0.37 % 3).alias("y"), (k * k % 11 * 0.1).alias("z"))
