@@ -24,7 +24,8 @@ from .common import Scratch, table
 from .superkmer import FREQUENT, Bytes, covered, first_occurrences, identified, packed_windows, segments, squeezed
 
 LENGTH = 100
-GRAM = 8
+#: Length of the minimisers of packed strings; shorter ones are so common that their keys go out window by window.
+GRAM = 16
 #: Length of the anchors that find the positions worth ranking.
 ANCHOR = 16
 
