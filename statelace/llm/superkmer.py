@@ -271,8 +271,11 @@ def segments(rows: DataFrame, unit, k: int, m: int) -> DataFrame:
     return met.select("doc", "rid", "z", "spans").mapInArrow(cut, "doc long, rid long, at int, text binary")
 
 
-def packed_windows(docs: DataFrame, unit, k: int, m: int, frequent: int = FREQUENT) -> DataFrame:
-    """Rows of PACKED from ``identified`` documents: packed strings, and short rows (packed null) for copies inside a task."""
+def packed_windows(docs: DataFrame, unit, k: int, m: int, frequent: int = FREQUENT, merge: bool = False) -> DataFrame:
+    """Rows of PACKED from ``identified`` documents: packed strings, and short rows (packed null) for copies inside a task.
+
+    With ``merge``, short rows that follow each other in a text are one, for use where it doesn't matter of what each is a copy.
+    """
     hot = np.array(_frequent(docs, unit, k, m, frequent), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,6 +316,12 @@ def packed_windows(docs: DataFrame, unit, k: int, m: int, frequent: int = FREQUE
                         first[i], many[f], packed[i] = f, True, None
             short = first >= 0
             f = np.maximum(first, 0)
+            if merge and short.any():
+                on = np.concatenate([[False], short[1:] & short[:-1] & (of[1:] == of[:-1]) & (s[1:] == s[:-1] + n[:-1])])
+                head = np.flatnonzero(~on)
+                n = n.copy()
+                n[head] = np.add.reduceat(n, head)
+                drop |= on
             if short.any():
                 key = key.copy()
                 key[short] = _mix(_mix(d[f[short]].view(np.uint64) ^ r[f[short]].view(np.uint64)) + start[f[short]].astype(np.uint64)).view(np.int64)
