@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .superkmer import FREQUENT, Words, covered, first_occurrences, identified, packed_windows, squeezed
+from .superkmer import FREQUENT, Words, common_words, covered, first_occurrences, identified, packed_windows, squeezed
 
 WINDOW = 20
 GRAM = 4
@@ -19,7 +19,7 @@ GRAM = 4
 
 def repeated_word_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
     """(doc, rid, spans): runs (start, n) of windows that start earlier too, for ``identified`` rows that have some."""
-    packed = packed_windows(rows, Words(), window, gram, frequent, merge=True)
+    packed = packed_windows(rows, Words(common_words(rows)), window, gram, frequent, merge=True)
     runs, short = first_occurrences(packed, Words(), window)
     again = runs.where("doc <> ref_doc or rid <> ref_rid or start <> ref_start").select("doc", "rid", "start", "n")
     again = again.union(short.select("doc", "rid", "start", "n"))

@@ -26,6 +26,8 @@ from .common import Scratch
 PIECE = 3 << 20
 #: A key is sent window by window if it holds more packed strings than this and than a 2000th of all.
 FREQUENT = 2_000
+#: Words that packed strings name by two or three bytes; their list goes to all tasks.
+COMMON = 32_768
 
 PACKED = "key long, doc long, rid long, start int, n int, many boolean, packed binary, first_doc long, first_rid long, first_start int"
 RUNS = "doc long, rid long, start int, n int, ref_doc long, ref_rid long, ref_start int"
@@ -87,23 +89,29 @@ class Bytes:
 
 
 class Words:
-    """Texts as words between ASCII white space."""
+    """Texts as words between ASCII white space. Packed strings name ``common`` words by bytes with which no word in UTF-8 begins."""
+
+    def __init__(self, common: list[bytes] | None = None):
+        digits = lambda i: (i // 64, i % 64) if i < 4096 else (i // 4096, i // 64 % 64, i % 64)
+        self.codes = {w: bytes(0x80 + x for x in digits(i)) for i, w in enumerate(common or [])}
 
     def piece(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable]:
         from xxhash import xxh64_intdigest
 
         split = [t.split() for t in texts]
         n = np.fromiter(map(len, split), np.int64, len(split))
-        words = [w for s in split for w in s]
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        known = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-        hashes = known[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
-        starts = np.concatenate([[0], ends[:-1] + 1])
+        coded = pa.array([w for s in split for w in s], pa.binary()).dictionary_encode()
+        each = coded.dictionary.to_pylist()
+        known = np.array([xxh64_intdigest(w) for w in each], np.uint64)
+        hashes = known[coded.indices.to_numpy()] if len(each) else np.zeros(0, np.uint64)
 
         def pack(s: np.ndarray, e: np.ndarray) -> list[bytes]:
-            return [joined[a:b] for a, b in zip(starts[s].tolist(), ends[e - 1].tolist())]
+            if not len(s):
+                return []
+            words = pa.array([self.codes.get(w, w) + b" " for w in each], pa.large_binary()).take(coded.indices)
+            ends = np.frombuffer(words.buffers()[1], np.int64)
+            joined = words.buffers()[2].to_pybytes()
+            return [joined[a:b] for a, b in zip(ends[s].tolist(), (ends[e] - 1).tolist())]
 
         return hashes, n, pack
 
@@ -172,6 +180,19 @@ def _frequent(docs: DataFrame, unit, k: int, m: int, least: int) -> list[int]:
     return [r["key"] for r in top.select("key").collect()]
 
 
+def common_words(docs: DataFrame, most: int = COMMON, longest: int = 64) -> list[bytes]:
+    """At most ``most`` words (262,144 at most) of up to ``longest`` bytes whose short names save the most, by counts over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, *_ in _pieces(batches):
+            counts = pa.array([w for t in texts for w in t.split()], pa.binary()).value_counts()
+            yield pa.record_batch([counts.field(0), counts.field(1)], ["word", "n"])
+
+    length = F.length("word")
+    saved = docs.mapInArrow(run, "word binary, n long").where(length.between(3, longest)).groupBy("word").agg(F.sum(F.col("n") * (length - 2)).alias("saved"))
+    return [bytes(r["word"]) for r in saved.orderBy(F.desc("saved"), "word").limit(most).collect()]
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """(doc, rid, at, text): doc_id with null as the least; rid tells apart texts under one doc_id and is 0 where each
     occurs once; at is where the text begins in its document, 0 for whole ones."""
