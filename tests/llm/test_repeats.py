@@ -75,16 +75,6 @@ def test_frequent_keys_are_found(documents):
     assert _frequent(identified(documents(rows)), Words(), 20, 4, 10)
 
 
-def test_names_of_common_words():
-    words = [f"w{i}".encode() for i in range(6000)]
-    codes = Words(words).codes
-    assert len(set(codes.values())) == 6000 and all(0x80 <= x < 0xC0 for c in codes.values() for x in c)
-    text = b" ".join([*words[:30], "é".encode(), b"other"])
-    hashes, n, pack = Words(words).piece([text, b"", b"a  b"])
-    assert n.tolist() == [32, 0, 2] and (hashes == Words().piece([text, b"a b"])[0]).all()
-    assert pack(np.array([28, 32]), np.array([32, 34])) == [b" ".join([codes[b"w28"], codes[b"w29"], "é".encode(), b"other"]), b"a b"]
-
-
 def test_repeated_rows_are_one_document(documents):
     t = " ".join(f"w{i}" for i in range(40))
     got = substring.remove_repeated_words(documents([(1, t), (1, t), (2, t), (2, "other text")])).collect()
