@@ -48,15 +48,17 @@ def text_fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def simhash(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``. Null and blank texts have fingerprint 0."""
+def simhash(docs: DataFrame, width: int = WIDTH, *more: Column) -> DataFrame:
+    """(doc_id, fp, then ``more``, bigints with names): one row per row of ``docs``. Null and blank texts have fingerprint 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    others = rows.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([text_fingerprint(t.as_py(), width) for t in b.column("text")], np.uint64)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fp.view(np.int64))})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fp.view(np.int64))} | {c: b.column(c) for c in others})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *others)))
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -216,33 +218,45 @@ def hamming_links(fps: DataFrame, n: int, budget: int = BUDGET, chunk: int = CHU
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _named(rows: DataFrame, least: Column, budget: int, chunk: int) -> DataFrame:
+    """(fp, least, component): every fingerprint of ``rows`` with ``least`` over its rows and the smallest fingerprint its links reach."""
+    scratch = Scratch(rows.sparkSession)
+    nodes = scratch.write(rows.groupBy("fp").agg(least.alias("least")), "nodes")
+    links = hamming_links(nodes.select("fp"), nodes.count(), budget, chunk)
+    parts = connected_components(links)
+    named = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    return scratch.write(named, "named")
+
+
 def simhash_classes(docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, fp, component_id): every row with its fingerprint and the smallest doc_id its links reach.
 
     Empty table: no rows. Repeated rows stay. A null doc_id is never the smallest of others; a class with only
     such rows has a null component_id. Extra columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.write(simhash(docs, width), "fingerprints")
-    nodes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    links = hamming_links(nodes.select("fp"), nodes.count(), budget, chunk)
-    parts = connected_components(links)
-    named = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = scratch.write(named, "named")
+    rows = Scratch(docs.sparkSession).write(simhash(docs, width), "fingerprints")
+    named = _named(rows, F.min("doc_id"), budget, chunk)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "component").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, budget: int = BUDGET, width: int = WIDTH) -> DataFrame:
-    """One row of every class stays, that with the smallest doc_id, with all its columns."""
-    from pyspark.sql import Window
+def drop_near_copies(docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, chunk: int = CHUNK) -> DataFrame:
+    """One row of every class stays, that with the smallest doc_id, with all its columns.
 
-    keep = simhash_classes(docs, budget, width).select(F.col("component_id").alias("_keep")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_k"), F.xxhash64("text").alias("_h"))
-    rows = rows.join(keep, F.col("_k").eqNullSafe(F.col("_keep")))
-    first = F.row_number().over(Window.partitionBy("_k").orderBy("_h"))
-    return rows.withColumn("_n", first).where("_n = 1").select("row.*")
+    Null ids come last, and among rows with one id the least hash of the text decides. Classes are told apart by
+    their fingerprints, as several may have only null ids or share an id.
+    """
+    key = ["_k", "_h", "_g"]  # two hashes of the text: many texts may have a null id
+    hashes = (F.xxhash64(F.col("text").cast("string")).alias("_h"), F.xxhash64(F.lit(1), F.col("text").cast("string")).alias("_g"))
+    rows = Scratch(docs.sparkSession).write(simhash(docs, width, *hashes), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_k"), "_h", "_g"))
+    named = _named(rows, first, budget, chunk)
+    keep = named.groupBy("component").agg(F.min("least").alias("_keep")).select("_keep.*")
+    # rows with one id and text become one before they meet the keys, so copies don't gather in a task
+    same = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_k"), *hashes).groupBy(*key).agg(F.first("row").alias("row"))
+    match = [same[c].eqNullSafe(keep[c]) for c in key]
+    return same.join(keep, match[0] & match[1] & match[2], "left_semi").select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

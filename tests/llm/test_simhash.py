@@ -93,6 +93,14 @@ def test_near_copies_leave_one(documents):
     assert simhash.simhash_classes(documents([(None, "x")])).first()["component_id"] is None
 
 
+def test_classes_without_an_id_of_their_own_stay(documents):
+    a, b, c, d, e, f = (" ".join(f"{x}{i * i % 997}" for i in range(900)) for x in "abcdef")
+    docs = documents([(None, a), (None, b), (None, b), (None, b + " end"), (None, c), (5, c), (7, d), (7, e), (7, e), (8, e + " end"), (9, f)])
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs).collect()]
+    assert len(kept) == 6
+    assert {(i, t[0]) for i, t in kept} == {(None, "a"), (None, "b"), (5, "c"), (7, "d"), (7, "e"), (9, "f")}
+
+
 def test_blocks_cover_the_budget():
     for b in (5, 6, 7, 8):
         masks = simhash._block_masks(b, 4)
