@@ -2,13 +2,16 @@
 
 Generators with high recall propose spans, overlapping ones too. Trees score each from its format (digits, groups,
 separators, checksums) and its context (the characters and words around it). They are fitted on a bounded sample of
-documents: plain matches and variants of them as people disguise them are positive; candidates that are none, and
-broken variants, are negative. A part held out of the fit sets each kind's threshold at the wanted precision.
+documents, drawn for each kind from those with a plain match of it: plain matches and variants of them as people
+disguise them are positive; candidates that are none, and broken variants, are negative. All documents that the trees
+haven't seen, a quarter of the texts at least, set each kind's threshold at the wanted precision.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import random
 import re
 from collections.abc import Iterator
 
@@ -17,13 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .boosting import BoostedTrees, precise_threshold
-from .common import table
+from .boosting import BoostedTrees
+from .common import Scratch, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents with digits or an @ that the trees are fitted on: those whose hashed ids come first.
+#: Different texts that the trees are fitted on, in equal shares: for each kind those with a plain match of it, and
+#: those with a candidate that is none; in each share those whose hashes come first.
 SAMPLE = 2_000
+#: Examples of a kind that the trees are fitted on at most, drawn evenly from all of the sample, so that no kind outweighs the others.
+EXAMPLES = 2_000
 PRECISION = 0.995
+#: Scores from which a threshold is chosen, by steps of 0.01 in log odds; no threshold lies under the first.
+LEVELS = 1 / (1 + np.exp(-0.01 * np.arange(2_001)))
 
 # look-behinds only skip starts inside a run of digits, where a leftmost match can't begin
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -137,46 +145,63 @@ def _variants(s: str, kind: str, turn: int) -> list[tuple[str, bool]]:
     ]
 
 
+def _free(found: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[bool]:
+    """Whether each span overlaps no plain one."""
+    taken = sorted(base)
+    ends = np.maximum.accumulate([b[1] for b in taken]) if taken else np.zeros(0, int)
+    starts = np.array([b[0] for b in taken], int)
+    i = np.searchsorted(starts, [c[1] for c in found])  # plain spans that start before a candidate ends
+    return [k == 0 or bool(ends[k - 1] <= c[0]) for c, k in zip(found, i.tolist())]
+
+
+def examples(text: str, turn: int) -> Iterator[tuple[str, int, int, str, int]]:
+    """(text, start, end, kind, label) of candidates that are none or equal a plain match, and of variants of all plain matches."""
+    base, found = base_spans(text), candidates(text)
+    plain = set(base)
+    for c, free in zip(found, _free(found, base)):
+        if free or c in plain:
+            yield (text, *c, int(not free))
+    for start, end, kind in base:
+        lo = min(60, start)
+        for form, true in _variants(text[start:end], kind, turn):
+            new = text[start - lo : start] + form + text[end : end + 60]
+            for s, e, k in candidates(new):
+                if k == kind and s <= lo + 1 and e >= lo + len(form) - 1:
+                    yield new, s, e, k, int(true)
+
+
+def _turn(h: int) -> int:
+    return h % 5_400  # a multiple of what variants use
+
+
 class Model:
-    """Trees over candidates and a threshold for each kind."""
+    """Trees over candidates and a threshold for each kind, 2 where nothing reaches the precision."""
 
     def __init__(self, trees: BoostedTrees, thresholds: dict[str, float]):
         self.trees, self.thresholds = trees, thresholds
 
     @classmethod
-    def fit(cls, texts: list[str], precision: float = PRECISION) -> Model:
-        rows: list[tuple[list[float], int, str, int]] = []
-        for t, text in enumerate(texts):
-            base = base_spans(text)
-            for start, end, kind in candidates(text):
-                same = [b for b in base if b[2] == kind and b[0] < end and start < b[1]]
-                if not any(b[0] < end and start < b[1] for b in base) or any(b[:2] == (start, end) for b in same):
-                    rows.append((features(text, start, end, kind), int(bool(same)), kind, t))
-            for start, end, kind in base[:8]:
-                for form, true in _variants(text[start:end], kind, t):
-                    new = text[max(0, start - 60) : start] + form + text[end : end + 60]
-                    lo = min(60, start)
-                    for s, e, k in candidates(new):
-                        if k == kind and s <= lo + 1 and e >= lo + len(form) - 1:
-                            rows.append((features(new, s, e, k), int(true), k, t))
-        x = np.array([r[0] for r in rows], float).reshape(len(rows), -1 if rows else 1)
-        y, kinds, turn = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], str), np.array([r[3] for r in rows], int)
-        held = turn % 4 == 0
-        if not len(y) or not (~held).any():
+    def fit(cls, texts: list[tuple[int, str]]) -> Model:
+        """Trees fitted on (hash, text); thresholds are still to come."""
+        held: dict[str, list] = {k: [] for k in KINDS}
+        seen, draw = dict.fromkeys(KINDS, 0), random.Random(42)
+        for h, text in texts:
+            for row in examples(text, _turn(h)):
+                k = row[3]
+                at = seen[k] if seen[k] < EXAMPLES else draw.randrange(seen[k] + 1)
+                seen[k] += 1
+                if at < EXAMPLES:
+                    held[k][at : at + 1] = [row]
+        rows = [r for k in KINDS for r in held[k]]
+        if not rows:
             return cls(BoostedTrees(), dict.fromkeys(KINDS, 2.0))
-        trees = BoostedTrees().fit(x[~held], y[~held])
-        p = trees.predict(x)
-        return cls(trees, {k: precise_threshold(p[held & (kinds == k)], y[held & (kinds == k)], precision) for k in KINDS})
+        trees = BoostedTrees().fit(np.array([features(*r[:4]) for r in rows], float), np.array([r[4] for r in rows], float))
+        return cls(trees, dict.fromkeys(KINDS, 2.0))
 
     def spans(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         """Further spans of a text: the best that overlap neither plain ones nor each other."""
         found = candidates(text)
-        if found:
-            taken = sorted(base)
-            ends = np.maximum.accumulate([b[1] for b in taken]) if taken else np.zeros(0, int)
-            starts = np.array([b[0] for b in taken], int)
-            i = np.searchsorted(starts, [c[1] for c in found])  # plain spans that start before a candidate ends
-            found = [c for c, k in zip(found, i.tolist()) if k == 0 or ends[k - 1] <= c[0]]
+        found = [c for c, free in zip(found, _free(found, base)) if free]
         if not found:
             return []
         p = self.trees.predict(np.array([features(text, *c) for c in found], float))
@@ -188,13 +213,91 @@ class Model:
         return out
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.xxhash64(text).alias("h"), text.alias("text")).where("text <> ''")
+
+
+def _drawn(docs: DataFrame, sample: int) -> list[int]:
+    """Hashes of the texts to fit on: a share for each kind of plain match and for other candidates."""
+    share = -(-sample // (len(KINDS) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: list[set[int]] = [set() for _ in range(len(KINDS) + 1)]
+        for b in batches:
+            for h, value in zip(b.column("h").to_pylist(), b.column("text")):
+                text = value.as_py()
+                base = base_spans(text)
+                held = {KINDS.index(k) for _, _, k in base}
+                found = candidates(text)
+                if found and any(_free(found, base)):
+                    held.add(len(KINDS))
+                for i in held:
+                    least[i].add(h)
+            least = [x if len(x) < 4 * share else set(heapq.nsmallest(share, x)) for x in least]
+        pairs = [(i, h) for i, x in enumerate(least) for h in heapq.nsmallest(share, x)]
+        yield pa.record_batch({"part": pa.array([i for i, _ in pairs], pa.int32()), "h": pa.array([h for _, h in pairs], pa.int64())})
+
+    scratch = Scratch(docs.sparkSession)
+    parts = scratch.write(docs.where(F.pmod("h", F.lit(4)) != 0).mapInArrow(run, "part int, h long"), "drawn")
+    out: set[int] = set()
+    for i in range(len(KINDS) + 1):
+        out.update(r["h"] for r in parts.where(F.col("part") == i).select("h").distinct().orderBy("h").limit(share).collect())
+    scratch.drop(parts)
+    return sorted(out)
+
+
+def _levels(docs: DataFrame, model: Model, used: list[int]) -> DataFrame:
+    """(kind, level, good, n): examples of all documents but the used ones by score, from the first level on."""
+    skip = frozenset(used)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((len(KINDS), len(LEVELS), 2), np.int64)
+        held: list[tuple[list[float], int, int]] = []
+
+        def tally() -> None:
+            if held:
+                level = np.searchsorted(LEVELS, model.trees.predict(np.array([r[0] for r in held], float)), "right") - 1
+                kind, label = (np.array([r[i] for r in held], int) for i in (1, 2))
+                some = level >= 0
+                np.add.at(count, (kind[some], level[some], 0), label[some])
+                np.add.at(count, (kind[some], level[some], 1), 1)
+                held.clear()
+
+        for b in batches:
+            for h, value in zip(b.column("h").to_pylist(), b.column("text")):
+                if h in skip:
+                    continue
+                for text, s, e, k, label in examples(value.as_py(), _turn(h)):
+                    held.append((features(text, s, e, k), KINDS.index(k), label))
+                    if len(held) >= 10_000:
+                        tally()
+        tally()
+        kind, level = np.nonzero(count[:, :, 1])
+        cols = (kind, level, count[kind, level, 0], count[kind, level, 1])
+        yield pa.record_batch({c: pa.array(x, pa.int64()) for c, x in zip(("kind", "level", "good", "n"), cols)})
+
+    rows = docs.mapInArrow(run, "kind long, level long, good long, n long")
+    return rows.groupBy("kind", "level").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Model:
-    """Fit on ``sample`` documents, those with the least hashes among all that hold an @ or two digits."""
-    some = docs.where(F.col("text").rlike("@|[0-9][^A-Za-z]{0,3}[0-9]")).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.length("text")).alias("h"))
-    # the least ids first, texts after: what is sorted is small
-    least = some.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    rows = some.where(F.col("h") <= F.lit(least)).orderBy("h").limit(sample).select("text").collect() if least is not None else []
-    return Model.fit([r["text"] for r in rows], precision)
+    """Trees from ``sample`` texts; the threshold of a kind is the least score from which on ``precision`` of the examples of all other documents are positive."""
+    rows = _hashed(docs)
+    used = _drawn(rows, sample)
+    if not used:
+        return Model.fit([])
+    wanted = docs.sparkSession.createDataFrame([(h,) for h in used], "h long")
+    texts = rows.join(F.broadcast(wanted), "h").groupBy("h").agg(F.first("text").alias("text")).collect()
+    model = Model.fit(sorted((r["h"], r["text"]) for r in texts))
+    good, n = (np.zeros((len(KINDS), len(LEVELS)), np.int64) for _ in range(2))
+    for r in _levels(rows, model, used).collect():  # a row per kind and level
+        good[r["kind"], r["level"]], n[r["kind"], r["level"]] = r["good"], r["n"]
+    for i, k in enumerate(KINDS):
+        of, right = (np.cumsum(x[i][::-1])[::-1] for x in (n, good))
+        ok = np.flatnonzero((n[i] > 0) & (right >= precision * of))
+        model.thresholds[k] = float(LEVELS[ok[0]]) if len(ok) else 2.0
+    return model
 
 
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -89,6 +89,21 @@ def test_disguised_personal_data(documents):
     assert pii.find(documents([])).count() == 0 and pii.redact(documents([])).count() == 0
 
 
+def test_rare_kinds_get_a_threshold(documents):
+    cards = [(100_000 + i, t) for i, t in personal(60)]
+    docs = documents([(i, f"u{i}.x@mail{i % 5}.example.com wrote at 12:{i % 50 + 10}") for i in range(30_000)] + cards)
+    model = pii.fit(docs)
+    assert all(x < 1 for x in model.thresholds.values())
+    found = pii.find(documents([(1, "pay 4111.1111.1111.1111 or call"), (2, "and host 10[.]1[.]7[.]9 then")]), model)
+    assert {x["doc_id"]: x["spans"].partition(":")[2] for x in found.collect()} == {1: "4:23", 2: "9:23"}
+
+
+def test_all_matches_of_a_document_are_examples():
+    text = " then ".join(f"u{i}@mail.example.com" for i in range(30))
+    disguised = {t[s:e] for t, s, e, _, good in pii.examples(text, 0) if good and "[at]" in t[s:e]}
+    assert any("u29 [at]" in x for x in disguised)
+
+
 @pytest.fixture
 def judged(spark, documents):
     r = random.Random(11)
