@@ -316,3 +316,22 @@ def test_streams(spark, tmp_path):
     counts = collect(online.window_counts(stream()), "counts", "complete")
     assert sum(r[3] for r in counts) == 6
     assert [r[3] for r in collect(online.sessions(stream()), "stretches", "complete")] == [6]
+
+
+def test_pairwise_criteria_read_all_samples(spark):
+    x = np.random.default_rng(5).normal(size=(2100, 5))
+    state = np.arange(2100) % 3
+    rows = spark.createDataFrame([(i, int(state[i]), v.tolist()) for i, v in enumerate(x)], "sample_ix long, state int, topo array<double>")
+    u = x - x.mean(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    d = 1 - np.minimum(np.abs(u @ u.T), 1)
+    want = sum((d[np.ix_(state == s, state == s)] ** 2).sum() / (2 * (state == s).sum()) for s in range(3))
+    assert abs(cluster.within_dispersion(rows).first()["value"] - want) < 1e-6 * want
+    assert cluster.within_dispersion(rows, cap=100).first()["value"] < want / 10
+    same, other = state[:, None] == state[None], ~np.eye(2100, dtype=bool)
+    assert abs(cluster.dunn(rows).first()["value"] - d[~same].min() / d[same & other].max()) < 1e-9
+    m = np.stack([(d * other)[:, state == s].sum(axis=1) / ((state == s).sum() - (state == s)) for s in range(3)], axis=1)
+    a = m[np.arange(2100), state]
+    m[np.arange(2100), state] = np.inf
+    b = m.min(axis=1)
+    assert abs(cluster.silhouette(rows).first()["value"] - ((b - a) / np.maximum(a, b)).mean()) < 1e-9
