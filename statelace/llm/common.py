@@ -25,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Whether the shuffle files of a query go as soon as it ends; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage or to compute a step once."""
 
@@ -32,8 +36,14 @@ class Scratch:
         self.spark, self.base = spark, f"{shared_dir(spark)}/scratch"
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
+        """A table of ``df``'s rows; the shuffles that made them leave no files."""
         path = f"{self.base}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

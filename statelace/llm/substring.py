@@ -10,19 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .superkmer import FREQUENT, Words, covered, first_occurrences, identified, packed_windows, squeezed
+from .common import Scratch, table
+from .superkmer import FREQUENT, Words, candidates, covered, identified, repeated_spans, runs_of, segments, squeezed
 
 WINDOW = 20
-GRAM = 4
+GRAM = 6
 
 
 def repeated_word_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
     """(doc, rid, spans): runs (start, n) of windows that start earlier too, for ``identified`` rows that have some."""
-    packed = packed_windows(rows, Words(), window, gram, frequent, merge=True)
-    runs, short = first_occurrences(packed, Words(), window)
-    again = runs.where("doc <> ref_doc or rid <> ref_rid or start <> ref_start").select("doc", "rid", "start", "n")
-    again = again.union(short.select("doc", "rid", "start", "n"))
+    scratch = Scratch(rows.sparkSession)
+    found = candidates(rows, Words(), window, gram)
+    parts = scratch.write(segments(rows, found, Words(), window), "segments")
+    again = repeated_spans(parts, Words(), window, gram, frequent)
+    scratch.drop(parts)
     return again.groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
@@ -48,8 +49,7 @@ def remove_repeated_words(
                 words = unpack(z.as_py()).split()
                 kept = words
                 if spans.is_valid:
-                    s = spans.values
-                    lo, hi = covered(s.field("start").to_numpy().astype(np.int64), s.field("n").to_numpy().astype(np.int64), window)
+                    lo, hi = covered(*runs_of(spans), window)
                     gone = np.zeros(len(words) + 1, np.int64)
                     gone[lo] += 1
                     gone[hi] -= 1

@@ -1,13 +1,15 @@
 """Repeated byte strings of documents: every byte under a string that also starts earlier is removed.
 
-Prefix doubling gives each byte position a rank that is equal where the following bytes are equal. Here the rank
-of a position is the first place where its string starts, so ranks of copied passages run in step with their
-positions and are kept as runs, not as a row per byte. A first round ranks anchors alone, one short string in each
-window of the threshold's length, chosen by content: windows whose anchor is unique are out. The next rank covers half
-the threshold and comes from sorting packed strings; positions that are unique by then are out, too. The doubling step pairs a position's rank with
-the rank at the offset of that length: pairs that run on in the same earlier place are settled at once, all others
-are sorted by Spark as (rank, rank at offset) pairs, and the first position of each pair is the new rank. That is
-past the threshold.
+Prefix doubling over anchors. An anchor is the start of the 16-byte string with the least hash in a window of the
+threshold's length, so copies of a passage have the same anchors, one in some 37 bytes. The bytes from an anchor to
+the end of the next one are its phrase. A position's first rank is the earliest place known to have the same phrase.
+In each round Spark sorts the pairs of ranks at an offset that doubles (1, 2, 4 ... phrases) and ranks the pairs anew,
+until a position is unique or its phrases reach past the threshold. Ranks are places, so those of copied passages run
+in step with their positions and travel as runs; pairs that go on in step are equal to the earlier place without being sorted.
+
+Whatever windows lie in ranked spans start earlier, too. What the rounds leave open are the first copies and the windows
+at the ends of repeats, between two anchors: of these, the ones whose anchor occurs more than once are compared byte by
+byte as packed strings. A phrase is known by its first 16 bytes' hash and a 64-bit hash of all its bytes.
 """
 
 from __future__ import annotations
@@ -21,80 +23,304 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .superkmer import FREQUENT, Bytes, covered, first_occurrences, identified, packed_windows, segments, squeezed
+from .superkmer import (
+    FREQUENT, PLACES, Bytes, batch, combined, covered, identified, looking_ahead, mix, pieces, repeated_keys, repeated_spans, runs_of,
+    segments, sliced, spread, squeezed, super_kmers,
+)
 
 LENGTH = 100
-#: Length of the minimisers of packed strings; shorter ones are so common that their keys go out window by window.
+#: Length of the anchors.
 GRAM = 16
-#: Length of the anchors that find the positions worth ranking.
-ANCHOR = 16
 
-PAIRS = "doc long, rid long, start int, n int, d1 long, r1 long, s1 int, d2 long, r2 long, s2 int"
+ANCHORS = (
+    "part long, key long, phrase long, doc long, rid long, i int, start int, n int, at int, sure boolean, many boolean, "
+    "ref_doc long, ref_rid long, ref_i int"
+)
+RANKED = "doc long, rid long, key long, i int, start int, n int, at int, ref_doc long, ref_rid long, ref_i int"
+AT = "struct<key: bigint, i: int, start: int, n: int, at: int>"
+RUN = "struct<i: int, n: int, ref_doc: bigint, ref_rid: bigint, ref_i: int>"
+PAIRS = "doc long, rid long, need int, i int, n int, d1 long, r1 long, i1 int, d2 long, r2 long, i2 int"
+
+
+def anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Rows of ANCHORS of ``identified`` documents: anchors with their windows and the hash of their phrase.
+
+    Of equal phrases in a map task one goes out; the others name it as their rank and are spread by place. Rows are
+    dealt by their key; those of a key that the task meets twice are known to be repeated and dealt by phrase, too,
+    while one row with n = 0 tells other tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        ahead = 0  # anchors of the last text so far, where its next part comes first in the next piece
+        for texts, doc, rid, at0 in pieces(batches, Bytes(), length):
+            key, of, least, s, n, pack, before = super_kmers(Bytes(), texts, length, gram)
+            if not len(key):
+                continue
+            d, r = doc[of], rid[of]
+            start, at = s - before[of] + at0[of], least - before[of] + at0[of]
+            head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            i = np.arange(len(of)) - np.repeat(head, np.diff(np.append(head, len(of))))
+            if at0[0]:
+                i[of == 0] += ahead
+            ahead = i[-1] + 1
+
+            lone = spread(d, r, start)
+            phrase = lone.copy()  # a text's last anchor has no phrase
+            on = np.flatnonzero(of[1:] == of[:-1])
+            phrase[on] = np.fromiter(map(xxh3_64_intdigest, pack(least[on], least[on + 1] + gram)), np.uint64, len(on)).view(np.int64)
+
+            order = np.lexsort((i, r, d, phrase, key))
+            new_key = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+            new = new_key | np.concatenate([[True], phrase[order][1:] != phrase[order][:-1]])
+            lead = np.empty(len(key), np.int64)
+            lead[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            follows = lead != np.arange(len(key))
+            many, sure = np.zeros(len(key), bool), np.zeros(len(key), bool)
+            many[lead[follows]] = True
+            met = np.diff(np.append(np.flatnonzero(new_key), len(key)))
+            sure[order] = np.repeat(met > 1, met)
+            part = np.where(follows, lone, np.where(sure, mix(mix(key.view(np.uint64)) ^ phrase.view(np.uint64)).view(np.int64), key))
+            refs = [pa.array(c[lead], t, mask=~follows) for c, t in ((d, pa.int64()), (r, pa.int64()), (i.astype(np.int32), pa.int32()))]
+            cols = [key, phrase, d, r, i.astype(np.int32), start.astype(np.int32), n.astype(np.int32), at.astype(np.int32), sure, many]
+            yield from sliced(batch(ANCHORS, part, *cols, *refs), 50_000)
+            tell = order[new_key][met > 1]
+            cols[6] = np.zeros(len(key), np.int32)
+            none = [pa.nulls(len(tell), t) for t in (pa.int64(), pa.int64(), pa.int32())]
+            yield from sliced(batch(ANCHORS, key[tell], *(c[tell] for c in cols), *none), 50_000)
+
+    return rows.mapInArrow(run, ANCHORS)
+
+
+def first_ranks(found: DataFrame) -> DataFrame:
+    """RANKED anchors whose key occurs more than once; the rank is null where the phrase is unique."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, first = None, ()  # dealing key and phrase of the row before the batch, and the place of the first row like it
+        for b, done in looking_ahead(batches):
+            part, phrase = b.column("part").to_numpy(), b.column("phrase").to_numpy()
+            next_key = part[1:] == part[:-1]
+            next_like = next_key & (phrase[1:] == phrase[:-1])
+            on_key = before is not None and before[0] == part[0]
+            on = on_key and before[1] == phrase[0]
+            sure, many = (b.column(c).to_numpy(zero_copy_only=False) for c in ("sure", "many"))
+            follows = b.column("ref_doc").is_valid().to_numpy(zero_copy_only=False)
+            repeated = sure | follows | np.concatenate([[on_key], next_key]) | np.append(next_key, False)
+            ranked = many | follows | np.concatenate([[on], next_like]) | np.append(next_like, False)
+            head = np.flatnonzero(np.concatenate([[True], ~next_like]))
+            lead = np.repeat(head, np.diff(np.append(head, len(part))))
+            refs, places = [], []
+            for j, c in enumerate(("doc", "rid", "i")):
+                place = b.column(c).to_numpy()[lead]
+                if on:
+                    place = np.where(lead == 0, first[j], place)
+                places.append(place)
+                given = b.column(f"ref_{c}")
+                refs.append(pa.array(np.where(follows, given.fill_null(0).to_numpy(), place).astype(place.dtype), given.type, mask=~ranked))
+            keep = repeated & (b.column("n").to_numpy() > 0)
+            keep[-1] &= done
+            if keep.any():
+                yield batch(RANKED, *(b.column(c) for c in ("doc", "rid", "key", "i", "start", "n", "at")), *refs).filter(pa.array(keep))
+            if len(part) > 1:
+                before, first = (part[-2], phrase[-2]), tuple(p[-2] for p in places)
+
+    order = ["part", "phrase", "doc", "rid", "i"]
+    return found.repartition("part").sortWithinPartitions(*order).mapInArrow(run, RANKED)
+
+
+class Lists:
+    """Rows of documents' lists of structs, flat: ``of`` numbers the document of each, fields are arrays."""
+
+    def __init__(self, column: pa.Array, *fields: str):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        size = np.diff(column.offsets.to_numpy().astype(np.int64))
+        values = column.flatten()
+        self.of = np.repeat(np.arange(len(size)), size if column.null_count == 0 else np.where(column.is_valid().to_numpy(zero_copy_only=False), size, 0))
+        self.valid = {f: values.field(f).is_valid().to_numpy(zero_copy_only=False) for f in fields}
+        self.at = {f: values.field(f).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields}
+
+    def __getitem__(self, field: str) -> np.ndarray:
+        return self.at[field]
+
+    def take(self, keep: np.ndarray) -> Lists:
+        out = object.__new__(Lists)
+        out.of, out.at, out.valid = self.of[keep], {f: x[keep] for f, x in self.at.items()}, {f: x[keep] for f, x in self.valid.items()}
+        return out
+
+
+def listed(of: np.ndarray, docs: int, kind: str, **fields: np.ndarray) -> pa.Array:
+    """The reverse: lists of structs from flat rows that are in order of ``of``."""
+    types = {"bigint": pa.int64(), "int": pa.int32()}
+    kinds = {x.split(": ")[0]: types[x.split(": ")[1]] for x in kind[7:-1].split(", ")}
+    structs = pa.StructArray.from_arrays([pa.array(fields[f].astype(t.to_pandas_dtype())) for f, t in kinds.items()], list(kinds))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(docs + 1)).astype(np.int32)), structs)
 
 
-def first_ranks(rows: DataFrame, half: int, gram: int, frequent: int) -> DataFrame:
-    """RUNS of positions whose next ``half`` bytes occur more than once: the rank is (ref_doc, ref_rid, ref_start)."""
-    packed = packed_windows(rows, Bytes(), half, gram, frequent)
-    runs, short = first_occurrences(packed, Bytes(), half)
-    of = runs.selectExpr("doc first_doc", "rid first_rid", "owner first_start", "start - owner as shift", "n as run", "ref_doc", "ref_rid", "ref_start")
-    copies = short.drop("n").join(of, ["first_doc", "first_rid", "first_start"])
-    copies = copies.select("doc", "rid", (F.col("start") + F.col("shift")).alias("start"), F.col("run").alias("n"), "ref_doc", "ref_rid", "ref_start")
-    return runs.drop("owner").union(copies)
+def _wide(of: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Places of different documents in one line."""
+    return (of << 33) + i
 
 
-def double(ranks: DataFrame, half: int) -> DataFrame:
-    """Rows of PAIRS for runs of positions that have a rank at ``half`` bytes on, too.
+def in_step(of: np.ndarray, i: np.ndarray, n: np.ndarray, d: np.ndarray, r: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs in order, those that go on in step as one."""
+    if not len(of):
+        return of, i, n, d, r, ref
+    go = (of[1:] == of[:-1]) & (i[1:] == i[:-1] + n[:-1]) & (d[1:] == d[:-1]) & (r[1:] == r[:-1]) & (ref[1:] == ref[:-1] + n[:-1])
+    at = np.flatnonzero(np.concatenate([[True], ~go]))
+    return of[at], i[at], np.add.reduceat(n, at), d[at], r[at], ref[at]
 
-    d2 is null where the second rank just goes on from the first: such a position repeats the earlier one.
-    Position runs are joined inside their document, so a row here holds one document's runs.
+
+def by_document(ranked: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc, rid, need, anchors, runs): each document's repeated anchors, the ranks of their phrases as runs, and the
+    most phrases that any of its positions needs to reach past ``length``."""
+    grouped = ranked.groupBy("doc", "rid").agg(F.collect_list(F.struct("key", "i", "start", "n", "at", "ref_doc", "ref_rid", "ref_i")).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = Lists(b.column("rows"), "key", "i", "start", "n", "at", "ref_doc", "ref_rid", "ref_i")
+            x = x.take(np.lexsort((x["i"], x.of)))
+            x = x.take(np.concatenate([[True], (x.of[1:] != x.of[:-1]) | (x["i"][1:] != x["i"][:-1])])) if len(x.of) else x  # equal rows are one document
+            place, ranks = _wide(x.of, x["i"]), x.valid["ref_doc"]
+            # phrases in a row from each position on, and phrases up to the bytes it needs
+            chain = np.zeros(len(place), np.int64)
+            stop = np.flatnonzero(~ranks | np.append(np.diff(place) != 1, True))
+            chain = stop[np.searchsorted(stop, np.arange(len(place)))] - np.arange(len(place)) if len(place) else chain
+            reach = _wide(x.of, x["at"] + gram)
+            after = np.append(reach[1:], reach[-1:]) - gram + length - 1
+            most = np.maximum(np.minimum(np.searchsorted(reach, after) - np.arange(len(place)), chain), 1)
+            need = np.zeros(b.num_rows, np.int64)
+            np.maximum.at(need, x.of, most)
+            y = x.take(ranks)
+            of, i, n, d, r, ref = in_step(y.of, y["i"], np.ones(len(y.of), np.int64), y["ref_doc"], y["ref_rid"], y["ref_i"])
+            anchor = listed(x.of, b.num_rows, AT, **{f: x[f] for f in ("key", "i", "start", "n", "at")})
+            runs = listed(of, b.num_rows, RUN, i=i, n=n, ref_doc=d, ref_rid=r, ref_i=ref)
+            yield pa.record_batch([b.column("doc"), b.column("rid"), pa.array(need.astype(np.int32)), anchor, runs], ["doc", "rid", "need", "anchors", "runs"])
+
+    return grouped.mapInArrow(run, f"doc long, rid long, need int, anchors array<{AT}>, runs array<{RUN}>")
+
+
+def double(ranks: DataFrame, offset: int) -> DataFrame:
+    """Rows of PAIRS for runs of positions that have a rank ``offset`` phrases on, too; d2 is null where that goes on
+    in step with the first, so that the pair is equal to the one at the earlier place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = Lists(b.column("runs"), "i", "n", "ref_doc", "ref_rid", "ref_i")
+            x = x.take(np.lexsort((x["i"], x.of)))
+            of, i, n, d, r, ref = in_step(x.of, x["i"], x["n"], x["ref_doc"], x["ref_rid"], x["ref_i"])
+            s = _wide(of, i)
+            # overlaps of runs with runs moved back by the offset
+            lo, hi = np.searchsorted(s + n, s + offset, "right"), np.searchsorted(s, s + n + offset, "left")
+            many = np.maximum(hi - lo, 0)
+            a = np.repeat(np.arange(len(s)), many)
+            c = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + lo[a]
+            begin, end = np.maximum(s[a], s[c] - offset), np.minimum(s[a] + n[a], s[c] + n[c] - offset)
+            first, second = ref[a] + begin - s[a], ref[c] + begin + offset - s[c]
+            on = (d[a] == d[c]) & (r[a] == r[c]) & (second == first + offset)
+            keep = begin < end
+            a, c, begin, end, first, second, on = (v[keep] for v in (a, c, begin, end, first, second, on))
+            doc, rid, need = (b.column(name).to_numpy()[of[a]] for name in ("doc", "rid", "need"))
+            place = (begin - _wide(of[a], 0)).astype(np.int32)
+            yield batch(PAIRS, doc, rid, need, place, (end - begin).astype(np.int32), d[a], r[a], first.astype(np.int32), pa.array(d[c], mask=on), r[c], second.astype(np.int32))
+
+    return ranks.mapInArrow(run, PAIRS)
+
+
+def rerank(pairs: DataFrame) -> DataFrame:
+    """(doc, rid, need, i, n, ref_doc, ref_rid, ref_i): the rank of a pair is the first place that has it; unique pairs have none.
+
+    Minima are combined before the shuffle, and only pairs that occur twice meet their positions.
     """
-    by_doc = ranks.groupBy("doc", "rid").agg(F.sort_array(F.collect_list(F.struct("start", "n", "ref_doc", "ref_rid", "ref_start"))).alias("runs"))
+    going = pairs.where("d2 is null").selectExpr("doc", "rid", "need", "i", "n", "d1 ref_doc", "r1 ref_rid", "i1 ref_i")
+    each = pairs.where("d2 is not null").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    each = each.selectExpr("doc", "rid", "need", "i + j as i", "d1", "r1", "i1 + j as i1", "d2", "r2", "i2 + j as i2")
+    pair = ["d1", "r1", "i1", "d2", "r2", "i2"]
+    least = each.groupBy(*pair).agg(F.min(F.struct("doc", "rid", "i")).alias("first"), F.count("*").alias("many")).where("many > 1")
+    new = each.join(least, pair).selectExpr("doc", "rid", "need", "i", "1 as n", "first.doc ref_doc", "first.rid ref_rid", "first.i ref_i")
+    return going.unionByName(new)
+
+
+def settle(documents: DataFrame, ranks: list[tuple[int, DataFrame]], length: int, gram: int) -> DataFrame:
+    """(doc, rid, settled, open): windows (start, n) in ranked spans, whose earlier place is known, and the anchors
+    (key, start, n) with other windows."""
+    spans = None
+    for phrases, of in ranks:
+        repeats = of.where("doc <> ref_doc or rid <> ref_rid or i <> ref_i").select("doc", "rid", "i", "n", F.lit(phrases).alias("phrases"))
+        spans = repeats if spans is None else spans.unionByName(repeats)
+    if spans is None:
+        met = documents.withColumn("spans", F.expr("cast(null as array<struct<i: int, n: int, phrases: int>>)"))
+    else:
+        spans = spans.groupBy(F.col("doc").alias("d"), F.col("rid").alias("r")).agg(F.collect_list(F.struct("i", "n", "phrases")).alias("spans"))
+        met = documents.join(spans, (F.col("doc") == F.col("d")) & (F.col("rid") == F.col("r")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            outs = []
-            for doc, rid, runs in zip(b.column("doc").to_pylist(), b.column("rid").to_pylist(), b.column("runs")):
-                s, n, d, r, ref = (runs.values.field(c).to_numpy().astype(np.int64) for c in ("start", "n", "ref_doc", "ref_rid", "ref_start"))
-                # runs that go on in step are one
-                go = (s[1:] == s[:-1] + n[:-1]) & (d[1:] == d[:-1]) & (r[1:] == r[:-1]) & (ref[1:] == ref[:-1] + n[:-1])
-                at = np.flatnonzero(np.concatenate([[True], ~go]))
-                n = np.add.reduceat(n, at)
-                s, d, r, ref = s[at], d[at], r[at], ref[at]
-                # overlaps of runs with runs moved back by half
-                lo = np.searchsorted(s + n, s + half, "right")
-                hi = np.searchsorted(s, s + n + half, "left")
-                many = np.maximum(hi - lo, 0)
-                a = np.repeat(np.arange(len(s)), many)
-                c = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + lo[a]
-                begin, end = np.maximum(s[a], s[c] - half), np.minimum(s[a] + n[a], s[c] + n[c] - half)
-                first, second = ref[a] + begin - s[a], ref[c] + begin + half - s[c]
-                on = (d[a] == d[c]) & (r[a] == r[c]) & (second == first + half)
-                own = (d[a] == doc) & (r[a] == rid) & (first == begin)
-                keep = (begin < end) & ~(on & own)
-                outs.append((np.full(len(a), doc)[keep], np.full(len(a), rid)[keep], begin[keep], (end - begin)[keep], d[a][keep], r[a][keep], first[keep], d[c][keep], r[c][keep], second[keep], on[keep]))
-            cols = [np.concatenate(x) for x in zip(*outs)]
-            on = cols.pop()
-            names = [x.split() for x in PAIRS.split(", ")]
-            kind = {"long": pa.int64(), "int": pa.int32()}
-            yield pa.record_batch({name: pa.array(x, kind[t], mask=on if name == "d2" else None) for (name, t), x in zip(names, cols)})
-
-    return by_doc.mapInArrow(run, PAIRS)
+            x, one, more = Lists(b.column("anchors"), "key", "i", "start", "n", "at"), Lists(b.column("runs"), "i", "n", "ref_doc", "ref_rid", "ref_i"), Lists(b.column("spans"), "i", "n", "phrases")
+            doc, rid = (b.column(c).to_numpy() for c in ("doc", "rid"))
+            own = (one["ref_doc"] == doc[one.of]) & (one["ref_rid"] == rid[one.of]) & (one["ref_i"] == one["i"])
+            one = one.take(~own)
+            of, i, n = (np.concatenate([p, q]) for p, q in ((one.of, more.of), (one["i"], more["i"]), (one["n"], more["n"])))
+            phrases = np.concatenate([np.ones(len(one.of), np.int64), more["phrases"]])
+            each = np.repeat(np.arange(len(n)), n)
+            i = i[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            place = _wide(x.of, x["i"])
+            first, last = (np.searchsorted(place, _wide(of[each], v)) for v in (i, i + phrases[each]))
+            lo, hi = _wide(of[each], x["at"][first]), _wide(of[each], x["at"][last] + gram - length + 1)
+            good = hi > lo
+            lo, hi = covered(lo[good], (hi - lo)[good], 1)
+            # an anchor's windows without settled ones at both ends
+            a = _wide(x.of, x["start"])
+            e = a + x["n"]
+            if len(lo):
+                j = np.searchsorted(lo, a, "right") - 1
+                a = np.where(j >= 0, np.maximum(a, hi[j]), a)
+                j = np.searchsorted(lo, e, "left") - 1
+                e = np.where((j >= 0) & (hi[j] >= e), np.minimum(e, lo[j]), e)
+            left = a < e
+            of = lo >> 33
+            settled = listed(of, b.num_rows, "struct<start: int, n: int>", start=lo - (of << 33), n=hi - lo)
+            rest = listed(x.of[left], b.num_rows, "struct<key: bigint, start: int, n: int>", key=x["key"][left], start=(a - _wide(x.of, 0))[left], n=(e - a)[left])
+            yield pa.record_batch([b.column("doc"), b.column("rid"), settled, rest], ["doc", "rid", "settled", "open"])
+
+    ddl = "doc long, rid long, settled array<struct<start: int, n: int>>, open array<struct<key: bigint, start: int, n: int>>"
+    return met.select("doc", "rid", "anchors", "runs", "spans").mapInArrow(run, ddl)
+
+
+def open_places(settled: DataFrame) -> DataFrame:
+    """PLACES of the anchors that still have windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = Lists(b.column("open"), "key", "start", "n")
+            if len(x.of):
+                doc, rid = (b.column(c).to_numpy()[x.of] for c in ("doc", "rid"))
+                yield from sliced(combined(x["key"], doc, rid, x["start"], x["n"]), 50_000)
+
+    return settled.select("doc", "rid", "open").mapInArrow(run, PLACES)
 
 
 def repeated_byte_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
-    """(doc, rid, spans): runs (start, n) of positions whose next ``length`` bytes start earlier too. ``length`` is even."""
-    half = length // 2
-    anchor = min(ANCHOR, half)
-    parts = Scratch(rows.sparkSession).write(segments(rows, Bytes(), length, anchor), "segments")
-    ranks = first_ranks(parts, half, gram, frequent)
-    pairs = Scratch(rows.sparkSession).write(double(ranks, half), "pairs")
-    settled = pairs.where("d2 is null").select("doc", "rid", "start", "n")
-    each = pairs.where("d2 is not null").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    each = each.selectExpr("doc", "rid", "start + i as start", "d1", "r1", "s1 + i as s1", "d2", "r2", "s2 + i as s2")
-    pair = ["d1", "r1", "s1", "d2", "r2", "s2"]
-    least = each.groupBy(*pair).agg(F.min(F.struct("doc", "rid", "start")).alias("first"))
-    later = each.join(least, pair).where(F.struct("doc", "rid", "start") != F.col("first"))
-    again = settled.union(later.select("doc", "rid", "start", F.lit(1).alias("n")))
+    """(doc, rid, spans): runs (start, n) of positions whose next ``length`` bytes start earlier too."""
+    gram = min(gram, length)
+    scratch = Scratch(rows.sparkSession)
+    documents = scratch.write(by_document(first_ranks(anchors(rows, length, gram)), length, gram), "anchors")
+    most = documents.agg(F.max("need")).first()[0] or 1
+    ranks: list[tuple[int, DataFrame]] = []
+    now, phrases = documents.select("doc", "rid", "need", "runs"), 1
+    while phrases < most:
+        pairs = scratch.write(double(now.where(F.col("need") > phrases), phrases), "pairs")
+        phrases *= 2
+        ranks.append((phrases, scratch.write(rerank(pairs), "ranks")))
+        scratch.drop(pairs)
+        runs = F.collect_list(F.struct("i", "n", "ref_doc", "ref_rid", "ref_i")).alias("runs")
+        now = ranks[-1][1].where(F.col("need") > phrases).groupBy("doc", "rid", "need").agg(runs)
+    settled = scratch.write(settle(documents, ranks, length, gram), "settled")
+    scratch.drop(documents, *(of for _, of in ranks))
+    parts = scratch.write(segments(rows, repeated_keys(open_places(settled)), Bytes(), length), "segments")
+    again = repeated_spans(parts, Bytes(), length, gram, frequent)
+    scratch.drop(parts)
+    again = again.unionByName(settled.select("doc", "rid", F.explode("settled").alias("s")).select("doc", "rid", "s.*"))
     return again.groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
@@ -118,8 +344,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
                 data = unpack(z.as_py())
                 kept, n_spans = data, 0
                 if spans.is_valid:
-                    s = spans.values
-                    lo, hi = covered(s.field("start").to_numpy().astype(np.int64), s.field("n").to_numpy().astype(np.int64), length)
+                    lo, hi = covered(*runs_of(spans), length)
                     n_spans, edges = len(lo), [0, *np.stack([lo, hi], axis=1).ravel().tolist(), len(data)]
                     kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2]))
                 out.append((len(data), len(data) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept))

@@ -3,16 +3,20 @@
 A window is k consecutive symbols (words or bytes) of one document. Its minimiser is the leftmost of its
 m-grams with the least hash, so equal windows have equal minimisers at equal places. Consecutive windows that
 share one minimiser travel as one packed string, keyed by that m-gram; rows of one key hold all copies of their
-windows, and sorting them there finds each window's first occurrence. Copies of a packed string inside one map
-task don't travel: a short row names the first of them instead. Keys that hold too many packed strings are sent
-window by window under the window's own hash, which spreads them.
+windows, and sorting them there finds the windows that start earlier, too. Copies of a packed string inside one
+map task don't travel: a short row reports them at once.
+
+Only keys that occur more than once are worth packed strings, so keys and places alone are shuffled before.
+Keys with many different packed strings are sent window by window under the window's own hash, which spreads them:
+the most frequent of them before the shuffle, and any other key as soon as a task meets more than ``FREQUENT`` rows of it.
 
 Documents are ordered by doc_id (null first), then, where a doc_id occurs more than once, by a hash of the text;
-rows equal in both are one document.
+rows equal in both are one document. Long texts are cut into parts of ``PIECE`` bytes that share k - 1 symbols.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,14 +28,18 @@ from .common import Scratch
 
 #: Bytes of text that a map task works on at a time.
 PIECE = 3 << 20
-#: A key is sent window by window if it holds more packed strings than this and than a 2000th of all.
+#: Packed strings of one key that a task lists at most; more are sent window by window.
 FREQUENT = 2_000
+#: Keys that are known as frequent before the shuffle, at most: their list goes to all tasks.
+HOT_KEYS = 100_000
 
-PACKED = "key long, doc long, rid long, start int, n int, many boolean, packed binary, first_doc long, first_rid long, first_start int"
-RUNS = "doc long, rid long, start int, n int, ref_doc long, ref_rid long, ref_start int"
+PLACES = "key long, doc long, rid long, start int, n int, sure boolean"
+PACKED = "key long, doc long, rid long, start int, n int, packed binary"
+RUNS = "doc long, rid long, start int, n int"
+SPACES = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))
@@ -39,7 +47,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_HASH = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def gram_hashes(x: np.ndarray, m: int) -> np.ndarray:
@@ -58,7 +66,7 @@ def gram_hashes(x: np.ndarray, m: int) -> np.ndarray:
         if m:
             span = span[:-size] * np.uint64(pow(base, size, 1 << 64)) + span[size:]
             size *= 2
-    return _mix(out)
+    return mix(out)
 
 
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
@@ -76,6 +84,11 @@ def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
 class Bytes:
     """Texts as UTF-8 bytes."""
 
+    def slices(self, text: bytes, k: int, size: int) -> Iterator[tuple[int, bytes]]:
+        """Parts of a text and where they begin; each window of k symbols lies in one part alone."""
+        for at in range(0, max(len(text) - k + 1, 1), size):
+            yield at, text[at : at + size + k - 1]
+
     def piece(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable]:
         """Symbol hashes, the symbols of each text, and what packs symbols [s, e)."""
         joined = b"".join(texts)
@@ -85,10 +98,27 @@ class Bytes:
     def windows(self, packed: bytes, n: int, k: int) -> list[bytes]:
         return [packed[j : j + k] for j in range(n)]
 
+    def cut(self, text: bytes, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+        """Symbols [lo, hi) of a text for every pair."""
+        return [text[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
+
 
 class Words:
     """Texts as words between ASCII white space."""
 
+    def slices(self, text: bytes, k: int, size: int) -> Iterator[tuple[int, bytes]]:
+        begin, seen, tail = 0, 0, []
+        while begin < len(text):
+            space = SPACES.search(text, begin + size)
+            end = space.start() if space else len(text)
+            part = text[begin:end]
+            yield seen - len(tail), b" ".join([*tail, part])
+            begin = end
+            if begin < len(text):
+                words = part.split()
+                seen += len(words)
+                tail = (tail + words)[-(k - 1) :] if k > 1 else []
+
     def piece(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable]:
         from xxhash import xxh64_intdigest
 
@@ -111,29 +141,40 @@ class Words:
         words = packed.split(b" ")
         return [b" ".join(words[j : j + k]) for j in range(n)]
 
+    def cut(self, text: bytes, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+        words = text.split()
+        return [b" ".join(words[x:y]) for x, y in zip(lo.tolist(), hi.tolist())]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], unit, k: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts, or parts of long ones, of PIECE bytes or a little more, with doc, rid and at of each."""
+    texts, names, size = [], [], 0
+
+    def out():
+        doc, rid, at = np.array(names, np.int64).reshape(-1, 3).T
+        return texts, doc, rid, at
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts of PIECE bytes or a little more, with doc, rid and at of each."""
     for b in batches:
-        texts, size, begin = [], 0, 0
-        doc, rid, at = (b.column(c).to_numpy() for c in ("doc", "rid", "at"))
-        for i, t in enumerate(b.column("text")):
-            t = t.as_py() or b""
-            texts.append(t.encode() if isinstance(t, str) else t)
-            size += len(texts[-1])
-            if size >= PIECE:
-                yield texts, doc[begin : i + 1], rid[begin : i + 1], at[begin : i + 1]
-                texts, size, begin = [], 0, i + 1
-        if texts:
-            yield texts, doc[begin:], rid[begin:], at[begin:]
-
-
-def _runs(unit, texts: list[bytes], k: int, m: int):
-    """Super-k-mers of some texts: key, text, first window and number of windows of each; the packer; symbols before each text."""
+        for text, doc, rid, at in zip(b.column("text"), *(b.column(c).to_pylist() for c in ("doc", "rid", "at"))):
+            t = text.as_py() or b""
+            for o, part in unit.slices(t.encode() if isinstance(t, str) else t, k, PIECE):
+                texts.append(part)
+                names.append((doc, rid, at + o))
+                size += len(part)
+                if size >= PIECE:
+                    yield out()
+                    texts, names, size = [], [], 0
+    if texts:
+        yield out()
+
+
+def super_kmers(unit, texts: list[bytes], k: int, m: int):
+    """Super-k-mers of some texts: key, text, minimiser, first window and number of windows of each; the packer; symbols before each text."""
     hashes, n, pack = unit.piece(texts)
     before = np.cumsum(n) - n
     if len(hashes) < k:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), pack, before
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none, pack, before
     grams = gram_hashes(hashes, m)
     least = sliding_argmin(grams, k - m + 1)
     ok = np.zeros(len(least) + 1, np.int8)  # 1 where a window starts, as every window lies in one text
@@ -145,31 +186,28 @@ def _runs(unit, texts: list[bytes], k: int, m: int):
     first = ok & np.concatenate([[True], new | ~ok[:-1]])
     last = ok & np.concatenate([new | ~ok[1:], [True]])
     s, e = np.flatnonzero(first), np.flatnonzero(last)
-    return grams[least[s]], np.searchsorted(before, s, "right") - 1, s, e - s + 1, pack, before
+    return grams[least[s]].view(np.int64), np.searchsorted(before, s, "right") - 1, least[s].astype(np.int64), s, e - s + 1, pack, before
 
 
-def _frequent(docs: DataFrame, unit, k: int, m: int, least: int) -> list[int]:
-    """Keys with many packed strings: over ``least``, and over a 2000th of all, hence 2000 keys at most.
+def spread(doc: np.ndarray, rid: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Keys that deal rows by their place."""
+    return mix(mix(doc.view(np.uint64) ^ rid.view(np.uint64)) + start.astype(np.uint64)).view(np.int64)
 
-    A map task reports keys that it meets often; a key over that share can't stay below that in all tasks.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, *_ in _pieces(batches):
-            key = _runs(unit, texts, k, m)[0]
-            keys, n = np.unique(key.view(np.int64), return_counts=True)
-            often = n >= 4
-            keys, n = np.append(keys[often], 0), np.append(n[often], len(key))
-            total = np.append(np.zeros(often.sum(), bool), True)
-            yield pa.record_batch({"key": keys, "n": n, "total": total})
-
-    found = docs.mapInArrow(run, "key long, n long, total boolean").groupBy("key", "total").agg(F.sum("n").alias("n"))
-    found = Scratch(docs.sparkSession).write(found.where(F.col("total") | (F.col("n") > least)), "frequent")
-    total = found.where("total").first()
-    if total is None:
-        return []
-    top = found.where(~F.col("total") & (F.col("n") > max(least, total["n"] // 2000)))
-    return [r["key"] for r in top.select("key").collect()]
+def schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.schema([(a, kinds[b]) for a, b in (x.split() for x in ddl.split(", "))])
+
+
+def batch(ddl: str, *cols) -> pa.RecordBatch:
+    """A batch of the columns in ``ddl``."""
+    fields = schema(ddl)
+    return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, fields)], schema=fields)
+
+
+def sliced(rows: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    for i in range(0, rows.num_rows, size):
+        yield rows.slice(i, size)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -195,276 +233,291 @@ def squeezed(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "rid", "text").mapInArrow(run, "doc long, rid long, z binary")
 
 
-def candidates(rows: DataFrame, unit, k: int, m: int) -> DataFrame:
-    """(doc, rid, start, n): super-k-mers whose minimiser occurs more than once, by its hash; all others are unique.
+def combined(key: np.ndarray, doc: np.ndarray, rid: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """PLACES of a map task. A key that it meets twice is known to be repeated: one row goes under the key, to tell
+    other tasks, and the rest are spread by place."""
+    order = np.argsort(key, kind="stable")
+    same = np.concatenate([[False], key[order][1:] == key[order][:-1]])
+    sure, rest = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    rest[order[same]] = True
+    sure[order[same]] = sure[order[np.flatnonzero(same) - 1]] = True
+    return batch(PLACES, np.where(rest, spread(doc, rid, start), key), doc, rid, start.astype(np.int32), n.astype(np.int32), sure)
 
-    Only keys and places are shuffled. A key that a map task meets twice is known to be repeated there: one row goes
-    under the key, to tell other tasks, and the rest are spread by place.
-    """
+
+def candidates(rows: DataFrame, unit, k: int, m: int) -> DataFrame:
+    """RUNS: super-k-mers whose minimiser occurs more than once, by its hash; all other windows are unique."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, doc, rid, at in _pieces(batches):
-            key, of, s, n, _, before = _runs(unit, texts, k, m)
-            if not len(key):
-                continue
-            order = np.argsort(key, kind="stable")
-            same = np.concatenate([[False], key[order][1:] == key[order][:-1]])
-            sure, rest = np.zeros(len(key), bool), np.zeros(len(key), bool)
-            rest[order[same]] = True
-            sure[order[same]] = sure[order[np.flatnonzero(same) - 1]] = True
-            d, r, start = doc[of], rid[of], s - before[of] + at[of]
-            spread = _mix(_mix(d.view(np.uint64) ^ r.view(np.uint64)) + start.astype(np.uint64))
-            out = pa.record_batch(
-                {
-                    "key": pa.array(np.where(rest, spread, key).view(np.int64)),
-                    "doc": pa.array(d),
-                    "rid": pa.array(r),
-                    "start": pa.array(start.astype(np.int32)),
-                    "n": pa.array(n.astype(np.int32)),
-                    "sure": pa.array(sure),
-                }
-            )
-            for i in range(0, out.num_rows, 50_000):
-                yield out.slice(i, 50_000)
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, before = None, None  # the row held back, and the key before it
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for texts, doc, rid, at in pieces(batches, unit, k):
+            key, of, _, s, n, _, before = super_kmers(unit, texts, k, m)
+            if len(key):
+                yield from sliced(combined(key, doc[of], rid[of], s - before[of] + at[of], n), 50_000)
+
+    return repeated_keys(rows.mapInArrow(places, PLACES))
+
+
+def looking_ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Batches that begin with the last row of the one before, so that each row is met beside its neighbours; at last that row alone, and True."""
+    last = None
+    for b in batches:
+        if b.num_rows:
             b = b if last is None else pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            yield b, False
+            last = b.slice(b.num_rows - 1)
+    if last is not None:
+        yield last, True
+
+
+def repeated_keys(places: DataFrame) -> DataFrame:
+    """RUNS of the rows of PLACES whose key occurs more than once or is sure to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # the key before the batch
+        for b, done in looking_ahead(batches):
             key = b.column("key").to_numpy()
             same = key[1:] == key[:-1]
-            first = before is not None and key[0] == before
-            twice = b.column("sure").to_numpy(zero_copy_only=False) | np.concatenate([[first], same]) | np.append(same, False)
-            keep = np.flatnonzero(twice[:-1])
-            if len(keep):
-                yield b.take(pa.array(keep)).select(["doc", "rid", "start", "n"])
+            keep = b.column("sure").to_numpy(zero_copy_only=False) | np.concatenate([[before is not None and key[0] == before], same]) | np.append(same, False)
+            keep[-1] &= done
+            if keep.any():
+                yield b.take(pa.array(np.flatnonzero(keep))).select(["doc", "rid", "start", "n"])
             before = key[-2] if len(key) > 1 else before
-            last = b.slice(b.num_rows - 1)
-        if last is not None and (last.column("sure")[0].as_py() or before == last.column("key")[0].as_py()):
-            yield last.select(["doc", "rid", "start", "n"])
 
-    keys = rows.mapInArrow(places, "key long, doc long, rid long, start int, n int, sure boolean")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(repeated, "doc long, rid long, start int, n int")
+    return places.repartition("key").sortWithinPartitions("key").mapInArrow(run, RUNS)
 
 
-def segments(rows: DataFrame, unit, k: int, m: int) -> DataFrame:
-    """(doc, rid, at, text): the byte stretches of documents that hold all their windows that can be repeated."""
-    found = candidates(rows, unit, k, m).groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    met = squeezed(rows).join(found.withColumnsRenamed({"doc": "d", "rid": "r"}), (F.col("doc") == F.col("d")) & (F.col("rid") == F.col("r")))
+def segments(rows: DataFrame, found: DataFrame, unit, k: int) -> DataFrame:
+    """(doc, rid, at, text): the stretches of documents that hold the windows of the RUNS ``found``."""
+    spans = found.groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    met = squeezed(rows).join(spans.withColumnsRenamed({"doc": "d", "rid": "r"}), (F.col("doc") == F.col("d")) & (F.col("rid") == F.col("r")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zstandard import ZstdDecompressor
 
         unpack = ZstdDecompressor().decompress
-        schema = pa.schema([("doc", pa.int64()), ("rid", pa.int64()), ("at", pa.int32()), ("text", pa.binary())])
         for b in batches:
             out = []
             for doc, rid, z, spans in zip(b.column("doc").to_pylist(), b.column("rid").to_pylist(), b.column("z"), b.column("spans")):
-                data, s = unpack(z.as_py()), spans.values
-                lo, hi = covered(s.field("start").to_numpy().astype(np.int64), s.field("n").to_numpy().astype(np.int64), k)
-                out += [(doc, rid, x, data[x:y]) for x, y in zip(lo.tolist(), hi.tolist())]
+                lo, hi = covered(*runs_of(spans), k)
+                out += [(doc, rid, x, part) for x, part in zip(lo.tolist(), unit.cut(unpack(z.as_py()), lo, hi))]
             if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema)
+                yield batch("doc long, rid long, at int, text binary", *zip(*out))
 
     return met.select("doc", "rid", "z", "spans").mapInArrow(cut, "doc long, rid long, at int, text binary")
 
 
-def packed_windows(docs: DataFrame, unit, k: int, m: int, frequent: int = FREQUENT, merge: bool = False) -> DataFrame:
-    """Rows of PACKED from ``identified`` documents: packed strings, and short rows (packed null) for copies inside a task.
+def _frequent(parts: DataFrame, unit, k: int, m: int, least: int) -> list[int]:
+    """Keys with many different packed strings: over ``least``, and over one in HOT_KEYS of all, hence so many keys at most.
 
-    With ``merge``, short rows that follow each other in a text are one, for use where it doesn't matter of what each is a copy.
+    A map task counts copies once, as it sends one of them, and reports keys that it meets often.
     """
-    hot = np.array(_frequent(docs, unit, k, m, frequent), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh3_64_intdigest
 
-        for texts, doc, rid, at0 in _pieces(batches):
-            key, of, s, n, pack, before = _runs(unit, texts, k, m)
-            key = key.view(np.int64)
+        for texts, *_ in pieces(batches, unit, k):
+            key, _, _, s, n, pack, _ = super_kmers(unit, texts, k, m)
+            if not len(key):
+                continue
+            some = np.unique(key, return_inverse=True, return_counts=True)
+            often = some[2][some[1]] >= 4
+            found = pack(s[often], s[often] + n[often] - 1 + k)
+            different = set(zip(key[often].tolist(), map(xxh3_64_intdigest, found)))
+            keys, n = np.unique(np.fromiter((x for x, _ in different), np.int64, len(different)), return_counts=True)
+            keys, n = np.append(keys[n >= 4], 0), np.append(n[n >= 4], len(key))
+            yield batch("key long, n long, total boolean", keys, n, np.arange(len(keys)) == len(keys) - 1)
+
+    counts = parts.mapInArrow(run, "key long, n long, total boolean").groupBy("key", "total").agg(F.sum("n").alias("n"))
+    scratch = Scratch(parts.sparkSession)
+    found = scratch.write(counts.where(F.col("total") | (F.col("n") > least)), "frequent")
+    total = found.where("total").first()
+    top = [] if total is None else found.where(~F.col("total") & (F.col("n") > max(least, total["n"] // HOT_KEYS))).select("key").collect()
+    scratch.drop(found)
+    return [r["key"] for r in top]
+
+
+def packed_windows(parts: DataFrame, unit, k: int, m: int, frequent: int = FREQUENT) -> DataFrame:
+    """Rows of PACKED from texts: packed strings, and short rows (packed null) for windows known to start earlier, too."""
+    hot = np.array(_frequent(parts, unit, k, m, frequent), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, doc, rid, at0 in pieces(batches, unit, k):
+            key, of, _, s, n, pack, before = super_kmers(unit, texts, k, m)
+            if not len(key):
+                continue
             single = np.isin(key, hot)
             if single.any():  # window by window
                 each = np.where(single, n, 1)
                 i = np.repeat(np.arange(len(key)), each)
                 step = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
-                s, n, of, key, single = s[i] + step, np.where(single[i], 1, n[i]), of[i], key[i], single[i]
+                s, n, of, key, single = s[i] + step, np.where(single[i], 1, n[i]), of[i], key[i].copy(), single[i]
             packed = pack(s, s + n - 1 + k)
-            if single.any():
-                at = np.flatnonzero(single)
-                key = key.copy()
-                key[at] = np.array([xxh64_intdigest(packed[i], 7) for i in at], np.uint64).view(np.int64)
-            start = s - before[of] + at0[of] if len(s) else s
-            d, r = doc[of], rid[of]
-            many = np.zeros(len(key), bool)
-            first = np.full(len(key), -1)
-            order = np.argsort(key, kind="stable")
-            twin = np.zeros(len(key), bool)
-            same = key[order][1:] == key[order][:-1]
-            twin[order[1:][same]] = twin[order[:-1][same]] = True
-            at = np.flatnonzero(twin)
-            at = at[np.lexsort((start[at], r[at], d[at]))]
-            seen: dict[bytes, int] = {}
-            drop = np.zeros(len(key), bool)
-            for i in at.tolist():
-                f = seen.setdefault(packed[i], i)
-                if f != i:
-                    if d[f] == d[i] and r[f] == r[i] and start[f] == start[i]:
-                        drop[i] = True  # an equal row
-                    else:
-                        first[i], many[f], packed[i] = f, True, None
-            short = first >= 0
-            f = np.maximum(first, 0)
-            if merge and short.any():
-                on = np.concatenate([[False], short[1:] & short[:-1] & (of[1:] == of[:-1]) & (s[1:] == s[:-1] + n[:-1])])
-                head = np.flatnonzero(~on)
-                n = n.copy()
-                n[head] = np.add.reduceat(n, head)
-                drop |= on
-            if short.any():
-                key = key.copy()
-                key[short] = _mix(_mix(d[f[short]].view(np.uint64) ^ r[f[short]].view(np.uint64)) + start[f[short]].astype(np.uint64)).view(np.int64)
-            out = pa.record_batch(
-                {
-                    "key": pa.array(key),
-                    "doc": pa.array(d),
-                    "rid": pa.array(r),
-                    "start": pa.array(start.astype(np.int32)),
-                    "n": pa.array(n.astype(np.int32)),
-                    "many": pa.array(many),
-                    "packed": pa.array(packed, pa.binary()),
-                    "first_doc": pa.array(d[f], mask=~short),
-                    "first_rid": pa.array(r[f], mask=~short),
-                    "first_start": pa.array(start[f].astype(np.int32), mask=~short),
-                }
-                if len(key)
-                else {x.name: pa.array([], x.type) for x in _schema(PACKED)}
-            )
-            out = out.filter(pa.array(~drop)) if drop.any() else out
-            for i in range(0, out.num_rows, 20_000):
-                yield out.slice(i, 20_000)
-
-    return docs.mapInArrow(run, PACKED)
-
-
-def _schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
-    return pa.schema([(a, kinds[b]) for a, b in (x.split() for x in ddl.split(", "))])
+            _window_keys(key, packed, np.flatnonzero(single))
+            yield from sliced(_pack(key, doc[of], rid[of], s - before[of] + at0[of], n, packed), 20_000)
+
+    return parts.mapInArrow(run, PACKED)
+
+
+def _window_keys(key: np.ndarray, packed: list[bytes], at: np.ndarray) -> None:
+    """The key of single windows is their own hash."""
+    from xxhash import xxh64_intdigest
+
+    key[at] = np.array([xxh64_intdigest(packed[i], 7) for i in at.tolist()], np.uint64).view(np.int64)
+
+
+def _pack(key: np.ndarray, d: np.ndarray, r: np.ndarray, start: np.ndarray, n: np.ndarray, packed: list[bytes | None]) -> pa.RecordBatch:
+    """PACKED rows of a map task. Only the first of equal packed strings travels; the others are short rows, one for
+    those that follow each other in a text."""
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    twin = np.zeros(len(key), bool)
+    twin[order[1:][same]] = twin[order[:-1][same]] = True
+    at = np.flatnonzero(twin)
+    seen: dict[bytes, int] = {}
+    drop, short = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    for i in at[np.lexsort((start[at], r[at], d[at]))].tolist():
+        f = seen.setdefault(packed[i], i)
+        if f != i:
+            packed[i] = None
+            if d[f] == d[i] and r[f] == r[i] and start[f] == start[i]:
+                drop[i] = True  # an equal row
+            else:
+                short[i] = True
+    if short.any():
+        on = np.concatenate([[False], short[1:] & short[:-1] & (d[1:] == d[:-1]) & (r[1:] == r[:-1]) & (start[1:] == start[:-1] + n[:-1])])
+        head = np.flatnonzero(~on)
+        n = n.copy()
+        n[head] = np.add.reduceat(n, head)
+        drop |= on
+        key = np.where(short, spread(d, r, start), key)
+    out = batch(PACKED, key, d, r, start.astype(np.int32), n.astype(np.int32), pa.array(packed, pa.binary()))
+    return out.filter(pa.array(~drop)) if drop.any() else out
+
+
+def repeated_spans(parts: DataFrame, unit, k: int, m: int, frequent: int = FREQUENT) -> DataFrame:
+    """RUNS of windows of ``parts`` that start earlier, too, as a written table."""
+    spark = parts.sparkSession
+    scratch = Scratch(spark)
+    dealt = packed_windows(parts, unit, k, m, frequent).repartition("key").sortWithinPartitions("key")
+    found = scratch.write(dealt.mapInArrow(lambda b: _by_key(b, unit, k, frequent), PACKED), "runs")
+    over = found.where("packed is not null")
+    runs = found.where("packed is null").select("doc", "rid", "start", "n")
+    if over.isEmpty():
+        return runs
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in sliced(b, 2_000):
+                n, packs = part.column("n").to_numpy(), part.column("packed").to_pylist()
+                i = np.repeat(np.arange(len(n)), n)
+                step = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                windows = [w for p, c in zip(packs, n.tolist()) for w in unit.windows(p, c, k)]
+                key = np.zeros(len(i), np.int64)
+                _window_keys(key, windows, np.arange(len(i)))
+                d, r, s = (part.column(c).to_numpy().astype(np.int64)[i] for c in ("doc", "rid", "start"))
+                yield from sliced(_pack(key, d, r, s + step, np.ones(len(i), np.int64), windows), 20_000)
+
+    place = ["doc", "rid", "start"]
+    rest = over.mapInArrow(single, PACKED).repartition("key").sortWithinPartitions("key", *place).mapInArrow(_by_window, RUNS)
+    return runs.unionByName(scratch.write(rest, "frequent_runs"))
+
+
+def _by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of single windows sorted by key and place: all but the first of equal ones. A task holds one string per key."""
+    now, first = None, {}
+    for b in batches:
+        out = []
+        for key, d, r, s, n, w in zip(*(c.to_pylist() for c in b.columns)):
+            if w is None:
+                out.append((d, r, s, n))
+                continue
+            if key != now:
+                now, first = key, {}
+            if first.setdefault(w, (d, r, s)) != (d, r, s):
+                out.append((d, r, s, n))
+        if out:
+            yield batch(RUNS, *zip(*out))
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], unit, k: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of PACKED sorted by key -> runs of windows that start earlier, too (packed null), and, unchanged, the rows
+    of keys that have more than ``most``."""
+    held: list[pa.RecordBatch] = []  # rows of the key that the next batch may go on with
+    key, size, over = None, 0, False
+
+    def ended() -> Iterator[tuple]:
+        if not over and size > 1:
+            yield from _first_windows([r for h in held for r in zip(*(h.column(c).to_pylist() for c in ("doc", "rid", "start", "n", "packed")))], unit, k)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        plain = b.column("packed").is_valid()
+        short = b.filter(pa.array(~plain.to_numpy(zero_copy_only=False)))
+        if short.num_rows:
+            yield short
+        b = b.filter(plain)
+        if not b.num_rows:
+            continue
+        keys = b.column("key").to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        ends = np.append(edge[1:], len(keys))
+        out: list[tuple] = []
+        for lo, hi in zip(edge[(ends - edge > 1) | (edge == 0) | (ends == len(keys))].tolist(), ends[(ends - edge > 1) | (edge == 0) | (ends == len(keys))].tolist()):
+            if key is None or keys[lo] != key:
+                out += ended()
+                held, key, size, over = [], keys[lo], 0, False
+            held.append(b.slice(lo, hi - lo))
+            size += hi - lo
+            if size > most:
+                over = True
+                yield from held
+                held = []
+        if out:
+            yield _result(out)
+    if out := list(ended()):
+        yield _result(out)
+
+
+def _result(out: list[tuple]) -> pa.RecordBatch:
+    d, r, s, n = zip(*out)
+    return batch(PACKED, pa.array(np.zeros(len(d), np.int64)), d, r, s, n, pa.nulls(len(d), pa.binary()))
 
 
 def _first_windows(rows: list[tuple], unit, k: int) -> Iterator[tuple]:
-    """Rows (doc, rid, start, n, many, packed) of one key, in order -> runs of RUNS for windows that occur more than once."""
-    packs: dict[bytes, list[tuple]] = {}
+    """Rows (doc, rid, start, n, packed) of one key -> runs of RUNS for windows that start earlier, too."""
+    rows.sort(key=lambda r: r[:3])
+    packs: dict[bytes, tuple] = {}
+    last = None
     for r in rows:
-        packs.setdefault(r[5], []).append(r)
+        if r[:3] != last:
+            last = r[:3]
+            if packs.setdefault(r[4], r) is not r:
+                yield r[:4]
     if len(packs) == 1:
-        f = rows[0]
-        if f[4] or any(r[4] or r[:3] != f[:3] for r in rows):
-            last = None
-            for r in rows:
-                if r[:3] != last:
-                    yield (*r[:4], *f[:3])
-                last = r[:3]
         return
     windows = []
-    for i, (p, same) in enumerate(packs.items()):
-        doc, rid, start, n = same[0][:4]
-        windows += [(w, doc, rid, start + j, i, j) for j, w in enumerate(unit.windows(p, n, k))]
+    for i, (p, (d, r, s, n, _)) in enumerate(packs.items()):
+        windows += [(w, d, r, s + j, i, j) for j, w in enumerate(unit.windows(p, n, k))]
     windows.sort()
-    refs: list[dict[int, tuple]] = [{} for _ in packs]
-    begin = 0
-    for end in range(1, len(windows) + 1):
-        if end == len(windows) or windows[end][0] != windows[begin][0]:
-            if end - begin > 1:
-                first = windows[begin][1:4]
-                for w in windows[begin:end]:
-                    refs[w[4]][w[5]] = first
-            begin = end
-    for i, same in enumerate(packs.values()):
-        own, found = same[0], refs[i]
-        if any(r[4] or r[:3] != own[:3] for r in same):
-            for j in range(own[3]):
-                found.setdefault(j, (own[0], own[1], own[2] + j))
-        parts: list[list] = []
-        for j in sorted(found):
-            d, r, s = found[j]
-            p = parts[-1] if parts else None
-            if p and p[0] + p[1] == j and p[2] == d and p[3] == r and p[4] + p[1] == s:
-                p[1] += 1
-            else:
-                parts.append([j, 1, d, r, s])
-        last = None
-        for row in same:
-            if row[:3] != last:
-                for j, n, d, r, s in parts:
-                    yield row[0], row[1], row[2] + j, n, d, r, s
-            last = row[:3]
+    again: list[list[int]] = [[] for _ in packs]
+    for a, b in zip(windows, windows[1:]):
+        if a[0] == b[0]:
+            again[b[4]].append(b[5])
+    for found, (d, r, s, _, _) in zip(again, packs.values()):
+        if found:
+            js = np.sort(np.array(found))
+            new = np.flatnonzero(np.concatenate([[True], np.diff(js) > 1]))
+            for j, n in zip(js[new].tolist(), np.diff(np.append(new, len(js))).tolist()):
+                yield d, r, s + j, n
 
 
-def first_occurrences(packed: DataFrame, unit, k: int) -> tuple[DataFrame, DataFrame]:
-    """Runs of windows that occur more than once, with their first occurrence, and the short rows of ``packed``.
-
-    The second table names, for (doc, rid, start, n), the copy (first_doc, first_rid, first_start) whose runs hold for it too.
-    """
-    ddl = RUNS + ", owner int"  # owner: the start of the packed string that a run is from; null in short rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[tuple] = []
-        carried = None
-        for b in batches:
-            out: list[tuple] = []
-            key = b.column("key").to_numpy()
-            plain = b.column("packed").is_valid().to_numpy(zero_copy_only=False)
-            cols = [b.column(c) for c in ("doc", "rid", "start", "n", "many", "packed")]
-            short = b.filter(pa.array(~plain))
-            if short.num_rows:
-                yield pa.record_batch([*(short.column(c) for c in ("doc", "rid", "start", "n", "first_doc", "first_rid", "first_start")), pa.nulls(short.num_rows, pa.int32())], _schema(ddl))
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            ends = np.append(edge[1:], len(key))
-            many = cols[4].to_numpy(zero_copy_only=False)
-            some = np.add.reduceat((many & plain).astype(np.int64), edge) > 0
-            for g in np.flatnonzero((ends - edge > 1) | some | (edge == 0) | (ends == len(key))).tolist():
-                lo, hi = int(edge[g]), int(ends[g])
-                rows = [tuple(r) for r in zip(*(c.slice(lo, hi - lo).to_pylist() for c in cols)) if r[5] is not None]
-                if carried is not None and key[lo] == carried:
-                    rows = carry + rows
-                elif carry:
-                    out += _owned(carry, unit, k)
-                carry, carried = [], None
-                if hi == len(key):
-                    carry, carried = rows, key[lo]
-                elif rows:
-                    out += _owned(rows, unit, k)
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _schema(ddl).types)], _schema(ddl))
-        if carry and (out := _owned(carry, unit, k)):
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _schema(ddl).types)], _schema(ddl))
-
-    dealt = packed.repartition("key").sortWithinPartitions("key")
-    found = Scratch(packed.sparkSession).write(dealt.mapInArrow(run, ddl), "runs")
-    runs = found.where("owner is not null")
-    short = found.where("owner is null").selectExpr("doc", "rid", "start", "n", "ref_doc first_doc", "ref_rid first_rid", "ref_start first_start")
-    return runs, short
-
-
-def _owned(rows: list[tuple], unit, k: int) -> list[tuple]:
-    """Runs of one key with the start of the packed string that each is from."""
-    if len(rows) == 1 and not rows[0][4]:
-        return []
-    rows.sort(key=lambda r: r[:3])
-    spans: dict[tuple, list[tuple]] = {}
-    for r in rows:
-        spans.setdefault(r[:2], []).append((r[2], r[3]))
-    out = []
-    for run in _first_windows(rows, unit, k):
-        owner = next(s for s, n in spans[run[:2]] if s <= run[2] < s + n)
-        out.append((*run, owner))
-    return out
+def runs_of(spans: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and numbers of windows of a list of runs."""
+    return tuple(spans.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
 
 
 def covered(starts: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal spans that runs of ``n`` windows of length k cover."""
+    """Maximal stretches that runs of ``n`` windows of length k cover."""
     order = np.argsort(starts, kind="stable")
     lo, hi = starts[order], (starts + n - 1 + k)[order]
     if not len(lo):

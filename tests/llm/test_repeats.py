@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from statelace.llm import substring, suffix
-from statelace.llm.superkmer import Words, _frequent, covered, gram_hashes, identified, sliding_argmin
+from statelace.llm.superkmer import Bytes, Words, _frequent, covered, gram_hashes, identified, sliding_argmin
 
 
 def brute(docs, k):
@@ -71,7 +71,7 @@ def test_bytes_against_brute_force(documents, frequent):
 
 
 def test_frequent_keys_are_found(documents):
-    rows = [(i, " ".join(f"{w}{i % 7}" for w in range(30))) for i in range(200)]
+    rows = [(i, " ".join([f"{w}.{i}" for w in range(30)] + list("abcdefghijklmno") + [f"{w}:{i}" for w in range(30)])) for i in range(200)]
     assert _frequent(identified(documents(rows)), Words(), 20, 4, 10)
 
 
@@ -99,3 +99,36 @@ def test_pieces():
         assert sliding_argmin(v, w).tolist() == [i + int(np.argmin(v[i : i + w])) for i in range(100 - w + 1)]
     lo, hi = covered(np.array([5, 0, 30]), np.array([2, 3, 1]), 10)
     assert lo.tolist() == [0, 30] and hi.tolist() == [16, 40]
+
+
+def test_parts_of_long_texts_hold_each_window_once():
+    r = random.Random(3)
+    for n in (0, 1, 5, 19, 20, 21, 400):
+        text = " ".join(f"w{r.randrange(50)}" * r.randrange(1, 4) for _ in range(n)).encode()
+        words, k = text.split(), 20
+        for size in (1, 7, 100, 10_000):
+            got = sorted((at + i, part.split()[i : i + k]) for at, part in Words().slices(text, k, size) for i in range(len(part.split()) - k + 1))
+            assert got == [(i, words[i : i + k]) for i in range(len(words) - k + 1)]
+            got = sorted((at + i, part[i : i + k]) for at, part in Bytes().slices(text, k, size) for i in range(len(part) - k + 1))
+            assert got == [(i, text[i : i + k]) for i in range(len(text) - k + 1)]
+
+
+def test_a_text_of_several_parts(documents):
+    r = random.Random(9)
+    text = " ".join(r.choices([f"w{i:05}" for i in range(60_000)], k=700_000))  # beyond 3 MB
+    text += text[2_000_000:2_400_000] + " and then"
+    rows = [(1, text), (2, text[100_000:3_500_000]), (3, text[:150]), (4, "short")]
+    sets = {}
+    for name, of, k in (("bytes", suffix.remove_repeated_bytes, 100), ("words", substring.remove_repeated_words, 20)):
+        sets[name] = {x["doc_id"]: x for x in of(documents(rows)).collect()}
+        seen = set()
+        for d, t in rows:
+            s = t.encode() if name == "bytes" else t.encode().split()
+            gone = np.zeros(len(s) + 1, np.int64)
+            for i in range(len(s) - k + 1):
+                h = hash(s[i : i + k] if name == "bytes" else tuple(s[i : i + k]))
+                if h in seen:
+                    gone[i] += 1
+                    gone[i + k] -= 1
+                seen.add(h)
+            assert sets[name][d]["n_removed"] == (np.cumsum(gone[:-1]) > 0).sum(), (name, d)
