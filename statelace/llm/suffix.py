@@ -32,14 +32,14 @@ LENGTH = 100
 #: Length of the anchors.
 GRAM = 16
 
-ANCHORS = (
-    "part long, key long, phrase long, doc long, rid long, i int, start int, n int, at int, sure boolean, many boolean, "
-    "ref_doc long, ref_rid long, ref_i int"
-)
-RANKED = "doc long, rid long, key long, i int, start int, n int, at int, ref_doc long, ref_rid long, ref_i int"
+# Two numbers travel as one: place is start << 32 | at, rest is i << 32 | n << 2 | sure << 1 | many.
+ANCHORS = "part long, key long, phrase long, doc long, rid long, place long, rest long, ref_doc long, ref_rid long, ref_i int"
+RANKED = "doc long, rid long, key long, place long, rest long, ref_doc long, ref_rid long, ref_i int"
 AT = "struct<key: bigint, i: int, start: int, n: int, at: int>"
-RUN = "struct<i: int, n: int, ref_doc: bigint, ref_rid: bigint, ref_i: int>"
+RUN = "struct<i: int, n: int, need: int, ref_doc: bigint, ref_rid: bigint, ref_i: int>"
 PAIRS = "doc long, rid long, need int, i int, n int, d1 long, r1 long, i1 int, d2 long, r2 long, i2 int"
+#: The least class of positions by the phrases they need; classes are powers of two.
+CLASS = 4
 
 
 def anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -82,13 +82,12 @@ def anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
             met = np.diff(np.append(np.flatnonzero(new_key), len(key)))
             sure[order] = np.repeat(met > 1, met)
             part = np.where(follows, lone, np.where(sure, mix(mix(key.view(np.uint64)) ^ phrase.view(np.uint64)).view(np.int64), key))
-            refs = [pa.array(c[lead], t, mask=~follows) for c, t in ((d, pa.int64()), (r, pa.int64()), (i.astype(np.int32), pa.int32()))]
-            cols = [key, phrase, d, r, i.astype(np.int32), start.astype(np.int32), n.astype(np.int32), at.astype(np.int32), sure, many]
-            yield from sliced(batch(ANCHORS, part, *cols, *refs), 50_000)
+            place, rest = start << 32 | at, i << 32 | n << 2 | sure << 1 | many
+            refs = [pa.array(c[lead], mask=~follows) for c in (d, r, i.astype(np.int32))]
+            yield from sliced(batch(ANCHORS, part, key, phrase, d, r, place, rest, *refs), 50_000)
             tell = order[new_key][met > 1]
-            cols[6] = np.zeros(len(key), np.int32)
             none = [pa.nulls(len(tell), t) for t in (pa.int64(), pa.int64(), pa.int32())]
-            yield from sliced(batch(ANCHORS, key[tell], *(c[tell] for c in cols), *none), 50_000)
+            yield from sliced(batch(ANCHORS, key[tell], key[tell], phrase[tell], d[tell], r[tell], place[tell], i[tell] << 32 | 2, *none), 50_000)
 
     return rows.mapInArrow(run, ANCHORS)
 
@@ -104,29 +103,29 @@ def first_ranks(found: DataFrame) -> DataFrame:
             next_like = next_key & (phrase[1:] == phrase[:-1])
             on_key = before is not None and before[0] == part[0]
             on = on_key and before[1] == phrase[0]
-            sure, many = (b.column(c).to_numpy(zero_copy_only=False) for c in ("sure", "many"))
+            rest = b.column("rest").to_numpy()
+            sure, many = (rest & 2) > 0, (rest & 1) > 0
             follows = b.column("ref_doc").is_valid().to_numpy(zero_copy_only=False)
             repeated = sure | follows | np.concatenate([[on_key], next_key]) | np.append(next_key, False)
             ranked = many | follows | np.concatenate([[on], next_like]) | np.append(next_like, False)
             head = np.flatnonzero(np.concatenate([[True], ~next_like]))
             lead = np.repeat(head, np.diff(np.append(head, len(part))))
             refs, places = [], []
-            for j, c in enumerate(("doc", "rid", "i")):
-                place = b.column(c).to_numpy()[lead]
+            for j, (c, of) in enumerate((("doc", b.column("doc").to_numpy()), ("rid", b.column("rid").to_numpy()), ("i", (rest >> 32).astype(np.int32)))):
+                place = of[lead]
                 if on:
                     place = np.where(lead == 0, first[j], place)
                 places.append(place)
                 given = b.column(f"ref_{c}")
                 refs.append(pa.array(np.where(follows, given.fill_null(0).to_numpy(), place).astype(place.dtype), given.type, mask=~ranked))
-            keep = repeated & (b.column("n").to_numpy() > 0)
+            keep = repeated & ((rest >> 2 & 0x3FFFFFFF) > 0)
             keep[-1] &= done
             if keep.any():
-                yield batch(RANKED, *(b.column(c) for c in ("doc", "rid", "key", "i", "start", "n", "at")), *refs).filter(pa.array(keep))
+                yield batch(RANKED, *(b.column(c) for c in ("doc", "rid", "key", "place", "rest")), *refs).filter(pa.array(keep))
             if len(part) > 1:
                 before, first = (part[-2], phrase[-2]), tuple(p[-2] for p in places)
 
-    order = ["part", "phrase", "doc", "rid", "i"]
-    return found.repartition("part").sortWithinPartitions(*order).mapInArrow(run, RANKED)
+    return found.repartition("part").sortWithinPartitions("part", "phrase", "doc", "rid", "rest").mapInArrow(run, RANKED)
 
 
 class Lists:
@@ -162,57 +161,81 @@ def _wide(of: np.ndarray, i: np.ndarray) -> np.ndarray:
     return (of << 33) + i
 
 
-def in_step(of: np.ndarray, i: np.ndarray, n: np.ndarray, d: np.ndarray, r: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, ...]:
+def in_step(of: np.ndarray, i: np.ndarray, n: np.ndarray, need: np.ndarray, d: np.ndarray, r: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs in order, those that go on in step as one."""
     if not len(of):
-        return of, i, n, d, r, ref
-    go = (of[1:] == of[:-1]) & (i[1:] == i[:-1] + n[:-1]) & (d[1:] == d[:-1]) & (r[1:] == r[:-1]) & (ref[1:] == ref[:-1] + n[:-1])
+        return of, i, n, need, d, r, ref
+    go = (of[1:] == of[:-1]) & (i[1:] == i[:-1] + n[:-1]) & (need[1:] == need[:-1]) & (d[1:] == d[:-1]) & (r[1:] == r[:-1]) & (ref[1:] == ref[:-1] + n[:-1])
     at = np.flatnonzero(np.concatenate([[True], ~go]))
-    return of[at], i[at], np.add.reduceat(n, at), d[at], r[at], ref[at]
+    return of[at], i[at], np.add.reduceat(n, at), need[at], d[at], r[at], ref[at]
 
 
 def by_document(ranked: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc, rid, need, anchors, runs): each document's repeated anchors, the ranks of their phrases as runs, and the
-    most phrases that any of its positions needs to reach past ``length``."""
-    grouped = ranked.groupBy("doc", "rid").agg(F.collect_list(F.struct("key", "i", "start", "n", "at", "ref_doc", "ref_rid", "ref_i")).alias("rows"))
+    most phrases that any of its positions needs to reach past ``length``; a run's need is the power of two from there on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = Lists(b.column("rows"), "key", "i", "start", "n", "at", "ref_doc", "ref_rid", "ref_i")
-            x = x.take(np.lexsort((x["i"], x.of)))
-            x = x.take(np.concatenate([[True], (x.of[1:] != x.of[:-1]) | (x["i"][1:] != x["i"][:-1])])) if len(x.of) else x  # equal rows are one document
-            place, ranks = _wide(x.of, x["i"]), x.valid["ref_doc"]
+        for b in _whole(batches):
+            doc, rid, key, place, rest = (b.column(c).to_numpy() for c in ("doc", "rid", "key", "place", "rest"))
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])])
+            i = rest >> 32
+            once = new | np.concatenate([[True], i[1:] != i[:-1]])  # equal rows are one document
+            b, new = b.filter(pa.array(once)), new[once]
+            doc, rid, key, place, rest, i = (x[once] for x in (doc, rid, key, place, rest, i))
+            of, docs = np.cumsum(new) - 1, int(new.sum())
+            start, at, n = place >> 32, place & 0xFFFFFFFF, rest >> 2 & 0x3FFFFFFF
+            line, ranks = _wide(of, i), b.column("ref_doc").is_valid().to_numpy(zero_copy_only=False)
             # phrases in a row from each position on, and phrases up to the bytes it needs
-            chain = np.zeros(len(place), np.int64)
-            stop = np.flatnonzero(~ranks | np.append(np.diff(place) != 1, True))
-            chain = stop[np.searchsorted(stop, np.arange(len(place)))] - np.arange(len(place)) if len(place) else chain
-            reach = _wide(x.of, x["at"] + gram)
+            stop = np.flatnonzero(~ranks | np.append(np.diff(line) != 1, True))
+            chain = stop[np.searchsorted(stop, np.arange(len(line)))] - np.arange(len(line))
+            reach = _wide(of, at + gram)
             after = np.append(reach[1:], reach[-1:]) - gram + length - 1
-            most = np.maximum(np.minimum(np.searchsorted(reach, after) - np.arange(len(place)), chain), 1)
-            need = np.zeros(b.num_rows, np.int64)
-            np.maximum.at(need, x.of, most)
-            y = x.take(ranks)
-            of, i, n, d, r, ref = in_step(y.of, y["i"], np.ones(len(y.of), np.int64), y["ref_doc"], y["ref_rid"], y["ref_i"])
-            anchor = listed(x.of, b.num_rows, AT, **{f: x[f] for f in ("key", "i", "start", "n", "at")})
-            runs = listed(of, b.num_rows, RUN, i=i, n=n, ref_doc=d, ref_rid=r, ref_i=ref)
-            yield pa.record_batch([b.column("doc"), b.column("rid"), pa.array(need.astype(np.int32)), anchor, runs], ["doc", "rid", "need", "anchors", "runs"])
-
-    return grouped.mapInArrow(run, f"doc long, rid long, need int, anchors array<{AT}>, runs array<{RUN}>")
+            most = np.maximum(np.minimum(np.searchsorted(reach, after) - np.arange(len(line)), chain), 1)
+            need = np.zeros(docs, np.int64)
+            np.maximum.at(need, of, most)
+            classes = np.maximum(1 << np.ceil(np.log2(most)).astype(np.int64), CLASS)
+            refs = (b.column(c).drop_null().to_numpy().astype(np.int64) for c in ("ref_doc", "ref_rid", "ref_i"))
+            o, *cols = in_step(of[ranks], i[ranks], np.ones(ranks.sum(), np.int64), classes[ranks], *refs)
+            anchor = listed(of, docs, AT, key=key, i=i, start=start, n=n, at=at)
+            runs = listed(o, docs, RUN, **dict(zip(("i", "n", "need", "ref_doc", "ref_rid", "ref_i"), cols)))
+            yield pa.record_batch([pa.array(doc[new]), pa.array(rid[new]), pa.array(need.astype(np.int32)), anchor, runs], ["doc", "rid", "need", "anchors", "runs"])
+
+    rows = ranked.repartition("doc", "rid").sortWithinPartitions("doc", "rid", "rest")
+    return rows.mapInArrow(run, f"doc long, rid long, need int, anchors array<{AT}>, runs array<{RUN}>")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole documents; a document that goes on waits for its rest."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        doc, rid = b.column("doc").to_numpy(), b.column("rid").to_numpy()
+        if held and (held[-1].column("doc")[0].as_py(), held[-1].column("rid")[0].as_py()) != (doc[0], rid[0]):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        last = int(np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])]))[-1])
+        if last:
+            yield pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks().to_batches()[0]
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def double(ranks: DataFrame, offset: int) -> DataFrame:
-    """Rows of PAIRS for runs of positions that have a rank ``offset`` phrases on, too; d2 is null where that goes on
-    in step with the first, so that the pair is equal to the one at the earlier place."""
+    """Rows of PAIRS for runs of positions that need more than ``offset`` phrases and have a rank that far on, too; d2 is
+    null where that goes on in step with the first, so that the pair is equal to the one at the earlier place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = Lists(b.column("runs"), "i", "n", "ref_doc", "ref_rid", "ref_i")
+            x = Lists(b.column("runs"), "i", "n", "need", "ref_doc", "ref_rid", "ref_i")
             x = x.take(np.lexsort((x["i"], x.of)))
-            of, i, n, d, r, ref = in_step(x.of, x["i"], x["n"], x["ref_doc"], x["ref_rid"], x["ref_i"])
+            of, i, n, need, d, r, ref = in_step(x.of, *(x[f] for f in ("i", "n", "need", "ref_doc", "ref_rid", "ref_i")))
             s = _wide(of, i)
             # overlaps of runs with runs moved back by the offset
             lo, hi = np.searchsorted(s + n, s + offset, "right"), np.searchsorted(s, s + n + offset, "left")
-            many = np.maximum(hi - lo, 0)
+            many = np.where(need > offset, np.maximum(hi - lo, 0), 0)
             a = np.repeat(np.arange(len(s)), many)
             c = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + lo[a]
             begin, end = np.maximum(s[a], s[c] - offset), np.minimum(s[a] + n[a], s[c] + n[c] - offset)
@@ -220,9 +243,9 @@ def double(ranks: DataFrame, offset: int) -> DataFrame:
             on = (d[a] == d[c]) & (r[a] == r[c]) & (second == first + offset)
             keep = begin < end
             a, c, begin, end, first, second, on = (v[keep] for v in (a, c, begin, end, first, second, on))
-            doc, rid, need = (b.column(name).to_numpy()[of[a]] for name in ("doc", "rid", "need"))
+            doc, rid = (b.column(name).to_numpy()[of[a]] for name in ("doc", "rid"))
             place = (begin - _wide(of[a], 0)).astype(np.int32)
-            yield batch(PAIRS, doc, rid, need, place, (end - begin).astype(np.int32), d[a], r[a], first.astype(np.int32), pa.array(d[c], mask=on), r[c], second.astype(np.int32))
+            yield batch(PAIRS, doc, rid, need[a].astype(np.int32), place, (end - begin).astype(np.int32), d[a], r[a], first.astype(np.int32), pa.array(d[c], mask=on), r[c], second.astype(np.int32))
 
     return ranks.mapInArrow(run, PAIRS)
 
@@ -307,14 +330,14 @@ def repeated_byte_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM,
     documents = scratch.write(by_document(first_ranks(anchors(rows, length, gram)), length, gram), "anchors")
     most = documents.agg(F.max("need")).first()[0] or 1
     ranks: list[tuple[int, DataFrame]] = []
-    now, phrases = documents.select("doc", "rid", "need", "runs"), 1
+    now, phrases = documents.where("need > 1").select("doc", "rid", "runs"), 1
     while phrases < most:
-        pairs = scratch.write(double(now.where(F.col("need") > phrases), phrases), "pairs")
+        pairs = scratch.write(double(now, phrases), "pairs")
         phrases *= 2
         ranks.append((phrases, scratch.write(rerank(pairs), "ranks")))
         scratch.drop(pairs)
-        runs = F.collect_list(F.struct("i", "n", "ref_doc", "ref_rid", "ref_i")).alias("runs")
-        now = ranks[-1][1].where(F.col("need") > phrases).groupBy("doc", "rid", "need").agg(runs)
+        runs = F.collect_list(F.struct("i", "n", "need", "ref_doc", "ref_rid", "ref_i")).alias("runs")
+        now = ranks[-1][1].groupBy("doc", "rid").agg(runs, F.max("need").alias("need")).where(F.col("need") > phrases)
     settled = scratch.write(settle(documents, ranks, length, gram), "settled")
     scratch.drop(documents, *(of for _, of in ranks))
     parts = scratch.write(segments(rows, repeated_keys(open_places(settled)), Bytes(), length), "segments")

@@ -27,9 +27,13 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Bytes of text that a map task works on at a time.
-PIECE = 3 << 20
+PIECE = 1 << 20
+#: Bits of a place in a piece: pieces and the part that ends them are shorter than 4 MB.
+INDEX_BITS = 22
 #: Packed strings of one key that a task lists at most; more are sent window by window.
 FREQUENT = 2_000
+#: Packed strings that are compared at a time, at least.
+LISTED = 5_000
 #: Keys that are known as frequent before the shuffle, at most: their list goes to all tasks.
 HOT_KEYS = 100_000
 
@@ -70,15 +74,14 @@ def gram_hashes(x: np.ndarray, m: int) -> np.ndarray:
 
 
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """Index of the leftmost least value of h[i : i + w] for every i."""
-    at, size = np.arange(len(h), dtype=np.int32), 1
+    """Index of the leftmost least hash of h[i : i + w] for every i; hashes are told apart by their upper 42 bits."""
+    low = np.uint64((1 << INDEX_BITS) - 1)
+    least, size = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
     while size < w:
         s = min(size, w - size)
-        less = h[s:] < h[:-s]
-        h = np.where(less, h[s:], h[:-s])
-        at = np.where(less, at[s:], at[:-s])
+        least = np.minimum(least[:-s], least[s:])
         size += s
-    return at
+    return (least & low).astype(np.int64)
 
 
 class Bytes:
@@ -186,7 +189,7 @@ def super_kmers(unit, texts: list[bytes], k: int, m: int):
     first = ok & np.concatenate([[True], new | ~ok[:-1]])
     last = ok & np.concatenate([new | ~ok[1:], [True]])
     s, e = np.flatnonzero(first), np.flatnonzero(last)
-    return grams[least[s]].view(np.int64), np.searchsorted(before, s, "right") - 1, least[s].astype(np.int64), s, e - s + 1, pack, before
+    return grams[least[s]].view(np.int64), np.searchsorted(before, s, "right") - 1, least[s], s, e - s + 1, pack, before
 
 
 def spread(doc: np.ndarray, rid: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -441,30 +444,34 @@ def _by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _by_key(batches: Iterator[pa.RecordBatch], unit, k: int, most: int) -> Iterator[pa.RecordBatch]:
     """Rows of PACKED sorted by key -> runs of windows that start earlier, too (packed null), and, unchanged, the rows
     of keys that have more than ``most``."""
+    whole: list[pa.RecordBatch] = []  # rows of keys that are complete
+    rows = 0
     held: list[pa.RecordBatch] = []  # rows of the key that the next batch may go on with
     key, size, over = None, 0, False
-
-    def ended() -> Iterator[tuple]:
-        if not over and size > 1:
-            yield from _first_windows([r for h in held for r in zip(*(h.column(c).to_pylist() for c in ("doc", "rid", "start", "n", "packed")))], unit, k)
-
     for b in batches:
-        if not b.num_rows:
-            continue
         plain = b.column("packed").is_valid()
         short = b.filter(pa.array(~plain.to_numpy(zero_copy_only=False)))
         if short.num_rows:
             yield short
-        b = b.filter(plain)
+            b = b.filter(plain)
         if not b.num_rows:
             continue
         keys = b.column("key").to_numpy()
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        ends = np.append(edge[1:], len(keys))
-        out: list[tuple] = []
-        for lo, hi in zip(edge[(ends - edge > 1) | (edge == 0) | (ends == len(keys))].tolist(), ends[(ends - edge > 1) | (edge == 0) | (ends == len(keys))].tolist()):
+        first, last = int(np.append(edge, len(keys))[1]), int(edge[-1])
+        if first < last:  # keys that lie in this batch alone
+            met = np.diff(edge[1:])
+            met = np.repeat(met, met)
+            inner = b.slice(first, last - first)
+            whole.append(inner.filter(pa.array((met > 1) & (met <= most))))
+            rows += whole[-1].num_rows
+            if (met > most).any():
+                yield inner.filter(pa.array(met > most))
+        for lo, hi in ((0, first), (last, len(keys)))[: min(len(edge), 2)]:
             if key is None or keys[lo] != key:
-                out += ended()
+                if size > 1 and not over:
+                    whole += held
+                    rows += size
                 held, key, size, over = [], keys[lo], 0, False
             held.append(b.slice(lo, hi - lo))
             size += hi - lo
@@ -472,43 +479,66 @@ def _by_key(batches: Iterator[pa.RecordBatch], unit, k: int, most: int) -> Itera
                 over = True
                 yield from held
                 held = []
+        if rows >= LISTED:
+            yield from _first_windows(whole, unit, k)
+            whole, rows = [], 0
+    if size > 1 and not over:
+        whole += held
+    yield from _first_windows(whole, unit, k)
+
+
+def _first_windows(held: list[pa.RecordBatch], unit, k: int) -> Iterator[pa.RecordBatch]:
+    """Packed strings of whole keys -> runs of windows that start earlier, too. Windows are sorted by their hashes;
+    those that follow each other in equal ones are compared in full."""
+    held = [h for h in held if h.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held).combine_chunks()
+    key, doc, rid, start, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "rid", "start", "n"))
+    symbols, size, pack = unit.piece(rows.column("packed").to_pylist())
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(size) - size)[row] + step
+    hashed = gram_hashes(symbols, k)[at]
+    name = np.unique(key, return_inverse=True)[1]
+    place = start[row] + step
+    order = np.lexsort((place, rid[row], doc[row], hashed, name[row]))
+    new = np.concatenate([[True], (name[row][order][1:] != name[row][order][:-1]) | (hashed[order][1:] != hashed[order][:-1])])
+    first = np.empty(len(row), np.int64)
+    first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    again = np.flatnonzero((doc[row] != doc[row[first]]) | (rid[row] != rid[row[first]]) | (place != place[first]))
+    if not len(again):
+        return
+    # windows and first windows that both go on
+    f = first[again]
+    on = (row[again][1:] == row[again][:-1]) & (again[1:] == again[:-1] + 1) & (row[f][1:] == row[f][:-1]) & (f[1:] == f[:-1] + 1)
+    head = np.flatnonzero(np.concatenate([[True], ~on]))
+    count = np.diff(np.append(head, len(again)))
+    w, f = again[head], f[head]
+    unlike = [i for i, (x, y) in enumerate(zip(pack(at[w], at[w] + count - 1 + k), pack(at[f], at[f] + count - 1 + k))) if x != y]
+    if unlike:  # hashes met by chance: these keys are compared window by window
+        clash = np.unique(name[row[w[unlike]]])
+        some = np.isin(name, clash)
+        out = list(_compared([tuple(r) for r in zip(name[some].tolist(), doc[some].tolist(), rid[some].tolist(), start[some].tolist(), n[some].tolist(), rows.column("packed").filter(pa.array(some)).to_pylist())], unit, k))
+        good = ~np.isin(name[row[w]], clash)
+        w, count = w[good], count[good]
         if out:
-            yield _result(out)
-    if out := list(ended()):
-        yield _result(out)
+            yield _result(*zip(*out))
+    if len(w):
+        yield _result(doc[row[w]], rid[row[w]], place[w].astype(np.int32), count.astype(np.int32))
 
 
-def _result(out: list[tuple]) -> pa.RecordBatch:
-    d, r, s, n = zip(*out)
-    return batch(PACKED, pa.array(np.zeros(len(d), np.int64)), d, r, s, n, pa.nulls(len(d), pa.binary()))
+def _compared(rows: list[tuple], unit, k: int) -> Iterator[tuple]:
+    """(key, doc, rid, start, n, packed) -> windows that start earlier, too, by comparing them."""
+    seen: dict[tuple, tuple] = {}
+    windows = sorted((key, d, r, s + j, w) for key, d, r, s, n, p in rows for j, w in enumerate(unit.windows(p, n, k)))
+    for key, d, r, s, w in windows:
+        if seen.setdefault((key, w), (d, r, s)) != (d, r, s):
+            yield d, r, s, 1
 
 
-def _first_windows(rows: list[tuple], unit, k: int) -> Iterator[tuple]:
-    """Rows (doc, rid, start, n, packed) of one key -> runs of RUNS for windows that start earlier, too."""
-    rows.sort(key=lambda r: r[:3])
-    packs: dict[bytes, tuple] = {}
-    last = None
-    for r in rows:
-        if r[:3] != last:
-            last = r[:3]
-            if packs.setdefault(r[4], r) is not r:
-                yield r[:4]
-    if len(packs) == 1:
-        return
-    windows = []
-    for i, (p, (d, r, s, n, _)) in enumerate(packs.items()):
-        windows += [(w, d, r, s + j, i, j) for j, w in enumerate(unit.windows(p, n, k))]
-    windows.sort()
-    again: list[list[int]] = [[] for _ in packs]
-    for a, b in zip(windows, windows[1:]):
-        if a[0] == b[0]:
-            again[b[4]].append(b[5])
-    for found, (d, r, s, _, _) in zip(again, packs.values()):
-        if found:
-            js = np.sort(np.array(found))
-            new = np.flatnonzero(np.concatenate([[True], np.diff(js) > 1]))
-            for j, n in zip(js[new].tolist(), np.diff(np.append(new, len(js))).tolist()):
-                yield d, r, s + j, n
+def _result(doc, rid, start, n) -> pa.RecordBatch:
+    return batch(PACKED, np.zeros(len(doc), np.int64), doc, rid, start, n, pa.nulls(len(doc), pa.binary()))
 
 
 def runs_of(spans: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:

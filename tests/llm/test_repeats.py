@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from statelace.llm import substring, suffix
-from statelace.llm.superkmer import Bytes, Words, _frequent, covered, gram_hashes, identified, sliding_argmin
+from statelace.llm.superkmer import PACKED, Bytes, Words, _by_key, _compared, _frequent, batch, covered, gram_hashes, identified, sliding_argmin
 
 
 def brute(docs, k):
@@ -94,7 +94,7 @@ def test_pieces():
     for m in (1, 2, 3, 4, 7, 8, 20):
         h = gram_hashes(np.concatenate([x, x]), m)
         assert len(h) == 400 - m + 1 and (h[: 200 - m] == h[200 : 400 - m]).all() and len(set(h[:200].tolist())) == 200
-    v = r.integers(0, 9, 100).astype(np.uint64)
+    v = r.integers(0, 9, 100).astype(np.uint64) << np.uint64(30)
     for w in (1, 2, 5, 16, 17):
         assert sliding_argmin(v, w).tolist() == [i + int(np.argmin(v[i : i + w])) for i in range(100 - w + 1)]
     lo, hi = covered(np.array([5, 0, 30]), np.array([2, 3, 1]), 10)
@@ -132,3 +132,29 @@ def test_a_text_of_several_parts(documents):
                     gone[i + k] -= 1
                 seen.add(h)
             assert sets[name][d]["n_removed"] == (np.cumsum(gone[:-1]) > 0).sum(), (name, d)
+
+
+def test_packed_strings_against_comparison():
+    """Keys over several batches, keys beyond the bound, equal rows; symbols are words."""
+    r = random.Random(4)
+    rows = []
+    for key in range(60):
+        for _ in range(r.choice([1, 1, 2, 5, 30])):
+            n = r.randrange(1, 6)
+            rows.append((key, r.randrange(8), 0, r.randrange(4), n, " ".join(r.choice("ab") for _ in range(n + 2)).encode()))
+    rows = [x for i, x in enumerate(rows) if x[:4] not in {y[:4] for y in rows[:i]}]
+    rows += rows[:3]
+    rows.sort(key=lambda x: x[0])
+    for size in (1, 3, 7, 1000):
+        batches = [batch(PACKED, *zip(*rows[i : i + size])) for i in range(0, len(rows), size)]
+        got, over = set(), []
+        for b in _by_key(iter(batches), Words(), 3, 20):
+            for x in b.to_pylist():
+                if x["packed"] is None:
+                    got |= {(x["doc"], x["rid"], x["start"] + j) for j in range(x["n"])}
+                else:
+                    over.append(x["key"])
+        count = [sum(x[0] == k for x in rows) for k in range(60)]
+        many = {k for k in range(60) if count[k] > 20}
+        assert set(over) == many and len(over) == sum(x[0] in many for x in rows)
+        assert got == {x[:3] for x in _compared([x for x in rows if 1 < count[x[0]] <= 20], Words(), 3)}
