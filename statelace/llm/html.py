@@ -25,18 +25,22 @@ BLOCK = frozenset(
     "tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object select button canvas audio video".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset button select".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+BOILERPLATE = frozenset(
+    "nav footer aside form menu dialog fieldset button select noscript template svg math object canvas audio video".split()
+)
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words in class, id and role that name what isn't the article.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adsbygoogle|alert|banner|breadcrumbs?|captcha|comments?|complementary|consent|contentinfo|"
-    r"cookies?|disqus|footer|gdpr|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|overlay|pagination|paywall|"
-    r"popup|privacy|promo|promoted|promotion|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|"
-    r"sponsored|subscribe|tags|toolbar|widgets?)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Words in class, id and role that name what isn't the article; those of LAYOUT may also name a page that has such a part.
+NOTICES = frozenset(
+    "advert advertisement adsbygoogle alert captcha comment comments complementary consent contentinfo cookie cookies disqus footer gdpr "
+    "hidden login masthead newsletter notice pagination paywall popup privacy promo promoted promotion recommended related replies respond "
+    "share sharing signup skip sponsor sponsored subscribe".split()
+)
+LAYOUT = frozenset(
+    "ad ads banner breadcrumb breadcrumbs menu modal nav navbar navigation overlay search sidebar social tags toolbar widget widgets".split()
 )
-HEADERS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.IGNORECASE)
+# Words before such a name that say what a page has or lacks.
+MODIFIERS = frozenset("has with no without is not show hide".split())
 # Frequent function words of four languages.
 STOP_WORDS = frozenset(
     "the of and to in a is that it for on as with was are be by this from or an at not have has but they his her which you we "
@@ -46,49 +50,87 @@ STOP_WORDS = frozenset(
 )
 TOKEN = re.compile(r"<!--|<!\[CDATA\[|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?/]")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
+TAG_END = re.compile(r"""(?:[^>"']+|"[^"]*"|'[^']*')*+>""")
+# Scripts that write words without spaces.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 LONG, SHORT = 25, 8
 RICH, SOME = 0.30, 0.15
 LINKED = 0.5
 
 
+#: Pages whose text has fewer stop words than this share are in a language without a list here.
+LISTED = 0.05
+#: Part of a page's words outside links from which an element whose class only may name a part of the page is the page.
+MOST = 0.5
+
+
+class Part:
+    """An element that names itself boilerplate, and whether it may turn out to be the page."""
+
+    __slots__ = ("above", "may", "words")
+
+    def __init__(self, above: Part | None, may: bool):
+        self.above, self.may, self.words = above, may, 0
+
+
 class Block:
-    __slots__ = ("text", "linked", "words", "article", "bad", "heading")
+    __slots__ = ("text", "linked", "words", "n", "article", "part", "heading")
 
-    def __init__(self, text: str, linked: int, article: bool, bad: bool, heading: bool):
-        self.text, self.linked, self.article, self.bad, self.heading = text, linked, article, bad, heading
+    def __init__(self, text: str, linked: int, article: bool, part: Part | None, heading: bool):
+        self.text, self.article, self.part, self.heading = text, article, part, heading
         self.words = text.split(" ")
+        self.n = len(self.words) + len(UNSPACED.findall(text)) // 2
+        self.linked = min(linked, self.n)
+
+    @property
+    def bad(self) -> bool:
+        return self.part is not None
 
 
-def _names_boilerplate(tag: str, attributes: str, article: bool) -> bool:
+def _named(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
+    """Whether an element's attributes name it boilerplate, and if so, whether they may name a page that has such a part."""
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    found = may = False
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return True, False
         if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True
-        elif NAMES.search(value) or (not article and HEADERS.search(value)):
-            return True
-    return False
+            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                return True, False
+            continue
+        for one in value.split():
+            words = re.split(r"[_-]+", one)
+            for i, w in enumerate(words):
+                if i and words[i - 1] in MODIFIERS:
+                    continue
+                if w in NOTICES or (w == "header" and not article and len(words) == 1):
+                    return True, False
+                if w in LAYOUT or (w == "header" and not article):
+                    found = True
+                    may |= len(words) > 1
+    return found, may
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page that have text, in order. Unclosed and cut-off tags are no error."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
+    stack: list[tuple[str, Part | None, bool]] = []  # tag, boilerplate, article
+    open_at: dict[str, list[int]] = {}  # where in the stack each tag is open
+    outer: list[int] = []  # where block elements are
+    headings, last = 0, {}
     parts: list[str] = []
     linked, breaks, at = 0, 0, 0
+    loose: Part | None = None  # an inline boilerplate element that is never closed; the next block ends it
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            top = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, linked, top[2], top[1], any(s[0] in HEADING for s in stack)))
+            top = stack[-1] if stack else ("", None, False)
+            out.append(Block(text, linked, top[2], top[1] or loose, headings > 0))
         parts.clear()
         linked = 0
 
@@ -96,15 +138,27 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked, breaks
         if text:
             parts.append(text)
-            if any(s[0] == "a" for s in stack):
-                linked += len(text.split())
+            if open_at.get("a"):
+                linked += len(text.split()) + len(UNSPACED.findall(text)) // 2
             if not text.isspace():
                 breaks = 0
 
     def pop(i: int) -> None:
-        if any(s[0] in BLOCK for s in stack[i:]):
+        nonlocal headings, loose
+        if outer and outer[-1] >= i:
             flush()
-        del stack[i:]
+            loose = None
+        while len(stack) > i:
+            tag = stack.pop()[0]
+            open_at[tag].pop()
+            headings -= tag in HEADING
+            if outer and outer[-1] == len(stack):
+                outer.pop()
+
+    def closes(tag: str) -> bool:
+        if tag not in last:
+            last[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\b", page, re.IGNORECASE)), default=-1)
+        return last[tag] >= at
 
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -126,11 +180,11 @@ def blocks(page: str) -> list[Block]:
             break
         tag, attributes, at = m[2].lower(), page[m.end() : end - 1], end
         if m[1]:
-            i = next((i for i in reversed(range(len(stack))) if stack[i][0] == tag), None)
-            if i is not None:
-                pop(i)
+            if open_at.get(tag):
+                pop(open_at[tag][-1])
             elif tag in BLOCK:
                 flush()
+                loose = None
             continue
         if tag in RAW and not attributes.endswith("/"):
             stop = re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).search(page, at)
@@ -150,31 +204,79 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             # an open paragraph ends here; so does an open item before its sibling
-            for i in reversed(range(len(stack))):
-                name = stack[i][0]
+            if outer:
+                name = stack[outer[-1]][0]
                 if name == "p" or (name == tag and tag in ("li", "dt", "dd", "option", "td", "th", "tr")):
-                    pop(i)
-                    break
-                if name in BLOCK:
-                    break
+                    pop(outer[-1])
             flush()
+            loose = None
         if tag in VOID or attributes.endswith("/"):
             continue
-        above = stack[-1] if stack else ("", False, False)
-        article = above[2] or tag in ("article", "main")
-        bad = above[1] or (tag in BOILERPLATE) or (tag == "header" and not article) or _names_boilerplate(tag, attributes, article)
-        stack.append((tag, bad, article))
+        above = stack[-1] if stack else ("", None, False)
+        article, part = above[2] or tag in ("article", "main"), above[1]
+        if tag in BOILERPLATE or (tag == "header" and not article):
+            if tag not in BLOCK:
+                flush()
+                if not closes(tag):
+                    loose = loose or Part(None, False)
+                    continue
+            part = Part(part, tag == "form")
+        elif tag == "main":
+            part = None
+        else:
+            found, may = _named(tag, attributes, article)
+            part = Part(part, may) if found else part
+        if tag not in BLOCK and part is not above[1]:
+            flush()
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK or tag in BOILERPLATE or part is not above[1]:
+            outer.append(len(stack))
+        headings += tag in HEADING
+        stack.append((tag, part, article))
     flush()
+    _spare(out)
     return out
 
 
+def _spare(found: list[Block]) -> None:
+    """An element that holds most of the page's words outside links is the page, if only the name of a part or a form speaks against it."""
+    total = 0
+    for b in found:
+        n = b.n - b.linked
+        total += n
+        if b.part:
+            b.part.words += n
+    parts: list[Part] = []
+    known: set[int] = set()
+    for b in found:
+        chain, p = [], b.part
+        while p and id(p) not in known:
+            known.add(id(p))
+            chain.append(p)
+            p = p.above
+        parts += reversed(chain)  # outer ones first
+    for p in reversed(parts):
+        if p.above:
+            p.above.words += p.words
+    spared = {id(p) for p in parts if p.may and p.words > MOST * total}
+    real: dict[int, Part | None] = {}
+    for p in parts:
+        up = real[id(p.above)] if p.above else None
+        real[id(p)] = up if id(p) in spared else p
+    for b in found:
+        b.part = real[id(b.part)] if b.part else None
+
+
 def classify(found: list[Block]) -> list[bool]:
     """Which blocks are content."""
     has_article = any(b.article and not b.bad for b in found)
+    stops = [sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in b.words) for b in found]
+    free = [(s, len(b.words)) for b, s in zip(found, stops) if not b.bad and b.linked <= LINKED * b.n]
+    # where no list fits the page's language, length and links decide
+    listed = sum(s for s, _ in free) >= LISTED * sum(n for _, n in free)
     labels: list[bool | None] = []
-    for b in found:
-        n = len(b.words)
-        stop = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in b.words) / n
+    for b, s in zip(found, stops):
+        n, stop = b.n, s / len(b.words) if listed else RICH
         if b.bad or (has_article and not b.article) or b.linked > LINKED * n:
             labels.append(False)
         elif b.article:
@@ -185,12 +287,21 @@ def classify(found: list[Block]) -> list[bool]:
             labels.append(True)
         else:
             labels.append(None)
+
+    def nearest(order: range) -> list[int | None]:
+        """The last decided block before each, among those in the article for blocks in it."""
+        any_, inside, out = None, None, [None] * len(found)
+        for i in order:
+            out[i] = inside if found[i].article else any_
+            if labels[i] is not None:
+                any_ = i
+                inside = i if found[i].article else inside
+        return out
+
+    backs, ons = nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1))
     out = []
-    for i, (b, label) in enumerate(zip(found, labels)):
+    for i, (b, label, back, on) in enumerate(zip(found, labels, backs, ons)):
         if label is None:
-            same = (lambda x: x.article) if b.article else (lambda x: True)
-            back = next((j for j in range(i - 1, -1, -1) if labels[j] is not None and same(found[j])), None)
-            on = next((j for j in range(i + 1, len(found)) if labels[j] is not None and same(found[j])), None)
             if back is None and on is None:
                 label = b.article or not has_article and len(found) == 1
             elif back is None or on is None:

@@ -3,15 +3,16 @@
 Generators with high recall propose spans, overlapping ones too. Trees score each from its format (digits, groups,
 separators, checksums) and its context (the characters and words around it). They are fitted on a bounded sample of
 documents, drawn for each kind from those with a plain match of it: plain matches and variants of them as people
-disguise them are positive; candidates that are none, and broken variants, are negative. All documents that the trees
-haven't seen, a quarter of the texts at least, set each kind's threshold at the wanted precision.
+disguise them are positive; candidates that can't be read as personal data, and broken variants, are negative. A candidate
+that turns into a plain match once its disguise is undone is neither, as nobody has labelled it. All documents that the trees
+haven't seen, a quarter of the texts at least, set each kind's threshold at the wanted precision. Texts stay in the executors:
+the driver gets features of ``EXAMPLES`` examples of a kind at most.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import random
 import re
 from collections.abc import Iterator
 
@@ -40,12 +41,12 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-AT = r"\s?(?:@|[\[({<]\s?at\s?[\])}>])\s?|\sat\s(?=[\w-]+\sdot\s)"
+AT = r"\s?(?:@|[\[({<]\s?(?:at|@)\s?[\])}>])\s?|\sat\s(?=[\w-]+\sdot\s)"
 DOT = r"\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s"
 LOOSE = {
     "email": re.compile(rf"(?<![\w.+-])[\w.+-]{{1,64}}(?:{AT})[\w-]{{1,63}}(?:(?:{DOT})[\w-]{{1,63}}){{1,4}}", re.ASCII),
     "ip": re.compile(r"(?<![\d.])\d{1,3}(?:(?:\s?[\[({]?\.[\])}]?\s?)\d{1,3}){3}(?![\d])", re.ASCII),
-    "card": re.compile(r"(?<!\d)\d{4}(?:[ ._/-]{0,2}\d){9,15}(?!\d)", re.ASCII),
+    "card": re.compile(r"(?<!\d)\d{4}(?:[ ._/-]{0,3}\d){9,15}(?!\d)", re.ASCII),
     "phone": re.compile(r"(?<![\w+.])(?:\+|00)?[ ]?\(?\d{1,4}\)?(?:[ ./-]{1,2}\(?\d{2,4}\)?){2,4}(?!\w)", re.ASCII),
 }
 HINTS = {
@@ -154,12 +155,24 @@ def _free(found: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -
     return [k == 0 or bool(ends[k - 1] <= c[0]) for c, k in zip(found, i.tolist())]
 
 
+def readable(s: str, kind: str) -> bool:
+    """Whether a span is a plain match once its disguise is undone."""
+    if kind == "email":
+        plain = re.sub(r"\s", "", re.sub(DOT, ".", re.sub(AT, "@", s)))
+    elif kind == "ip":
+        plain = re.sub(r"[^0-9.]", "", s)
+    else:
+        digits = re.sub("[^0-9]", "", s)
+        plain = digits if kind == "card" else "+" + (digits[2:] if digits.startswith("00") else digits)
+    return (0, len(plain), kind) in base_spans(plain)
+
+
 def examples(text: str, turn: int) -> Iterator[tuple[str, int, int, str, int]]:
-    """(text, start, end, kind, label) of candidates that are none or equal a plain match, and of variants of all plain matches."""
+    """(text, start, end, kind, label) of candidates that can't be read as personal data or equal a plain match, and of variants of all plain matches."""
     base, found = base_spans(text), candidates(text)
     plain = set(base)
     for c, free in zip(found, _free(found, base)):
-        if free or c in plain:
+        if c in plain or (free and not readable(text[c[0] : c[1]], c[2])):
             yield (text, *c, int(not free))
     for start, end, kind in base:
         lo = min(60, start)
@@ -181,21 +194,11 @@ class Model:
         self.trees, self.thresholds = trees, thresholds
 
     @classmethod
-    def fit(cls, texts: list[tuple[int, str]]) -> Model:
-        """Trees fitted on (hash, text); thresholds are still to come."""
-        held: dict[str, list] = {k: [] for k in KINDS}
-        seen, draw = dict.fromkeys(KINDS, 0), random.Random(42)
-        for h, text in texts:
-            for row in examples(text, _turn(h)):
-                k = row[3]
-                at = seen[k] if seen[k] < EXAMPLES else draw.randrange(seen[k] + 1)
-                seen[k] += 1
-                if at < EXAMPLES:
-                    held[k][at : at + 1] = [row]
-        rows = [r for k in KINDS for r in held[k]]
-        if not rows:
-            return cls(BoostedTrees(), dict.fromkeys(KINDS, 2.0))
-        trees = BoostedTrees().fit(np.array([features(*r[:4]) for r in rows], float), np.array([r[4] for r in rows], float))
+    def fit(cls, x: list[list[float]], label: list[int]) -> Model:
+        """Trees fitted on features of examples; thresholds are still to come."""
+        trees = BoostedTrees()
+        if x:
+            trees = trees.fit(np.array(x, float), np.array(label, float))
         return cls(trees, dict.fromkeys(KINDS, 2.0))
 
     def spans(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -247,6 +250,32 @@ def _drawn(docs: DataFrame, sample: int) -> list[int]:
     return sorted(out)
 
 
+def _examples(docs: DataFrame, used: list[int]) -> DataFrame:
+    """(kind, draw, x, label): examples of the used texts with the hash that draws them."""
+    wanted = docs.sparkSession.createDataFrame([(h,) for h in used], "h long")  # as many as the sample at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            for h, value in zip(b.column("h").to_pylist(), b.column("text")):
+                out = []
+                for i, (text, s, e, k, label) in enumerate(examples(value.as_py(), _turn(h))):
+                    out.append((KINDS.index(k), xxh64_intdigest(f"{h} {i}") >> 1, features(text, s, e, k), label))
+                    if len(out) >= 5_000:
+                        yield batch(out)
+                        out = []
+                if out:
+                    yield batch(out)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.int32())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["kind", "draw", "x", "label"])
+
+    texts = docs.join(F.broadcast(wanted), "h").dropDuplicates(["h"]).select("h", "text")
+    return texts.mapInArrow(run, "kind int, draw long, x array<double>, label int")
+
+
 def _levels(docs: DataFrame, model: Model, used: list[int]) -> DataFrame:
     """(kind, level, good, n): examples of all documents but the used ones by score, from the first level on."""
     skip = frozenset(used)
@@ -286,10 +315,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) ->
     rows = _hashed(docs)
     used = _drawn(rows, sample)
     if not used:
-        return Model.fit([])
-    wanted = docs.sparkSession.createDataFrame([(h,) for h in used], "h long")
-    texts = rows.join(F.broadcast(wanted), "h").groupBy("h").agg(F.first("text").alias("text")).collect()
-    model = Model.fit(sorted((r["h"], r["text"]) for r in texts))
+        return Model.fit([], [])
+    scratch = Scratch(docs.sparkSession)
+    seen = scratch.write(_examples(rows, used), "examples")
+    drawn = [r for i in range(len(KINDS)) for r in seen.where(F.col("kind") == i).orderBy("draw", "x").limit(EXAMPLES).collect()]
+    scratch.drop(seen)
+    model = Model.fit([r["x"] for r in drawn], [r["label"] for r in drawn])
     good, n = (np.zeros((len(KINDS), len(LEVELS)), np.int64) for _ in range(2))
     for r in _levels(rows, model, used).collect():  # a row per kind and level
         good[r["kind"], r["level"]], n[r["kind"], r["level"]] = r["good"], r["n"]
@@ -336,7 +367,10 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced and ``n_chars``, where there is one, counted anew."""
+    """``docs`` with personal data in ``text`` replaced and ``n_chars``, where there is one, counted anew.
+
+    Null texts stay null, empty ones empty, repeated rows stay, an empty table gives no rows; other columns are kept.
+    """
     model = model or fit(docs)
     schema = docs.schema
     at = docs.columns.index("text")

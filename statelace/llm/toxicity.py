@@ -1,10 +1,10 @@
 """Toxicity of documents, read through disguises.
 
 A noisy channel turns letters into look-alikes, repeats them and puts marks or spaces between them. A suspicious
-token opens a lattice of what its characters may stand for, and Viterbi decoding under a character trigram model of
-the whole corpus picks the likeliest reading. Words and word beginnings, as written and as read, that occur
-significantly more often in toxic documents of the training rows are the evidence; a logistic model of a document's
-evidence gives its score.
+token, or a run of single characters with white space between, opens a lattice of what its characters may stand for,
+word breaks among them, and Viterbi decoding under a character trigram model of the whole corpus picks the likeliest
+reading. Words and word beginnings of the text as written and as restored, that occur significantly more often in toxic
+documents of the training rows, are the evidence; a logistic model of a document's evidence gives its score.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from .common import table
 
 #: Labelled documents that evidence and weights are learned from: those whose hashed ids come first.
 TRAIN_ROWS = 8_000
-#: Most words and beginnings kept as evidence.
-EVIDENCE = 5_000
 THRESHOLD = 0.3
 
 #: What a character may stand for besides itself. Common look-alikes.
@@ -38,9 +36,15 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE, OTHER, ALPHABET = 0, 27, 28
 PREFIXES = (4, 5, 6)
 
-SUSPICIOUS = re.compile(r"[a-z][0-9@$!|+€£(]|[0-9@$!|+€£(][a-z]|(.)\1\1|^[a-z0-9@$!](?:[.\-_*'~,:/]+[a-z0-9@$!]){2,}$|[a-z][*_~.\-]+[a-z]")
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
-TRIM = re.compile(r"^[^\w@$]+|[^\w]+$")
+#: Runs of characters after which a lattice settles on its best path so far, which bounds its memory.
+SETTLE = 1_000
+#: Tokens up to this length are remembered with their evidence.
+REMEMBERED = 48
+
+SUSPICIOUS = re.compile(r"[0-9@$!|+€£(][^\W\d_]|[^\W\d_][0-9@$!|+€£(]|@[0-9$!]|([^\W\d_])\1|[^\W_][.\-_*'~,:/]+[^\W_]")
+LETTER = re.compile("[a-z@]")
+RUN = re.compile(r"(.)\1*", re.DOTALL)
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S[.,;:!?]?){2,}(?!\S)")
 
 
 def _codes() -> np.ndarray:
@@ -85,52 +89,60 @@ class Reader:
         self.cost = -np.log(tri)
         self.symbol = {x: i + 1 for i, x in enumerate(LETTERS)}
 
-    def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """Per run of one character: the strings it may stand for, and their costs."""
-        out = []
-        for m in re.finditer(r"(.)\1*", token, re.DOTALL):
-            c, n = m[1], len(m[0])
+    def lattice(self, token: str) -> Iterator[list[tuple[str, float]]]:
+        """Per run of one character: the strings it may stand for, and their costs. A blank is a word break."""
+        for m in RUN.finditer(token):
+            c, n = m[1], m.end() - m.start()
             if "a" <= c <= "z":
-                ways = [(c, 0.0 if n == 1 else 0.7)] + ([(c + c, 0.0 if n == 2 else 0.7)] if n > 1 else [])
+                yield [(c, 0.0 if n == 1 else 0.7)] + ([(c + c, 0.0 if n == 2 else 0.7)] if n > 1 else [])
             elif c in LOOKS_LIKE:
                 ways = [(x, 1.0) for x in LOOKS_LIKE[c]] + ([(x + x, 1.5) for x in LOOKS_LIKE[c]] if n > 1 else [])
-                ways.append(("", 4.0))
-            elif c in MARKS or c.isspace():
-                ways = [("", 0.5)]
+                yield [*ways, ("", 4.0)]
+            elif c == " ":
+                yield [("", 0.0), (" ", 0.0)]
+            elif c in MARKS:
+                yield [("", 0.5), (" ", 0.5)]
             else:
-                ways = [(c, 1.0)]
-            out.append(ways)
-        return out
+                yield [(c, 1.0)]
 
     def read(self, token: str) -> str:
-        """The likeliest reading of a lower-cased token."""
+        """The likeliest reading of a lower-cased token; in spaced ones, blanks may be word breaks."""
         cost, get = self.cost, self.symbol.get
         best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-        for ways in self.lattice(token):
+        done: list[str] = []
+        for step, ways in enumerate(self.lattice(token), 1):
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (total, text) in best.items():
                 for way, price in ways:
-                    p, q, s = a, b, total + price
-                    for ch in way:
-                        r = get(ch, OTHER)
-                        s += cost[p, q, r]
-                        p, q = q, r
+                    if way == " ":
+                        p, q, s = EDGE, EDGE, total + price + cost[a, b, EDGE] if b != EDGE else math.inf
+                    else:
+                        p, q, s = a, b, total + price
+                        for ch in way:
+                            r = get(ch, OTHER)
+                            s += cost[p, q, r]
+                            p, q = q, r
                     if (p, q) not in new or s < new[p, q][0]:
                         new[p, q] = (s, text + way)
             best = new
-        return min((s + cost[a, b, EDGE], text) for (a, b), (s, text) in best.items())[1]
-
-
-def words(text: str) -> set[str]:
-    """Lower-cased tokens of a text, and runs of single characters written apart as one token in one piece."""
-    text = text.lower()
-    found = set(text.split())
-    if SPACED.search(text):
-        for m in SPACED.finditer(text):
-            s = "".join(m[0].split())
-            if sum(c.isalpha() for c in s) * 2 >= len(s):
-                found.update((s, s[1:], s[:-1], s[1:-1]))  # a word of one letter may stand before or after
-    return found
+            if step % SETTLE == 0:
+                state, (total, text) = min(best.items(), key=lambda x: x[1][0])
+                done.append(text)
+                best = {state: (total, "")}
+        return "".join([*done, min((s + cost[a, b, EDGE], text) for (a, b), (s, text) in best.items())[1]])
+
+
+def bare(token: str) -> str:
+    """A token without the marks around it; @ and $ may begin a word."""
+    lo, hi = 0, len(token)
+    while lo < hi and not (token[lo].isalnum() or token[lo] in "_@$"):
+        lo += 1
+    while hi > lo and not (token[hi - 1].isalnum() or token[hi - 1] in "_$!"):
+        hi -= 1
+    end = hi
+    while end > lo and token[end - 1] == "!":  # one that ends a sentence
+        end -= 1
+    return token[lo : end if token[lo:end].isalnum() else hi]
 
 
 class Evidence(dict):
@@ -142,30 +154,60 @@ class Evidence(dict):
         super().__init__()
         self.reader, self.known = reader, known
 
+    def reading(self, token: str) -> str:
+        """A token as it is restored: itself without marks around it, or its likeliest reading."""
+        word = bare(token)
+        return self.reader.read(word) if SUSPICIOUS.search(word) and LETTER.search(word) else word
+
     def __missing__(self, token: str) -> tuple:
         found = set()
-        bare = TRIM.sub("", token)
-        forms = {bare}
-        if SUSPICIOUS.search(bare) and sum("a" <= c <= "z" for c in bare) >= 2:
-            forms.add(self.reader.read(bare))
-        for w in forms - {""}:
-            found.add("=" + w)
-            found.update("^" + w[:n] for n in PREFIXES if len(w) > n)
+        for w in {bare(token), *self.reading(token).split()}:
+            if w:
+                found.add("=" + w)
+                found.update("^" + w[:n] for n in PREFIXES if len(w) > n)
         if self.known is None:
             out: tuple = tuple(found)
         else:
             out = tuple(self.known[f] for f in found if f in self.known)
-        if len(self) >= self.MOST:
-            self.clear()
-        self[token] = out
+        if len(token) <= REMEMBERED:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[token] = out
         return out
 
+    def spaced(self, text: str, tokens: set[str]) -> list[re.Match]:
+        """Runs of single characters with white space between them, half of them letters or more."""
+        if sum(len(t) == 1 for t in tokens) < 3:
+            return []
+        runs = SPACED.finditer(text)
+        return [m for m in runs if sum(c.isalpha() for c in m[0]) * 2 >= sum(not c.isspace() for c in m[0])]
+
+    def joined(self, run: str) -> str:
+        """The likeliest words of a run of single characters."""
+        return self.reader.read(" ".join(run.rstrip(".,;:!?").split()))
+
     def of(self, text: str) -> set:
+        """Features of a text as written and as restored."""
+        text = text.lower()
+        tokens = set(text.split())
+        for m in self.spaced(text, tokens):
+            tokens.update(self.joined(m[0]).split())
         found: set = set()
-        for f in filter(None, map(self.__getitem__, words(text))):
+        for f in filter(None, map(self.__getitem__, tokens)):
             found.update(f)
         return found
 
+    def restored(self, text: str) -> str:
+        """The lower-cased text in its likeliest reading, words joined by one blank."""
+        text = text.lower()
+        out, at = [], 0
+        for m in self.spaced(text, set(text.split())):
+            out += map(self.reading, text[at : m.start()].split())
+            out.append(self.joined(m[0]))
+            at = m.end()
+        out += map(self.reading, text[at:].split())
+        return " ".join(filter(None, out))
+
 
 @dataclass
 class Model:
@@ -237,13 +279,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pa.record_batch({"feature": pa.array(list(sums[toxic]), pa.string()), "clean": pa.array([n * (1 - toxic) for n in sums[toxic].values()], pa.int64()), "toxic": pa.array([n * toxic for n in sums[toxic].values()], pa.int64())})
 
     seen = train.mapInArrow(features, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    top = seen.where("toxic >= 4").orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1)), "feature").limit(4 * EVIDENCE).collect()
     number = seen.where("feature = ''").first()
     n_clean, n_toxic = (number["clean"], number["toxic"]) if number else (0, 0)
     odds: dict[str, float] = {}
     if n_clean and n_toxic:
-        for r in top:
-            if r["feature"] and (o := significant(r["toxic"], r["clean"], n_toxic, n_clean)) is not None and len(odds) < EVIDENCE:
+        # features of ``rows`` documents at most, and of these the ones that toxic documents repeat
+        for r in seen.where("toxic >= 4 and feature <> ''").where((F.col("toxic") + 0.5) * (n_clean + 1) > 4 * (F.col("clean") + 0.5) * (n_toxic + 1)).orderBy("feature").collect():
+            if (o := significant(r["toxic"], r["clean"], n_toxic, n_clean)) is not None:
                 odds[r["feature"]] = o
     known, values = {f: i for i, f in enumerate(odds)}, np.array(list(odds.values()))
 
@@ -263,7 +305,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted): one row per row of ``docs``; null texts count as empty."""
+    """(doc_id, held_out, score, predicted): one row per row of ``docs``, repeated ones too; an empty table gives no rows.
+
+    Null texts count as empty and get the score of a text without evidence; a null doc_id isn't held out. Time grows with
+    a text's length, also in one long token. Extra columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
@@ -275,8 +321,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def restore(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, restored): the text that is scored beside the written one: lower-cased, disguises undone. Null counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Evidence(Reader(model.counts), {}).restored
+        for b in batches:
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "restored": pa.array([of(t.as_py() or "") for t in b.column("text")], pa.string())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, restored string")
+
+
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores below the threshold, with all their columns."""
+    """The rows of ``docs`` whose text scores below the threshold, with all their columns. Null texts count as empty;
+    repeated rows stay or go together; an empty table stays empty."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,6 +98,41 @@ def test_rare_kinds_get_a_threshold(documents):
     assert {x["doc_id"]: x["spans"].partition(":")[2] for x in found.collect()} == {1: "4:23", 2: "9:23"}
 
 
+def unlike(r, kind, s):
+    """Disguises that the operator's own variants don't have."""
+    d = re.sub("[^0-9]", "", s)
+    if kind == "email":
+        user, host = s.split("@")
+        return r.choice([f"{user}[@]{host}", f"{user} {{at}} {host.replace('.', ' {dot} ')}", f"{user} <at> {host.replace('.', '[.]')}"])
+    if kind == "ip":
+        return r.choice([s.replace(".", "(.)"), s.replace(".", " ."), s.replace(".", ". ")])
+    if kind == "card":
+        return r.choice(["_", " / ", ". "]).join(d[i : i + 4] for i in range(0, len(d), 4))
+    return r.choice([f"{d[-10:-7]}.{d[-7:-4]}.{d[-4:]}", f"({d[-10:-7]}) {d[-7:-4]} {d[-4:]}", f"00{d[:-10]}-{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}"])
+
+
+def test_disguises_of_other_kinds_than_the_variants(documents):
+    r = random.Random(17)
+    rows, hidden = personal(300), {}
+    model = pii.fit(documents(rows))
+    for i, t in personal(200):
+        start, end, kind = r.choice(pii.base_spans(t))
+        form = unlike(r, kind, t[start:end])
+        hidden[5_000 + i] = (kind, start, start + len(form), t[:start] + form + t[end:])
+    clean = [(9_000 + i, f"in {1900 + i} the {r.randrange(1000)} of {i % 28 + 1}.{i % 12 + 1}.{1950 + i % 70} sold {r.randrange(1000)} {r.randrange(1000)} for {r.randrange(100)}.{r.randrange(100)} at {i % 24}:{i % 60:02} see v{i % 9}.{i % 7}.{i % 5} or www.site{i}.com") for i in range(200)]
+    got = {x["doc_id"]: x for x in pii.find(documents([(d, x[3]) for d, x in hidden.items()] + clean), model).collect()}
+    found = [d for d, (k, s, e, _) in hidden.items() if any(x.startswith(f"{k}:") and int(x.split(":")[1]) < e and int(x.split(":")[2]) > s for x in got[d]["spans"].split(","))]
+    false = [d for d, _ in clean if got[d]["n_added"]]
+    print(len(found), "of", len(hidden), "found,", len(false), "of", len(clean), "clean ones touched")
+    assert len(found) >= 0.8 * len(hidden) and len(false) <= 2
+
+
+def test_texts_that_can_be_read_are_no_negatives():
+    text = "write joe.q (at) example (dot) com or 4111.1111.1111.1111 or 4111.1111.1111.1112"
+    negative = {(t[s:e], k) for t, s, e, k, good in pii.examples(text, 0) if not good}
+    assert negative == {("4111.1111.1111.1112", "card")}
+
+
 def test_all_matches_of_a_document_are_examples():
     text = " then ".join(f"u{i}@mail.example.com" for i in range(30))
     disguised = {t[s:e] for t, s, e, _, good in pii.examples(text, 0) if good and "[at]" in t[s:e]}
@@ -157,7 +192,10 @@ def test_lattice_reads_disguises():
     text = " ".join(["idiot people stupid moron the and quiet"] * 50)
     codes = toxicity._codes()[np.frombuffer(f" {text} ".encode(), np.uint8)]
     counts = np.bincount(codes[:-2] * 784 + codes[1:-1] * 28 + codes[2:], minlength=28**3)
-    read = toxicity.Reader(counts).read
+    reader = toxicity.Reader(counts)
+    read = reader.read
+    restored = toxicity.Evidence(reader).restored
+    assert restored("An iddiot is\n 5tup1d: t h e  m\to r o n, q u i e t!") == "an idiot is stupid the moron quiet"
     assert [read(w) for w in ("1d10t", "$tup1d", "m0r0nnn", "i.d.i.o.t", "idiiiiot", "p-e-o-p-l-e")] == ["idiot", "stupid", "moron", "idiot", "idiot", "people"]
 
 
