@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from .simhash import forest
 COSINE = 0.98
 #: Vectors the cells are fitted on: those whose hashed ids come first.
 SAMPLE = 8_192
+#: Products this near the border are computed anew with exact sums, as those of a block depend on its shape.
+NEAR = 1e-9
 PER_CELL = 256
 MAX_CELLS = 2_048
 #: Vectors of a label and cell that meet in one task; larger cells are cut into chunks that meet pairwise.
@@ -39,6 +42,11 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     return centres
 
 
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """Cosine of two vectors, the same in whatever block they meet."""
+    return math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b))
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     """Unit rows in double precision from lists of one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -47,9 +55,15 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _typed(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, embedding); vectors of floats stay so, as they shuffle at half the size."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast(kind).alias("embedding"))
+
+
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
     """(rep, label, embedding, m, dim): vectors that can link, copies under one label as one row with their number and least vec_id."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    v = _typed(vectors)
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
     v = v.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0.0))
     rows = v.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
@@ -84,7 +98,7 @@ def cells(reps: DataFrame, cosine: float, per_cell: int = PER_CELL) -> DataFrame
                     meet[i] = [o, *(c for c in np.flatnonzero(row).tolist() if c != o)]
             yield pa.record_batch([*b.columns, pa.array(home), pa.array(meet, pa.list_(pa.int32()))], [*b.schema.names, "home", "meet"])
 
-    schema = "rep long, label int, embedding array<double>, m long, dim int, home int, meet array<int>"
+    schema = f"rep long, label int, embedding {reps.schema['embedding'].dataType.simpleString()}, m long, dim int, home int, meet array<int>"
     return reps.withColumn("label", F.col("label").cast("int")).mapInArrow(run, schema)
 
 
@@ -106,23 +120,33 @@ def cell_links(placed: DataFrame, cosine: float, chunk: int = CHUNK) -> DataFram
         t = t.take(pa.array(order))
         rep, m, home, part = (t.column(c).to_numpy() for c in ("rep", "m", "home", "part"))
         cell, i, j = (t.column(c)[0].as_py() for c in ("cell", "i", "j"))
-        x = _unit(t.column("embedding").combine_chunks())
-        meet = t.column("meet")
+        raw = t.column("embedding").combine_chunks()
+        x = _unit(raw)
+        raw = raw.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(x.shape)
+        meet = t.column("meet").combine_chunks()
+        met = np.sort(np.repeat(np.arange(len(rep)), pa.compute.list_value_length(meet).to_numpy()) << 32 | meet.flatten().to_numpy().astype(np.int64) & 0xFFFFFFFF)
+
+        def visits(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+            """Whether vectors v meet in cells c."""
+            want = v.astype(np.int64) << 32 | c.astype(np.int64) & 0xFFFFFFFF
+            return met[np.minimum(np.searchsorted(met, want), len(met) - 1)] == want
+
         counts = np.zeros(len(rep), np.int64)
         left, right = [np.zeros(0, int)], [np.zeros(0, int)]
         for lo in range(0, len(rep), 512):
-            a, b = np.nonzero(x[lo : lo + 512] @ x[lo:].T >= cosine)
+            like = x[lo : lo + 512] @ x[lo:].T
+            a, b = np.nonzero(like >= cosine - NEAR)
+            border = np.flatnonzero(like[a, b] < cosine + NEAR)
             a, b = a + lo, b + lo
+            if len(border):
+                below = [_cosine(raw[p], raw[q]) < cosine for p, q in zip(a[border].tolist(), b[border].tolist())]
+                a, b = np.delete(a, border[below]), np.delete(b, border[below])
             ok = (a < b) & ((home[a] == cell) | (home[b] == cell))
             ok &= (part[a] != part[b]) if i != j else True
             a, b = a[ok], b[ok]
             # a pair that meets in both homes counts in the smaller one
-            apart = np.flatnonzero(home[a] != home[b])
-            if len(apart):
-                twice = [cell > min(home[p], home[q]) and home[q] in meet[int(p)].as_py() and home[p] in meet[int(q)].as_py() for p, q in zip(a[apart], b[apart])]
-                drop = np.zeros(len(a), bool)
-                drop[apart[np.array(twice)]] = True
-                a, b = a[~drop], b[~drop]
+            twice = (home[a] != home[b]) & (cell > np.minimum(home[a], home[b])) & visits(a, home[b]) & visits(b, home[a])
+            a, b = a[~twice], b[~twice]
             np.add.at(counts, a, m[b])
             np.add.at(counts, b, m[a])
             f, r = forest(np.concatenate([*left, a]), np.concatenate([*right, b]), len(rep))
@@ -153,7 +177,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, per_cell: int = PER
     known = reps.select("rep", F.col("label").alias("l"), F.col("embedding").alias("e"), "m").join(counts, "rep", "left")
     known = known.join(parts, F.col("rep") == F.col("node"), "left")
     known = known.select("l", "e", F.xxhash64("e").alias("h"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    v = _typed(vectors)
     v = v.withColumn("hash", F.xxhash64("embedding"))
     same = (F.col("vec_id").isNotNull()) & (F.col("label") == F.col("l")) & (F.col("hash") == F.col("h")) & (F.col("embedding") == F.col("e"))
     out = v.join(known, same, "left")

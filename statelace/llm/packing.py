@@ -29,13 +29,16 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Tokens:
-    """Byte-level BPE ids of texts as little-endian 32-bit bytes, equal to those of the vocabulary's JSON file.
+    """Byte-level BPE ids of texts as little-endian 32-bit bytes, equal to those that the tokenizers library makes from
+    the vocabulary's JSON file, which tests hold against whole tables.
 
     A text is cut before every single space between two other characters, where the vocabulary's own splitting
     always cuts too, and the ids of each piece are remembered; other texts are encoded whole.
     """
 
     MOST = 250_000
+    #: Longer pieces are encoded each time, which bounds what is remembered in bytes.
+    REMEMBERED = 48
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str, special: str = "<|endoftext|>"):
         import tiktoken
@@ -44,13 +47,15 @@ class Tokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.json_path, self.special, self.slow = json_path, special, None
-        fast = self.fast
+        fast, short = self.fast, self.REMEMBERED
 
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
                 if not piece or piece[0].isspace() or piece[-1].isspace():
                     raise ValueError
-                self[piece] = out = np.array(fast.encode_ordinary(" " + piece), "<u4").tobytes()
+                out = np.array(fast.encode_ordinary(" " + piece), "<u4").tobytes()
+                if len(piece) <= short:
+                    self[piece] = out
                 return out
 
         self.pieces = Pieces()

@@ -44,3 +44,22 @@ def test_many_copies_and_empty(spark):
     got = embedding.near_vectors(table(spark, rows)).collect()
     assert {(x["n_links"], x["component_id"]) for x in got} == {(299, 0)} and sum(x["kept"] for x in got) == 1
     assert embedding.near_vectors(table(spark, [])).count() == 0
+
+
+def test_the_border_and_planted_links(spark):
+    """Pairs at exactly the threshold link, whatever block they meet in; planted links among 3,000 vectors are all found."""
+    rows = [(0, [3.0, 4.0], 0), (1, [4.0, 3.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 5.0], 0)]  # cosine of the first two: 24 / 25
+    for cosine, links in ((0.96, 1), (0.96 + 1e-15, 0)):
+        got = {x["vec_id"]: x for x in embedding.near_vectors(table(spark, [(*x, "", "", "") for x in rows]), cosine=cosine).collect()}
+        assert got[0]["n_links"] == got[1]["n_links"] == links and got[1]["component_id"] == (0 if links else 1)
+    r = np.random.default_rng(5)
+    base = r.normal(size=(3000, 16))
+    base[1000:1600] = base[:600] + r.normal(size=(600, 16)) * r.uniform(0.01, 0.3, size=(600, 1))
+    rows = [(i, v.tolist(), i % 2, "", "", "") for i, v in enumerate(base)]
+    x = base.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = (x @ x.T >= 0.98) & (np.arange(3000)[:, None] % 2 == np.arange(3000) % 2)
+    np.fill_diagonal(link, False)
+    assert link.sum() > 500
+    got = {y["vec_id"]: y["n_links"] for y in embedding.near_vectors(table(spark, rows), per_cell=20).collect()}
+    assert got == dict(enumerate(link.sum(axis=1).tolist()))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -25,6 +26,15 @@ def test_ids_equal_the_tokenizers():
         assert np.frombuffer(encode(t), "<u4").tolist() == token_ids(t), repr(t)
 
 
+def test_ids_of_a_whole_table():
+    encode = packing.tokens(packing.byte_bpe()).encode
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    for i in range(0, len(texts), 500):
+        want = slow.encode_batch(texts[i : i + 500], add_special_tokens=False)
+        assert all(np.frombuffer(encode(t), "<u4").tolist() == w.ids for t, w in zip(texts[i : i + 500], want))
+
+
 def test_packing_round_trip(spark, documents):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice("alpha beta gamma delta".split()) for _ in range(r.choice([0, 5, 300, 900, 5000])))) for i in range(120)]
