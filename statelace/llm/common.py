@@ -61,6 +61,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def n_words(text: Column) -> Column:
     """Count of words of a text; 0 for null."""
+    text = F.col(text) if isinstance(text, str) else text
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
