@@ -38,6 +38,8 @@ RANKED = "doc long, rid long, key long, place long, rest long, ref_doc long, ref
 AT = "struct<key: bigint, i: int, start: int, n: int, at: int>"
 RUN = "struct<i: int, n: int, need: int, ref_doc: bigint, ref_rid: bigint, ref_i: int>"
 PAIRS = "doc long, rid long, need int, i int, n int, d1 long, r1 long, i1 int, d2 long, r2 long, i2 int"
+#: Anchors of documents that are worked on at a time.
+PART = 50_000
 #: The least class of positions by the phrases they need; classes are powers of two.
 CLASS = 4
 
@@ -133,9 +135,9 @@ class Lists:
 
     def __init__(self, column: pa.Array, *fields: str):
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        size = np.diff(column.offsets.to_numpy().astype(np.int64))
+        size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         values = column.flatten()
-        self.of = np.repeat(np.arange(len(size)), size if column.null_count == 0 else np.where(column.is_valid().to_numpy(zero_copy_only=False), size, 0))
+        self.of = np.repeat(np.arange(len(size)), size)
         self.valid = {f: values.field(f).is_valid().to_numpy(zero_copy_only=False) for f in fields}
         self.at = {f: values.field(f).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields}
 
@@ -148,6 +150,17 @@ class Lists:
         return out
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose lists in ``column`` have about PART elements together, or one row."""
+    for b in batches:
+        lists = b.column(column)
+        size = np.diff(lists.offsets.to_numpy().astype(np.int64))
+        part = (np.cumsum(size) - size) // PART
+        edge = np.flatnonzero(np.diff(part, prepend=-1))
+        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), b.num_rows]):
+            yield b.slice(lo, hi - lo)
+
+
 def listed(of: np.ndarray, docs: int, kind: str, **fields: np.ndarray) -> pa.Array:
     """The reverse: lists of structs from flat rows that are in order of ``of``."""
     types = {"bigint": pa.int64(), "int": pa.int32()}
@@ -228,7 +241,7 @@ def double(ranks: DataFrame, offset: int) -> DataFrame:
     null where that goes on in step with the first, so that the pair is equal to the one at the earlier place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, "runs"):
             x = Lists(b.column("runs"), "i", "n", "need", "ref_doc", "ref_rid", "ref_i")
             x = x.take(np.lexsort((x["i"], x.of)))
             of, i, n, need, d, r, ref = in_step(x.of, *(x[f] for f in ("i", "n", "need", "ref_doc", "ref_rid", "ref_i")))
@@ -278,7 +291,7 @@ def settle(documents: DataFrame, ranks: list[tuple[int, DataFrame]], length: int
         met = documents.join(spans, (F.col("doc") == F.col("d")) & (F.col("rid") == F.col("r")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, "anchors"):
             x, one, more = Lists(b.column("anchors"), "key", "i", "start", "n", "at"), Lists(b.column("runs"), "i", "n", "ref_doc", "ref_rid", "ref_i"), Lists(b.column("spans"), "i", "n", "phrases")
             doc, rid = (b.column(c).to_numpy() for c in ("doc", "rid"))
             own = (one["ref_doc"] == doc[one.of]) & (one["ref_rid"] == rid[one.of]) & (one["ref_i"] == one["i"])
@@ -314,7 +327,7 @@ def open_places(settled: DataFrame) -> DataFrame:
     """PLACES of the anchors that still have windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, "open"):
             x = Lists(b.column("open"), "key", "start", "n")
             if len(x.of):
                 doc, rid = (b.column(c).to_numpy()[x.of] for c in ("doc", "rid"))
