@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from statelace.functions import arrays as A
 from statelace.functions import names as N
-from statelace.operators import cluster, events, features, inverse, joins, runs, sequence, signal, stats
+from statelace.operators import cluster, compare, events, features, inverse, joins, runs, sequence, signal, stats
 from statelace.operators.scoring import Templates, assign, total_explained
+from statelace.sources import files as S
 from statelace.sources import views as V
 from statelace.sources.views import FS
 
@@ -151,7 +152,8 @@ SELECT recording_id, {', '.join(f"round(max(value) FILTER (state = '{x}'), 6) AS
     lambda s, d: rounded(features.wide(features.coverage(V.segmentation(s, d)), STATES, "COV"), *[f"COV_{x}" for x in STATES])
 )
 query("lempel_ziv")(lambda s, d: rounded(sequence.lempel_ziv(V.segmentation(s, d)), "value"))
-query("hurst")(lambda s, d: rounded(sequence.hurst(V.segmentation(s, d), least=10), "value"))
+#: Users' events in rows of twenty users make recordings that are long enough for the least box of 50 samples.
+query("hurst")(lambda s, d: rounded(sequence.hurst(V.long_segmentation(s, d)), "value"))
 query("surrogate_entropy")(lambda s, d: rounded(features.joint_entropy(features.shuffled(V.segmentation(s, d), 1), 2), "value"))
 query("surrogate_coverage", ORACLES["coverage"])(lambda s, d: rounded(features.coverage(features.shuffled(V.segmentation(s, d), 7)), "value"))
 query("random_sequence")(lambda s, d: features.coverage(features.random_labels(V.segmentation(s, d), 3)))
@@ -190,6 +192,12 @@ def _assigned(s: SparkSession, d: str, threshold: float | None = None) -> DataFr
     return assign(V.topographies(s, d), _t(s, d), threshold)
 
 
+def _recorded(s: SparkSession, d: str, threshold: float | None = None) -> DataFrame:
+    """Scored samples, a hundred to a recording."""
+    rows = _assigned(s, d, threshold).withColumn("recording_id", F.floor(F.col("sample_ix") / 100))
+    return rows.withColumn("power", F.col("gfp") ** 2 * F.size("topo"))
+
+
 query("gfp", f"WITH {TOPO}, q AS (SELECT sample_ix, list_stddev_pop(x) AS gfp FROM topo) SELECT sample_ix, {r6('gfp')} FROM q")(lambda s, d: rounded(V.topographies(s, d).select("sample_ix", A.gfp(F.col("topo")).alias("gfp")), "gfp"))
 _each = lambda df: rounded(df.select("sample_ix", F.posexplode("topo").alias("pos", "value")), "value")
 query("average_reference", f"WITH {TOPO}, q AS (SELECT sample_ix, unnest(list_transform(x, lambda v: v - list_avg(x))) AS value, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos FROM topo) SELECT sample_ix, pos, {r6('value')} FROM q")(
@@ -209,15 +217,16 @@ query("gev_total", f"WITH {SCORE}, a AS (SELECT sample_ix, arg_max(r, abs(act))
 query("gev_per_state", f"WITH {SCORE}, q AS (SELECT 'S' || state AS state, 100 * sum((gfp * r) ** 2) / (SELECT sum(gfp ** 2) FROM best) AS value FROM best GROUP BY 1) SELECT state, {r6('value')} FROM q")(
     lambda s, d: rounded(features.explained_variance(_assigned(s, d).select(F.lit(1).alias("recording_id"), "label", "gfp", F.get("r", F.col("state")).alias("r"))).drop("recording_id"), "value")
 )
-query("backfit_quality", f"""WITH {SCORE}, z AS (SELECT *, state <> lag(state) OVER (ORDER BY sample_ix) AS t FROM best),
-q AS (SELECT 0.6 * (SELECT avg(m) FROM (SELECT avg(abs_r) AS m FROM best GROUP BY state)) + 0.3 / (1 + sum(CASE WHEN t THEN 1 ELSE 0 END) / count(*)) + 0.1 AS quality FROM z) SELECT 1 AS recording_id, {r6('quality')} FROM q""")(
-    lambda s, d: rounded(runs.quality(_assigned(s, d).withColumn("recording_id", F.lit(1))), "quality")
+query("backfit_quality", f"""WITH {SCORE}, z AS (SELECT *, CAST(floor(sample_ix / 100) AS BIGINT) AS recording_id, state <> lag(state) OVER (PARTITION BY floor(sample_ix / 100) ORDER BY sample_ix) AS t FROM best),
+m AS (SELECT recording_id, avg(m) AS m FROM (SELECT recording_id, state, avg(abs_r) AS m FROM z GROUP BY 1, 2) GROUP BY 1),
+q AS (SELECT recording_id, 0.6 * any_value(m.m) + 0.3 / (1 + sum(CASE WHEN t THEN 1 ELSE 0 END) / count(*)) + 0.1 AS quality FROM z JOIN m USING (recording_id) GROUP BY 1) SELECT recording_id, {r6('quality')} FROM q""")(
+    lambda s, d: rounded(runs.quality(_recorded(s, d)), "quality")
 )
 query("retention_curve", f"WITH {SCORE}, q AS (SELECT t AS threshold, 100 * avg(CASE WHEN abs_r >= t THEN 1.0 ELSE 0.0 END) AS retained FROM best, (SELECT unnest([0.2, 0.3, 0.4, 0.5])::DOUBLE AS t) GROUP BY 1) SELECT 1 AS recording_id, threshold, {r6('retained')} FROM q")(
     lambda s, d: rounded(runs.retention(_assigned(s, d).withColumn("recording_id", F.lit(1)), (0.2, 0.3, 0.4, 0.5)), "retained")
 )
-query("smooth")(lambda s, d: sequence.smooth(_assigned(s, d).withColumns({"recording_id": F.lit(1), "power": A.norm(A.centre(F.col("topo"))) ** 2}), 64))
-query("spread_gaps")(lambda s, d: sequence.spread_gaps(_assigned(s, d).withColumn("recording_id", F.lit(1)), 1))
+query("smooth")(lambda s, d: sequence.smooth(_recorded(s, d), 64))
+query("spread_gaps")(lambda s, d: sequence.spread_gaps(_recorded(s, d), 1))
 
 # --- clustering -------------------------------------------------------------------------------------------------------------------
 
@@ -226,15 +235,31 @@ e AS (SELECT state, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, a, un
 stp AS (SELECT state, pos, v / sqrt(sum(v * v) OVER (PARTITION BY state)) AS value FROM su)"""
 query("kmeans_step", f"WITH {ACT} SELECT state, pos, {r6('value')} FROM stp")(lambda s, d: rounded(cluster.step(V.topographies(s, d), _t(s, d)), "value"))
 
+TWO = f"""WITH {ACT}, m2 AS (SELECT state, list(value ORDER BY pos) AS m FROM stp GROUP BY 1), p2 AS (SELECT sample_ix, m2.state, x, list_dot_product(x, m2.m) AS a FROM topo, m2),
+b2 AS (SELECT sample_ix, arg_max(state, abs(a)) AS state, arg_max(a, abs(a)) AS a, any_value(x) AS x FROM p2 GROUP BY 1),
+e2 AS (SELECT state, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, a, unnest(x) AS v FROM b2), s2 AS (SELECT state, pos, sum(a * v) AS v FROM e2 GROUP BY 1, 2),
+q AS (SELECT state, pos, v / sqrt(sum(v * v) OVER (PARTITION BY state)) AS value FROM s2)"""
+
+
+def _two_rounds(s: SparkSession, d: str) -> DataFrame:
+    samples, t = V.topographies(s, d), _t(s, d)
+    maps = t.maps.copy()
+    for r in cluster.step(samples, t).collect():  # states x channels
+        maps[r["state"], r["pos"]] = r["value"]
+    return rounded(cluster.step(samples, Templates(t.labels, maps)), "value")
+
+
+query("kmeans_two_rounds", f"{TWO} SELECT state, pos, {r6('value')} FROM q")(_two_rounds)
+
 
 def _maps(s: SparkSession, d: str, t: Templates) -> DataFrame:
     return s.createDataFrame([(i, t.labels[i], [float(v) for v in m]) for i, m in enumerate(t.maps)], "state int, label string, topo array<double>")
 
 
-query("kmeans")(lambda s, d: _maps(s, d, cluster.kmeans(V.topographies(s, d), _t(s, d), rounds=5)))
-query("similarity_kmeans")(lambda s, d: _maps(s, d, cluster.kmeans(V.topographies(s, d), _t(s, d), "correlation", rounds=3)))
-query("kmeans_best_of")(lambda s, d: _maps(s, d, cluster.best_of(V.topographies(s, d), 4, 2, rounds=3)))
-query("taahc")(lambda s, d: _maps(s, d, Templates(tuple("ABCD"), cluster.taahc(np.array([r["topo"] for r in cluster.draw(V.topographies(s, d), 150, 42).collect()]), 4))))
+query("kmeans")(lambda s, d: _maps(s, d, cluster.kmeans(V.topographies(s, d), _t(s, d))))
+query("similarity_kmeans")(lambda s, d: _maps(s, d, cluster.kmeans(V.topographies(s, d), _t(s, d), "correlation")))
+query("kmeans_best_of")(lambda s, d: _maps(s, d, cluster.best_of(V.topographies(s, d), 4)))
+query("taahc")(lambda s, d: _maps(s, d, cluster.taahc(V.topographies(s, d).withColumn("recording_id", F.floor(F.col("sample_ix") / 100)), 4)))
 
 OWN = f"""{TOPO}, {TPL}, {CEN}, o AS (SELECT topo.sample_ix, topo.state0 AS state, topo.x, tpl.m, least(1.0, abs(list_cosine_similarity(topo.x, tpl.m))) AS cs,
   least(1.0, abs(list_cosine_similarity(c.x, tc.m))) AS rr FROM topo JOIN c USING (sample_ix) JOIN tpl ON tpl.state = topo.state0 JOIN tc ON tc.state = topo.state0)"""
@@ -252,6 +277,9 @@ query("within_square_sum", f"WITH {OWN}, q AS (SELECT sum((1 - cs) ** 2) AS valu
 query("calinski_harabasz", f"WITH {OWN}, g AS (SELECT list_transform(range(64), lambda i: 1.0) AS g), q AS (SELECT (sum((1 - least(1.0, abs(list_cosine_similarity(m, g)))) ** 2) / 9) / (sum((1 - cs) ** 2) / (count(*) - 10)) AS value FROM o, g) SELECT {r6('value')} FROM q")(
     lambda s, d: rounded(cluster.calinski_harabasz(_own(s, d), _t(s, d), np.ones(64)), "value")
 )
+query("calinski_harabasz_leading")(lambda s, d: rounded(cluster.calinski_harabasz(_own(s, d), _t(s, d), cluster.leading_direction(V.topographies(s, d), 64)), "value"))
+query("gap_statistic")(lambda s, d: s.createDataFrame([tuple(round(x, 6) for x in cluster.gap(_own(s, d)))], "gap double, se double"))
+query("criteria_of_one_k")(lambda s, d: s.createDataFrame([(n, round(v, 6)) for n, v in cluster.criteria(_own(s, d), _t(s, d), names=[x for x in cluster.DIRECTION if x not in ("gap", "kl")]).items()], "method string, score double"))
 DIST = f"{TOPO}, {TPL}, {CEN}, cc AS (SELECT c.sample_ix, state0 AS state, c.x FROM c JOIN topo USING (sample_ix)), dd AS (SELECT a.sample_ix AS i, a.state AS si, b.state AS sj, 1 - least(1.0, abs(list_cosine_similarity(a.x, b.x))) AS d FROM cc a JOIN cc b ON a.sample_ix <> b.sample_ix)"
 query("silhouette", f"""WITH {DIST}, m AS (SELECT i, si, sj, avg(d) AS m FROM dd GROUP BY 1, 2, 3), e AS (SELECT i, coalesce(max(m) FILTER (si = sj), 0) AS a, min(m) FILTER (si <> sj) AS b FROM m GROUP BY 1), q AS (SELECT avg((b - a) / greatest(a, b)) AS value FROM e) SELECT {r6('value')} FROM q""")(lambda s, d: rounded(cluster.silhouette(_own(s, d)), "value"))
 query("dunn", f"WITH {DIST}, q AS (SELECT min(d) FILTER (si <> sj) / max(d) FILTER (si = sj) AS value FROM dd) SELECT {r6('value')} FROM q")(lambda s, d: rounded(cluster.dunn(_own(s, d)), "value"))
@@ -331,7 +359,11 @@ query("rtf", f'WITH {RTF} SELECT "window", state, state_to, {r6("rate", "pct_cha
 query("paired_t", f"WITH {PAIRS}, q AS (SELECT feature, count(*) AS n, avg(x - y) / stddev_samp(x - y) * sqrt(count(*)) AS stat, avg(x - y) / stddev_samp(x - y) AS d FROM pairs GROUP BY 1) SELECT feature, n, {r6('stat', 'd')} FROM q")(
     lambda s, d: rounded(stats.paired_t(stats.paired(V.values(s, d), "a", "b")).select("feature", "n", "stat", "d"), "stat", "d")
 )
-query("paired_by_order")(lambda s, d: rounded(stats.with_interval(stats.with_p(stats.paired_t(stats.paired(V.values(s, d), "a", "b", "order")))), "stat", "p"))
+query("paired_by_order", f"""WITH {VALUES}, o AS (SELECT feature, grp, value, row_number() OVER (PARTITION BY feature, grp ORDER BY subject) AS i FROM vals), pr AS (SELECT feature, i, max(value) FILTER (grp = 'a') AS x, max(value) FILTER (grp = 'b') AS y FROM o GROUP BY 1, 2 HAVING count(*) = 2),
+q AS (SELECT feature, count(*) AS n, avg(x - y) / stddev_samp(x - y) * sqrt(count(*)) AS stat, avg(x - y) / stddev_samp(x - y) AS d, avg(x - y) AS m, stddev_samp(x - y) AS sd FROM pr GROUP BY 1) SELECT feature, n, {r6('stat', 'd', 'm', 'sd')} FROM q""")(
+    lambda s, d: rounded(stats.paired_t(stats.paired(V.values(s, d), "a", "b", "order")).select("feature", "n", "stat", "d", "m", "sd"), "stat", "d", "m", "sd")
+)
+query("paired_by_order_tests")(lambda s, d: rounded(stats.with_interval(stats.with_p(stats.paired_t(stats.paired(V.values(s, d), "a", "b", "order")))), "stat", "p"))
 MOM = f"{VALUES}, mo AS (SELECT feature, count(*) FILTER (grp = 'a') AS n1, count(*) FILTER (grp = 'b') AS n2, avg(value) FILTER (grp = 'a') AS m1, avg(value) FILTER (grp = 'b') AS m2, var_samp(value) FILTER (grp = 'a') AS v1, var_samp(value) FILTER (grp = 'b') AS v2 FROM vals GROUP BY 1)"
 query("pooled_t", f"WITH {MOM}, q AS (SELECT feature, n1, n2, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) AS stat, n1 + n2 - 2 AS df FROM mo) SELECT feature, n1, n2, {r6('stat', 'df')} FROM q")(
     lambda s, d: rounded(stats.independent_t(V.values(s, d), "a", "b", True), "stat", "df")
@@ -406,8 +438,100 @@ def _series(s: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("recording_id").alias("subject"), ((F.col("sample_ix") - 20) * 10.0).alias("t_ms"), (F.col("value") - 50.0).alias("value"))
 
 
-query("tfce")(lambda s, d: rounded(stats.tfce(_series(s, d), 100), "stat", "score", "p"))
-query("tfce_clusters")(lambda s, d: stats.clusters(stats.tfce(_series(s, d), 100), 0.5))
+def _halves(s: SparkSession, d: str, half: int) -> DataFrame:
+    """Users in pairs: the even and the odd one of each are two sessions of a subject."""
+    return _series(s, d).where(F.col("subject") % 2 == half).withColumn("subject", F.floor(F.col("subject") / 2))
+
+
+def _rates(s: SparkSession, d: str) -> DataFrame:
+    """Changes of transition rates as values of two studies; a user's events are one trial."""
+    e = V.epochs(s, d).withColumn("recording_id", F.col("trial"))
+    r = events.transition_rates(e, {"post_tms": (0.0, 200.0)}, (-200.0, -10.0), ["recording_id"])
+    return r.select(F.concat_ws("_", F.lit("RTF"), "state", "state_to").alias("feature"), F.when(F.col("recording_id") % 2 == 0, "a").otherwise("b").alias("grp"), F.floor(F.col("recording_id") / 2).alias("subject"), F.col("pct_change").alias("value"))
+
+
+query("tfce")(lambda s, d: rounded(stats.tfce(_series(s, d)), "stat", "score", "p"))
+query("tfce_clusters")(lambda s, d: rounded(stats.clusters(stats.tfce(_series(s, d).withColumn("value", F.col("value") + 20.0))), "mean_stat"))
+query("tfce_paired")(lambda s, d: rounded(stats.paired_tfce(*(_halves(s, d, i) for i in (0, 1))), "stat", "score", "p"))
+TT = f"""{SEG}, z AS (SELECT recording_id AS subject, CAST((sample_ix - 20) * 10.0 AS DOUBLE) AS t_ms, value - 50.0 AS v FROM seg)"""
+query("tfce_statistic", f"WITH {TT}, q AS (SELECT t_ms, CASE WHEN count(*) > 1 AND var_samp(v) > 1e-12 THEN avg(v) * sqrt(count(*)) / stddev_samp(v) ELSE 0.0 END AS stat FROM z GROUP BY 1) SELECT t_ms, {r6('stat')} FROM q")(
+    lambda s, d: rounded(stats.tfce(_series(s, d), 1).select("t_ms", "stat"), "stat")
+)
+
+# --- comparisons of studies ------------------------------------------------------------------------------------------------------------
+
+
+def _windows(s: SparkSession, d: str) -> DataFrame:
+    """Coverage of windows of twenty samples; users are subjects of two studies in turn."""
+    v = features.sliding_coverage(V.segmentation(s, d), FS, 20 / FS)
+    return v.select(F.concat(F.lit("COV_"), "state").alias("feature"), F.when(F.col("recording_id") % 2 == 0, "a").otherwise("b").alias("grp"), F.floor(F.col("recording_id") / 2).alias("subject"), "window_ix", "value")
+
+
+WV = f"""{SEG}, {WIN}, ws AS (SELECT recording_id, label AS state FROM seg WHERE label IS NOT NULL GROUP BY 1, 2), wn AS (SELECT recording_id, window_ix, label AS state, count(*) AS c FROM w WHERE label IS NOT NULL GROUP BY 1, 2, 3),
+wt AS (SELECT recording_id, window_ix, sum(c) AS t FROM wn GROUP BY 1, 2), wg AS (SELECT DISTINCT recording_id, window_ix FROM w),
+wv AS (SELECT 'COV_' || state AS feature, CASE WHEN recording_id % 2 = 0 THEN 'a' ELSE 'b' END AS grp, CAST(floor(recording_id / 2) AS BIGINT) AS subject, window_ix, coalesce(100.0 * c / t, 0.0) AS value
+  FROM wg JOIN ws USING (recording_id) LEFT JOIN wn USING (recording_id, window_ix, state) LEFT JOIN wt USING (recording_id, window_ix))"""
+SP = f"""{WV}, sm AS (SELECT feature, subject, avg(value) FILTER (grp = 'a') AS a, avg(value) FILTER (grp = 'b') AS b FROM wv GROUP BY 1, 2), sp AS (SELECT * FROM sm WHERE a IS NOT NULL AND b IS NOT NULL),
+st AS (SELECT feature, count(*) AS n, avg(a) AS mean1, avg(b) AS mean2, avg(b - a) AS diff, avg(b - a) / stddev_samp(b - a) * sqrt(count(*)) AS stat, avg(b - a) / stddev_samp(b - a) AS d FROM sp GROUP BY 1 HAVING count(*) > 2),
+wc AS (SELECT feature, count(*) FILTER (grp = 'a') AS windows1, count(*) FILTER (grp = 'b') AS windows2 FROM wv GROUP BY 1)"""
+_SP = ("mean1", "mean2", "diff", "stat", "d")
+query("sliding_paired", f"WITH {SP} SELECT feature, n, windows1, windows2, {r6(*_SP)} FROM st JOIN wc USING (feature)")(
+    lambda s, d: rounded(compare.sliding_paired(_windows(s, d), "a", "b").select("feature", "n", "windows1", "windows2", *_SP), *_SP)
+)
+query("sliding_modelled")(lambda s, d: rounded(compare.modelled(_windows(s, d), "a", "b"), "mean1", "mean2", "diff", "p", "d", "p_adj"))
+MC = """SELECT feature, count(DISTINCT subject) FILTER (grp = 'a') AS subjects1, count(DISTINCT subject) FILTER (grp = 'b') AS subjects2, count(*) FILTER (grp = 'a') AS n1, count(*) FILTER (grp = 'b') AS n2,
+  round(avg(value) FILTER (grp = 'a'), 6) AS mean1, round(avg(value) FILTER (grp = 'b'), 6) AS mean2 FROM"""
+_MC = ("feature", "subjects1", "subjects2", "n1", "n2", "mean1", "mean2")
+query("sliding_modelled_means", f"WITH {WV} {MC} wv GROUP BY 1")(lambda s, d: rounded(compare.modelled(_windows(s, d), "a", "b").select(*_MC), "mean1", "mean2"))
+
+
+def _event_values(s: SparkSession, d: str) -> DataFrame:
+    """Coverage after each signup or purchase, users as subjects of two studies in turn."""
+    seg = V.segmentation(s, d).withColumn("t_s", F.col("sample_ix") / FS)
+    inside = events.in_windows(seg, events.event_windows(V.annotations(s, d), ["signup", "purchase"]))
+    c = features.coverage(inside, ["recording_id", "event_ix", "description"])
+    return c.select(F.concat(F.lit("COV_"), "state").alias("feature"), "description", F.when(F.col("recording_id") % 2 == 0, "a").otherwise("b").alias("grp"), F.floor(F.col("recording_id") / 2).alias("subject"), "value")
+
+
+query("event_windows_modelled")(lambda s, d: rounded(compare.modelled(_event_values(s, d), "a", "b", ["description"]), "mean1", "mean2", "diff", "p", "d", "p_adj"))
+
+
+def _pre_post(s: SparkSession, d: str) -> DataFrame:
+    e = events.before_after(V.epochs(s, d), (-200.0, 0.0), (0.0, 200.0))
+    c = features.coverage(e.withColumn("sample_ix", F.col("t_ms").cast("long")), ["trial", "window_type"])
+    return c.select(F.concat(F.lit("COV_"), "state").alias("feature"), F.col("window_type").alias("grp"), F.col("trial").alias("subject"), "value")
+
+
+PP = f"""{EPO}, pp AS (SELECT trial, CASE WHEN t_ms < 0 THEN 'pre' ELSE 'post' END AS grp, label FROM epo WHERE t_ms >= -200 AND t_ms < 200 AND label IS NOT NULL),
+pc AS (SELECT trial, grp, label, count(*) AS c FROM pp GROUP BY 1, 2, 3), pv AS (SELECT 'COV_' || label AS feature, grp, trial AS subject, 100.0 * c / sum(c) OVER (PARTITION BY trial, grp) AS value FROM pc)"""
+query("pre_post_modelled")(lambda s, d: rounded(compare.modelled(_pre_post(s, d), "pre", "post"), "mean1", "mean2", "diff", "p", "d", "p_adj"))
+query("pre_post_means", f"WITH {PP} {MC.replace(chr(39) + 'a' + chr(39), chr(39) + 'pre' + chr(39)).replace(chr(39) + 'b' + chr(39), chr(39) + 'post' + chr(39))} pv GROUP BY 1")(
+    lambda s, d: rounded(compare.modelled(_pre_post(s, d), "pre", "post").select(*_MC), "mean1", "mean2")
+)
+MD = f"{MOM}, md AS (SELECT feature, n1, n2, m1 AS mean1, m2 AS mean2, m2 - m1 AS diff, (m2 - m1) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS d FROM mo)"
+query("transitions_compared")(lambda s, d: rounded(compare.transitions_compared(_rates(s, d), "a", "b"), "mean1", "mean2", "diff", "ci_low", "ci_high", "stat", "p", "d", "p_adj"))
+query("means_compared", f"WITH {MD} SELECT feature, n1, n2, {r6('mean1', 'mean2', 'diff', 'd')} FROM md")(
+    lambda s, d: rounded(compare.transitions_compared(V.values(s, d), "a", "b").select("feature", "n1", "n2", "mean1", "mean2", "diff", "d"), "mean1", "mean2", "diff", "d")
+)
+query("summary_counts", f"WITH {SP} SELECT count(*) AS tests FROM st")(lambda s, d: compare.summary_counts(compare.sliding_paired(_windows(s, d), "a", "b")).select("tests"))
+query("box_data", f"""WITH {VALUES}, qs AS (SELECT feature, grp, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM vals GROUP BY 1, 2),
+q AS (SELECT feature, grp, n, q1, median, q3, min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)) AS low, max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)) AS high FROM qs JOIN vals USING (feature, grp) GROUP BY ALL) SELECT feature, grp, n, {r6('q1', 'median', 'q3', 'low', 'high')} FROM q""")(
+    lambda s, d: rounded(compare.box_data(V.values(s, d), "feature", "grp"), "q1", "median", "q3", "low", "high")
+)
+query("values_of_code", f"WITH {WV} SELECT feature, grp, subject, window_ix, round(value, 6) AS value FROM wv WHERE feature LIKE 'COV!_%' ESCAPE '!' AND subject IN (SELECT CAST(floor(c_custkey / 2) AS BIGINT) FROM customer WHERE c_acctbal > 0)")(
+    lambda s, d: rounded(compare.of_files(compare.of_code(_windows(s, d), "COV"), V.read(s, d, "customer").where("c_acctbal > 0").select(F.floor(F.col("c_custkey") / 2).alias("subject"))), "value")
+)
+query("friedman", f"""WITH {VALUES}, fk AS (SELECT feature, count(DISTINCT grp) AS k FROM vals GROUP BY 1), fv AS (SELECT * FROM (SELECT vals.*, fk.k, count(*) OVER (PARTITION BY feature, subject) AS c FROM vals JOIN fk USING (feature)) WHERE c = k AND k > 1),
+fr AS (SELECT *, rank() OVER (PARTITION BY feature, subject ORDER BY value) + (count(*) OVER (PARTITION BY feature, subject, value) - 1) / 2.0 AS r FROM fv),
+fs AS (SELECT feature, k, n, sum(s * s) AS s FROM (SELECT feature, k, grp, sum(r) AS s, count(*) AS n FROM fr GROUP BY 1, 2, 3) GROUP BY 1, 2, 3), ft AS (SELECT feature, sum(t ** 3 - t) AS ties FROM (SELECT feature, subject, value, count(*) AS t FROM fr GROUP BY 1, 2, 3) GROUP BY 1),
+q AS (SELECT feature, n, (12.0 / (n * k * (k + 1)) * s - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1.0))) AS stat FROM fs JOIN ft USING (feature)) SELECT feature, n, {r6('stat')} FROM q""")(
+    lambda s, d: rounded(stats.friedman(V.values(s, d)).select("feature", "n", "stat"), "stat")
+)
+query("gee_gamma")(lambda s, d: rounded(stats.gee(V.values(s, d), "a", "b", family="gamma"), "coef", "se", "p"))
+query("surrogate_ratios")(lambda s, d: rounded(features.surrogate_ratios(V.segmentation(s, d), 100), "mean", "sd"))
+query("window_variability")(lambda s, d: rounded(features.window_variability(V.segmentation(s, d), FS, 20 / FS), "value"))
+query("variability_table")(lambda s, d: S.variability_table(features.window_variability(V.segmentation(s, d), FS, 20 / FS)))
+query("feature_registry")(lambda s, d: rounded(features.features(V.segmentation(s, d), FS, ("COV", "OCC", "DUR", "MMD", "TP", "ER", "ERR", "HE", "LZC")), "value"))
 
 # --- joins, names, channels -----------------------------------------------------------------------------------------------------------
 
@@ -419,6 +543,9 @@ query("base_filename", f"WITH {FILES} SELECT name, regexp_replace(name, '_task-r
 query("condition_pairs", f"WITH {FILES}, b AS (SELECT name, regexp_replace(name, '_(Pre|Post)', '') AS base, contains(name, 'Pre') AS pre FROM nm) SELECT base, max(name) FILTER (pre) AS first, max(name) FILTER (NOT pre) AS second FROM b GROUP BY 1 HAVING count(*) = 2")(
     lambda s, d: joins.condition_pairs(V.file_names(s, d), "Pre", "Post")
 )
+query("file_pairs", f"WITH {FILES}, b AS (SELECT name, replace(replace(replace(name, '_Pre', '_*'), '_Post', '_*'), '-', '_') AS base, contains(name, 'Pre') AS pre FROM nm) SELECT base, max(name) FILTER (pre) AS first, max(name) FILTER (NOT pre) AS second FROM b GROUP BY 1 HAVING count(*) = 2")(
+    lambda s, d: joins.file_pairs(V.file_names(s, d), "Pre", "Post")
+)
 query("matched_subjects", f"WITH {VALUES} SELECT DISTINCT subject FROM vals WHERE grp = 'a' AND feature = 'error' AND subject IN (SELECT subject FROM vals WHERE grp = 'b' AND feature = 'signup')")(
     lambda s, d: joins.matched_subjects(V.values(s, d).where("grp = 'a' and feature = 'error'"), V.values(s, d).where("grp = 'b' and feature = 'signup'"))
 )
@@ -470,7 +597,10 @@ query("resample")(lambda s, d: rounded(signal.resample(_series_of(s, d), FS, 125
 query("spatial_smooth", f"WITH {TOPO}, q AS (SELECT sample_ix, (x[1] + x[2] + x[3]) / 3 AS a, (x[2] + x[1]) / 2 AS b FROM topo) SELECT sample_ix, {r6('a', 'b')} FROM q")(
     lambda s, d: rounded(signal.spatial_smooth(V.topographies(s, d), {0: [1, 2], 1: [0]}).select("sample_ix", F.get("topo", 0).alias("a"), F.get("topo", 1).alias("b")), "a", "b")
 )
-query("noisy_channels")(lambda s, d: rounded(signal.noisy_channels(V.segmentation(s, d).select(F.lit(1).alias("recording_id"), F.col("recording_id").alias("channel"), F.col("value").alias("x"))), "z"))
+query("noisy_channels", f"""WITH {SEG}, cs AS (SELECT recording_id % 5 AS recording_id, recording_id AS channel, ln(stddev_pop(value) + 1e-30) AS s FROM seg GROUP BY 1, 2), cm AS (SELECT *, median(s) OVER (PARTITION BY recording_id) AS m FROM cs),
+ca AS (SELECT *, median(abs(s - m)) OVER (PARTITION BY recording_id) AS a FROM cm), q AS (SELECT recording_id, channel, coalesce((s - m) / nullif(1.4826 * a, 0), 0) AS z FROM ca) SELECT recording_id, channel, {r6('z')}, abs(z) > 5 AS is_bad FROM q""")(
+    lambda s, d: rounded(signal.noisy_channels(V.segmentation(s, d).select((F.col("recording_id") % 5).alias("recording_id"), F.col("recording_id").alias("channel"), F.col("value").alias("x"))), "z")
+)
 query("mean_source_by_label", f"WITH {TOPO}, e AS (SELECT state0, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, unnest(x) AS v FROM topo), q AS (SELECT 'S' || state0 AS label, pos, avg(v) AS value FROM e GROUP BY 1, 2) SELECT label, pos, {r6('value')} FROM q")(
     lambda s, d: rounded(inverse.mean_by_label(V.topographies(s, d).select(F.concat(F.lit("S"), F.col("state0")).alias("label"), F.col("topo").alias("src"))), "value")
 )
@@ -483,4 +613,4 @@ query("localised_sources")(lambda s, d: inverse.localise(V.topographies(s, d), i
 @query("source_permutation")
 def _permutation(s: SparkSession, d: str) -> DataFrame:
     rows = inverse.localise(inverse.state_weights(V.topographies(s, d), _t(s, d)), inverse.inverse_operator(np.random.default_rng(0).normal(size=(64, 20))))
-    return inverse.permutation_z(s, inverse.regress_sources(rows, 10, 20), 200)
+    return inverse.permutation_z(s, inverse.regress_sources(rows, 10, 20))

@@ -180,27 +180,86 @@ def wide(long: DataFrame, states: Sequence[str], code: str, keys: Sequence[str]
     return out.withColumnsRenamed({s: f"{code}_{s}" for s in states})
 
 
-def features(seq: DataFrame, fs: float, codes: Sequence[str] = ("COV", "OCC", "DUR"), keys: Sequence[str] = RECORDING) -> DataFrame:
-    """(keys..., feature, state, state_to, value) of several features at once."""
+#: Codes that need more than labels: scored samples, or epochs with trial and t_ms.
+NEEDS = {"GEV": "scored", "ROF": "epochs", "RTF": "epochs"}
+
+
+def features(
+    seq: DataFrame,
+    fs: float,
+    codes: Sequence[str] = ("COV", "OCC", "DUR"),
+    keys: Sequence[str] = RECORDING,
+    scored: DataFrame | None = None,
+    epochs: DataFrame | None = None,
+    windows: dict[str, tuple[float, float]] | None = None,
+    baseline: tuple[float, float] = (-1000.0, -10.0),
+) -> DataFrame:
+    """(keys..., feature, state, state_to, t_ms, value) of several features at once.
+
+    GEV needs ``scored`` samples (label, gfp, r); ROF and RTF need ``epochs`` (keys..., trial, t_ms, label), RTF also ``windows``
+    of times after its ``baseline``, named in the feature (RTF_window).
+    """
+    from . import events, sequence
+
     parts = {
         "COV": lambda: coverage(seq, keys),
         "OCC": lambda: occurrence(seq, fs, keys),
         "DUR": lambda: duration(seq, fs, keys=keys),
         "MMD": lambda: duration(seq, fs, keys=keys),
+        "GEV": lambda: explained_variance(scored, keys),
         "TP": lambda: transition_probability(seq, keys),
         "ER": lambda: entropy_rate(seq, keys=keys).withColumnRenamed("rate", "value"),
         "ERR": lambda: entropy_classes(seq, keys=keys).withColumn("state", F.concat(F.lit("EntropyClass"), F.col("class"))),
+        "HE": lambda: sequence.hurst(seq, keys),
+        "LZC": lambda: sequence.lempel_ziv(seq, keys),
+        "ROF": lambda: events.relative_occurrence(epochs, baseline, keys).withColumnRenamed("clr_bc", "value"),
+        "RTF": lambda: events.transition_rates(epochs, windows or {}, baseline, keys).withColumnRenamed("pct_change", "value"),
     }
     if unknown := set(codes) - set(parts):
         raise ValueError(f"unknown features {sorted(unknown)}")
+    given = {"scored": scored, "epochs": epochs}
+    if lacking := [c for c in codes if c in NEEDS and given[NEEDS[c]] is None]:
+        raise ValueError(f"features {lacking} need {sorted({NEEDS[c] for c in lacking})}")
     out = None
     for code in codes:
         f = parts[code]()
-        f = f.select(*keys, F.lit(code).alias("feature"), *[F.col(c) if c in f.columns else F.lit(None).cast("string").alias(c) for c in ("state", "state_to")], "value")
+        name = F.concat(F.lit("RTF_"), F.col("window")) if code == "RTF" else F.lit(code)
+        kinds = {"state": "string", "state_to": "string", "t_ms": "double"}
+        f = f.select(*keys, name.alias("feature"), *[(F.col(c) if c in f.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()], "value")
         out = f if out is None else out.unionByName(f)
     return out
 
 
+def window_variability(seq: DataFrame, fs: float, seconds: float, keys: Sequence[str] = RECORDING) -> DataFrame:
+    """(keys..., state, feature, value): SD and RMSSD over windows of duration, coverage and occurrence, named DUR_SD and so on."""
+    sources = {"DUR": sliding_duration(seq, fs, seconds, keys=keys), "COV": sliding_coverage(seq, fs, seconds, keys), "OCC": sliding_occurrence(seq, fs, seconds, keys)}
+    out = None
+    for code, windows in sources.items():
+        v = variability(windows, keys)
+        names = F.array(*[F.struct(F.lit(f"{code}_{n}").alias("feature"), F.col(c).alias("value")) for n, c in (("SD", "sd"), ("RMSSD", "rmssd"))])
+        v = v.select(*keys, "state", F.inline(names))
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+def truncated(seq: DataFrame, least: int, keys: Sequence[str] = RECORDING) -> DataFrame:
+    """The first ``least`` samples of every recording; a shorter recording is an error once its rows are read."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    short = F.raise_error(F.concat(F.lit(f"fewer than {least} samples in "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys])))
+    rows = seq.withColumns({"_n": n, "_i": F.row_number().over(by(keys))})
+    return rows.where(F.when(F.col("_n") < least, short.cast("boolean")).otherwise(F.col("_i") <= least)).drop("_n", "_i")
+
+
+def surrogate_ratios(seq: DataFrame, replicates: int = 1000, size: int = 2, seed: int = 42, keys: Sequence[str] = RECORDING) -> DataFrame:
+    """(keys..., class, n, mean, sd): representation ratios over shuffled sequences; replicates are rows of one plan, not rounds."""
+    each = seq.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    of = [*keys, "replicate"]
+    draw = F.row_number().over(Window.partitionBy(*of).orderBy(F.xxhash64("sample_ix", "replicate", F.lit(seed)), "sample_ix"))
+    # the labels stay where they are and get new places
+    r = representation_ratio(each.withColumn("sample_ix", draw.cast("long")), size, of)
+    return r.groupBy(*keys, "class").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+
+
 def shuffled(seq: DataFrame, seed: int, keys: Sequence[str] = RECORDING) -> DataFrame:
     """Surrogate sequence: the same labels in an order drawn by hash, so reruns agree."""
     draw = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("sample_ix", F.lit(seed)), "sample_ix"))

@@ -47,3 +47,24 @@ def condition_pairs(files: DataFrame, first: str, second: str) -> DataFrame:
 def union_of_bads(channels: DataFrame) -> DataFrame:
     """(montage, bads): sorted names that are bad in any recording."""
     return channels.where("is_bad").groupBy("montage").agg(F.sort_array(F.collect_set("channel")).alias("bads"))
+
+
+def with_recordings(segments: DataFrame, recordings: DataFrame, key: str = "recording_id") -> DataFrame:
+    """Segmentations beside their recordings' columns, by file stem; a segmentation without recording is an error."""
+    named = recordings.withColumn("_found", F.lit(True))
+    both = segments.join(named, key, "left")
+    lost = F.raise_error(F.concat(F.lit("no recording for "), F.col(key).cast("string"))).cast("boolean")
+    return both.where(F.coalesce(F.col("_found"), lost)).drop("_found")
+
+
+def file_pairs(files: DataFrame, first: str, second: str) -> DataFrame:
+    """(base, first, second): names that differ in one component alone, which is one condition in one and the other in the other.
+
+    Components stand between _ and -; every component is left out in turn, so the condition may be any of them. Rows: (name).
+    """
+    parts = files.select("name", F.split("name", "[_-]").alias("_p")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_p"))))
+    at = F.element_at("_p", F.col("_i"))
+    rest = F.concat(F.slice("_p", F.lit(1), F.col("_i") - 1), F.array(F.lit("*")), F.slice("_p", F.col("_i") + 1, F.greatest(F.size("_p") - F.col("_i"), F.lit(0))))
+    named = parts.where(at.isin(first, second)).select("name", at.alias("_c"), F.array_join(rest, "_").alias("base"))
+    g = named.groupBy("base").agg(F.count("*").alias("_n"), *[F.max(F.when(F.col("_c") == c, F.col("name"))).alias(n) for n, c in (("first", first), ("second", second))])
+    return g.where("_n = 2 and first is not null and second is not null").drop("_n")

@@ -18,14 +18,38 @@ from .runs import RECORDING, collapse
 
 
 def phrase_count(symbols: str) -> int:
-    """Phrases of the exhaustive-history parse: each is the shortest piece that hasn't occurred before its last symbol."""
-    count, done = 0, 0
-    while done < len(symbols):
-        size = 1
-        while done + size <= len(symbols) and symbols.find(symbols[done : done + size], 0, done + size - 1) >= 0:
-            size += 1
-        count, done = count + 1, done + size
-    return count
+    """Phrases of the exhaustive-history parse: each is the shortest piece that hasn't occurred before its last symbol.
+
+    A suffix automaton knows where each substring first ends, so time grows with the length.
+    """
+    step: list[dict[str, int]] = [{}]  # transitions, suffix links, lengths and first ends of states
+    link, size, ends = [-1], [0], [-1]
+    last = 0
+    for i, c in enumerate(symbols):
+        now = len(step)
+        step.append({}), link.append(0), size.append(size[last] + 1), ends.append(i)
+        p = last
+        while p >= 0 and c not in step[p]:
+            step[p][c] = now
+            p = link[p]
+        if p >= 0:
+            q = step[p][c]
+            if size[p] + 1 == size[q]:
+                link[now] = q
+            else:
+                copy = len(step)
+                step.append(dict(step[q])), link.append(link[q]), size.append(size[p] + 1), ends.append(ends[q])
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = copy
+                    p = link[p]
+                link[q] = link[now] = copy
+        last = now
+    count, at = 0, 0
+    for i, c in enumerate(symbols):
+        at = step[at][c]
+        if ends[at] == i:  # its first end is here: the phrase is new
+            count, at = count + 1, 0
+    return count + (at != 0)
 
 
 def complexity_of(labels: list[str]) -> float:
@@ -185,6 +209,12 @@ def spread_gaps(scored: DataFrame, least: int, rounds: int = 15, keys: Sequence[
     return scored.select(*keys, "sample_ix", "r", "state").groupBy(*keys).applyInPandas(run, schema)
 
 
+def median_parameter(best: DataFrame, default: float, scale: float = 1.0) -> float:
+    """The median over recordings of their best parameter, times ``scale``; ``default`` without recordings."""
+    m = best.agg(F.median("parameter")).first()[0]
+    return (default if m is None else float(m)) * scale
+
+
 def best_parameter(grid: dict[float, DataFrame], keys: Sequence[str] = RECORDING) -> DataFrame:
     """(keys..., parameter) with the best quality among tables of (keys..., quality), the smallest of equals."""
     parts = [d.withColumn("parameter", F.lit(float(p))) for p, d in grid.items()]

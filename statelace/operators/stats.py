@@ -103,6 +103,15 @@ def cohens_d(values: DataFrame, a: str, b: str) -> DataFrame:
     return s.where("n1 > 1 and n2 > 1").select("feature", F.try_divide(F.col("m1") - F.col("m2"), sd).alias("d"))
 
 
+def mean_difference(values: DataFrame, a: str, b: str, level: float = 0.95) -> DataFrame:
+    """(feature, n1, n2, mean1, mean2, diff, ci_low, ci_high): second less first, with an interval from both standard errors and n1 + n2 - 2 degrees."""
+    s = _moments(values, a, b).where("n1 > 1 and n2 > 1")
+    s = s.withColumn("_se", F.sqrt(F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2"))).withColumn("_df", (F.col("n1") + F.col("n2") - 2).cast("double"))
+    s = s.withColumn("_h", special.t_upper(F.lit(0.5 + level / 2), "_df") * F.col("_se"))
+    diff = F.col("m2") - F.col("m1")
+    return s.select("feature", "n1", "n2", F.col("m1").alias("mean1"), F.col("m2").alias("mean2"), diff.alias("diff"), (diff - F.col("_h")).alias("ci_low"), (diff + F.col("_h")).alias("ci_high"))
+
+
 def _mean_rank(value: Column, *group: str) -> Column:
     """Rank with ties at their mean."""
     w = Window.partitionBy(*group)
@@ -280,6 +289,19 @@ def kruskal(values: DataFrame) -> DataFrame:
     return g.join(ties, "feature").select("feature", h.alias("stat"), (F.col("k") - 1).cast("double").alias("df"))
 
 
+def friedman(values: DataFrame) -> DataFrame:
+    """(feature, n, stat, df): Friedman's chi-square of ranks within subjects that have every group."""
+    k = values.where("value is not null").select("feature", "grp").distinct().groupBy("feature").agg(F.count("*").alias("k"))
+    per = values.groupBy("feature", "subject", "grp").agg(F.avg("value").alias("value")).join(k, "feature")
+    full = per.withColumn("_n", F.count("value").over(Window.partitionBy("feature", "subject"))).where("_n = k")
+    r = full.withColumn("r", _mean_rank(F.col("value"), "feature", "subject"))
+    sums = r.groupBy("feature", "grp", "k").agg(F.sum("r").alias("s"), F.count("*").cast("double").alias("n")).groupBy("feature", "k", "n").agg(F.sum(F.col("s") ** 2).alias("s"))
+    ties = r.groupBy("feature", "subject", "value").agg(F.count("*").cast("double").alias("t")).groupBy("feature").agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
+    kk, n = F.col("k"), F.col("n")
+    stat = (12 / (n * kk * (kk + 1)) * F.col("s") - 3 * n * (kk + 1)) / (1 - F.col("ties") / (n * kk * (kk**2 - 1)))
+    return sums.where("k > 1").join(ties, "feature").select("feature", n.cast("long").alias("n"), stat.alias("stat"), (kk - 1).cast("double").alias("df"))
+
+
 # --- models and permutation tests: one grouped Arrow call per feature or per block of permutations ------------------------
 
 
@@ -323,8 +345,13 @@ def mixed_model(values: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy("feature").applyInPandas(run, "feature string, coef double, se double, z double, p double, d double, ci_low double, ci_high double")
 
 
-def gee(values: DataFrame, a: str, b: str, exchangeable: bool = True) -> DataFrame:
-    """(feature, coef, se, z, p): population-average effect of group b, Gaussian identity, robust errors by subject."""
+def gee(values: DataFrame, a: str, b: str, exchangeable: bool = True, family: str = "gaussian") -> DataFrame:
+    """(feature, coef, se, z, p): population-average effect of group b with robust errors by subject.
+
+    "gaussian" has the identity link; "gamma" the log link, and values are first shifted above zero where some aren't.
+    """
+    if family not in ("gaussian", "gamma"):
+        raise ValueError(f"unknown family {family!r}")
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.dropna()
@@ -333,21 +360,30 @@ def gee(values: DataFrame, a: str, b: str, exchangeable: bool = True) -> DataFra
         out = [key[0], *[math.nan] * 4]
         if len(y) and ids.max() >= 2 and 0 < x[:, 1].mean() < 1:
             groups, alpha = [np.flatnonzero(ids == i) for i in range(ids.max() + 1)], 0.0
-            for _ in range(25):
+            if family == "gamma" and y.min() <= 0:
+                y = y - y.min() + 1e-6
+            beta = np.array([math.log(y.mean()), 0.0]) if family == "gamma" else np.zeros(2)
+            for _ in range(100):
+                # working response and design, scaled so that the working variance is one
+                mu = np.exp(x @ beta) if family == "gamma" else np.ones(len(y))
+                d = x
+                e = (y - mu) / mu if family == "gamma" else y - x @ beta
                 bread, right = np.zeros((2, 2)), np.zeros(2)
                 inv = [np.linalg.inv(np.full((len(i), len(i)), alpha) + (1 - alpha) * np.eye(len(i))) for i in groups]
                 for i, v in zip(groups, inv):
-                    bread += x[i].T @ v @ x[i]
-                    right += x[i].T @ v @ y[i]
-                beta = np.linalg.solve(bread, right)
-                e = y - x @ beta
+                    bread += d[i].T @ v @ d[i]
+                    right += d[i].T @ v @ e[i]
+                move = np.linalg.solve(bread, right)
+                beta = beta + move
+                mu = np.exp(x @ beta) if family == "gamma" else mu
+                e = (y - mu) / mu if family == "gamma" else y - x @ beta
                 phi = (e**2).sum() / (len(y) - 2)
                 n_pairs = sum(len(i) * (len(i) - 1) / 2 for i in groups)
-                if not exchangeable or n_pairs <= 2 or phi <= 0:
-                    break
-                new = sum((e[i].sum() ** 2 - (e[i] ** 2).sum()) / 2 for i in groups) / (n_pairs - 2) / phi
-                new = min(max(new, -0.3), 0.99)
-                if abs(new - alpha) < 1e-8:
+                new = alpha
+                if exchangeable and n_pairs > 2 and phi > 0:
+                    new = sum((e[i].sum() ** 2 - (e[i] ** 2).sum()) / 2 for i in groups) / (n_pairs - 2) / phi
+                    new = min(max(new, -0.3), 0.99)
+                if abs(new - alpha) < 1e-8 and np.abs(move).max() < 1e-9:
                     break
                 alpha = new
             meat = sum(np.outer(s, s) for s in (x[i].T @ v @ e[i] for i, v in zip(groups, inv)))
@@ -374,31 +410,69 @@ def enhance(t: np.ndarray, step: float = 0.2, e: float = 0.5, h: float = 2.0) ->
     return out
 
 
-def tfce(series: DataFrame, permutations: int = 5000, seed: int = 42, blocks: int = 64) -> DataFrame:
+def signs(subject: np.ndarray, permutations: np.ndarray, seed: int) -> np.ndarray:
+    """(subjects, permutations) of 1.0 and -1.0 by hash; permutation 0 flips nobody."""
+    mix = lambda x: (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    own = mix(mix(subject.astype(np.int64).view(np.uint64)))
+    turn = mix(mix((permutations + (seed << 32)).astype(np.int64).view(np.uint64)))
+    bit = mix(mix(own[:, None] ^ turn[None])) >> np.uint64(63)
+    return np.where((bit == 1) & (permutations > 0)[None], -1.0, 1.0)
+
+
+def tfce(series: DataFrame, permutations: int = 5000, seed: int = 42, block: int = 500) -> DataFrame:
     """(t_ms, stat, score, p): one-sample enhancement of (subject, t_ms, value) against sign flips, corrected by the maximum.
 
-    The subjects x times matrix is bounded by the study and goes to every block of permutations; blocks run in parallel.
+    Each time has the subjects that were seen then; a subject flips as a whole. Sums of flipped values come from one
+    pass over rows dealt by time, and each permutation's series of times, as long as one recording, is enhanced in a
+    group of its own. The driver gets one maximum for each permutation.
     """
-    spark = series.sparkSession
-    m = series.groupBy("subject").pivot("t_ms").agg(F.avg("value")).orderBy("subject").toPandas().set_index("subject")
-    m = m[sorted(m.columns, key=float)].dropna(axis=1)
-    x, n = m.to_numpy(float), len(m)
-
-    def t_of(signs: np.ndarray) -> np.ndarray:
-        y = x * signs[:, None]
-        sd = y.std(axis=0, ddof=1)
-        return np.divide(y.mean(axis=0) * math.sqrt(n), sd, out=np.zeros(x.shape[1]), where=sd > 0)
-
-    def run(ids):
-        for b in ids:
-            top = [np.abs(enhance(t_of(np.random.default_rng([seed, int(i)]).choice([-1.0, 1.0], n)))).max() for i in b["id"]]
-            yield pd.DataFrame({"top": top})
-
-    null = np.sort(spark.range(permutations, numPartitions=min(blocks, permutations)).mapInPandas(run, "top double").toPandas()["top"].to_numpy())
-    stat = t_of(np.ones(n))
-    score = enhance(stat)
-    p = (1 + len(null) - np.searchsorted(null, np.abs(score) - 1e-12)) / (len(null) + 1)
-    return spark.createDataFrame(pd.DataFrame({"t_ms": [float(c) for c in m.columns], "stat": stat, "score": score, "p": p}))
+    import pyarrow as pa
+
+    value = series.groupBy("subject", "t_ms").agg(F.avg("value").alias("value")).where("value is not null")
+    rows = value.select(F.xxhash64("subject").alias("h"), F.col("t_ms").cast("double").alias("t_ms"), F.col("value").cast("double").alias("value"))
+    ids = np.arange(permutations + 1)
+
+    def flipped(batches):
+        sums: dict[float, np.ndarray] = {}
+        for b in batches:
+            h, t, v = (b.column(c).to_numpy() for c in ("h", "t_ms", "value"))
+            times, of = np.unique(t, return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            edge = np.flatnonzero(np.diff(of[order], prepend=-1))
+            for lo in range(0, len(ids), block):
+                part = ids[lo : lo + block]
+                got = np.add.reduceat((signs(h, part, seed) * v[:, None])[order], edge, axis=0) if len(v) else []
+                for time, x in zip(times.tolist(), got):
+                    sums.setdefault(time, np.zeros(len(ids)))[lo : lo + block] += x
+        for time, x in sums.items():
+            yield pa.record_batch({"perm": pa.array(ids, pa.int32()), "t_ms": np.full(len(ids), time), "s": x})
+
+    totals = rows.repartition("t_ms").mapInArrow(flipped, "perm int, t_ms double, s double")
+    moments = rows.groupBy("t_ms").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("value") ** 2).alias("q"))
+    n, mean = F.col("n"), F.col("s") / F.col("n")
+    variance = (F.col("q") - n * mean**2) / (n - 1)
+    stat = F.when((n > 1) & (variance > 1e-12 * F.col("q")), mean * F.sqrt(n / variance)).otherwise(0.0)
+    tests = totals.join(moments, "t_ms").select("perm", "t_ms", stat.alias("stat"))
+
+    def enhanced(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("t_ms")
+        score = enhance(g["stat"].to_numpy())
+        if key[0] == 0:
+            return pd.DataFrame({"perm": 0, "t_ms": g["t_ms"], "stat": g["stat"], "score": score})
+        return pd.DataFrame({"perm": [key[0]], "t_ms": [math.nan], "stat": [math.nan], "score": [np.abs(score).max(initial=0)]})
+
+    done = tests.groupBy("perm").applyInPandas(enhanced, "perm int, t_ms double, stat double, score double").toPandas()
+    null = np.sort(done.loc[done["perm"] > 0, "score"].to_numpy())
+    own = done[done["perm"] == 0].drop(columns="perm")
+    own["p"] = (1 + len(null) - np.searchsorted(null, np.abs(own["score"].to_numpy()) - 1e-12)) / (len(null) + 1)
+    return series.sparkSession.createDataFrame([tuple(map(float, r)) for r in own.itertuples(index=False)], "t_ms double, stat double, score double, p double")
+
+
+def paired_tfce(first: DataFrame, second: DataFrame, permutations: int = 5000, seed: int = 42) -> DataFrame:
+    """``tfce`` of second less first for subjects and times that both have."""
+    a = first.groupBy("subject", "t_ms").agg(F.avg("value").alias("_a"))
+    b = second.groupBy("subject", "t_ms").agg(F.avg("value").alias("_b"))
+    return tfce(a.join(b, ["subject", "t_ms"]).select("subject", "t_ms", (F.col("_b") - F.col("_a")).alias("value")), permutations, seed)
 
 
 def clusters(tests: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -30,24 +31,21 @@ def learn(samples: DataFrame, s: Settings) -> Templates:
     return cluster.best_of(pool, k, s.repeats, s.random_seed or 0, s.method, s.max_rounds, "key")
 
 
-def choose_k(pool: DataFrame, s: Settings) -> int:
-    """Most voted k among explained variance, cross-validation, Davies-Bouldin and information criteria; 5 without votes."""
-    spark = pool.sparkSession
-    curves: dict[str, dict[int, float]] = {}
-    for k in range(s.k_min, s.k_max + 1):
-        t = cluster.kmeans(pool, cluster.initial_spread(pool, k, 42 + k, "key"), s.method, s.max_rounds)
-        rows = assign(pool, t)
-        aic = cluster.information(rows, t).first()
-        scores = {
-            "gev": cluster.total_explained(pool, t).first()["gev"],
-            "cv": cluster.cv_criterion(rows, t).first()["value"],
-            "db": cluster.davies_bouldin(rows, t).first()["value"],
-            "aic": aic["aic"],
-            "bic": aic["bic"],
-        }
-        for m, v in scores.items():
-            curves.setdefault(m, {})[k] = v
-    votes = [(m, cluster.optimum(c, cluster.DIRECTION[m])) for m, c in curves.items()]
+def choose_k(pool: DataFrame, s: Settings, names: Sequence[str] | None = None) -> int:
+    """Most voted k among the criteria of ``cluster.DIRECTION`` (or ``names`` of them); 5 without votes.
+
+    The pool is kept for all k and all criteria. Pairwise criteria see ``s.pairwise_cap`` drawn samples at most.
+    """
+    spark, pool = pool.sparkSession, pool.persist()
+    try:
+        scores = {}
+        for k in range(s.k_min, s.k_max + 1):
+            t = cluster.kmeans(pool, cluster.initial_spread(pool, k, 42 + k, "key"), s.method, s.max_rounds)
+            scores[k] = cluster.criteria(assign(pool, t), t, "key", names, s.pairwise_cap)
+        channels = len(pool.first()["topo"])
+    finally:
+        pool.unpersist()
+    votes = list(cluster.choose(scores, channels).items())
     won = cluster.consensus(spark.createDataFrame(votes, "method string, k int"), s.k_min, s.k_max).first()
     return won["k"] if won else 5
 

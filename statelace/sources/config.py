@@ -34,6 +34,7 @@ class Settings:
     duration_method: str = "geometric"
     window_s: float | None = None
     permutations: int = 2000
+    pairwise_cap: int | None = 2000
     random_seed: int | None = 42
 
     def __post_init__(self):

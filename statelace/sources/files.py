@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,3 +114,77 @@ def changed(now: DataFrame, recorded: DataFrame) -> DataFrame:
     j = recorded.select("path", F.col("sha256").alias("_was")).join(now.select("path", "sha256"), "path", "left")
     problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") != F.col("_was"), "changed")
     return j.select("path", problem.alias("problem")).where("problem is not null")
+
+
+def _wide(long: DataFrame, keys: Sequence[str], column: str, names: Sequence[str] | None, value: str) -> DataFrame:
+    """One column per name; names not given are found in the data. Missing cells are null."""
+    found = list(names) if names is not None else [r[0] for r in long.select(column).distinct().orderBy(column).limit(10_000).collect()]
+    return long.groupBy(*keys).pivot(column, found).agg(F.avg(value)).orderBy(*keys)
+
+
+def rof_table(rof: DataFrame, states: Sequence[str] | None = None, value: str = "clr_bc", key: str = "recording_id") -> DataFrame:
+    """(file, time, ROF_state...): relative occurrence in one row per file and time, sorted."""
+    out = _wide(rof, [key, "t_ms"], "state", states, value)
+    return out.withColumnsRenamed({c: f"ROF_{c}" for c in out.columns if c not in (key, "t_ms")})
+
+
+def rof_long(rof: DataFrame, value: str = "clr_bc", key: str = "recording_id") -> DataFrame:
+    """(file, time, state, value), sorted."""
+    return rof.select(key, "t_ms", "state", F.col(value).alias("value")).orderBy(key, "t_ms", "state")
+
+
+def rtf_table(rtf: DataFrame, names: Sequence[str] | None = None, wanted: str = "post_tms", key: str = "recording_id") -> DataFrame:
+    """(file, RTF_from_to...): changes of transition rates in the window ``wanted``, or the first other one where a file lacks it."""
+    rank = F.struct((F.col("window") != wanted).alias("_o"), F.col("window").alias("_w"))
+    best = rtf.groupBy(F.col(key).alias("_k")).agg(F.min(rank)["_w"].alias("_best"))
+    rows = rtf.join(best, (rtf[key] == best["_k"]) & (rtf["window"] == best["_best"])).where("state <> state_to")
+    return _wide(rows.withColumn("_n", F.concat_ws("_", F.lit("RTF"), "state", "state_to")), [key], "_n", names, "pct_change")
+
+
+def variability_table(variability: DataFrame, names: Sequence[str] | None = None, key: str = "recording_id") -> DataFrame:
+    """(file, DUR_SD_state...): rows (file, state, feature, value) in one row per file."""
+    return _wide(variability.withColumn("_n", F.concat_ws("_", "feature", "state")), [key], "_n", names, "value")
+
+
+def rof_columns(table: DataFrame) -> DataFrame:
+    """(file, t_ms, state, value) of a wide table of any origin: time and file columns are known by name, all other numbers are states."""
+    lower = {c.lower(): c for c in table.columns}
+    time = next((lower[n] for n in ("t_ms", "time", "time_ms", "times", "time (ms)") if n in lower), None)
+    file = next((lower[n] for n in ("filename", "file", "recording_id", "subject", "name") if n in lower), None)
+    if time is None:
+        raise ValueError("no column of times")
+    numbers = {"double", "float", "int", "bigint"}
+    states = [c for c, kind in table.dtypes if kind in numbers and c not in (time, file)]
+    cells = F.array(*[F.struct(F.lit(c.removeprefix("ROF_")).alias("state"), F.col(f"`{c}`").cast("double").alias("value")) for c in states])
+    of = F.lit(None).cast("string") if file is None else F.col(f"`{file}`").cast("string")
+    return table.select(of.alias("file"), F.col(f"`{time}`").cast("double").alias("t_ms"), F.inline(cells))
+
+
+def feature_kinds(table: DataFrame) -> DataFrame:
+    """(feature, states): the codes that a long feature table has, with how many states."""
+    return table.groupBy("feature").agg(F.countDistinct("state").alias("states"))
+
+
+def averaged_sources(sources: DataFrame, label: str) -> DataFrame:
+    """(subject, src, labels): sources of one state, with all states the subject has. Rows: (subject, label, src)."""
+    has = sources.groupBy("subject").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    return sources.where(F.col("label") == label).select("subject", "src").join(has, "subject")
+
+
+def load_clean(spark: SparkSession, folder: str, kind: str = "parquet") -> DataFrame:
+    """Recordings below a study folder: the cleaned derivative of each where there is one, else the raw one.
+
+    ``folder``/raw and ``folder``/derivatives hold rows (recording_id, ...) in the same columns.
+    """
+    raw = spark.read.format(kind).load(f"{folder}/raw")
+    try:
+        clean = spark.read.format(kind).load(f"{folder}/derivatives")
+    except AnalysisException:  # no derivative at all
+        return raw
+    return raw.join(clean.select("recording_id").distinct(), "recording_id", "left_anti").unionByName(clean)
+
+
+def write_recordings(samples: DataFrame, path: str) -> str:
+    """Samples as Parquet, one folder per recording."""
+    samples.write.mode("overwrite").partitionBy("recording_id").parquet(path)
+    return path

@@ -22,6 +22,13 @@ def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("recording_id"), (F.row_number().over(w) - 1).cast("long").alias("sample_ix"), label.alias("label"), "value")
 
 
+def long_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording_id, sample_ix, label): the events of twenty users, one user after the other, as a recording."""
+    s = segmentation(spark, sf_dir).withColumn("group_id", F.floor(F.col("recording_id") / 20))
+    w = Window.partitionBy("group_id").orderBy("recording_id", "sample_ix")
+    return s.select(F.col("group_id").alias("recording_id"), (F.row_number().over(w) - 1).cast("long").alias("_i"), "label").withColumnRenamed("_i", "sample_ix")
+
+
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(trial, t_ms, label): the samples of each user as a trial, 10 ms apart, from -200 ms on."""
     s = segmentation(spark, sf_dir)
