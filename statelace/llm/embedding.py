@@ -191,4 +191,10 @@ def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_embedding": op2_embedding}
-ORACLES: dict[str, str] = {}
+#: All pairs of a label, and what each vector reaches.
+ORACLES = {
+    "op2_embedding": """WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), f AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.98),
+g AS (SELECT a AS v, a AS c FROM l UNION SELECT l.b, least(g.c, l.a) FROM g JOIN l ON l.a = g.v), c AS (SELECT v, min(c) AS c FROM g GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.v = vec_id"""
+}

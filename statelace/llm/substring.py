@@ -69,4 +69,13 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_substring": op10_substring}
-ORACLES: dict[str, str] = {}
+#: A row per word and per window: quadratic in nothing, but a window is a string of twenty words.
+ORACLES = {
+    "op10_substring": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+s AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS pos, ws FROM d WHERE len(ws) >= 20), k AS (SELECT doc_id, pos, list_aggregate(ws[pos:pos + 19], 'string_agg', ' ') AS win FROM s),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1 AS again FROM k),
+g AS (SELECT w.doc_id, w.pos, word, coalesce(bool_or(again) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.pos = w.pos),
+t AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM g GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+}

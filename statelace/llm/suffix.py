@@ -397,4 +397,14 @@ def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_suffix": op1_suffix}
-ORACLES: dict[str, str] = {}
+#: A row per byte; strings of 100 bytes are told apart by their MD5.
+ORACLES = {
+    "op1_suffix": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n_bytes FROM d),
+k AS (SELECT doc_id, unnest(range(0, n_bytes - 99)) AS pos, h FROM n WHERE n_bytes >= 100), m AS (SELECT doc_id, pos, md5_number(substr(h, 2 * pos + 1, 200)) AS win FROM k),
+r AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS i FROM m) WHERE i > 1),
+e AS (SELECT doc_id, pos, CASE WHEN lag(pos) OVER w >= pos - 100 THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+i AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM e), s AS (SELECT doc_id, span, min(pos) AS lo, max(pos) + 100 AS hi FROM i GROUP BY 1, 2),
+b AS (SELECT doc_id, hi AS lo, coalesce(lead(lo) OVER (PARTITION BY doc_id ORDER BY lo), n_bytes) AS hi FROM (SELECT doc_id, lo, hi, n_bytes FROM s JOIN n USING (doc_id) UNION ALL SELECT doc_id, -1, 0, n_bytes FROM n)),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS kept FROM b JOIN n USING (doc_id) GROUP BY 1), c AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(hi - lo) AS BIGINT) AS n_removed FROM s GROUP BY 1)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM n JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)"""
+}
