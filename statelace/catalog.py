@@ -151,7 +151,11 @@ query("wide_features", f"""WITH {SEG}, q AS (SELECT recording_id, label AS state
 SELECT recording_id, {', '.join(f"round(max(value) FILTER (state = '{x}'), 6) AS COV_{x}" for x in STATES)} FROM q GROUP BY 1""")(
     lambda s, d: rounded(features.wide(features.coverage(V.segmentation(s, d)), STATES, "COV"), *[f"COV_{x}" for x in STATES])
 )
-query("lempel_ziv")(lambda s, d: rounded(sequence.lempel_ziv(V.segmentation(s, d)), "value"))
+LZ = f"""RECURSIVE {SEG}, {run_ctes('seg')}, ls AS (SELECT recording_id, count(*) AS n, substr(string_agg(chr(CAST(96 + length(label) AS INTEGER)) || '', '' ORDER BY run_ix), 2) AS s FROM runs WHERE label IS NOT NULL GROUP BY 1),
+lz AS (SELECT recording_id, s, n, 0 AS done, 0 AS c FROM ls UNION ALL
+SELECT recording_id, s, n, CAST(done + coalesce(list_filter(range(1, length(s) - done + 1), lambda k: strpos(substr(s, 1, CAST(done + k - 1 AS BIGINT)), substr(s, CAST(done + 1 AS BIGINT), k)) = 0)[1], length(s) - done) AS INTEGER), c + 1 FROM lz WHERE done < length(s)),
+q AS (SELECT recording_id, CASE WHEN any_value(n) < 3 THEN 0.0 ELSE max(c) * log2(any_value(n)) / any_value(n) END AS value FROM lz GROUP BY 1)"""
+query("lempel_ziv", f"WITH {LZ} SELECT recording_id, {r6('value')} FROM q")(lambda s, d: rounded(sequence.lempel_ziv(V.segmentation(s, d)), "value"))
 #: Users' events in rows of twenty users make recordings that are long enough for the least box of 50 samples.
 query("hurst")(lambda s, d: rounded(sequence.hurst(V.long_segmentation(s, d)), "value"))
 query("surrogate_entropy")(lambda s, d: rounded(features.joint_entropy(features.shuffled(V.segmentation(s, d), 1), 2), "value"))
@@ -409,8 +413,15 @@ for _m, _e in ADJ.items():
     query(f"p_adjust_{_m.replace('-', '_')}", f"WITH {PV}, n AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, feature) AS i FROM pv), q AS (SELECT feature, p, least({_e}, 1.0) AS p_adj FROM n) SELECT feature, {r6('p', 'p_adj')} FROM q")(
         lambda s, d, m=_m: rounded(stats.adjust(_p(s, d), m), "p", "p_adj")
     )
-for _m in ("hommel", "fdr_tsbh", "fdr_tsbky"):
-    query(f"p_adjust_{_m}")(lambda s, d, m=_m: rounded(stats.adjust(_p(s, d), m), "p", "p_adj"))
+BH = f"{PV}, n AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, feature) AS i FROM pv), bh AS (SELECT feature, p, m, least({ADJ['fdr_bh']}, 1.0) AS a FROM n)"
+WHOLE = {
+    "hommel": f"""WITH {PV}, n AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, feature) AS i FROM pv), c AS (SELECT k, min(k * p / (i - (m - k))) AS c FROM n, (SELECT unnest(range(2, (SELECT count(*) + 1 FROM pv))) AS k) WHERE i >= m - k + 2 GROUP BY k),
+q AS (SELECT feature, p, least(greatest(p, max(CASE WHEN i >= m - k + 2 THEN c ELSE least(c, k * p) END)), 1.0) AS p_adj FROM n, c GROUP BY feature, p)""",
+    "fdr_tsbh": f"WITH {BH}, r AS (SELECT count(*) FILTER (a <= 0.05) AS r FROM bh), q AS (SELECT feature, p, CASE WHEN r = 0 OR r = m THEN a ELSE least(a * (m - r) / m, 1.0) END AS p_adj FROM bh, r)",
+    "fdr_tsbky": f"WITH {BH}, r AS (SELECT count(*) FILTER (a <= 0.05 / 1.05) AS r FROM bh), q AS (SELECT feature, p, CASE WHEN r = m THEN a ELSE least(a * (m - r) / m * 1.05, 1.0) END AS p_adj FROM bh, r)",
+}
+for _m, _e in WHOLE.items():
+    query(f"p_adjust_{_m}", f"{_e} SELECT feature, {r6('p', 'p_adj')} FROM q")(lambda s, d, m=_m: rounded(stats.adjust(_p(s, d), m), "p", "p_adj"))
 
 
 def _sessions(s: SparkSession, d: str) -> DataFrame:
@@ -592,8 +603,21 @@ def _series_of(s: SparkSession, d: str) -> DataFrame:
     return V.segmentation(s, d).select(F.col("recording_id").cast("string").alias("recording_id"), F.lit("v").alias("channel"), "sample_ix", F.col("value").alias("x"))
 
 
-query("band_pass")(lambda s, d: rounded(signal.band_pass(_series_of(s, d), FS, 5.0, 60.0), "x"))
-query("resample")(lambda s, d: rounded(signal.resample(_series_of(s, d), FS, 125.0), "x"))
+# Fourier sums, term by term
+SERIES = f"{SEG}, se AS (SELECT CAST(recording_id AS VARCHAR) AS recording_id, sample_ix AS t, value AS x, count(*) OVER (PARTITION BY recording_id) AS n FROM seg)"
+FOURIER = "f AS (SELECT recording_id, any_value(n) AS n, k, sum(x * cos(2 * pi() * k * t / n)) AS re, -sum(x * sin(2 * pi() * k * t / n)) AS im FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM {source}) GROUP BY recording_id, k)"
+query("resample", f"""WITH {SERIES}, {FOURIER.format(source='se')}, g AS (SELECT *, CAST(round_even(n * 0.5, 0) AS BIGINT) AS m FROM f), h AS (SELECT *, unnest(range(0, m)) AS j FROM g WHERE k <= m // 2),
+q AS (SELECT recording_id, 'v' AS channel, j AS sample_ix, sum(CASE WHEN k = 0 THEN re WHEN 2 * k = m THEN re * cos(pi() * j) ELSE 2 * (re * cos(2 * pi() * k * j / m) - im * sin(2 * pi() * k * j / m)) END) / any_value(n) AS x FROM h GROUP BY 1, 3) SELECT recording_id, channel, sample_ix, {r6('x')} FROM q""")(
+    lambda s, d: rounded(signal.resample(_series_of(s, d), FS, 125.0), "x")
+)
+query("band_pass", f"""WITH {SERIES}, p AS (SELECT recording_id, t, x, n, first_value(x) OVER w AS x0, last_value(x) OVER w AS x1 FROM se WINDOW w AS (PARTITION BY recording_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+y AS (SELECT recording_id, t + n - 1 AS t, x, 3 * n - 2 AS n FROM p UNION ALL SELECT recording_id, n - 1 - t, 2 * x0 - x, 3 * n - 2 FROM p WHERE t > 0 UNION ALL SELECT recording_id, 3 * n - 3 - t, 2 * x1 - x, 3 * n - 2 FROM p WHERE t < n - 1),
+{FOURIER.format(source='y')}, a AS (SELECT *, k * 250.0 / n AS hz FROM f), g AS (SELECT *, (0.5 - 0.5 * cos(pi() * greatest(0, least(1, (hz - 5) + 0.5)))) * (0.5 - 0.5 * cos(pi() * greatest(0, least(1, (60 - hz) + 0.5)))) AS gain FROM a),
+h AS (SELECT *, unnest(range(0, (n + 2) // 3)) AS j FROM g WHERE gain <> 0),
+i AS (SELECT recording_id, j AS sample_ix, sum(gain * CASE WHEN k = 0 THEN re WHEN 2 * k = n THEN re * cos(pi() * (j + (n + 2) // 3 - 1)) ELSE 2 * (re * cos(2 * pi() * k * (j + (n + 2) // 3 - 1) / n) - im * sin(2 * pi() * k * (j + (n + 2) // 3 - 1) / n)) END) / any_value(n) AS x FROM h GROUP BY 1, 2),
+q AS (SELECT e.recording_id, 'v' AS channel, e.t AS sample_ix, coalesce(i.x, 0) AS x FROM se e LEFT JOIN i ON i.recording_id = e.recording_id AND i.sample_ix = e.t) SELECT recording_id, channel, sample_ix, {r6('x')} FROM q""")(
+    lambda s, d: rounded(signal.band_pass(_series_of(s, d), FS, 5.0, 60.0), "x")
+)
 query("spatial_smooth", f"WITH {TOPO}, q AS (SELECT sample_ix, (x[1] + x[2] + x[3]) / 3 AS a, (x[2] + x[1]) / 2 AS b FROM topo) SELECT sample_ix, {r6('a', 'b')} FROM q")(
     lambda s, d: rounded(signal.spatial_smooth(V.topographies(s, d), {0: [1, 2], 1: [0]}).select("sample_ix", F.get("topo", 0).alias("a"), F.get("topo", 1).alias("b")), "a", "b")
 )
