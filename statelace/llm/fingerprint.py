@@ -61,7 +61,11 @@ def _meet(texts: DataFrame, digests: DataFrame, n: int) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
-    """Adds ``fingerprint`` to the rows of ``docs``. Null texts count as empty, repeated rows stay."""
+    """Adds ``fingerprint`` to the rows of ``docs``, in place of a column of that name.
+
+    Null texts count as empty, repeated rows stay, an empty table gives no rows; other columns are kept whatever their names.
+    """
+    docs = docs.drop("fingerprint")
     spark = docs.sparkSession
     named = docs.select(F.struct("*").alias("row"), canonical(F.col(text)).alias("canon"))
     hashed = named.withColumn("h", digest(F.col("canon"), bits))

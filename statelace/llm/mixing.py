@@ -158,7 +158,10 @@ def mixture(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The documents of the mix: each row as often as its copies say, none if 0, with all its columns."""
+    """The documents of the mix: each row as often as its copies say, none if 0, with all its columns.
+
+    Null texts have size 0 and are drawn alone; a null source is a source; equal rows share their copies; an empty table stays empty.
+    """
     units = mixed(docs, seed).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "copies")
     units = units.where("copies > 0")
     keys = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_k"), F.col("source").alias("_f"), n_words(F.col("text")).alias("_w"))

@@ -86,7 +86,7 @@ class Reader:
         uni = (one + 0.5) / (one.sum() + 0.5 * ALPHABET)
         bi = (pair + 4 * uni) / (pair.sum(axis=1, keepdims=True) + 4)
         tri = (c + 4 * bi[None]) / (c.sum(axis=2, keepdims=True) + 4)
-        self.cost = -np.log(tri)
+        self.cost = (-np.log(tri)).ravel().tolist()  # by (first * ALPHABET + second) * ALPHABET + third
         self.symbol = {x: i + 1 for i, x in enumerate(LETTERS)}
 
     def lattice(self, token: str) -> Iterator[list[tuple[str, float]]]:
@@ -108,32 +108,37 @@ class Reader:
     def read(self, token: str) -> str:
         """The likeliest reading of a lower-cased token; in spaced ones, blanks may be word breaks."""
         cost, get = self.cost, self.symbol.get
-        best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        size, square = ALPHABET, ALPHABET**2
+        best: dict[int, tuple[float, str]] = {EDGE * size + EDGE: (0.0, "")}  # the last two symbols -> cost and reading
         done: list[str] = []
         for step, ways in enumerate(self.lattice(token), 1):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (total, text) in best.items():
+            new: dict[int, tuple[float, str]] = {}
+            for state, (total, text) in best.items():
                 for way, price in ways:
+                    at, s = state, total + price
                     if way == " ":
-                        p, q, s = EDGE, EDGE, total + price + cost[a, b, EDGE] if b != EDGE else math.inf
+                        s += cost[at * size + EDGE] if at % size != EDGE else math.inf
+                        at = EDGE * size + EDGE
                     else:
-                        p, q, s = a, b, total + price
                         for ch in way:
                             r = get(ch, OTHER)
-                            s += cost[p, q, r]
-                            p, q = q, r
-                    if (p, q) not in new or s < new[p, q][0]:
-                        new[p, q] = (s, text + way)
+                            at = at * size + r
+                            s += cost[at]
+                            at %= square
+                    if at not in new or s < new[at][0]:
+                        new[at] = (s, text + way)
             best = new
             if step % SETTLE == 0:
                 state, (total, text) = min(best.items(), key=lambda x: x[1][0])
                 done.append(text)
                 best = {state: (total, "")}
-        return "".join([*done, min((s + cost[a, b, EDGE], text) for (a, b), (s, text) in best.items())[1]])
+        return "".join([*done, min((s + cost[at * size + EDGE], text) for at, (s, text) in best.items())[1]])
 
 
 def bare(token: str) -> str:
     """A token without the marks around it; @ and $ may begin a word."""
+    if token.isalnum():
+        return token
     lo, hi = 0, len(token)
     while lo < hi and not (token[lo].isalnum() or token[lo] in "_@$"):
         lo += 1
@@ -160,15 +165,10 @@ class Evidence(dict):
         return self.reader.read(word) if SUSPICIOUS.search(word) and LETTER.search(word) else word
 
     def __missing__(self, token: str) -> tuple:
-        found = set()
-        for w in {bare(token), *self.reading(token).split()}:
-            if w:
-                found.add("=" + w)
-                found.update("^" + w[:n] for n in PREFIXES if len(w) > n)
-        if self.known is None:
-            out: tuple = tuple(found)
-        else:
-            out = tuple(self.known[f] for f in found if f in self.known)
+        word, known = bare(token), self.known
+        forms = {word, *self.reader.read(word).split()} if SUSPICIOUS.search(word) and LETTER.search(word) else (word,)
+        names = [f for w in forms if w for f in ("=" + w, *("^" + w[:n] for n in PREFIXES if len(w) > n))]
+        out = tuple(set(names)) if known is None else tuple(known[f] for f in names if f in known)
         if len(token) <= REMEMBERED:
             if len(self) >= self.MOST:
                 self.clear()
@@ -218,6 +218,7 @@ class Model:
     weights: np.ndarray
 
     def scorer(self):
+        """Text -> score; what it remembers of tokens is bounded."""
         known = {f: i for i, f in enumerate(self.odds)}
         odds, evidence = np.array(list(self.odds.values())), Evidence(Reader(self.counts), known)
 
