@@ -70,7 +70,7 @@ def uniform(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11)).cast("double") / F.lit(float(1 << 53))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, component): the smallest node reachable, for every node that has a link.
 
     Alternating large-star and small-star rounds: each points the neighbours of a node at its smallest
@@ -99,15 +99,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hooked = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         return hooked.union(least.select("v", F.col("m").alias("u"))).distinct()
 
-    before = stamp(now)
-    for _ in range(max_rounds):
+    before, after = None, stamp(now)
+    while after != before:  # a round shortens every path, so their number grows with the logarithm of the longest
         new = scratch.write(star(now), "links")
-        after = stamp(new)
+        before, after = after, stamp(new)
         scratch.drop(now)
         now = new
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("v").alias("node"), F.col("u").alias("component"))

@@ -171,7 +171,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, per_cell: int = PER
     if reps.isEmpty():
         own = F.col("vec_id").cast("long")
         return vectors.select(own.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), own.alias("component_id"), own.isNotNull().alias("kept"))
-    found = scratch.write(cell_links(scratch.write(cells(reps, cosine, per_cell), "placed"), cosine, chunk), "links")
+    placed = scratch.write(cells(reps, cosine, per_cell), "placed")
+    found = scratch.write(cell_links(placed, cosine, chunk), "links")
+    scratch.drop(placed)
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     known = reps.select("rep", F.col("label").alias("l"), F.col("embedding").alias("e"), "m").join(counts, "rep", "left")

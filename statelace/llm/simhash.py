@@ -225,7 +225,9 @@ def _named(rows: DataFrame, least: Column, budget: int, chunk: int) -> DataFrame
     links = hamming_links(nodes.select("fp"), nodes.count(), budget, chunk)
     parts = connected_components(links)
     named = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    return scratch.write(named, "named")
+    named = scratch.write(named, "named")
+    scratch.drop(nodes)
+    return named
 
 
 def simhash_classes(docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, chunk: int = CHUNK) -> DataFrame:
