@@ -1,5 +1,6 @@
 """Every query against its SQL on the smallest tables."""
 
+import math
 import os
 
 import duckdb
@@ -35,8 +36,9 @@ def same(a, b):
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
-    if name not in catalog.ORACLES:
-        assert df.columns
+    if name not in catalog.ORACLES:  # values are held against loops or known answers in test_semantics
+        numbers = [x for r in got for x in r if isinstance(x, float)]
+        assert got and all(math.isfinite(x) for x in numbers)
         return
     want = duck.sql(catalog.ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statelace.functions import arrays as A
 from statelace.functions import special
-from statelace.operators import cluster, events, features, inverse, runs, sequence, signal, stats
+from statelace.operators import cluster, events, features, inverse, joins, runs, sequence, signal, stats
 from statelace.operators.scoring import Templates, assign, total_explained
 from statelace.sources import config
 
@@ -335,3 +335,147 @@ def test_pairwise_criteria_read_all_samples(spark):
     m[np.arange(2100), state] = np.inf
     b = m.min(axis=1)
     assert abs(cluster.silhouette(rows).first()["value"] - ((b - a) / np.maximum(a, b)).mean()) < 1e-9
+
+
+def test_enhancement_against_plain_loops(spark):
+    """Subjects that lack times, sums over those present, one sign per subject; every maximum counts once."""
+    from pyspark.sql import functions as F
+
+    g = np.random.default_rng(8)
+    rows = [(s, float(t), float(g.normal() + (1.5 if t in (4, 5, 6) else 0))) for s in range(9) for t in range(12) if (s, t) not in {(0, 3), (1, 3), (8, 11)}]
+    series = spark.createDataFrame(rows, "subject int, t_ms double, value double")
+    hashes = {r["subject"]: r["h"] for r in series.select("subject", F.xxhash64("subject").alias("h")).distinct().collect()}
+    sign = stats.signs(np.array([hashes[s] for s in range(9)]), np.arange(51), 42)
+    assert (sign[:, 0] == 1).all() and 0.3 < (sign[:, 1:] > 0).mean() < 0.7 and len({tuple(c) for c in sign.T}) > 40
+
+    def series_of(i):
+        out = []
+        for t in range(12):
+            v = np.array([sign[s, i] * x for s, u, x in rows if u == t])
+            out.append(v.mean() * math.sqrt(len(v)) / v.std(ddof=1))
+        return np.array(out)
+
+    own, null = stats.enhance(series_of(0)), [np.abs(stats.enhance(series_of(i))).max() for i in range(1, 51)]
+    want = [(1 + sum(x >= abs(o) - 1e-9 for x in null)) / 51 for o in own]
+    got = stats.tfce(series, 50).orderBy("t_ms").collect()
+    assert [r["score"] for r in got] == pytest.approx(own.tolist()) and [r["p"] for r in got] == pytest.approx(want)
+    moved = series.withColumn("value", F.col("value") + 1)
+    assert all(r["stat"] == 0 for r in stats.paired_tfce(series, series, 5).collect())
+    assert stats.paired_tfce(series, moved.where("subject < 5"), 5).count() == 12
+
+
+def _subjects(spark, windows=4):
+    g = np.random.default_rng(3)
+    rows = [(f, grp, s, w, float(g.normal() + (2.0 if f == "up" and grp == "b" else 0))) for f in ("up", "flat") for grp in "ab" for s in range(12) for w in range(windows)]
+    return rows, spark.createDataFrame(rows, "feature string, grp string, subject int, window_ix int, value double")
+
+
+def test_comparisons_of_studies(spark):
+    from pyspark.sql import functions as F
+
+    from statelace.operators import compare
+
+    rows, values = _subjects(spark)
+    s = {r["feature"]: r for r in compare.sliding_paired(values, "a", "b").collect()}
+    for f in ("up", "flat"):
+        m = np.array([[np.mean([v for a, grp, i, _, v in rows if (a, grp, i) == (f, c, k)]) for k in range(12)] for c in "ab"])
+        d = m[1] - m[0]
+        assert s[f]["n"] == 12 and s[f]["windows1"] == 48 and s[f]["diff"] == pytest.approx(d.mean())
+        assert s[f]["stat"] == pytest.approx(d.mean() / d.std(ddof=1) * math.sqrt(12)) and s[f]["ci_low"] < d.mean() < s[f]["ci_high"]
+    assert s["up"]["p_adj"] < 1e-3 < s["flat"]["p_adj"]
+    assert tuple(compare.summary_counts(compare.sliding_paired(values, "a", "b")).first()) == (2, 1, 1, 0, 1)
+    m = compare.modelled(values.withColumn("description", F.lit("stop")), "a", "b", ["description"]).collect()
+    assert {(r["feature"], r["description"], r["n1"]) for r in m} == {("up", "stop", 48), ("flat", "stop", 48)}
+    assert next(r["p_adj"] for r in m if r["feature"] == "up") < 1e-3
+    t = {r["feature"]: r for r in compare.transitions_compared(values, "a", "b").collect()}
+    assert t["up"]["diff"] > 1.5 and t["up"]["d"] > 1 and t["up"]["ci_low"] < t["up"]["diff"] < t["up"]["ci_high"]
+    assert compare.transitions_compared(values.where("window_ix = 0"), "a", "b", pairing=True).count() == 2
+    box = compare.box_data(spark.createDataFrame([("x", float(v)) for v in [1, 2, 3, 4, 5, 50, None or 6]], "feature string, value double"), "feature").first()
+    assert (box["n"], box["median"], box["high"]) == (7, 4.0, 6.0)
+    assert compare.of_code(values, "up").count() == 96 and compare.of_files(values, spark.createDataFrame([(3,)], "subject int")).count() == 16
+
+
+def test_gamma_model_finds_a_ratio(spark):
+    g = np.random.default_rng(6)
+    rows = [("f", grp, s, float(g.gamma(20, 1.0) * (2.0 if grp == "b" else 1.0))) for grp in "ab" for s in range(60)]
+    r = stats.gee(spark.createDataFrame(rows, "feature string, grp string, subject int, value double"), "a", "b", family="gamma").first()
+    mean = {c: np.mean([v for _, grp, _, v in rows if grp == c]) for c in "ab"}
+    assert r["coef"] == pytest.approx(math.log(mean["b"] / mean["a"])) and abs(r["coef"] - math.log(2)) < 0.15 and r["p"] < 1e-6
+    with pytest.raises(ValueError):
+        stats.gee(spark.createDataFrame(rows, "feature string, grp string, subject int, value double"), "a", "b", family="poisson")
+
+
+def test_choosing_by_all_criteria(spark):
+    maps, of, samples = recording(spark, n=120, noise=0.15)
+    samples = samples.coalesce(1).cache()
+    scores = {}
+    for k in (3, 4, 5):
+        t = cluster.kmeans(samples, cluster.initial_spread(samples, k, 7), rounds=20)
+        rows = assign(samples, t)
+        scores[k] = cluster.criteria(rows, t, names=[n for n in cluster.DIRECTION if n != "gap"])
+        assert set(scores[k]) == {"gev", "cv", "db", "aic", "bic", "sil", "dunn", "ch", "w"} and all(v is not None for v in scores[k].values())
+    picks = cluster.choose(scores, maps.shape[1])
+    assert set(picks) == {*cluster.DIRECTION} - {"gap"} and picks["sil"] == 4 and picks["db"] == 4
+    curve = {k: {"gap": v, "gap_se": 0.01} for k, v in {2: 0.1, 3: 0.2, 4: 0.5, 5: 0.49}.items()}
+    assert cluster.choose(curve, 8) == {"gap": 4} and cluster.choose({2: {"db": None}, 3: {"db": None}}, 8) == {"db": 2}
+
+
+def test_turned_and_ordered_templates():
+    t = Templates(("A", "B", "C"), np.arange(6.0).reshape(3, 2))
+    new = cluster.flipped(t, ["B"], ["C", "B"])
+    assert new.labels == ("C", "B", "A") and new.maps.tolist() == [[4, 5], [-2, -3], [0, 1]]
+
+
+def test_registry_truncation_and_surrogates(spark):
+    from pyspark.sql import functions as F
+
+    g = np.random.default_rng(2)
+    labels = [("r", i, "ABC"[x]) for i, x in enumerate(np.repeat(g.integers(0, 3, 200), 2))]
+    seq = spark.createDataFrame(labels, "recording_id string, sample_ix long, label string")
+    scored = seq.withColumns({"gfp": F.lit(1.0), "r": F.lit(0.5)})
+    epochs = seq.select("recording_id", (F.col("sample_ix") % 4).alias("trial"), (F.floor(F.col("sample_ix") / 4) * 10.0 - 500).alias("t_ms"), "label")
+    codes = ("COV", "OCC", "DUR", "MMD", "GEV", "TP", "ER", "ERR", "HE", "LZC", "ROF", "RTF")
+    got = features.features(seq, 250, codes, scored=scored, epochs=epochs, windows={"post_tms": (0.0, 400.0)}, baseline=(-500.0, -10.0)).collect()
+    assert {r["feature"] for r in got} == {*codes[:-1], "RTF_post_tms"}
+    assert sum(r["value"] for r in got if r["feature"] == "GEV") == pytest.approx(25.0)
+    with pytest.raises(ValueError):
+        features.features(seq, 250, ("ROF",))
+    assert features.truncated(seq, 100).count() == 100
+    with pytest.raises(Exception, match="fewer than 1000 samples in r"):
+        features.truncated(seq, 1000).collect()
+    ratios = features.surrogate_ratios(seq, 20).collect()
+    assert {r["n"] for r in ratios} == {0, 20} and all(r["sd"] > 0 for r in ratios if r["n"])  # pairs of equal labels are no possible words
+    v = {(r["state"], r["feature"]) for r in features.window_variability(seq, 100, 0.5).collect()}
+    assert ("A", "COV_SD") in v and ("C", "OCC_RMSSD") in v
+
+
+def test_tables_of_rates_and_occurrence(spark):
+    from statelace.sources import files
+
+    rof = spark.createDataFrame([("r1", 0.0, "A", 0.5), ("r1", 0.0, "B", -0.5), ("r1", 10.0, "A", 0.1), ("r0", 0.0, "B", 0.2)], "recording_id string, t_ms double, state string, clr_bc double")
+    wide = files.rof_table(rof)
+    assert wide.columns == ["recording_id", "t_ms", "ROF_A", "ROF_B"] and [r["recording_id"] for r in wide.collect()] == ["r0", "r1", "r1"]
+    back = {(r["file"], r["t_ms"], r["state"]): r["value"] for r in files.rof_columns(wide).collect() if r["value"] is not None}
+    assert back == {(r["recording_id"], r["t_ms"], r["state"]): r["clr_bc"] for r in rof.collect()} and files.rof_long(rof).count() == 4
+    rtf = spark.createDataFrame([("r1", "post_tms", "A", "B", 5.0), ("r1", "late", "A", "B", 9.0), ("r2", "late", "B", "A", 7.0), ("r2", "other", "B", "A", 8.0)], "recording_id string, window string, state string, state_to string, pct_change double")
+    table = {r["recording_id"]: r for r in files.rtf_table(rtf).collect()}
+    assert table["r1"]["RTF_A_B"] == 5.0 and table["r2"]["RTF_B_A"] == 7.0 and table["r2"]["RTF_A_B"] is None
+    with pytest.raises(ValueError):
+        files.rof_columns(rtf)
+
+
+def test_recordings_of_segmentations_and_pairs(spark, tmp_path):
+    from statelace.sources import files
+
+    seg = spark.createDataFrame([("a", 1), ("b", 2)], "recording_id string, k int")
+    rec = spark.createDataFrame([("a", 9), ("b", 8), ("c", 7)], "recording_id string, n int")
+    assert joins.with_recordings(seg, rec).count() == 2
+    with pytest.raises(Exception, match="no recording for b"):
+        joins.with_recordings(seg, rec.where("recording_id = 'a'")).collect()
+    names = ["s1_Pre_t1", "s1_Post_t1", "s2_Pre_t1", "s2_Post_t2", "Pre-s3", "Post-s3", "s4_Prefix_t1", "s4_Post_t1"]
+    found = {(r["first"], r["second"]) for r in joins.file_pairs(spark.createDataFrame([(n,) for n in names], "name string"), "Pre", "Post").collect()}
+    assert found == {("s1_Pre_t1", "s1_Post_t1"), ("Pre-s3", "Post-s3")}
+    files.write_recordings(rec, f"{tmp_path}/raw")
+    assert files.load_clean(spark, str(tmp_path)).count() == 3
+    files.write_recordings(spark.createDataFrame([("a", 100)], "recording_id string, n int"), f"{tmp_path}/derivatives")
+    assert {(r["recording_id"], r["n"]) for r in files.load_clean(spark, str(tmp_path)).select("recording_id", "n").collect()} == {("a", 100), ("b", 8), ("c", 7)}
