@@ -190,6 +190,8 @@ def by_document(ranked: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole(batches):
             doc, rid, key, place, rest = (b.column(c).to_numpy() for c in ("doc", "rid", "key", "place", "rest"))
+            order = np.lexsort((rest, rid, doc))
+            b, doc, rid, key, place, rest = b.take(pa.array(order)), doc[order], rid[order], key[order], place[order], rest[order]
             new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])])
             i = rest >> 32
             once = new | np.concatenate([[True], i[1:] != i[:-1]])  # equal rows are one document
@@ -213,7 +215,8 @@ def by_document(ranked: DataFrame, length: int, gram: int) -> DataFrame:
             runs = listed(o, docs, RUN, **dict(zip(("i", "n", "need", "ref_doc", "ref_rid", "ref_i"), cols)))
             yield pa.record_batch([pa.array(doc[new]), pa.array(rid[new]), pa.array(need.astype(np.int32)), anchor, runs], ["doc", "rid", "need", "anchors", "runs"])
 
-    rows = ranked.repartition("doc", "rid").sortWithinPartitions("doc", "rid", "rest")
+    # one number names a document, as Spark sorts single numbers by radix; documents that share it are told apart above
+    rows = ranked.withColumn("name", F.xxhash64("doc", "rid")).repartition("name").sortWithinPartitions("name")
     return rows.mapInArrow(run, f"doc long, rid long, need int, anchors array<{AT}>, runs array<{RUN}>")
 
 
@@ -223,11 +226,11 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        doc, rid = b.column("doc").to_numpy(), b.column("rid").to_numpy()
-        if held and (held[-1].column("doc")[0].as_py(), held[-1].column("rid")[0].as_py()) != (doc[0], rid[0]):
+        name = b.column("name").to_numpy()
+        if held and held[-1].column("name")[0].as_py() != name[0]:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held = []
-        last = int(np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])]))[-1])
+        last = int(np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))[-1])
         if last:
             yield pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks().to_batches()[0]
             held = []

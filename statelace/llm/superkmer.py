@@ -31,7 +31,7 @@ PIECE = 1 << 20
 #: Bits of a place in a piece: pieces and the part that ends them are shorter than 4 MB.
 INDEX_BITS = 22
 #: Packed strings of one key that a task lists at most; more are sent window by window.
-FREQUENT = 2_000
+FREQUENT = 10_000
 #: Packed strings that are compared at a time, at least.
 LISTED = 5_000
 #: Keys that are known as frequent before the shuffle, at most: their list goes to all tasks.
