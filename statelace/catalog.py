@@ -283,11 +283,14 @@ query("calinski_harabasz", f"WITH {OWN}, g AS (SELECT list_transform(range(64),
 )
 query("calinski_harabasz_leading")(lambda s, d: rounded(cluster.calinski_harabasz(_own(s, d), _t(s, d), cluster.leading_direction(V.topographies(s, d), 64)), "value"))
 query("gap_statistic")(lambda s, d: s.createDataFrame([tuple(round(x, 6) for x in cluster.gap(_own(s, d)))], "gap double, se double"))
-query("criteria_of_one_k")(lambda s, d: s.createDataFrame([(n, round(v, 6)) for n, v in cluster.criteria(_own(s, d), _t(s, d), names=[x for x in cluster.DIRECTION if x not in ("gap", "kl")]).items()], "method string, score double"))
 DIST = f"{TOPO}, {TPL}, {CEN}, cc AS (SELECT c.sample_ix, state0 AS state, c.x FROM c JOIN topo USING (sample_ix)), dd AS (SELECT a.sample_ix AS i, a.state AS si, b.state AS sj, 1 - least(1.0, abs(list_cosine_similarity(a.x, b.x))) AS d FROM cc a JOIN cc b ON a.sample_ix <> b.sample_ix)"
 query("silhouette", f"""WITH {DIST}, m AS (SELECT i, si, sj, avg(d) AS m FROM dd GROUP BY 1, 2, 3), e AS (SELECT i, coalesce(max(m) FILTER (si = sj), 0) AS a, min(m) FILTER (si <> sj) AS b FROM m GROUP BY 1), q AS (SELECT avg((b - a) / greatest(a, b)) AS value FROM e) SELECT {r6('value')} FROM q""")(lambda s, d: rounded(cluster.silhouette(_own(s, d)), "value"))
 query("dunn", f"WITH {DIST}, q AS (SELECT min(d) FILTER (si <> sj) / max(d) FILTER (si = sj) AS value FROM dd) SELECT {r6('value')} FROM q")(lambda s, d: rounded(cluster.dunn(_own(s, d)), "value"))
 query("within_dispersion", f"WITH {DIST}, t AS (SELECT si, sum(d * d) AS s FROM dd WHERE si = sj GROUP BY 1), n AS (SELECT state, count(*) AS n FROM cc GROUP BY 1), q AS (SELECT sum(s / (2 * n)) AS value FROM t JOIN n ON si = state) SELECT {r6('value')} FROM q")(lambda s, d: rounded(cluster.within_dispersion(_own(s, d)), "value"))
+_ONE = {"gev": ("gev_total", "gev"), "cv": ("cv_criterion", "value"), "db": ("davies_bouldin", "value"), "aic": ("information_criteria", "aic"), "bic": ("information_criteria", "bic"), "sil": ("silhouette", "value"), "dunn": ("dunn", "value")}
+query("criteria_of_one_k", " UNION ALL ".join(f"SELECT '{n}' AS method, {c} AS score FROM ({ORACLES[q]})" for n, (q, c) in _ONE.items()))(
+    lambda s, d: s.createDataFrame([(n, round(v, 6)) for n, v in cluster.criteria(_own(s, d), _t(s, d), names=list(_ONE)).items()], "method string, score double")
+)
 
 CURVE = "cur AS (SELECT c_mktsegment AS method, CAST(c_custkey % 9 + 2 AS INTEGER) AS k, sum(c_acctbal) AS score FROM customer GROUP BY 1, 2)"
 
@@ -540,9 +543,21 @@ q AS (SELECT feature, n, (12.0 / (n * k * (k + 1)) * s - 3 * n * (k + 1)) / (1 -
 )
 query("gee_gamma")(lambda s, d: rounded(stats.gee(V.values(s, d), "a", "b", family="gamma"), "coef", "se", "p"))
 query("surrogate_ratios")(lambda s, d: rounded(features.surrogate_ratios(V.segmentation(s, d), 100), "mean", "sd"))
-query("window_variability")(lambda s, d: rounded(features.window_variability(V.segmentation(s, d), FS, 20 / FS), "value"))
-query("variability_table")(lambda s, d: S.variability_table(features.window_variability(V.segmentation(s, d), FS, 20 / FS)))
-query("feature_registry")(lambda s, d: rounded(features.features(V.segmentation(s, d), FS, ("COV", "OCC", "DUR", "MMD", "TP", "ER", "ERR", "HE", "LZC")), "value"))
+_plain = lambda name: ORACLES[name].replace(r6("value"), "value")
+VAR = ", ".join(f"""{c}_l AS (SELECT *, value - lag(value) OVER (PARTITION BY recording_id, state ORDER BY window_ix) AS dv FROM ({_plain(f'sliding_{n}')})),
+{c}_v AS (SELECT recording_id, state, stddev_samp(value) AS sd, sqrt(avg(dv * dv)) AS rmssd FROM {c}_l GROUP BY 1, 2)""" for c, n in (("dur", "duration"), ("cov", "coverage"), ("occ", "occurrence")))
+VAR += ", q AS (" + " UNION ALL ".join(f"SELECT recording_id, state, '{c.upper()}_{n}' AS feature, {n.lower()} AS value FROM {c}_v" for c in ("dur", "cov", "occ") for n in ("SD", "RMSSD")) + ")"
+query("window_variability", f"WITH {VAR} SELECT recording_id, state, feature, {r6('value')} FROM q")(lambda s, d: rounded(features.window_variability(V.segmentation(s, d), FS, 20 / FS), "value"))
+_VT = [f"{c}_{n}_{x}" for c in ("COV", "DUR", "OCC") for n in ("SD", "RMSSD") for x in STATES]
+query("variability_table", f"WITH {VAR} SELECT recording_id, " + ", ".join(f"round(max(value) FILTER (feature || '_' || state = '{c}'), 6) + 0.0 AS {c}" for c in _VT) + " FROM q GROUP BY 1")(
+    lambda s, d: rounded(S.variability_table(features.window_variability(V.segmentation(s, d), FS, 20 / FS), _VT), *_VT)
+)
+_PARTS = {"COV": "coverage", "OCC": "occurrence", "DUR": "duration_geometric", "MMD": "duration_geometric", "TP": "transition_probability"}
+REG = [f"SELECT recording_id, '{c}' AS feature, state, {'state_to' if c == 'TP' else 'NULL'} AS state_to, NULL::DOUBLE AS t_ms, value FROM ({ORACLES[n]})" for c, n in _PARTS.items()]
+REG += [f"SELECT recording_id, 'ER', NULL, NULL, NULL, rate FROM ({ORACLES['entropy_rate']})", f"SELECT recording_id, 'ERR', 'EntropyClass' || class, NULL, NULL, value FROM ({ORACLES['entropy_class_share']})"]
+REG += [f"SELECT recording_id, 'LZC', NULL, NULL, NULL, value FROM ({ORACLES['lempel_ziv']})"]
+query("feature_registry", " UNION ALL ".join(REG))(lambda s, d: rounded(features.features(V.segmentation(s, d), FS, ("COV", "OCC", "DUR", "MMD", "TP", "ER", "ERR", "LZC")), "value"))
+
 
 # --- joins, names, channels -----------------------------------------------------------------------------------------------------------
 
