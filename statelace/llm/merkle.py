@@ -99,93 +99,99 @@ def _up(nodes: Column) -> Column:
     return F.transform(runs, lambda i: _hash(F.slice(nodes, i * FANOUT + 1, F.lit(FANOUT))))
 
 
-def _levels(df: DataFrame, left: Column) -> DataFrame:
-    """Adds h1, h2, h3, the levels above the nodes h0 of a block, as long as its source has ``left`` > 1 nodes there."""
+def _levels(df: DataFrame) -> DataFrame:
+    """Adds h1, h2, h3, the levels above the ``items`` of a block, as long as its tree has ``left`` > 1 nodes there."""
+    below = F.transform("items", lambda i: i["h"])
     for j in range(LEVELS):
-        below = F.col(f"h{j}")
-        df = df.withColumn(f"h{j + 1}", F.when(left > FANOUT**j, _up(below)).otherwise(below))
+        df = df.withColumn(f"h{j + 1}", F.when(F.col("left") > FANOUT**j, _up(below)).otherwise(below))
+        below = F.col(f"h{j + 1}")
     return df
 
 
-STEP = "struct<at:int,run:array<string>>"
+def _step(at: Column, run: Column) -> Column:
+    return F.struct(F.pmod(at, F.lit(FANOUT)).cast("int").alias("at"), run.alias("run"))
 
 
-def _steps(i: Column, left: Column) -> Column:
-    """The runs that node i of a block lies in and its place in them, from h0 upwards."""
-    steps = [
-        F.when(
-            left > FANOUT**j,
-            F.struct(F.pmod(_shift(i, j), F.lit(FANOUT)).cast("int").alias("at"), F.slice(F.col(f"h{j}"), (_shift(i, j + 1) * FANOUT + 1).cast("int"), F.lit(FANOUT)).alias("run")),
-        )
-        for j in range(LEVELS)
-    ]
-    return F.array_compact(F.array(*steps))
+def _run_of(nodes: Column, i: Column) -> Column:
+    """The run that node i lies in."""
+    return F.slice(nodes, (F.floor(i / FANOUT) * FANOUT + 1).cast("int"), F.lit(FANOUT))
+
+
+def _descend(blocks: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., i, item, steps): a row for each node of a block, its place there and the runs above it inside the block.
+
+    A block is taken apart run by run, so that a row never holds more than its own runs.
+    """
+    left = F.col("left")
+
+    def one(r: Column) -> Column:
+        up = [F.when(left > FANOUT**j, _step(F.floor(r / FANOUT ** (j - 1)), _run_of(F.col(f"h{j}"), F.floor(r / FANOUT ** (j - 1))))) for j in range(1, LEVELS)]
+        steps = F.array_compact(F.array(*up)) if up else F.array().cast(f"array<{STEP}>")
+        return F.struct(r.alias("r"), F.slice("items", r * FANOUT + 1, F.lit(FANOUT)).alias("items"), steps.alias("up"))
 
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size("items") / FANOUT).cast("int") - 1), one)
+    cut = blocks.select(*keep, "left", F.explode(runs).alias("run"))
+    cut = cut.select(*keep, "left", F.col("run.r").alias("r"), F.transform("run.items", lambda x: x["h"]).alias("hs"), F.col("run.up").alias("up"), F.posexplode("run.items").alias("j", "item"))
+    own = F.array_compact(F.array(F.when(left > 1, _step(F.col("j"), F.col("hs")))))
+    return cut.select(*keep, (F.col("r") * FANOUT + F.col("j")).alias("i"), "item", F.concat(own, "up").alias("steps"))
 
-def _shift(i: Column, j: int) -> Column:
-    return F.floor(i / FANOUT**j).cast("int")
+
+STEP = "struct<at:int,run:array<string>>"
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Blocks of up to BLOCK nodes of a group: (g, block, h0, left, size, items...), with ``above``, the steps from a block to the root of its group."""
+    """Trees of groups. ``layers`` hold their blocks, leaves first; ``roots`` are (g, root)."""
 
-    blocks: DataFrame
+    layers: list[DataFrame]
     roots: DataFrame
 
+    def leaves(self, tops: DataFrame | None = None) -> DataFrame:
+        """(g, item, steps, top): every leaf with its steps up to its group's root and those of ``tops`` (g, steps, top) from there on.
+
+        What lies above a block goes down with it from layer to layer, so steps meet leaves where they are taken apart.
+        """
+        scratch, below = Scratch(self.roots.sparkSession), None
+        for t in reversed(self.layers):
+            here = t.where(F.col("left") <= BLOCK)
+            here = here.join(tops.withColumnRenamed("steps", "above"), "g") if tops is not None else here.withColumns({"above": F.array().cast(f"array<{STEP}>"), "top": F.lit(0)})
+            if below is not None:
+                here = here.unionByName(t.where(F.col("left") > BLOCK).join(below, ["g", "block"]))
+            nodes = _descend(here, ["g", "block", "above", "top"]).withColumn("steps", F.concat("steps", "above"))
+            if t is self.layers[0]:
+                break
+            below = scratch.write(nodes.select("g", (F.col("block") * BLOCK + F.col("i")).alias("block"), F.col("steps").alias("above"), "top"), "paths")
+        return nodes.select("g", "item", "steps", "top")
+
 
 def reduce_tree(leaves: DataFrame, carry: list[str]) -> Tree:
     """Trees over (g, rank, m, total, h, carry...), leaves of every group in the order of their ranks.
 
-    ``blocks``: (g, block, total, items, above): items are (h, carry...) in order, above the steps (at, run) from the
-    block's node to its group's root. ``roots``: (g, root). A row stands for ``m`` leaves with ranks from ``rank`` on.
+    A row stands for ``m`` leaves with ranks from ``rank`` on. Blocks hold the BLOCK leaves, or nodes, whose ranks agree
+    in all but their last LEVELS digits; the node of a block is an item of the next layer.
     """
     scratch = Scratch(leaves.sparkSession)
-    fields = ["h", *carry]
     # a row of many copies is cut where blocks end, so that no block receives more than it holds
     cut = leaves.withColumn("block", F.explode(F.sequence(F.floor(F.col("rank") / BLOCK), F.floor((F.col("rank") + F.col("m") - 1) / BLOCK))))
     low = F.greatest("rank", F.col("block") * BLOCK)
     times = F.least(F.col("rank") + F.col("m"), (F.col("block") + 1) * BLOCK) - low
-    piece = F.struct(low.alias("rank"), times.cast("int").alias("times"), F.struct(*fields).alias("item"))
-    items = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(piece["rank"].alias("rank"), piece.alias("p")))), lambda s: F.array_repeat(s["p"]["item"], s["p"]["times"])))
-    bottom = scratch.write(cut.groupBy("g", "block", "total").agg(items.alias("items")), "blocks")
-
-    def nodes(b: DataFrame, h0: Column) -> DataFrame:
-        left = F.col("left")
-        return _levels(b.withColumn("h0", h0), left)
-
-    # upwards: the node of each block is a leaf of the next tree
-    layers = [bottom.select("g", "block", F.col("total").alias("left"), F.transform("items", lambda i: i["h"]).alias("h0"))]
-    tables = []
-    while True:
-        made = scratch.write(nodes(layers[-1], F.col("h0")), "nodes")
-        tables.append(made)
-        more = made.where(F.col("left") > BLOCK)
+    piece = F.struct(low.alias("rank"), times.cast("int").alias("times"), F.struct("h", *carry).alias("item"))
+    items = F.flatten(F.transform(F.sort_array(F.collect_list(piece)), lambda p: F.array_repeat(p["item"], p["times"])))
+    layer = cut.groupBy("g", "block", F.col("total").alias("left")).agg(items.alias("items"))
+    layers = []
+    while True:  # upwards
+        layers.append(scratch.write(_levels(layer), "nodes"))
+        more = layers[-1].where(F.col("left") > BLOCK)
         if more.isEmpty():
             break
-        above = more.select("g", F.floor(F.col("block") / BLOCK).alias("to"), F.ceil(F.col("left") / BLOCK).cast("long").alias("left"), "block", F.get(f"h{LEVELS}", F.lit(0)).alias("h"))
-        h0 = F.transform(F.sort_array(F.collect_list(F.struct("block", "h"))), lambda s: s["h"])
-        layers.append(above.groupBy("g", F.col("to").alias("block"), "left").agg(h0.alias("h0")))
-    roots = [t.where(F.col("left") <= BLOCK).select("g", F.get(f"h{LEVELS}", F.lit(0)).alias("root")) for t in tables]
-    root = roots[0]
-    for r in roots[1:]:
-        root = root.union(r)
-
-    # downwards: what lies above a block is what lies above its node
-    none = F.array().cast(f"array<{STEP}>")
-    paths = None
-    for t in reversed(tables):
-        top = t.where(F.col("left") <= BLOCK).withColumn("above", none)
-        if paths is not None:
-            top = top.unionByName(t.where(F.col("left") > BLOCK).join(paths, ["g", "block"]))
-        here = top
-        if t is tables[0]:
-            break
-        i = F.col("i")
-        child = here.select("g", F.col("block").alias("_b"), "left", "above", *[f"h{j}" for j in range(LEVELS)], F.posexplode("h0").alias("i", "_h"))
-        paths = scratch.write(child.select("g", (F.col("_b") * BLOCK + i).alias("block"), F.concat(_steps(i, F.col("left")), "above").alias("above")), "paths")
-    lower = here.select("g", "block", "left", "above", *[f"h{j}" for j in range(LEVELS)])
-    return Tree(bottom.drop("total").join(lower, ["g", "block"]), root)
+        node = F.struct("block", F.get(f"h{LEVELS}", F.lit(0)).alias("h"))
+        up = more.select("g", F.floor(F.col("block") / BLOCK).alias("to"), F.ceil(F.col("left") / BLOCK).cast("long").alias("left"), node.alias("node"))
+        layer = up.groupBy("g", F.col("to").alias("block"), "left").agg(F.sort_array(F.collect_list("node")).alias("items"))
+    root = None
+    for t in layers:
+        ended = t.where(F.col("left") <= BLOCK).select("g", F.get(f"h{LEVELS}", F.lit(0)).alias("root"))
+        root = ended if root is None else root.union(ended)
+    return Tree(layers, root)
 
 
 def fold(leaf: Column, steps: Column) -> Column:
@@ -226,19 +232,10 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, order: str = "do
     groups = roots.select(F.lit("all").alias("g"), _hex(F.col("g")).alias("key"), F.lit(1).cast("long").alias("m"), F.col("root").alias("h"), F.col("g").alias("name"))
     over = reduce_tree(radix_ranks(scratch.write(groups, "groups")), ["name"])
     top = scratch.write(over.roots, "root")
-    i = F.col("i")
-    over_steps = over.blocks.select("left", "above", *[f"h{j}" for j in range(LEVELS)], F.posexplode("items").alias("i", "item"))
-    over_steps = over_steps.select(F.col("item.name").alias("g"), F.col("item.h").alias("subroot"), F.concat(_steps(i, F.col("left")), "above").alias("over"))
-    over_steps = scratch.write(over_steps.crossJoin(F.broadcast(top.select("root"))), "over")  # one root
-    both = tree.blocks.join(over_steps, "g")
-    rows = both.select("subroot", "root", "left", "above", "over", *[f"h{j}" for j in range(LEVELS)], F.posexplode("items").alias("i", "item"))
-    return rows.select(
-        F.col("item.k").alias(order),
-        F.col("item.h").alias("leaf"),
-        "subroot",
-        "root",
-        F.concat(_steps(i, F.col("left")), "above", "over").alias("steps"),
-        *[F.col(f"item.c_{n}").alias(n) for n in (carry or {})],
+    tops = over.leaves().crossJoin(F.broadcast(top.select("root")))  # one root
+    tops = scratch.write(tops.select(F.col("item.name").alias("g"), "steps", F.struct(F.col("item.h").alias("subroot"), "root").alias("top")), "tops")
+    return tree.leaves(tops).select(
+        F.col("item.k").alias(order), F.col("item.h").alias("leaf"), "top.subroot", "top.root", "steps", *[F.col(f"item.c_{n}").alias(n) for n in (carry or {})]
     )
 
 
