@@ -44,6 +44,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> float:
     """Cosine of two vectors, the same in whatever block they meet."""
+    a, b = a / np.abs(a).max(), b / np.abs(b).max()  # squares of extreme components stay finite
     return math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b))
 
 
@@ -98,8 +99,9 @@ def cells(reps: DataFrame, cosine: float, per_cell: int = PER_CELL) -> DataFrame
                     meet[i] = [o, *(c for c in np.flatnonzero(row).tolist() if c != o)]
             yield pa.record_batch([*b.columns, pa.array(home), pa.array(meet, pa.list_(pa.int32()))], [*b.schema.names, "home", "meet"])
 
-    schema = f"rep long, label int, embedding {reps.schema['embedding'].dataType.simpleString()}, m long, dim int, home int, meet array<int>"
-    return reps.withColumn("label", F.col("label").cast("int")).mapInArrow(run, schema)
+    kind = reps.schema["label"].dataType.simpleString()
+    schema = f"rep long, label {kind}, embedding {reps.schema['embedding'].dataType.simpleString()}, m long, dim int, home int, meet array<int>"
+    return reps.mapInArrow(run, schema)
 
 
 def cell_links(placed: DataFrame, cosine: float, chunk: int = CHUNK) -> DataFrame:
@@ -164,7 +166,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, per_cell: int = PER
 
     Vectors link within one label only. Null vectors, those without components, with null or non-finite components
     or with zeros alone, and those with a null label or vec_id link with nothing. Copies link with each other. Vectors
-    of different lengths don't link. Different vectors under one vec_id are one node. Empty table: no rows.
+    of different lengths don't link. Different vectors under one vec_id are one node. Labels may have any type. Vectors may
+    have any length; other columns are ignored. Empty table: no rows.
     """
     scratch = Scratch(vectors.sparkSession)
     reps = scratch.write(distinct_vectors(vectors), "vectors")

@@ -30,7 +30,7 @@ BOILERPLATE = frozenset(
     "nav footer aside form menu dialog fieldset button select noscript template svg math object canvas audio video".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words in class, id and role that name what isn't the article; those of LAYOUT may also name a page that has such a part.
+# Words in class, id and role that name what isn't the article; compounds with those of LAYOUT may also name a page that has such a part.
 NOTICES = frozenset(
     "advert advertisement adsbygoogle alert captcha comment comments complementary consent contentinfo cookie cookies disqus footer gdpr "
     "hidden login masthead newsletter notice pagination paywall popup privacy promo promoted promotion recommended related replies respond "
@@ -63,22 +63,24 @@ LINKED = 0.5
 LISTED = 0.05
 #: Part of a page's words outside links from which an element whose class only may name a part of the page is the page.
 MOST = 0.5
+#: How an element says that it is boilerplate: surely; by a name that pages with such a part have, too; by a part's own name.
+SURE, COMPOUND, NAME = range(3)
 
 
 class Part:
-    """An element that names itself boilerplate, and whether it may turn out to be the page."""
+    """An element that names itself boilerplate, how it does so, and what speaks for its being the page."""
 
-    __slots__ = ("above", "may", "words")
+    __slots__ = ("above", "how", "titled", "words")
 
-    def __init__(self, above: Part | None, may: bool):
-        self.above, self.may, self.words = above, may, 0
+    def __init__(self, above: Part | None, how: int):
+        self.above, self.how, self.words, self.titled = above, how, 0, False
 
 
 class Block:
-    __slots__ = ("text", "linked", "words", "n", "article", "part", "heading")
+    __slots__ = ("text", "linked", "words", "n", "article", "part", "heading", "title")
 
-    def __init__(self, text: str, linked: int, article: bool, part: Part | None, heading: bool):
-        self.text, self.article, self.part, self.heading = text, article, part, heading
+    def __init__(self, text: str, linked: int, article: bool, part: Part | None, heading: bool, title: bool):
+        self.text, self.article, self.part, self.heading, self.title = text, article, part, heading, title
         self.words = text.split(" ")
         self.n = len(self.words) + len(UNSPACED.findall(text)) // 2
         self.linked = min(linked, self.n)
@@ -88,30 +90,31 @@ class Block:
         return self.part is not None
 
 
-def _named(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
-    """Whether an element's attributes name it boilerplate, and if so, whether they may name a page that has such a part."""
+def _named(tag: str, attributes: str, article: bool) -> int | None:
+    """How an element's attributes name it boilerplate, if they do."""
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False, False
-    found = may = False
+        return None
+    found = []
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True, False
+            return SURE
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True, False
+                return SURE
             continue
         for one in value.split():
             words = re.split(r"[_-]+", one)
             for i, w in enumerate(words):
                 if i and words[i - 1] in MODIFIERS:
                     continue
-                if w in NOTICES or (w == "header" and not article and len(words) == 1):
-                    return True, False
-                if w in LAYOUT or (w == "header" and not article):
-                    found = True
-                    may |= len(words) > 1
-    return found, may
+                header = w == "header" and not article
+                if w in NOTICES or w in LAYOUT or header:
+                    compound = len(words) > 1 and w not in NOTICES
+                    found.append(SURE if name == "role" else COMPOUND if compound else NAME)
+    if not found:
+        return None
+    return SURE if SURE in found else max(found)
 
 
 def blocks(page: str) -> list[Block]:
@@ -130,7 +133,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             top = stack[-1] if stack else ("", None, False)
-            out.append(Block(text, linked, top[2], top[1] or loose, headings > 0))
+            out.append(Block(text, linked, top[2], top[1] or loose, headings > 0, bool(open_at.get("h1"))))
         parts.clear()
         linked = 0
 
@@ -171,8 +174,8 @@ def blocks(page: str) -> list[Block]:
             at = end + 3 if end >= 0 else len(page)
             continue
         if not m[2]:
-            end = page.find("]]>" if m[0].startswith("<![") else ">", m.end())
-            at = len(page) if end < 0 else end + (3 if m[0].startswith("<![") else 1)
+            end = page.find(">", m.end())  # browsers end declarations and CDATA here, too
+            at = len(page) if end < 0 else end + 1
             continue
         close = TAG_END.match(page, m.end())
         end = close.end() if close else page.find(">", m.end()) + 1
@@ -218,14 +221,14 @@ def blocks(page: str) -> list[Block]:
             if tag not in BLOCK:
                 flush()
                 if not closes(tag):
-                    loose = loose or Part(None, False)
+                    loose = loose or Part(None, SURE)
                     continue
-            part = Part(part, tag == "form")
+            part = Part(part, COMPOUND if tag == "form" else SURE)
         elif tag == "main":
             part = None
         else:
-            found, may = _named(tag, attributes, article)
-            part = Part(part, may) if found else part
+            how = _named(tag, attributes, article)
+            part = part if how is None else Part(part, how)
         if tag not in BLOCK and part is not above[1]:
             flush()
         open_at.setdefault(tag, []).append(len(stack))
@@ -239,13 +242,19 @@ def blocks(page: str) -> list[Block]:
 
 
 def _spare(found: list[Block]) -> None:
-    """An element that holds most of the page's words outside links is the page, if only the name of a part or a form speaks against it."""
-    total = 0
+    """An element that holds most of the page's words outside links is the page, if only its name or a form speaks against it.
+
+    One that bears the name of such a part as it stands, or of a notice, must also hold the page's title, or nothing may be left without it.
+    """
+    total = rest = 0
     for b in found:
         n = b.n - b.linked
         total += n
         if b.part:
             b.part.words += n
+            b.part.titled |= b.title
+        elif n >= SHORT:
+            rest += n
     parts: list[Part] = []
     known: set[int] = set()
     for b in found:
@@ -258,7 +267,8 @@ def _spare(found: list[Block]) -> None:
     for p in reversed(parts):
         if p.above:
             p.above.words += p.words
-    spared = {id(p) for p in parts if p.may and p.words > MOST * total}
+            p.above.titled |= p.titled
+    spared = {id(p) for p in parts if p.how != SURE and p.words > MOST * total and (p.how == COMPOUND or p.titled or not rest)}
     real: dict[int, Part | None] = {}
     for p in parts:
         up = real[id(p.above)] if p.above else None
@@ -324,7 +334,7 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars): one row per row of ``pages``. Null or empty html, or no content: empty text.
+    """(page_id, url, text, n_chars): one row per row of ``pages``. Null or empty html, or no content: empty text. Pages of any length are read whole.
 
     Repeated rows stay; an empty table gives no rows; extra columns are ignored.
     """

@@ -8,6 +8,7 @@ the end of a task are merged, largest first, in groups of bounded size.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,9 @@ class Tokens:
     """
 
     MOST = 250_000
+    #: Texts with a longer run of one kind of character go to the slower library, as the faster one recurses over it.
+    RUN = 50_000
+    RUNS = re.compile(r"\s+|\w+|[^\s\w]+")
     #: Longer pieces are encoded each time, which bounds what is remembered in bytes.
     REMEMBERED = 48
 
@@ -60,13 +64,18 @@ class Tokens:
 
         self.pieces = Pieces()
 
+    def slowly(self, text: str) -> bytes:
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.json_path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         if self.special in text:  # one id of its own
-            if self.slow is None:
-                from tokenizers import Tokenizer
-
-                self.slow = Tokenizer.from_file(self.json_path)
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.slowly(text)
+        if len(text) > self.RUN and any(m.end() - m.start() > self.RUN for m in self.RUNS.finditer(text)):
+            return self.slowly(text)
         if len(self.pieces) > self.MOST:
             self.pieces.clear()
         first, *rest = text.split(" ")

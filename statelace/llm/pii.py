@@ -41,10 +41,11 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# Numbers are as long as their formats allow: three digits a part of an address, 19 digits a card, 15 a phone; names have any length.
 AT = r"\s?(?:@|[\[({<]\s?(?:at|@)\s?[\])}>])\s?|\sat\s(?=[\w-]+\sdot\s)"
 DOT = r"\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s"
 LOOSE = {
-    "email": re.compile(rf"(?<![\w.+-])[\w.+-]{{1,64}}(?:{AT})[\w-]{{1,63}}(?:(?:{DOT})[\w-]{{1,63}}){{1,4}}", re.ASCII),
+    "email": re.compile(rf"(?<![\w.+-])[\w.+-]++(?:{AT})[\w-]++(?:(?:{DOT})[\w-]++)+", re.ASCII),
     "ip": re.compile(r"(?<![\d.])\d{1,3}(?:(?:\s?[\[({]?\.[\])}]?\s?)\d{1,3}){3}(?![\d])", re.ASCII),
     "card": re.compile(r"(?<!\d)\d{4}(?:[ ._/-]{0,3}\d){9,15}(?!\d)", re.ASCII),
     "phone": re.compile(r"(?<![\w+.])(?:\+|00)?[ ]?\(?\d{1,4}\)?(?:[ ./-]{1,2}\(?\d{2,4}\)?){2,4}(?!\w)", re.ASCII),
@@ -77,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             end = m.end()
         at = text.find("@", max(at + 1, end))
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x) <= 3 and int(x or 0) <= 255 for x in (p.lstrip("0") for p in m[0].split("."))):
             out.append((*m.span(), "ip"))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -90,13 +91,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Spans that the generators propose."""
+    """Spans that the generators propose. No phone number has over 15 digits."""
     kinds = []
     if "@" in text or re.search(r"[\[({<]\s?at\s?[\])}>]|\sdot\s", text):
         kinds.append("email")
     if re.search(r"[0-9][^A-Za-z]{0,3}[0-9]", text):
         kinds += ["ip", "card", "phone"]
-    return [(*m.span(), k) for k in kinds for m in LOOSE[k].finditer(text)]
+    return [(*m.span(), k) for k in kinds for m in LOOSE[k].finditer(text) if k != "phone" or sum("0" <= c <= "9" for c in m[0]) <= 15]
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
@@ -156,7 +157,7 @@ def _free(found: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -
 
 
 def readable(s: str, kind: str) -> bool:
-    """Whether a span is a plain match once its disguise is undone."""
+    """Whether a span is a plain match of a kind once its disguise is undone."""
     if kind == "email":
         plain = re.sub(r"\s", "", re.sub(DOT, ".", re.sub(AT, "@", s)))
     elif kind == "ip":
@@ -167,12 +168,13 @@ def readable(s: str, kind: str) -> bool:
     return (0, len(plain), kind) in base_spans(plain)
 
 
-def examples(text: str, turn: int) -> Iterator[tuple[str, int, int, str, int]]:
-    """(text, start, end, kind, label) of candidates that can't be read as personal data or equal a plain match, and of variants of all plain matches."""
+def examples(text: str, turn: int, addable: bool = False) -> Iterator[tuple[str, int, int, str, int]]:
+    """(text, start, end, kind, label) of candidates that can't be read as personal data of any kind or equal a plain match,
+    and of variants of all plain matches. If ``addable``, without plain matches, which are redacted whatever their score."""
     base, found = base_spans(text), candidates(text)
     plain = set(base)
     for c, free in zip(found, _free(found, base)):
-        if c in plain or (free and not readable(text[c[0] : c[1]], c[2])):
+        if (c in plain and not addable) or (free and not any(readable(text[c[0] : c[1]], k) for k in KINDS)):
             yield (text, *c, int(not free))
     for start, end, kind in base:
         lo = min(60, start)
@@ -277,7 +279,7 @@ def _examples(docs: DataFrame, used: list[int]) -> DataFrame:
 
 
 def _levels(docs: DataFrame, model: Model, used: list[int]) -> DataFrame:
-    """(kind, level, good, n): examples of all documents but the used ones by score, from the first level on."""
+    """(kind, level, good, n): examples that the method decides, of all documents but the used ones, by score from the first level on."""
     skip = frozenset(used)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +299,7 @@ def _levels(docs: DataFrame, model: Model, used: list[int]) -> DataFrame:
             for h, value in zip(b.column("h").to_pylist(), b.column("text")):
                 if h in skip:
                     continue
-                for text, s, e, k, label in examples(value.as_py(), _turn(h)):
+                for text, s, e, k, label in examples(value.as_py(), _turn(h), addable=True):
                     held.append((features(text, s, e, k), KINDS.index(k), label))
                     if len(held) >= 10_000:
                         tally()

@@ -10,6 +10,7 @@ documents of the training rows, are the evidence; a logistic model of a document
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,8 +37,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE, OTHER, ALPHABET = 0, 27, 28
 PREFIXES = (4, 5, 6)
 
-#: Runs of characters after which a lattice settles on its best path so far, which bounds its memory.
-SETTLE = 1_000
+#: Runs of characters after which a lattice gives out what all its paths begin with, so that it holds no long texts.
+SETTLE = 64
 #: Tokens up to this length are remembered with their evidence.
 REMEMBERED = 48
 
@@ -129,9 +130,10 @@ class Reader:
                         new[at] = (s, text + way)
             best = new
             if step % SETTLE == 0:
-                state, (total, text) = min(best.items(), key=lambda x: x[1][0])
-                done.append(text)
-                best = {state: (total, "")}
+                texts = [text for _, text in best.values()]
+                shared = len(os.path.commonprefix([min(texts), max(texts)]))
+                done.append(texts[0][:shared])
+                best = {at: (total, text[shared:]) for at, (total, text) in best.items()}
         return "".join([*done, min((s + cost[at * size + EDGE], text) for at, (s, text) in best.items())[1]])
 
 

@@ -1,9 +1,11 @@
 """What every corpus operator does with nulls in any column, empty and very long texts and tokens, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import time
 
+import numpy as np
 import pytest
 
 from statelace.llm import fingerprint, html, mixing, packing, pii, simhash, substring, suffix, toxicity
@@ -123,3 +125,73 @@ def test_pages_that_name_their_layout():
     other = "Это длинный рассказ о человеке который ушёл к морю и долго думал о доме и о друзьях которых оставил. "
     page = f'<div><a href="a">Начало</a> <a href="b">Новости</a></div><h2>Рассказ</h2><p>{other * 3}</p><p>Конец.</p><p>{other * 3}</p><footer>сайт</footer>'
     assert html.main_text(page) == "\n\n".join(["Рассказ", (other * 3).strip(), "Конец.", (other * 3).strip()])
+
+
+@pytest.mark.parametrize("name", ["hidden-gems", "share-price-story", "promo", "press-release related", "newsletter-archive", "login-guide", "post comments-open", "single comments-open", "search-results", "post reply", "nav"])
+def test_a_name_alone_loses_no_article(name):
+    page = f'<body><nav><a href="/">Home</a> <a href="/a">News</a></nav>%s<footer>All rights reserved by the owner of this site</footer></body>'
+    story = "".join(f"<p>{BODY}</p>" for _ in range(5))
+    text = "\n\n".join(["The title", *[BODY.strip()] * 5])
+    assert html.main_text(page % f'<div class="{name}"><h1>The title</h1>{story}</div>') == text
+    assert html.main_text(page % f'<main><div class="{name}"><h1>The title</h1>{story}</div></main>') == text
+    both = f'<div class="story"><h1>The title</h1>{story}</div><div class="comments-list comments"><p>{BODY * 20}</p></div>'
+    assert html.main_text(page % both) == text
+
+
+def test_open_character_data_end_at_the_tag():
+    assert html.main_text(f"<article><p>{BODY}<![CDATA[ x</p><p>{BODY}</p></article>") == "\n\n".join([BODY.strip()] * 2)
+
+
+def test_long_blanks_are_packed(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(i, f"a{c * 1_000_000}b") for i, c in enumerate([" ", "\n", " \t\r\n"[:2], "-", "x", "1", "é"])]
+    got = packing.pack(documents(rows)).groupBy("doc_id").max("doc_tokens").collect()
+    assert {x[0]: x[1] for x in got} == {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+
+
+def test_long_numbers_in_addresses(documents):
+    (got,) = pii.find(documents([(1, "a " + "0" * 5_000 + "1.1.1.1 b and " + "9" * 5_000 + ".1.1.1")])).collect()
+    assert got["n_ip"] == 1 and f"ip:2:{5_000 + 9}" in got["spans"]
+
+
+def test_long_names_in_addresses():
+    name, host = "n" * 300, ".".join(["part"] * 9)
+    for text in (f"{name} [at] {host}", f"{name}(at){host.replace('.', '(dot)')}"):
+        assert (2, 2 + len(text), "email") in pii.candidates(f"a {text} b")
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "boolean", "date"])
+def test_labels_of_any_type(spark, kind):
+    from pyspark.sql import functions as F
+
+    from statelace.llm import embedding
+
+    value = {"string": "'x y'", "double": "0.5", "boolean": "true", "date": "date'2020-01-01'"}[kind]
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = embedding.near_vectors(v.withColumn("label", F.expr(value))).orderBy("vec_id").collect()
+    assert [(x["n_links"], x["component_id"]) for x in got] == [(1, 1), (1, 1), (0, 3)]
+
+
+def test_cosines_of_extreme_vectors(spark):
+    from statelace.llm import embedding
+
+    rows = []
+    for n, scale in enumerate([1e-200, 1e200, 1.0]):
+        for i, v in enumerate([[1.0, 0.0], [0.98, math.sqrt(1 - 0.98**2)], [0.9799, math.sqrt(1 - 0.9799**2)]]):
+            rows.append((10 * n + i, [x * scale for x in v], n))
+    got = {x["vec_id"]: x["n_links"] for x in embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got[0] == got[10] == got[20] and got[2] == got[12] == got[22] == 1
+
+
+def test_settling_changes_no_reading(monkeypatch):
+    r = random.Random(8)
+    reader = toxicity.Reader(np.random.default_rng(3).integers(0, 50, toxicity.ALPHABET**3))
+    token = "".join(r.choice("abcdest0134578@$!|.-_ 1l") for _ in range(5_000))
+    monkeypatch.setattr(toxicity, "SETTLE", 10**9)
+    whole = reader.read(token)
+    for step in (1, 64, 1_000):
+        monkeypatch.setattr(toxicity, "SETTLE", step)
+        assert reader.read(token) == whole
