@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .blocks import carried, chunk_of, numbered
 from .runs import RECORDING, by
 
 
@@ -25,12 +26,48 @@ def event_windows(annotations: DataFrame, wanted: Sequence[str], keys: Sequence[
     return picked.select(*keys, (F.row_number().over(order) - 1).alias("event_ix"), "description", F.col("onset_s").alias("start_s"), "end_s")
 
 
-def in_windows(samples: DataFrame, windows: DataFrame, keys: Sequence[str] = RECORDING) -> DataFrame:
-    """``samples`` (with t_s) inside each window, joined within their recording; sample_ix counts inside the window."""
-    w = windows.select(*keys, "event_ix", "description", "start_s", "end_s")
-    met = samples.join(w, list(keys)).where((F.col("t_s") >= F.col("start_s")) & (F.col("end_s").isNull() | (F.col("t_s") < F.col("end_s"))))
-    inside = F.row_number().over(Window.partitionBy(*keys, "event_ix").orderBy("sample_ix")) - 1
-    return met.withColumn("sample_ix", inside.cast("long"))
+def open_windows(windows: DataFrame, keys: Sequence[str] = RECORDING) -> DataFrame:
+    """(keys..., start_s, open): at each onset, the windows (event_ix, description, start_s, end_s) that are open from it on.
+
+    Windows may overlap. Each is listed at every onset that it covers, whose places it knows from one sorted pass over
+    starts and ends; windows without a start, or that end before they start, are open nowhere.
+    """
+    w = windows.where(F.col("start_s").isNotNull() & (F.col("end_s").isNull() | (F.col("end_s") > F.col("start_s"))))
+    w = w.dropna(subset=list(keys)).select(*keys, "event_ix", "description", "start_s", "end_s")
+    starts = w.groupBy(*keys, "start_s").agg(F.count("*").alias("_n"))
+    starts = starts.select(*keys, "start_s", (F.row_number().over(by(keys, "start_s")) - 1).alias("_r"), F.count("*").over(Window.partitionBy(*keys)).alias("_all"))
+    ends = w.where("end_s is not null").select(*keys, F.col("end_s").alias("x")).distinct()
+    edges = starts.select(*keys, F.col("start_s").alias("x"), F.lit(1).alias("_s")).unionByName(ends.withColumn("_s", F.lit(0)))
+    # an end sees the starts before it, not the one at its own time
+    seen = F.sum("_s").over(Window.partitionBy(*keys).orderBy("x", "_s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = edges.withColumn("_to", seen).where("_s = 0").select(*keys, F.col("x").alias("end_s"), "_to")
+    spans = w.join(starts, [*keys, "start_s"]).join(ends, [*keys, "end_s"], "left")
+    spans = spans.withColumn("_at", F.explode(F.sequence("_r", F.coalesce("_to", "_all") - 1)))
+    window = F.struct("event_ix", "description", "start_s", "end_s")
+    listed = spans.groupBy(*keys, "_at").agg(F.sort_array(F.collect_list(window)).alias("open"))
+    return listed.join(starts.select(*keys, F.col("_r").alias("_at"), "start_s"), [*keys, "_at"]).select(*keys, "start_s", "open")
+
+
+def in_windows(samples: DataFrame, windows: DataFrame, keys: Sequence[str] = RECORDING, chunk_s: float = 300.0) -> DataFrame:
+    """``samples`` (with t_s) inside each window of their recording; sample_ix counts inside the window.
+
+    Onsets and samples are sorted together by time and the windows open at the last onset are carried forward, so no
+    sample meets a window that it isn't in. Recordings are cut into chunks of ``chunk_s``, and the windows open at a
+    chunk's end are handed on, so a long recording is many tasks. sample_ix must grow with t_s. Samples without a time
+    and null keys are in no window.
+    """
+    opened = open_windows(windows, keys)
+    kind = opened.schema["open"].dataType
+    rows = samples.where(F.col("t_s").isNotNull()).dropna(subset=list(keys))
+    rows = rows.select(*keys, F.col("t_s").cast("double").alias("_t"), F.lit(1).alias("_k"), F.struct("*").alias("_row"), F.lit(None).cast(kind).alias("open"))
+    marks = opened.select(*keys, F.col("start_s").cast("double").alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "open")
+    both = rows.unionByName(marks).withColumn("chunk", chunk_of("_t", chunk_s))
+    met = carried(both, keys, ("_t", "_k"), "open").where("_k = 1")
+    met = met.select(*keys, "chunk", "_row", F.inline("open")).where(F.col("end_s").isNull() | (F.col("_row.t_s") < F.col("end_s")))
+    met = met.select(*keys, "chunk", "event_ix", "description", "start_s", "end_s", "_row", F.col("_row.sample_ix").alias("_ix"))
+    out = numbered(met, [*keys, "event_ix"], "_ix")
+    rest = [F.col(f"_row.{c}").alias(c) for c in samples.columns if c not in keys and c != "sample_ix"]
+    return out.select(*keys, F.col("n").cast("long").alias("sample_ix"), *rest, "event_ix", "description", "start_s", "end_s")
 
 
 def before_after(epochs: DataFrame, pre: tuple[float, float], post: tuple[float, float]) -> DataFrame:

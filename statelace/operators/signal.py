@@ -1,7 +1,8 @@
 """Preparing recordings: references, filters, resampling, neighbours, noisy channels.
 
 Filters need a channel's samples in order, so they run as grouped Arrow functions per recording and channel over
-rows (recording_id, channel, sample_ix, x).
+rows (recording_id, channel, sample_ix, x). FIR and IIR filters cut recordings into chunks: the first sees the halo that its
+taps reach, the second hands its state from chunk to chunk.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Window
 
 from statelace.functions import arrays as A
 
+from .blocks import CHUNK, chunk_of, halos
+
 SERIES = "recording_id string, channel string, sample_ix long, x double"
 
 
@@ -45,14 +48,222 @@ def _per_channel(series: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> Da
     return series.groupBy("recording_id", "channel").applyInPandas(run, SERIES)
 
 
-def band_pass(series: DataFrame, fs: float, low: float | None, high: float | None, transition: float = 1.0) -> DataFrame:
-    """Zero-phase band-pass in the frequency domain, with raised-cosine edges ``transition`` Hz wide."""
-    nyquist = fs / 2
+CHANNEL = ("recording_id", "channel")
+
+
+def check_band(fs: float, low: float | None, high: float | None, to: float | None = None) -> None:
+    """Cut-offs must lie below half of every rate the samples will have, and the low one below the high one."""
+    nyquist = min(fs, to or fs) / 2
     if high is not None and high >= nyquist or low is not None and low >= nyquist:
         raise ValueError(f"cut-offs must lie below {nyquist} Hz")
     if low is not None and high is not None and low >= high:
         raise ValueError("the low cut-off must lie below the high one")
 
+
+def fir_taps(fs: float, low: float | None, high: float | None) -> np.ndarray:
+    """Odd, symmetric taps: a windowed sinc, with transition bands of a quarter of the cut-off, 2 Hz at least where they fit.
+
+    A Hamming window needs 3.3 sampling intervals for each width of the narrower band.
+    """
+    a = min(max(0.25 * low, 2.0), low) if low else None
+    b = min(max(0.25 * high, 2.0), fs / 2 - high) if high else None
+    n = int(np.ceil(3.3 / min(x for x in (a, b) if x is not None) * fs)) | 1
+    m = np.arange(n) - n // 2
+    lo, hi = (low - a / 2 if low else 0.0), (high + b / 2 if high else fs / 2)
+    taps = (2 * hi * np.sinc(2 * hi * m / fs) - 2 * lo * np.sinc(2 * lo * m / fs)) / fs * np.hamming(n)
+    middle = 0.0 if not low else fs / 2 if not high else (lo + hi) / 2
+    return taps / (taps * np.cos(2 * np.pi * middle * m / fs)).sum()
+
+
+def mirrored(series: DataFrame, reach: int) -> DataFrame:
+    """``series`` (samples from 0 on) with own, and up to ``reach`` samples turned about each of its ends."""
+    ends = series.groupBy(*CHANNEL).agg(F.max("sample_ix").alias("_n"), F.min_by("x", "sample_ix").alias("_a"), F.max_by("x", "sample_ix").alias("_b"))
+    rows = series.join(ends, list(CHANNEL))
+    i = F.col("sample_ix")
+    sides = F.array(
+        F.struct(i.alias("sample_ix"), F.col("x").alias("x"), F.lit(True).alias("own")),
+        F.when((i > 0) & (i <= reach), F.struct((-i).alias("sample_ix"), (2 * F.col("_a") - F.col("x")).alias("x"), F.lit(False).alias("own"))),
+        F.when((i < F.col("_n")) & (i >= F.col("_n") - reach), F.struct((2 * F.col("_n") - i).alias("sample_ix"), (2 * F.col("_b") - F.col("x")).alias("x"), F.lit(False).alias("own"))),
+    )
+    return rows.select(*CHANNEL, F.inline(F.array_compact(sides)))
+
+
+def fir(series: DataFrame, taps: np.ndarray, chunk: int = CHUNK) -> DataFrame:
+    """Each sample becomes the weighted sum of those around it; ends are turned about, beyond that samples count as 0.
+
+    Chunks see the halo their taps reach and are multiplied as spectra.
+    """
+    half = len(taps) // 2
+    rows = halos(mirrored(series, half).withColumnRenamed("own", "_real"), chunk, half)
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        keep = g[g["own"] & g["_real"]].sort_values("sample_ix")
+        if not len(keep):
+            return pd.DataFrame([], columns=["recording_id", "channel", "sample_ix", "x"])
+        ix = keep["sample_ix"].to_numpy()
+        lo, n = ix[0] - half, ix[-1] - ix[0] + 1 + 2 * half
+        line = np.zeros(n)
+        at = g["sample_ix"].to_numpy() - lo
+        near = (at >= 0) & (at < n)
+        line[at[near]] = g["x"].to_numpy(float)[near]
+        size = 1 << int(n + len(taps) - 1).bit_length()
+        y = np.fft.irfft(np.fft.rfft(line, size) * np.fft.rfft(taps, size), size)[2 * half :]
+        return pd.DataFrame({"recording_id": key[0], "channel": key[1], "sample_ix": ix, "x": y[ix - ix[0]]})
+
+    return rows.groupBy(*CHANNEL, "chunk").applyInPandas(run, SERIES)
+
+
+def butterworth(fs: float, low: float | None, high: float | None, order: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Second-order sections (b, a) of a Butterworth filter of even ``order``, by the bilinear transform."""
+    p = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    w = [2 * fs * np.tan(np.pi * f / fs) for f in (low, high) if f is not None]
+    if low is not None and high is not None:
+        half = p * (w[1] - w[0]) / 2
+        root = np.sqrt(half**2 - w[0] * w[1])
+        p, b, at = np.concatenate([half + root, half - root]), [1.0, 0.0, -1.0], np.sqrt(w[0] * w[1])
+    elif high is not None:
+        p, b, at = p * w[0], [1.0, 2.0, 1.0], 0.0
+    else:
+        p, b, at = w[0] / p, [1.0, -2.0, 1.0], np.inf
+    z = (2 * fs + p) / (2 * fs - p)
+    z = z[z.imag > 0]
+    z = z[np.argsort(np.abs(z))]
+    unit = np.exp(1j * (np.pi if at == np.inf else 2 * np.arctan(at / (2 * fs))))
+    out = []
+    for q in z:  # every section has gain 1 where the whole filter has
+        a = np.array([1.0, -2 * q.real, abs(q) ** 2])
+        gain = abs(np.polyval(a, unit) / np.polyval(b, unit))
+        out.append((np.array(b) * gain, a))
+    return out
+
+
+def state_space(sections: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(A, B, C, D) of sections in a row: state' = A state + B x, y = C state + D x."""
+    n = 2 * len(sections)
+    big, into, out, through = np.zeros((n, n)), np.zeros(n), np.zeros(n), 1.0
+    for k, (b, a) in enumerate(sections):
+        own = slice(2 * k, 2 * k + 2)
+        gain = b[1:] - a[1:] * b[0]
+        big[own] = np.outer(gain, out)  # what the sections before give
+        big[own, own] += np.array([[-a[1], 1.0], [-a[2], 0.0]])
+        into[own] = gain * through
+        out, through = b[0] * out, b[0] * through
+        out[2 * k] += 1.0
+    return big, into, out, through
+
+
+class Recursion:
+    """A recursive filter over stretches of samples: what a stretch gives, and the state it leaves, are affine in the state it finds."""
+
+    STEP = 128
+
+    def __init__(self, sections: list[tuple[np.ndarray, np.ndarray]]):
+        self.a, self.b, self.c, self.d = state_space(sections)
+        n, m = len(self.b), self.STEP
+        powers = [np.eye(n)]
+        for _ in range(m):
+            powers.append(self.a @ powers[-1])
+        self.jump = powers[m]
+        self.seen = np.stack([self.c @ q for q in powers[:m]])  # (m, n): outputs from a state alone
+        self.left = np.stack([powers[m - 1 - i] @ self.b for i in range(m)], axis=1)  # (n, m): state from inputs alone
+        h = np.concatenate([[self.d], self.seen[:-1] @ self.b])
+        self.response = np.array([[h[i - j] if i >= j else 0.0 for j in range(m)] for i in range(m)])
+        self.steady = np.linalg.solve(np.eye(n) - self.a, self.b)  # the state under a constant input of 1
+
+    def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs for x from ``state`` on, and the state after."""
+        m = self.STEP
+        whole = len(x) // m * m
+        blocks = x[:whole].reshape(-1, m)
+        pushed = blocks @ self.left.T
+        states = np.empty((len(blocks), len(state)))
+        for i, p in enumerate(pushed):
+            states[i] = state
+            state = self.jump @ state + p
+        y = [(blocks @ self.response.T + states @ self.seen.T).ravel()]
+        tail = x[whole:]
+        if len(tail):
+            k = len(tail)
+            y.append(self.response[:k, :k] @ tail + self.seen[:k] @ state)
+            for v in tail:
+                state = self.a @ state + self.b * v
+        return np.concatenate(y), state
+
+    def after(self, n: int, state: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The state after n samples that leave ``left`` when they start from zero."""
+        return np.linalg.matrix_power(self.a, n) @ state + left
+
+    def ringing(self, share: float = 1e-3) -> int:
+        """Samples after which what a state has left fades to a share of itself."""
+        return int(np.ceil(np.log(share) / np.log(np.abs(np.linalg.eigvals(self.a)).max())))
+
+
+def iir(series: DataFrame, sections: list[tuple[np.ndarray, np.ndarray]], chunk: int = CHUNK) -> DataFrame:
+    """A recursive filter run forwards, then backwards, over recordings with their ends turned about.
+
+    A chunk first says what state it would leave if it began with none; a table with a row for each chunk turns that
+    into the state each begins with, and each chunk is filtered from there. One shuffle makes chunks of samples.
+    """
+    f = Recursion(sections)
+    n = len(f.b)
+    rows = mirrored(series, f.ringing()).withColumn("chunk", chunk_of("sample_ix", chunk))
+    line = F.sort_array(F.collect_list(F.struct("sample_ix", "x", "own")))
+    chunks = rows.groupBy(*CHANNEL, "chunk").agg(line.alias("l"))
+    get = lambda c: F.transform("l", lambda s: s[c])
+    chunks = chunks.select(*CHANNEL, "chunk", get("sample_ix").alias("ix"), get("own").alias("own"), get("x").alias("x"))
+    for back in (False, True):
+        chunks = _pass(chunks, f, n, back)
+    out = chunks.select(*CHANNEL, F.explode(F.arrays_zip("ix", "own", "x")).alias("s")).where("s.own")
+    return out.select(F.col("recording_id").cast("string").alias("recording_id"), "channel", F.col("s.ix").alias("sample_ix"), F.col("s.x").alias("x"))
+
+
+def _pass(chunks: DataFrame, f: Recursion, n: int, back: bool) -> DataFrame:
+    turn = slice(None, None, -1) if back else slice(None)
+
+    @F.pandas_udf("array<double>")
+    def leaves(x: pd.Series) -> pd.Series:
+        """The first sample and the state left from none."""
+        each = [np.asarray(v, float)[turn] for v in x]
+        return pd.Series([np.append(v[0], f.run(v, np.zeros(n))[1]) for v in each])
+
+    @F.pandas_udf("array<double>")
+    def given(x: pd.Series, state: pd.Series) -> pd.Series:
+        return pd.Series([f.run(np.asarray(v, float)[turn], np.asarray(s, float))[0][turn] for v, s in zip(x, state)])
+
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in (*CHANNEL, "chunk")}
+
+    def hand_on(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("chunk", ascending=not back)
+        state, found = f.steady * g["left"].iloc[0][0], []
+        for size, left in zip(g["n"], g["left"]):
+            found.append(state)
+            state = f.after(int(size), state, np.asarray(left)[1:])
+        return pd.DataFrame({**{c: g[c] for c in kinds}, "state": found})
+
+    ends = chunks.select(*kinds, F.size("x").alias("n"), leaves("x").alias("left"))
+    states = ends.groupBy(*CHANNEL).applyInPandas(hand_on, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", state array<double>")
+    return chunks.join(states, list(kinds)).withColumn("x", given("x", "state")).drop("state")
+
+
+def band_filter(series: DataFrame, fs: float, low: float | None, high: float | None, method: str = "fir", to: float | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Zero-phase filter of rows (recording_id, channel, sample_ix from 0 on, x): "fir", "iir" (Butterworth, both ways) or "fft".
+
+    ``to`` is the rate of a later resampling, which the cut-offs must suit as well. Without cut-offs rows stay as they are.
+    """
+    check_band(fs, low, high, to)
+    if method not in ("fir", "iir", "fft"):
+        raise ValueError(f"unknown filter method {method!r}")
+    if low is None and high is None:
+        return series
+    if method == "fft":
+        return band_pass(series, fs, low, high)
+    return fir(series, fir_taps(fs, low, high), chunk) if method == "fir" else iir(series, butterworth(fs, low, high), chunk)
+
+
+def band_pass(series: DataFrame, fs: float, low: float | None, high: float | None, transition: float = 1.0) -> DataFrame:
+    """Zero-phase band-pass in the frequency domain, with raised-cosine edges ``transition`` Hz wide; a channel is a group."""
+    check_band(fs, low, high)
+
     def f(x: np.ndarray) -> np.ndarray:
         pad = min(len(x) - 1, int(fs * 2))  # mirrored ends, so that edges don't ring
         y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad > 0 else x
@@ -101,10 +312,10 @@ def neighbours(channels: DataFrame, least: int = 3, most: int = 8) -> DataFrame:
     return d.where(F.col("rank") <= F.least(F.lit(most), F.coalesce("_cut", F.lit(most)))).select("montage", "channel_ix", "neighbour_ix", "rank")
 
 
-def spatial_smooth(samples: DataFrame, near: dict[int, list[int]]) -> DataFrame:
-    """Each channel becomes the mean of itself and its neighbours."""
+def spatial_smooth(samples: DataFrame, near: dict[int, list[int]], channels: int | None = None) -> DataFrame:
+    """Each channel becomes the mean of itself and its neighbours; those without neighbours stay. ``channels`` is their number."""
     t = F.col("topo")
-    new = [sum((F.get(t, j) for j in near.get(i, [])), F.get(t, i)) / (1 + len(near.get(i, []))) for i in sorted(near)]
+    new = [sum((F.get(t, j) for j in near.get(i, [])), F.get(t, i)) / (1 + len(near.get(i, []))) for i in range(channels or max(near, default=-1) + 1)]
     return samples.withColumn("topo", F.array(*new))
 
 
