@@ -232,6 +232,20 @@ query("retention_curve", f"WITH {SCORE}, q AS (SELECT t AS threshold, 100 * avg(
 query("smooth")(lambda s, d: sequence.smooth(_recorded(s, d), 64))
 query("spread_gaps")(lambda s, d: sequence.spread_gaps(_recorded(s, d), 1))
 
+LENGTHS = f"""{SCORE}, z AS (SELECT CAST(floor(sample_ix / 100) AS BIGINT) AS recording_id, sample_ix, 'S' || state AS label, abs_r FROM best), {run_ctes('z')},
+rf AS (SELECT recording_id, run_ix, any_value(label) AS label, count(*) AS n, sum(abs_r) AS fit FROM runs_i GROUP BY 1, 2), cand AS (SELECT unnest(range(1, 16)) AS t),
+sv AS (SELECT rf.*, t, label <> lag(label) OVER (PARTITION BY recording_id, t ORDER BY run_ix) AS turn FROM rf, cand WHERE n > t),
+bl AS (SELECT recording_id, t, label, sum(fit) / sum(n) AS r, sum(n) AS n, sum(CASE WHEN turn THEN 1 ELSE 0 END) AS turn FROM sv GROUP BY 1, 2, 3),
+gl AS (SELECT recording_id, t, avg(r) AS r, sum(n) AS n, sum(turn) AS turn FROM bl GROUP BY 1, 2), al AS (SELECT recording_id, sum(n) AS a FROM rf GROUP BY 1),
+lq AS (SELECT recording_id, t::DOUBLE AS parameter, coalesce(0.6 * r + 0.3 / (1 + turn / n) + 0.1 * n / a, 0) AS quality FROM al CROSS JOIN cand LEFT JOIN gl USING (recording_id, t))"""
+query("length_qualities", f"WITH {LENGTHS} SELECT recording_id, parameter, {r6('quality')} FROM lq")(
+    lambda s, d: rounded(sequence.length_qualities(_recorded(s, d), sequence.run_lengths(FS)), "quality")
+)
+query("best_length", f"WITH {LENGTHS}, q AS (SELECT recording_id, least(greatest(arg_max(parameter, quality - parameter * 1e-12), 1), 12)::DOUBLE AS parameter, max(quality) AS quality FROM lq GROUP BY 1) SELECT recording_id, parameter, {r6('quality')} FROM q")(
+    lambda s, d: rounded(sequence.best_length(_recorded(s, d), FS), "quality")
+)
+query("best_weight")(lambda s, d: rounded(sequence.best_weight(_recorded(s, d, 0.3), 64), "quality"))
+
 # --- clustering -------------------------------------------------------------------------------------------------------------------
 
 ACT = f"""{TOPO}, {TPL}, p AS (SELECT sample_ix, state, x, list_dot_product(x, m) AS a FROM topo, tpl), b AS (SELECT sample_ix, arg_max(state, abs(a)) AS state, arg_max(a, abs(a)) AS a, any_value(x) AS x FROM p GROUP BY 1),
@@ -335,6 +349,19 @@ query("event_features", f"""WITH {EW}, i AS (SELECT recording_id, event_ix, labe
 q AS (SELECT recording_id, event_ix, state, 100.0 * n / sum(n) OVER (PARTITION BY recording_id, event_ix) AS value FROM i) SELECT recording_id, event_ix, state, {r6('value')} FROM q""")(
     lambda s, d: rounded(features.coverage(_inside(s, d), ("recording_id", "event_ix")), "value")
 )
+OW = "ow AS (SELECT recording_id, sample_ix AS event_ix, label AS description, sample_ix / 250.0 AS start_s, CASE WHEN label = 'signup' THEN sample_ix / 250.0 + 0.1 ELSE sample_ix / 250.0 + 0.03 END AS end_s FROM seg WHERE label IN ('signup', 'purchase'))"
+
+
+def _overlapping(s: SparkSession, d: str) -> DataFrame:
+    a = V.annotations(s, d)
+    end = F.col("onset_s") + F.when(F.col("description") == "signup", 0.1).otherwise(0.03)
+    return a.select("recording_id", F.round(F.col("onset_s") * FS).cast("long").alias("event_ix"), "description", F.col("onset_s").alias("start_s"), end.alias("end_s"))
+
+
+query("overlapping_windows", f"""WITH {SEG}, {OW}, i AS (SELECT recording_id, event_ix, description, seg.sample_ix, seg.label FROM seg JOIN ow USING (recording_id) WHERE seg.sample_ix / 250.0 >= start_s AND seg.sample_ix / 250.0 < end_s)
+SELECT recording_id, event_ix, description, row_number() OVER (PARTITION BY recording_id, event_ix ORDER BY sample_ix) - 1 AS sample_ix, label FROM i""")(
+    lambda s, d: events.in_windows(V.segmentation(s, d).withColumn("t_s", F.col("sample_ix") / FS), _overlapping(s, d), chunk_s=0.1).select("recording_id", "event_ix", "description", "sample_ix", "label")
+)
 PP = "pp AS (SELECT *, CASE WHEN t_ms >= -200 AND t_ms < 0 THEN 'pre' WHEN t_ms >= 0 AND t_ms < 200 THEN 'post' END AS window_type FROM epo)"
 
 
@@ -465,12 +492,18 @@ def _rates(s: SparkSession, d: str) -> DataFrame:
 
 
 query("tfce")(lambda s, d: rounded(stats.tfce(_series(s, d)), "stat", "score", "p"))
-query("tfce_clusters")(lambda s, d: rounded(stats.clusters(stats.tfce(_series(s, d).withColumn("value", F.col("value") + 20.0))), "mean_stat"))
 query("tfce_paired")(lambda s, d: rounded(stats.paired_tfce(*(_halves(s, d, i) for i in (0, 1))), "stat", "score", "p"))
 TT = f"""{SEG}, z AS (SELECT recording_id AS subject, CAST((sample_ix - 20) * 10.0 AS DOUBLE) AS t_ms, value - 50.0 AS v FROM seg)"""
 query("tfce_statistic", f"WITH {TT}, q AS (SELECT t_ms, CASE WHEN count(*) > 1 AND var_samp(v) > 1e-12 THEN avg(v) * sqrt(count(*)) / stddev_samp(v) ELSE 0.0 END AS stat FROM z GROUP BY 1) SELECT t_ms, {r6('stat')} FROM q")(
     lambda s, d: rounded(stats.tfce(_series(s, d), 1).select("t_ms", "stat"), "stat")
 )
+query("tfce_clusters", f"""WITH {TT}, q AS (SELECT t_ms, CASE WHEN count(*) > 1 AND var_samp(v) > 1e-12 THEN avg(v) * sqrt(count(*)) / stddev_samp(v) ELSE 0.0 END AS stat FROM z GROUP BY 1),
+sg AS (SELECT *, CASE WHEN abs(stat) > 0.5 THEN sign(stat) END AS s FROM q), nw AS (SELECT *, CASE WHEN s IS NOT DISTINCT FROM lag(s) OVER (ORDER BY t_ms) AND row_number() OVER (ORDER BY t_ms) > 1 THEN 0 ELSE 1 END AS n FROM sg),
+cl AS (SELECT *, sum(n) OVER (ORDER BY t_ms)::BIGINT AS cluster FROM nw), r AS (SELECT cluster, min(t_ms) AS start_ms, max(t_ms) AS end_ms, avg(stat) AS mean_stat, CASE WHEN max(s) > 0 THEN 'positive' ELSE 'negative' END AS direction FROM cl WHERE s IS NOT NULL GROUP BY 1)
+SELECT cluster, start_ms, end_ms, {r6('mean_stat')}, direction FROM r""")(
+    # p by a fixed bound of the statistic, so that clusters can be counted in SQL; tfce has permuted ones
+    lambda s, d: rounded(stats.clusters(stats.tfce(_series(s, d), 1).withColumn("p", F.when(F.abs("stat") > 0.5, 0.01).otherwise(1.0))), "mean_stat")
+)
 
 # --- comparisons of studies ------------------------------------------------------------------------------------------------------------
 
@@ -633,8 +666,18 @@ i AS (SELECT recording_id, j AS sample_ix, sum(gain * CASE WHEN k = 0 THEN re WH
 q AS (SELECT e.recording_id, 'v' AS channel, e.t AS sample_ix, coalesce(i.x, 0) AS x FROM se e LEFT JOIN i ON i.recording_id = e.recording_id AND i.sample_ix = e.t) SELECT recording_id, channel, sample_ix, {r6('x')} FROM q""")(
     lambda s, d: rounded(signal.band_pass(_series_of(s, d), FS, 5.0, 60.0), "x")
 )
-query("spatial_smooth", f"WITH {TOPO}, q AS (SELECT sample_ix, (x[1] + x[2] + x[3]) / 3 AS a, (x[2] + x[1]) / 2 AS b FROM topo) SELECT sample_ix, {r6('a', 'b')} FROM q")(
-    lambda s, d: rounded(signal.spatial_smooth(V.topographies(s, d), {0: [1, 2], 1: [0]}).select("sample_ix", F.get("topo", 0).alias("a"), F.get("topo", 1).alias("b")), "a", "b")
+TAPS = """ta AS (SELECT k, k - 206 AS m, 0.54 - 0.46 * cos(2 * pi() * k / 412) AS w FROM range(413) r(k)),
+tb AS (SELECT k, m, w * CASE WHEN m = 0 THEN 2 * (67.5 - 4.0) / 250 ELSE (sin(2 * pi() * 67.5 * m / 250) - sin(2 * pi() * 4.0 * m / 250)) / (pi() * m) END AS h FROM ta),
+tap AS (SELECT k, m, h / (SELECT sum(h * cos(2 * pi() * 35.75 * m / 250)) FROM tb) AS h FROM tb)"""
+query("fir_filter", f"""WITH {SERIES}, {TAPS}, p AS (SELECT recording_id, t, x, n, first_value(x) OVER w AS x0, last_value(x) OVER w AS x1 FROM se WINDOW w AS (PARTITION BY recording_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+y AS (SELECT recording_id, t, x FROM p UNION ALL SELECT recording_id, -t, 2 * x0 - x FROM p WHERE t > 0 UNION ALL SELECT recording_id, 2 * (n - 1) - t, 2 * x1 - x FROM p WHERE t < n - 1),
+q AS (SELECT e.recording_id, 'v' AS channel, e.t AS sample_ix, sum(y.x * tap.h) AS x FROM se e JOIN y ON y.recording_id = e.recording_id AND abs(y.t - e.t) <= 206 JOIN tap ON tap.m = y.t - e.t GROUP BY 1, 2, 3) SELECT recording_id, channel, sample_ix, {r6('x')} FROM q""")(
+    lambda s, d: rounded(signal.band_filter(_series_of(s, d), FS, 5.0, 60.0, "fir", chunk=64), "x")
+)
+query("iir_filter")(lambda s, d: rounded(signal.band_filter(_series_of(s, d), FS, 5.0, 60.0, "iir", chunk=64), "x"))
+query("spatial_smooth", f"""WITH {TOPO}, q AS (SELECT sample_ix, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN i = 1 THEN (x[1] + x[2]) / 2 WHEN i = 64 THEN x[64] WHEN i % 2 = 0 THEN (x[i - 1] + x[i] + x[i + 1]) / 3 ELSE x[i] END AS value
+  FROM (SELECT sample_ix, x, unnest(range(1, 65)) AS i FROM topo)) SELECT sample_ix, pos, {r6('value')} FROM q""")(
+    lambda s, d: _each(signal.spatial_smooth(V.topographies(s, d), {0: [1], **{i: [i - 1, i + 1] for i in range(1, 63, 2)}}, 64))
 )
 query("noisy_channels", f"""WITH {SEG}, cs AS (SELECT recording_id % 5 AS recording_id, recording_id AS channel, ln(stddev_pop(value) + 1e-30) AS s FROM seg GROUP BY 1, 2), cm AS (SELECT *, median(s) OVER (PARTITION BY recording_id) AS m FROM cs),
 ca AS (SELECT *, median(abs(s - m)) OVER (PARTITION BY recording_id) AS a FROM cm), q AS (SELECT recording_id, channel, coalesce((s - m) / nullif(1.4826 * a, 0), 0) AS z FROM ca) SELECT recording_id, channel, {r6('z')}, abs(z) > 5 AS is_bad FROM q""")(

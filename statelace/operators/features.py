@@ -193,6 +193,7 @@ def features(
     epochs: DataFrame | None = None,
     windows: dict[str, tuple[float, float]] | None = None,
     baseline: tuple[float, float] = (-1000.0, -10.0),
+    duration_method: str = "geometric",
 ) -> DataFrame:
     """(keys..., feature, state, state_to, t_ms, value) of several features at once.
 
@@ -204,7 +205,7 @@ def features(
     parts = {
         "COV": lambda: coverage(seq, keys),
         "OCC": lambda: occurrence(seq, fs, keys),
-        "DUR": lambda: duration(seq, fs, keys=keys),
+        "DUR": lambda: duration(seq, fs, duration_method, keys),
         "MMD": lambda: duration(seq, fs, keys=keys),
         "GEV": lambda: explained_variance(scored, keys),
         "TP": lambda: transition_probability(seq, keys),

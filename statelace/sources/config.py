@@ -1,4 +1,7 @@
-"""Study settings: typed, with defaults, read from and written to INI text."""
+"""Study settings: typed, with defaults, read from and written to INI text.
+
+A null ``short_ms`` or ``smooth_weight`` is looked for in the data; null cut-offs and rates leave samples as they are.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,7 @@ class Settings:
     data_type: str = "raw"
     low_hz: float | None = 1.0
     high_hz: float | None = 40.0
+    filter_method: str = "fir"
     resample_hz: float | None = None
     channels_to_remove: tuple[str, ...] = ()
     points: str = "peaks"
@@ -27,8 +31,12 @@ class Settings:
     tolerance: float = 1e-6
     labels: tuple[str, ...] = ("A", "B", "C", "D", "E", "F", "G")
     threshold: float | None = 0.5
+    backfit_to: str = "all"
     filter: str = "replace_high"
-    short_ms: float = 20.0
+    short_ms: float | None = 20.0
+    smooth_half: int = 3
+    smooth_weight: float | None = 5.0
+    smooth_tolerance: float = 1e-6
     rejection: str = "reject"
     features: tuple[str, ...] = ("COV", "OCC", "DUR", "TP")
     duration_method: str = "geometric"
@@ -42,8 +50,20 @@ class Settings:
             raise ValueError("k_min must be 2 or more and k_max no less")
         if self.filter not in ("remove", "replace_high", "replace_half", "smooth", "none"):
             raise ValueError(f"unknown filter {self.filter!r}")
-        if self.rejection not in ("reject", "flag"):
-            raise ValueError(f"unknown rejection mode {self.rejection!r}")
+        for name, known in (
+            ("rejection", ("reject", "flag")),
+            ("backfit_to", ("all", "peaks")),
+            ("data_type", ("raw", "epoched")),
+            ("filter_method", ("fir", "iir", "fft")),
+            ("duration_method", ("geometric", "arithmetic", "median", "trimmed")),
+        ):
+            if getattr(self, name) not in known:
+                raise ValueError(f"unknown {name} {getattr(self, name)!r}")
+
+    @property
+    def keys(self) -> tuple[str, ...]:
+        """What a sequence is: a recording, or each trial of one."""
+        return ("recording_id", "trial") if self.data_type == "epoched" else ("recording_id",)
 
 
 _OFF = ("", "none", "false", "no", "off")

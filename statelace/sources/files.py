@@ -10,11 +10,16 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 # Suffixes of recordings.
 SUFFIXES = (".vhdr", ".edf", ".bdf", ".gdf", ".cnt", ".egi", ".mff", ".set", ".data", ".nxe", ".lay")
 
 
+#: Columns that a wide table has at most.
+MOST_COLUMNS = 10_000
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
@@ -81,14 +86,23 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return df.select(name.alias("recording_id"), F.col("onset").cast("double").alias("onset_s"), duration.alias("duration_s"), F.col("trial_type").alias("description"))
 
 
-def read_electrodes(spark: SparkSession, path: str, montage: str = "custom") -> DataFrame:
-    """Channel table from electrode lists with columns labels, X, Y, Z: axes turn to x = -Y, y = X; units become metres."""
+def read_electrodes(spark: SparkSession, path: str, montage: str | None = None) -> DataFrame:
+    """(montage, channel_ix, name, x, y, z) from electrode lists with columns labels, X, Y, Z: axes turn to x = -Y, y = X; units become metres.
+
+    Each file is a montage of its own, named after the file, with channels counted in its order and units told from its
+    farthest electrode; ``montage`` renames that of a single file.
+    """
     df = spark.read.csv(path, header=True, sep="\t", inferSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    rows = df.select(F.trim("labels").alias("name"), *[F.col(c).cast("double").alias(c) for c in ("X", "Y", "Z")]).dropna()
-    far = rows.agg(F.max(F.sqrt(F.col("X") ** 2 + F.col("Y") ** 2 + F.col("Z") ** 2)).alias("_r"))
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = df.select(stem(F.col("_metadata.file_path")).alias("_file"), place.alias("_at"), F.trim("labels").alias("name"), *[F.col(c).cast("double").alias(c) for c in ("X", "Y", "Z")]).dropna()
+    if montage is not None and rows.select("_file").distinct().limit(2).count() > 1:
+        raise ValueError("several electrode lists can't be one montage")
+    file = Window.partitionBy("_file")
+    rows = rows.withColumn("_r", F.max(F.sqrt(F.col("X") ** 2 + F.col("Y") ** 2 + F.col("Z") ** 2)).over(file))
     unit = F.when(F.col("_r") > 20, 1e-3).when(F.col("_r") > 2, 1e-2).when(F.col("_r") > 0.5, 0.095 / F.col("_r")).otherwise(1.0)
-    rows = rows.withColumn("channel_ix", F.monotonically_increasing_id()).join(F.broadcast(far))  # one row
-    return rows.select(F.lit(montage).alias("montage"), F.col("channel_ix").cast("int").alias("channel_ix"), "name", (-F.col("Y") * unit).alias("x"), (F.col("X") * unit).alias("y"), (F.col("Z") * unit).alias("z"))
+    rows = rows.withColumn("channel_ix", F.row_number().over(file.orderBy("_at")) - 1)
+    name = F.lit(montage) if montage is not None else F.col("_file")
+    return rows.select(name.alias("montage"), F.col("channel_ix").cast("int").alias("channel_ix"), "name", (-F.col("Y") * unit).alias("x"), (F.col("X") * unit).alias("y"), (F.col("Z") * unit).alias("z"))
 
 
 def write_features(long: DataFrame, folder: str, sequence: str, mode: str, kind: str = "csv") -> str:
@@ -117,8 +131,10 @@ def changed(now: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def _wide(long: DataFrame, keys: Sequence[str], column: str, names: Sequence[str] | None, value: str) -> DataFrame:
-    """One column per name; names not given are found in the data. Missing cells are null."""
-    found = list(names) if names is not None else [r[0] for r in long.select(column).distinct().orderBy(column).limit(10_000).collect()]
+    """One column per name; names not given are found in the data. Missing cells are null. More than MOST_COLUMNS names are an error."""
+    found = list(names) if names is not None else [r[0] for r in long.select(column).distinct().orderBy(column).limit(MOST_COLUMNS + 1).collect()]
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"a table of over {MOST_COLUMNS} columns; give the names of those wanted, or keep the long form")
     return long.groupBy(*keys).pivot(column, found).agg(F.avg(value)).orderBy(*keys)
 
 
