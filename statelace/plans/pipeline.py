@@ -65,10 +65,10 @@ def choose_k(pool: DataFrame, s: Settings, names: Sequence[str] | None = None) -
         names = [s.criterion]
     spark, pool = pool.sparkSession, pool.persist()
     try:
-        scores = {}
-        for k in range(s.k_min, s.k_max + 1):
-            t = cluster.kmeans(pool, cluster.initial_spread(pool, k, 42 + k, "key"), s.method, s.max_rounds, s.tolerance)
-            scores[k] = cluster.criteria(assign(pool, t), t, "key", names, s.pairwise_cap)
+        ks = range(s.k_min, s.k_max + 1)
+        starts = cluster.spread_starts(pool, [(k, 42 + k) for k in ks], "key")
+        fits = cluster.kmeans_many(pool, starts, s.method, s.max_rounds, s.tolerance)
+        scores = {k: cluster.criteria(assign(pool, t), t, "key", names, s.pairwise_cap) for k, t in zip(ks, fits)}
         channels = len(pool.first()["topo"])
     finally:
         pool.unpersist()

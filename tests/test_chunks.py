@@ -224,3 +224,32 @@ def test_best_length_and_weight(spark):
     assert sequence.study_weight(rows, 20) == round(float(np.median(list(weights.values()))), 1)
     assert sequence.study_length(rows.limit(0), fs) == 10 and sequence.study_weight(rows.limit(0), 20) == 10.0
     assert runs.quality(rows).count() == 4 and math.isfinite(got["r0", 1.0])
+
+
+def test_restarts_side_by_side_end_as_they_do_alone(spark):
+    from statelace.operators import cluster
+    from statelace.operators.scoring import total_explained
+
+    g = np.random.default_rng(9)
+    maps = g.normal(size=(4, 10))
+    x = maps[g.integers(4, size=600)] * g.choice([-1, 1], size=(600, 1)) + g.normal(size=(600, 10)) * 0.3
+    samples = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sample_ix long, topo array<double>").cache()
+    wanted = [(2, 1), (4, 1), (4, 2), (7, 3)]
+    starts = cluster.spread_starts(samples, wanted)
+    for (k, seed), t in zip(wanted, starts):
+        assert t.maps.shape == (k, 10) and np.allclose(t.maps, cluster.initial_spread(samples, k, seed).maps)
+    passes = []
+    plain = cluster._rounds
+    try:
+        cluster._rounds = lambda *a: passes.append(len(a[1])) or plain(*a)
+        many = cluster.kmeans_many(samples, starts)
+        together, alone = list(passes), []
+        for t, got in zip(starts, many):
+            passes.clear()
+            assert np.allclose(cluster.kmeans(samples, t).maps, got.maps, atol=1e-9)
+            alone.append(len(passes))
+    finally:
+        cluster._rounds = plain
+    assert len(together) == max(alone) and sum(together) == sum(alone)
+    gev = cluster.explained_by_each(samples, many)
+    assert all(abs(a - total_explained(samples, t).first()["gev"]) < 1e-12 for a, t in zip(gev, many))
