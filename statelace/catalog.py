@@ -342,7 +342,7 @@ query("event_windows", f"WITH {EW} SELECT recording_id, event_ix, description, {
 
 def _inside(s: SparkSession, d: str) -> DataFrame:
     samples = V.segmentation(s, d).withColumn("t_s", F.col("sample_ix") / FS)
-    return events.in_windows(samples, events.event_windows(V.annotations(s, d), ["purchase"]))
+    return events.in_windows(samples, events.event_windows(V.annotations(s, d), ["purchase"]), count=False)
 
 
 query("event_features", f"""WITH {EW}, i AS (SELECT recording_id, event_ix, label AS state, count(*) AS n FROM seg JOIN ew USING (recording_id) WHERE sample_ix / 250.0 >= start_s AND (end_s IS NULL OR sample_ix / 250.0 < end_s) AND label IS NOT NULL GROUP BY 1, 2, 3),

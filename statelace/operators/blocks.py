@@ -27,23 +27,7 @@ def halos(rows: DataFrame, size: int, reach: int, order: str = "sample_ix") -> D
     return rows.withColumn("chunk", F.explode(to)).withColumn("own", F.col("chunk") == chunk_of(at, size))
 
 
-def carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, chunk: str = "chunk") -> DataFrame:
-    """``rows`` with ``value`` filled from the last row that has one, in the order of ``order`` inside chunks and of chunks.
-
-    Each chunk is a window of its own; the last value of each is handed on through a table of one row a chunk.
-    """
-    here = Window.partitionBy(*keys, chunk).orderBy(*order)
-    inside = F.last(value, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = rows.withColumn("_in", inside)
-    last = F.max_by(F.col(value), F.struct(*order)).alias("_last")
-    ends = rows.where(F.col(value).isNotNull()).groupBy(*keys, chunk).agg(last)
-    every = rows.select(*keys, chunk).distinct().join(ends, [*keys, chunk], "left")
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    every = every.select(*keys, chunk, F.last("_last", ignorenulls=True).over(before).alias("_before"))
-    return filled.join(every, [*keys, chunk]).withColumn(value, F.coalesce("_in", "_before")).drop("_in", "_before")
-
-
-def numbered(rows: DataFrame, keys: Sequence[str], order: str, chunk: str = "chunk") -> Column | DataFrame:
+def numbered(rows: DataFrame, keys: Sequence[str], order: str, chunk: str = "chunk") -> DataFrame:
     """``rows`` with n, their place from 0 within ``keys`` by chunk, then ``order``: places in a chunk plus the rows of those before."""
     inside = F.row_number().over(Window.partitionBy(*keys, chunk).orderBy(order)) - 1
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)

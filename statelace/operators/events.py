@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .blocks import carried, chunk_of, numbered
+from .blocks import chunk_of, numbered
 from .runs import RECORDING, by
 
 
@@ -48,8 +48,8 @@ def open_windows(windows: DataFrame, keys: Sequence[str] = RECORDING) -> DataFra
     return listed.join(starts.select(*keys, F.col("_r").alias("_at"), "start_s"), [*keys, "_at"]).select(*keys, "start_s", "open")
 
 
-def in_windows(samples: DataFrame, windows: DataFrame, keys: Sequence[str] = RECORDING, chunk_s: float = 300.0) -> DataFrame:
-    """``samples`` (with t_s) inside each window of their recording; sample_ix counts inside the window.
+def in_windows(samples: DataFrame, windows: DataFrame, keys: Sequence[str] = RECORDING, chunk_s: float = 300.0, count: bool = True) -> DataFrame:
+    """``samples`` (with t_s) inside each window of their recording; sample_ix counts inside the window, or stays if not ``count``.
 
     Onsets and samples are sorted together by time and the windows open at the last onset are carried forward, so no
     sample meets a window that it isn't in. Recordings are cut into chunks of ``chunk_s``, and the windows open at a
@@ -60,12 +60,19 @@ def in_windows(samples: DataFrame, windows: DataFrame, keys: Sequence[str] = REC
     kind = opened.schema["open"].dataType
     rows = samples.where(F.col("t_s").isNotNull()).dropna(subset=list(keys))
     rows = rows.select(*keys, F.col("t_s").cast("double").alias("_t"), F.lit(1).alias("_k"), F.struct("*").alias("_row"), F.lit(None).cast(kind).alias("open"))
-    marks = opened.select(*keys, F.col("start_s").cast("double").alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "open")
-    both = rows.unionByName(marks).withColumn("chunk", chunk_of("_t", chunk_s))
-    met = carried(both, keys, ("_t", "_k"), "open").where("_k = 1")
+    rows = rows.withColumn("chunk", chunk_of("_t", chunk_s))
+    marks = opened.select(*keys, F.col("start_s").cast("double").alias("_t"), F.lit(0).alias("_k"), "open").withColumn("chunk", chunk_of("_t", chunk_s))
+    # what is open at a chunk's end is marked anew in each chunk up to the next that has marks, or the recording's last
+    ends = marks.groupBy(*keys, "chunk").agg(F.max_by("open", "_t").alias("open"))
+    stop = rows.groupBy(*keys).agg((F.max("chunk") + 1).alias("chunk")).withColumn("open", F.lit(None).cast(kind))
+    ends = ends.unionByName(stop).withColumn("_to", F.lead("chunk").over(by(keys, "chunk"))).where("open is not null and _to > chunk")
+    handed = ends.select(*keys, F.lit(None).cast("double").alias("_t"), F.lit(-1).alias("_k"), "open", F.explode(F.sequence(F.col("chunk") + 1, "_to")).alias("chunk"))
+    both = rows.unionByName(marks.unionByName(handed).withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
+    line = Window.partitionBy(*keys, "chunk").orderBy(F.col("_t").asc_nulls_first(), "_k")
+    met = both.withColumn("open", F.last("open", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_k = 1")
     met = met.select(*keys, "chunk", "_row", F.inline("open")).where(F.col("end_s").isNull() | (F.col("_row.t_s") < F.col("end_s")))
     met = met.select(*keys, "chunk", "event_ix", "description", "start_s", "end_s", "_row", F.col("_row.sample_ix").alias("_ix"))
-    out = numbered(met, [*keys, "event_ix"], "_ix")
+    out = numbered(met, [*keys, "event_ix"], "_ix") if count else met.withColumn("n", F.col("_ix"))
     rest = [F.col(f"_row.{c}").alias(c) for c in samples.columns if c not in keys and c != "sample_ix"]
     return out.select(*keys, F.col("n").cast("long").alias("sample_ix"), *rest, "event_ix", "description", "start_s", "end_s")
 
