@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statelace.functions import arrays as A
 from statelace.functions import names as N
-from statelace.operators import cluster, compare, events, features, inverse, joins, runs, sequence, signal, stats
+from statelace.operators import cluster, compare, designs, events, features, inverse, joins, runs, sequence, signal, stats
 from statelace.operators.scoring import Templates, assign, total_explained
 from statelace.sources import files as S
 from statelace.sources import views as V
@@ -574,6 +574,41 @@ fs AS (SELECT feature, k, n, sum(s * s) AS s FROM (SELECT feature, k, grp, sum(r
 q AS (SELECT feature, n, (12.0 / (n * k * (k + 1)) * s - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1.0))) AS stat FROM fs JOIN ft USING (feature)) SELECT feature, n, {r6('stat')} FROM q""")(
     lambda s, d: rounded(stats.friedman(V.values(s, d)).select("feature", "n", "stat"), "stat")
 )
+def _conditions(s: SparkSession, d: str) -> DataFrame:
+    """Mean and greatest event value of a user by event type: types are conditions, users subjects."""
+    e = V.read(s, d, "events").groupBy(F.col("user_id").alias("subject"), F.col("event_type").alias("grp")).agg(F.avg("value").alias("mean"), F.max("value").alias("most"))
+    return e.select("subject", "grp", F.explode(F.map_from_arrays(F.array(F.lit("mean"), F.lit("most")), F.array("mean", "most"))).alias("feature", "value"))
+
+
+CONDITIONS = """cd AS (SELECT user_id AS subject, event_type AS grp, unnest(['mean', 'most']) AS feature, unnest([avg(value), max(value)]) AS value FROM events GROUP BY 1, 2),
+ck AS (SELECT *, (SELECT count(DISTINCT grp) FROM cd) AS k, count(*) OVER (PARTITION BY feature, subject) AS c FROM cd), cf AS (SELECT feature, subject, grp, value, k FROM ck WHERE c = k),
+cs AS (SELECT x.feature, x.k, x.grp AS gi, y.grp AS gj, count(*) AS n, covar_samp(x.value, y.value) AS c, avg(x.value) AS mi FROM cf x JOIN cf y USING (feature, subject) GROUP BY ALL),
+cc AS (SELECT *, c - avg(c) OVER (PARTITION BY feature, gi) - avg(c) OVER (PARTITION BY feature, gj) + avg(c) OVER (PARTITION BY feature) AS z, avg(mi) OVER (PARTITION BY feature) AS m FROM cs),
+ce AS (SELECT feature, any_value(n) AS n, CAST(any_value(k) AS INTEGER) AS k, any_value(n) * sum((mi - m) ** 2) FILTER (gi = gj) / (any_value(k) - 1) AS ms, sum(z) FILTER (gi = gj) / (any_value(k) - 1) AS me,
+  sum(z) FILTER (gi = gj) ** 2 / ((any_value(k) - 1) * sum(z * z)) AS gg FROM cc GROUP BY feature),
+q AS (SELECT feature, n, k, ms / me AS stat, CAST(k - 1 AS DOUBLE) AS df1, CAST((k - 1) * (n - 1) AS DOUBLE) AS df2, gg, least(1.0, (n * (k - 1) * gg - 2) / ((k - 1) * (n - 1 - (k - 1) * gg))) AS hf,
+  ms / me * (k - 1) / (ms / me * (k - 1) + (k - 1) * (n - 1)) AS eta FROM ce)"""
+query("repeated_anova", f"WITH {CONDITIONS} SELECT feature, n, k, df1, df2, {r6('stat', 'gg', 'hf', 'eta')} FROM q")(
+    lambda s, d: rounded(designs.repeated_anova(_conditions(s, d)).select("feature", "n", "k", "df1", "df2", "stat", "gg", "hf", "eta"), "stat", "gg", "hf", "eta")
+)
+query("bootstrap")(lambda s, d: rounded(designs.bootstrap(V.trial_values(s, d), "a", "b"), "diff", "se", "ci_low", "ci_high", "p"))
+query("bootstrap_difference", f"""WITH q AS (SELECT event_type AS feature, count(value) FILTER (user_id % 2 = 0) AS n1, count(value) FILTER (user_id % 2 = 1) AS n2,
+  avg(value) FILTER (user_id % 2 = 1) - avg(value) FILTER (user_id % 2 = 0) AS diff FROM events GROUP BY 1) SELECT feature, n1, n2, {r6('diff')} FROM q""")(
+    lambda s, d: rounded(designs.bootstrap(V.trial_values(s, d), "a", "b", 20).select("feature", "n1", "n2", "diff"), "diff")
+)
+query("permuted_clusters")(lambda s, d: rounded(designs.permuted_clusters(V.presence(s, d), "a", "b", 1000, threshold=1.0), "mass", "p"))
+CELLS = f"""{EPO}, st AS (SELECT DISTINCT label AS state FROM seg WHERE label IS NOT NULL), pr AS (SELECT trial, CASE WHEN trial % 2 = 0 THEN 'a' ELSE 'b' END AS grp, t_ms, state, CASE WHEN label = state THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM epo, st),
+cl AS (SELECT t_ms, state, count(*) AS n, sum(v * v) AS q, count(*) FILTER (grp = 'a') AS n1, count(*) FILTER (grp = 'b') AS n2, coalesce(sum(v) FILTER (grp = 'a'), 0) AS s1, coalesce(sum(v) FILTER (grp = 'b'), 0) AS s2 FROM pr GROUP BY 1, 2),
+ct AS (SELECT t_ms, state, CASE WHEN n1 > 0 AND n2 > 0 AND n > 2 THEN CASE WHEN q - s1 * s1 / n1 - s2 * s2 / n2 > 1e-12 * q THEN (s1 / n1 - s2 / n2) / sqrt((q - s1 * s1 / n1 - s2 * s2 / n2) / (n - 2) * (1.0 / n1 + 1.0 / n2)) ELSE 0.0 END ELSE 0.0 END AS stat FROM cl)"""
+query("cluster_cells", f"WITH {CELLS} SELECT t_ms, state, {r6('stat')} FROM ct")(
+    lambda s, d: rounded(designs.cell_tests(V.presence(s, d), "a", "b", 1).where("perm = 0").select("t_ms", "state", "stat"), "stat")
+)
+query("cluster_masses", f"""WITH RECURSIVE {CELLS}, on_ AS (SELECT *, dense_rank() OVER (ORDER BY t_ms) AS ti, dense_rank() OVER (ORDER BY state) AS si FROM ct), cn AS (SELECT *, ti * 100 + si AS id, sign(stat) AS sg FROM on_ WHERE abs(stat) > 1.0),
+ed AS (SELECT x.id AS a, y.id AS b FROM cn x JOIN cn y ON x.sg = y.sg AND abs(x.ti - y.ti) + abs(x.si - y.si) = 1),
+rc AS (SELECT id AS a, id AS b FROM cn UNION SELECT rc.a, ed.b FROM rc JOIN ed ON rc.b = ed.a), rt AS (SELECT a AS id, min(b) AS root FROM rc GROUP BY 1),
+q AS (SELECT min(t_ms) AS start_ms, max(t_ms) AS end_ms, string_agg(DISTINCT state, ',' ORDER BY state) AS states, count(*) AS cells, sum(stat) AS mass FROM cn JOIN rt USING (id) GROUP BY root) SELECT start_ms, end_ms, states, cells, {r6('mass')} FROM q""")(
+    lambda s, d: rounded(designs.permuted_clusters(V.presence(s, d), "a", "b", 1, threshold=1.0).select("start_ms", "end_ms", "states", "cells", "mass"), "mass")
+)
 query("gee_gamma")(lambda s, d: rounded(stats.gee(V.values(s, d), "a", "b", family="gamma"), "coef", "se", "p"))
 query("surrogate_ratios")(lambda s, d: rounded(features.surrogate_ratios(V.segmentation(s, d), 100), "mean", "sd"))
 _plain = lambda name: ORACLES[name].replace(r6("value"), "value")

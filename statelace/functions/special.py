@@ -52,6 +52,37 @@ def normal_sf2(z) -> np.ndarray:
     return np.vectorize(lambda v: math.erfc(abs(v) / math.sqrt(2)), otypes=[float])(np.asarray(z, float))
 
 
+def _gamma_tail(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma function: a series below a + 1, a continued fraction above."""
+    if x <= 0 or a <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > 1e-17 * abs(total):
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1 - front * total)
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 10_000):
+        num = -i * (i - a)
+        b += 2
+        d = 1 / (num * d + b)
+        c = b + num / c
+        h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * h
+
+
+def chi2_sf(x, df) -> np.ndarray:
+    return np.vectorize(lambda v, d: _gamma_tail(d / 2, v / 2), otypes=[float])(np.asarray(x, float), np.asarray(df, float))
+
+
 def _root(f, low: float, high: float) -> float:
     for _ in range(200):
         mid = (low + high) / 2

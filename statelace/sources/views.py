@@ -60,6 +60,21 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("feature"), grp.alias("grp"), F.floor(F.col("user_id") / 2).alias("subject"), "value")
 
 
+def trial_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature, grp, subject, value): every event's value by type; users of two groups are subjects, events their trials."""
+    e = read(spark, sf_dir, "events")
+    return e.select(F.col("event_type").alias("feature"), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("grp"), F.col("user_id").alias("subject"), "value")
+
+
+def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trial, grp, t_ms, state, value): whether a trial of ``epochs`` is in a state at a time, for every state that occurs."""
+    e = epochs(spark, sf_dir)
+    states = e.where("label is not null").agg(F.array_sort(F.collect_set("label")).alias("_s"))
+    cells = e.join(F.broadcast(states)).withColumn("state", F.explode("_s"))  # one row of a few states
+    here = F.coalesce((F.col("label") == F.col("state")).cast("double"), F.lit(0.0))
+    return cells.select("trial", F.when(F.col("trial") % 2 == 0, "a").otherwise("b").alias("grp"), "t_ms", "state", here.alias("value"))
+
+
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name): a pre and a post recording of each customer, the first alone of those in debt."""
     c = read(spark, sf_dir, "customer")
