@@ -724,10 +724,25 @@ query("mean_source_by_label", f"WITH {TOPO}, e AS (SELECT state0, CAST(generate_
 query("group_source_average", f"WITH {TOPO}, e AS (SELECT state0, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, unnest(list_transform(x, lambda v: (v - list_min(x)) / (list_max(x) - list_min(x)))) AS v FROM topo), q AS (SELECT state0 AS label, pos, avg(v) AS value FROM e GROUP BY 1, 2) SELECT label, pos, {r6('value')} FROM q")(
     lambda s, d: rounded(inverse.group_average(V.topographies(s, d).select(F.col("state0").alias("label"), F.col("topo").alias("src"))), "value")
 )
-query("localised_sources")(lambda s, d: inverse.localise(V.topographies(s, d), inverse.inverse_operator(np.random.default_rng(0).normal(size=(64, 20)), "dspm")).select("sample_ix", "src"))
 
 
-@query("source_permutation")
-def _permutation(s: SparkSession, d: str) -> DataFrame:
-    rows = inverse.localise(inverse.state_weights(V.topographies(s, d), _t(s, d)), inverse.inverse_operator(np.random.default_rng(0).normal(size=(64, 20))))
-    return inverse.permutation_z(s, inverse.regress_sources(rows, 10, 20))
+def _inverse(s: SparkSession, d: str, method: str) -> np.ndarray:
+    return inverse.inverse_operator(inverse.leadfield_of(V.leadfield(s, d)), method)
+
+
+query("localised_sources")(lambda s, d: inverse.localise(V.topographies(s, d), _inverse(s, d, "dspm")).select("sample_ix", "src"))
+query("localised_eloreta")(lambda s, d: inverse.localise(V.topographies(s, d), _inverse(s, d, "eloreta")).select("sample_ix", "src"))
+query("localised_sparse")(lambda s, d: inverse.localise_sparse(V.topographies(s, d), inverse.leadfield_of(V.leadfield(s, d))).select("sample_ix", "src"))
+
+
+def _source_weights(s: SparkSession, d: str) -> np.ndarray:
+    rows = inverse.localise(inverse.state_weights(V.topographies(s, d), _t(s, d)), _inverse(s, d, "mne"))
+    return inverse.regress_sources(rows, 10, 20)
+
+
+@query("source_regression")
+def _regression(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(i, j, float(x)) for i, r in enumerate(_source_weights(s, d)) for j, x in enumerate(r)], "state int, source int, value double")
+
+
+query("source_permutation")(lambda s, d: inverse.permutation_z(s, _source_weights(s, d)))

@@ -47,6 +47,13 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("state0").alias("state"), F.concat(F.lit("S"), F.col("state0")).alias("label"), "topo")
 
 
+def leadfield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, topo): the first two members of each embedding label as the fields of sources."""
+    w = Window.partitionBy("state0").orderBy("sample_ix")
+    first = topographies(spark, sf_dir).withColumn("_n", F.row_number().over(w)).where("_n <= 2")
+    return first.select((F.col("state0") * 2 + F.col("_n") - 1).cast("int").alias("source"), "topo")
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(recording_id, onset_s, description): signups and purchases, a sample every 0.004 s."""
     s = segmentation(spark, sf_dir).where("label in ('signup', 'purchase')")
