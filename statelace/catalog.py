@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statelace.functions import arrays as A
 from statelace.functions import names as N
-from statelace.operators import cluster, compare, designs, events, features, inverse, joins, runs, sequence, signal, stats
+from statelace.operators import cluster, compare, conditions, designs, events, features, inverse, joins, runs, sequence, signal, stats
 from statelace.operators.scoring import Templates, assign, total_explained
 from statelace.sources import files as S
 from statelace.sources import views as V
@@ -640,6 +640,16 @@ query("condition_pairs", f"WITH {FILES}, b AS (SELECT name, regexp_replace(name,
 query("file_pairs", f"WITH {FILES}, b AS (SELECT name, replace(replace(replace(name, '_Pre', '_*'), '_Post', '_*'), '-', '_') AS base, contains(name, 'Pre') AS pre FROM nm) SELECT base, max(name) FILTER (pre) AS first, max(name) FILTER (NOT pre) AS second FROM b GROUP BY 1 HAVING count(*) = 2")(
     lambda s, d: joins.file_pairs(V.file_names(s, d), "Pre", "Post")
 )
+FOUND = "'{}' AS strategy, '{}' AS component, '{}' AS first_condition, '{}' AS second_condition"
+query("condition_by_subject", f"WITH {FILES}, q AS (SELECT ltrim(regexp_extract(name, 'sub-(\\d+)', 1), '0') AS n, name FROM nm) SELECT {FOUND.format('subject', 'condition', 'post', 'pre')}, CASE WHEN length(n) < 2 THEN lpad(n, 2, '0') ELSE n END AS base, min(name) AS first, max(name) AS second FROM q GROUP BY n HAVING count(*) = 2")(
+    lambda s, d: conditions.varying_condition(V.file_names(s, d))
+)
+query("condition_by_component", f"WITH n AS (SELECT s_suppkey AS k, unnest(CASE WHEN s_acctbal < 0 THEN [1] ELSE [1, 2] END) AS c FROM supplier) SELECT {FOUND.format('component', 'condition', 'cond1', 'cond2')}, 'run:run-' || CASE WHEN k < 10 THEN '0' ELSE '' END || k AS base, 'run-' || k || '_cond1' AS first, 'run-' || k || '_cond2' AS second FROM n GROUP BY k HAVING count(*) = 2")(
+    lambda s, d: conditions.varying_condition(V.pairs_of_names(s, d, "supplier", "s", "run-", ("_cond1", "_cond2")))
+)
+query("condition_by_delimiter", f"WITH n AS (SELECT c_custkey AS k, unnest(CASE WHEN c_acctbal < 0 THEN [1] ELSE [1, 2] END) AS c FROM customer) SELECT {FOUND.format('delimiter', '_', 'left', 'right')}, 'man' || k || ' * hand' AS base, 'man' || k || '_left_hand' AS first, 'man' || k || '_right_hand' AS second FROM n GROUP BY k HAVING count(*) = 2")(
+    lambda s, d: conditions.varying_condition(V.pairs_of_names(s, d, "customer", "c", "man", ("_left_hand", "_right_hand")))
+)
 query("matched_subjects", f"WITH {VALUES} SELECT DISTINCT subject FROM vals WHERE grp = 'a' AND feature = 'error' AND subject IN (SELECT subject FROM vals WHERE grp = 'b' AND feature = 'signup')")(
     lambda s, d: joins.matched_subjects(V.values(s, d).where("grp = 'a' and feature = 'error'"), V.values(s, d).where("grp = 'b' and feature = 'signup'"))
 )

@@ -90,6 +90,14 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(base.alias("base"), F.explode(both).alias("part")).select(F.concat("base", "part", F.lit("_trial1")).alias("name"))
 
 
+def pairs_of_names(spark: SparkSession, sf_dir: str, table: str, key: str, before: str, after: tuple[str, str]) -> DataFrame:
+    """(name): two names of each customer or supplier, the first alone of those in debt."""
+    t = read(spark, sf_dir, table)
+    number = F.col("c_custkey" if key == "c" else "s_suppkey").cast("string")
+    both = F.when(F.col(f"{key}_acctbal") < 0, F.array(F.lit(after[0]))).otherwise(F.array(*map(F.lit, after)))
+    return t.select(number.alias("k"), F.explode(both).alias("part")).select(F.concat(F.lit(before), "k", "part").alias("name"))
+
+
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(recording_id, channel_ix, channel, is_bad, montage): parts as channels of recordings, spelt in two ways."""
     p = read(spark, sf_dir, "part")
