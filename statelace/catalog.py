@@ -588,9 +588,24 @@ ce AS (SELECT feature, any_value(n) AS n, CAST(any_value(k) AS INTEGER) AS k, an
   sum(z) FILTER (gi = gj) ** 2 / ((any_value(k) - 1) * sum(z * z)) AS gg FROM cc GROUP BY feature),
 q AS (SELECT feature, n, k, ms / me AS stat, CAST(k - 1 AS DOUBLE) AS df1, CAST((k - 1) * (n - 1) AS DOUBLE) AS df2, gg, least(1.0, (n * (k - 1) * gg - 2) / ((k - 1) * (n - 1 - (k - 1) * gg))) AS hf,
   ms / me * (k - 1) / (ms / me * (k - 1) + (k - 1) * (n - 1)) AS eta FROM ce)"""
-query("repeated_anova", f"WITH {CONDITIONS} SELECT feature, n, k, df1, df2, {r6('stat', 'gg', 'hf', 'eta')} FROM q")(
-    lambda s, d: rounded(designs.repeated_anova(_conditions(s, d)).select("feature", "n", "k", "df1", "df2", "stat", "gg", "hf", "eta"), "stat", "gg", "hf", "eta")
-)
+# tails of five groups have closed forms: F with 4 and d degrees, chi-square with 4
+P_F4 = "pow(df2 / (df2 + 4 * stat), df2 / 2) * (1 + df2 / 2 * (1 - df2 / (df2 + 4 * stat))) AS p"
+P_CHI4 = "exp(-stat / 2) * (1 + stat / 2) AS p"
+_MODEL_P = ("stat", "p")
+query("repeated_anova", f"WITH {CONDITIONS}, qp AS (SELECT *, {P_F4} FROM q) SELECT feature, n, k, df1, df2, {r6('stat', 'p', 'gg', 'hf', 'eta')} FROM qp")(
+    lambda s, d: rounded(designs.repeated_anova(_conditions(s, d)).select("feature", "n", "k", "df1", "df2", "stat", "p", "gg", "hf", "eta"), "stat", "p", "gg", "hf", "eta")
+)
+query("one_way_p", f"""WITH {CONDITIONS}, og AS (SELECT feature, grp, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM cd GROUP BY 1, 2), oa AS (SELECT *, sum(n * m) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) AS am FROM og),
+oq AS (SELECT feature, (sum(n * (m - am) ** 2) / 4) / (sum(n * v) / (sum(n) - 5)) AS stat, CAST(sum(n) - 5 AS DOUBLE) AS df2 FROM oa GROUP BY 1), op AS (SELECT *, {P_F4} FROM oq) SELECT feature, df2, {r6('stat', 'p')} FROM op""")(
+    lambda s, d: rounded(compare.tested(_conditions(s, d), "one_way_anova", "", "").select("feature", "df2", "stat", "p"), *_MODEL_P)
+)
+_MR = "rank() OVER (PARTITION BY {0} ORDER BY value) + (count(*) OVER (PARTITION BY {0}, value) - 1) / 2.0 AS r"
+query("kruskal_p", f"""WITH {CONDITIONS}, kr AS (SELECT *, {_MR.format('feature')} FROM cd), kt AS (SELECT feature, sum(t ** 3 - t) AS ties, sum(t) AS n FROM (SELECT feature, value, count(*) AS t FROM kr GROUP BY 1, 2) GROUP BY 1),
+kg AS (SELECT feature, sum(q) AS q FROM (SELECT feature, grp, sum(r) ** 2 / count(*) AS q FROM kr GROUP BY 1, 2) GROUP BY 1), kq AS (SELECT feature, (12 / (n * (n + 1.0)) * q - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)) AS stat FROM kg JOIN kt USING (feature)),
+kp AS (SELECT *, {P_CHI4} FROM kq) SELECT feature, {r6('stat', 'p')} FROM kp""")(lambda s, d: rounded(compare.tested(_conditions(s, d), "kruskal_wallis", "", "").select("feature", "stat", "p"), *_MODEL_P))
+query("friedman_p", f"""WITH {CONDITIONS}, fr AS (SELECT *, {_MR.format('feature, subject')} FROM cf), fs AS (SELECT feature, n, sum(s * s) AS s FROM (SELECT feature, grp, sum(r) AS s, count(*) AS n FROM fr GROUP BY 1, 2) GROUP BY 1, 2),
+ft AS (SELECT feature, sum(t ** 3 - t) AS ties FROM (SELECT feature, subject, value, count(*) AS t FROM fr GROUP BY 1, 2, 3) GROUP BY 1), fq AS (SELECT feature, n, (12.0 / (n * 30.0) * s - 18.0 * n) / (1 - ties / (n * 120.0)) AS stat FROM fs JOIN ft USING (feature)),
+fp AS (SELECT *, {P_CHI4} FROM fq) SELECT feature, n, {r6('stat', 'p')} FROM fp""")(lambda s, d: rounded(compare.tested(_conditions(s, d), "friedman", "", "").select("feature", "n", "stat", "p"), *_MODEL_P))
 query("bootstrap")(lambda s, d: rounded(designs.bootstrap(V.trial_values(s, d), "a", "b"), "diff", "se", "ci_low", "ci_high", "p"))
 query("bootstrap_difference", f"""WITH q AS (SELECT event_type AS feature, count(value) FILTER (user_id % 2 = 0) AS n1, count(value) FILTER (user_id % 2 = 1) AS n2,
   avg(value) FILTER (user_id % 2 = 1) - avg(value) FILTER (user_id % 2 = 0) AS diff FROM events GROUP BY 1) SELECT feature, n1, n2, {r6('diff')} FROM q""")(

@@ -109,6 +109,21 @@ def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(np.where(f.isna(), np.nan, f_sf(f.fillna(0), d1.fillna(1), d2.fillna(1))))
 
 
+@F.pandas_udf(T.DoubleType())
+def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series(np.where(x.isna() | df.isna() | (df <= 0), np.nan, chi2_sf(x.fillna(0), df.fillna(1))))
+
+
+def signed_rank_p(w: float, n: int) -> float:
+    """Exact two-sided p of the smaller signed-rank sum of n values without ties or zeros: subsets of 1..n by their sum."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1.0
+    for i in range(1, n + 1):
+        ways[i:] = ways[i:] + ways[: len(ways) - i]
+        ways /= 2
+    return float(min(1.0, 2 * ways[: int(w) + 1].sum()))
+
+
 @F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series(np.where(z.isna(), np.nan, normal_sf2(z.fillna(0))))

@@ -10,7 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import stats
+from statelace.functions import special
+
+from . import designs, stats
 
 
 def _named(values: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -106,3 +108,67 @@ def of_files(values: DataFrame, files: DataFrame, name: str = "subject") -> Data
 def of_code(values: DataFrame, code: str) -> DataFrame:
     """Values whose feature is ``code`` itself or one of its states (code_state)."""
     return values.where((F.col("feature") == code) | F.col("feature").startswith(f"{code}_"))
+
+
+# --- models by name -------------------------------------------------------------------------------------------------------
+
+#: What is offered by (subject or trial level, paired, parametric).
+OFFERED = {
+    ("subject", True, True): ("paired_t", "repeated_anova"),
+    ("subject", True, False): ("wilcoxon", "friedman"),
+    ("subject", False, True): ("independent_t", "one_way_anova"),
+    ("subject", False, False): ("mann_whitney", "kruskal_wallis"),
+    ("trial", True, True): ("mixed_model", "gee_gaussian"),
+    ("trial", True, False): ("gee_gamma", "cluster_permutation"),
+    ("trial", False, True): ("mixed_model", "gee_gaussian"),
+    ("trial", False, False): ("gee_gamma", "bootstrap"),
+}
+
+
+def offered(level: str, paired: bool, parametric: bool) -> tuple[str, ...]:
+    if (level, paired, parametric) not in OFFERED:
+        raise ValueError(f"unknown level {level!r}")
+    return OFFERED[level, paired, parametric]
+
+
+def tested(values: DataFrame, model: str, a: str, b: str, **options) -> DataFrame:
+    """Result of a model by name, with at least feature and p (clusters have p alone).
+
+    Models of several groups (repeated_anova, friedman, one_way_anova, kruskal_wallis) take all groups of ``values``, the
+    others ``a`` and ``b``. cluster_permutation takes rows (trial, grp, t_ms, state, value), and exchanges labels ``within`` a column if asked.
+    """
+    both = values.where(F.col("grp").isin(a, b))
+    match model:
+        case "paired_t":
+            return stats.with_p(stats.paired_t(stats.paired(both, a, b)))
+        case "repeated_anova":
+            return designs.repeated_anova(values)
+        case "wilcoxon":
+            return stats.wilcoxon_p(stats.paired(both, a, b), **options)
+        case "friedman":
+            return _with_chi2(stats.friedman(values))
+        case "independent_t":
+            return stats.t_test(both, a, b)
+        case "one_way_anova":
+            return stats.one_way(values).withColumn("p", _known(special.f_p("stat", "df1", "df2")))
+        case "mann_whitney":
+            return stats.with_normal_p(stats.mann_whitney(both, a, b))
+        case "kruskal_wallis":
+            return _with_chi2(stats.kruskal(values))
+        case "mixed_model":
+            return stats.mixed_model(both, a, b)
+        case "gee_gaussian" | "gee_gamma":
+            return stats.gee(both, a, b, family=model.removeprefix("gee_"), **options)
+        case "bootstrap":
+            return designs.bootstrap(both, a, b, **options)
+        case "cluster_permutation":
+            return designs.permuted_clusters(both, a, b, **options)
+    raise ValueError(f"unknown model {model!r}")
+
+
+def _known(p):
+    return F.coalesce(F.nanvl(p, F.lit(1.0)), F.lit(1.0))
+
+
+def _with_chi2(tests: DataFrame) -> DataFrame:
+    return tests.withColumn("p", _known(special.chi2_p("stat", "df")))

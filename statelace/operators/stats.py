@@ -143,6 +143,19 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     return s.select("feature", "n", w.alias("stat"), F.try_divide(w - n * (n + 1) / 4, sd).alias("z"))
 
 
+def wilcoxon_p(pairs: DataFrame, most: int = 50) -> DataFrame:
+    """(feature, n, stat, z, p, exact): ``wilcoxon`` with p counted out for up to ``most`` pairs without ties or equal values, else normal."""
+    size = F.abs(F.col("x") - F.col("y"))
+    plain = pairs.groupBy("feature").agg(((F.min(size) > 0) & (F.countDistinct(size) == F.count("*"))).alias("_plain"))
+    t = with_normal_p(wilcoxon(pairs)).join(plain, "feature").withColumn("exact", F.col("_plain") & (F.col("n") <= most))
+
+    @F.pandas_udf("double")
+    def counted(w: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([special.signed_rank_p(a, int(b)) if b <= most else math.nan for a, b in zip(w, n)], dtype=float)
+
+    return t.select("feature", "n", "stat", "z", F.when(F.col("exact"), counted("stat", "n")).otherwise(F.col("p")).alias("p"), "exact")
+
+
 def with_normal_p(tests: DataFrame) -> DataFrame:
     return tests.withColumn("p", F.coalesce(F.nanvl(special.normal_p("z"), F.lit(1.0)), F.lit(1.0)))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statelace.functions import special
-from statelace.operators import designs
+from statelace.operators import compare, designs, stats
 
 VALUES = "feature string, grp string, subject int, value double"
 
@@ -164,3 +164,34 @@ def test_components_against_search():
                         seen[i, j] = number
                         todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
         assert (of == seen).all()
+
+
+def test_exact_signed_ranks(spark):
+    """All signs of six ranks counted one by one; ties, equal values and many pairs take the normal p."""
+    sums = [sum(i + 1 for i in range(6) if m >> i & 1) for m in range(64)]
+    for w in range(11):
+        assert special.signed_rank_p(w, 6) == pytest.approx(min(1.0, 2 * sum(s <= w for s in sums) / 64))
+    d = {"few": [1.0, -2.0, 3.0, 4.0, 5.0, 6.0], "ties": [1.0, 1.0, 3.0, 4.0, 5.0], "zero": [0.0, 1.0, 2.0, 3.0], "many": [float(i) for i in range(1, 61)]}
+    pairs = spark.createDataFrame([(f, i, x, 0.0) for f, v in d.items() for i, x in enumerate(v)], "feature string, subject int, x double, y double")
+    got = {r["feature"]: r for r in stats.wilcoxon_p(pairs).collect()}
+    assert {f: r["exact"] for f, r in got.items()} == {"few": True, "ties": False, "zero": False, "many": False}
+    assert got["few"]["stat"] == 2 and got["few"]["p"] == pytest.approx(2 * sum(s <= 2 for s in sums) / 64)
+    assert got["many"]["p"] < 1e-9 and 0 < got["ties"]["p"] < 1
+
+
+def test_models_by_name(spark):
+    """Every model that is offered runs and gives p between 0 and 1; planted differences are found by those of values."""
+    rng = np.random.default_rng(9)
+    rows = [("f", "ab"[g], i, float(rng.gamma(8) + 6 * g)) for g in range(2) for i in range(12) for _ in range(2)]
+    values, cells = spark.createDataFrame(rows, VALUES), spark.createDataFrame(_trials(rng, 2.0), CELLS)
+    for model in sorted({m for of in compare.OFFERED.values() for m in of}):
+        if model == "cluster_permutation":
+            got = compare.tested(cells, model, "a", "b", permutations=50).collect()
+        else:
+            got = compare.tested(values, model, "a", "b").collect()
+        assert got and all(0 <= r["p"] <= 1 for r in got) and min(r["p"] for r in got) < 0.05, model
+    assert compare.offered("trial", False, False) == ("gee_gamma", "bootstrap")
+    with pytest.raises(ValueError):
+        compare.tested(values, "guess", "a", "b")
+    with pytest.raises(ValueError):
+        compare.offered("site", True, True)
