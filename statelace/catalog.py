@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statelace.functions import arrays as A
 from statelace.functions import names as N
-from statelace.operators import cluster, compare, conditions, designs, events, features, inverse, joins, runs, sequence, signal, stats
+from statelace.operators import around, cluster, compare, conditions, designs, events, features, inverse, joins, runs, sequence, signal, stats
 from statelace.operators.scoring import Templates, assign, total_explained
 from statelace.sources import files as S
 from statelace.sources import views as V
@@ -642,6 +642,37 @@ REG += [f"SELECT recording_id, 'LZC', NULL, NULL, NULL, value FROM ({ORACLES['le
 query("feature_registry", " UNION ALL ".join(REG))(lambda s, d: rounded(features.features(V.segmentation(s, d), FS, ("COV", "OCC", "DUR", "MMD", "TP", "ER", "ERR", "LZC")), "value"))
 
 
+
+def _stretches(rows: str, codes: Sequence[str]) -> str:
+    """The SQL of several features with other rows (recording_id, sample_ix, label) as the segmentation."""
+    parts = [p for p in REG if any(f"'{c}'" in p.split(" FROM (", 1)[0] for c in codes)]
+    return " UNION ALL ".join(parts).replace(SEG, rows)
+
+
+_AROUND = ("COV", "OCC", "DUR", "TP", "ER", "ERR", "LZC")
+_BOUNDS = "CASE WHEN recording_id LIKE '%pre' THEN -200.0::DOUBLE ELSE 0.0::DOUBLE END AS start_ms, CASE WHEN recording_id LIKE '%pre' THEN 0.0::DOUBLE ELSE 200.0::DOUBLE END AS end_ms"
+_RAW = f"""{EPO.replace('seg AS', 'raw AS', 1).replace('FROM seg', 'FROM raw')}, stretches AS (SELECT *, CASE WHEN t_ms >= -200 AND t_ms < 0 THEN 'pre' WHEN t_ms >= 0 AND t_ms < 200 THEN 'post' END AS window_type FROM epo)"""
+_TRIALS = f"{_RAW}, seg AS (SELECT trial || '/' || window_type AS recording_id, row_number() OVER (PARTITION BY trial, window_type ORDER BY t_ms) - 1 AS sample_ix, label FROM stretches WHERE window_type IS NOT NULL)"
+_POOLED = f"{_RAW}, seg AS (SELECT window_type AS recording_id, row_number() OVER (PARTITION BY window_type ORDER BY trial, t_ms) - 1 AS sample_ix, label FROM stretches WHERE window_type IS NOT NULL)"
+query(
+    "trial_features_all",
+    f"""SELECT CAST(split_part(recording_id, '/', 1) AS BIGINT) AS trial, split_part(recording_id, '/', 2) AS window_type, {_BOUNDS}, feature, state, state_to, value
+FROM ({_stretches(_TRIALS, _AROUND)}) q""",
+)(lambda s, d: rounded(around.trial_features(V.epochs(s, d), FS, _AROUND, (-200, 0), (0, 200), ()), "value"))
+query(
+    "pooled_features_all",
+    f"""SELECT recording_id AS window_type, {_BOUNDS}, (SELECT count(DISTINCT user_id) FROM events) AS n_trials, feature, state, state_to, value
+FROM ({_stretches(_POOLED, _AROUND[:-1])}) q""",
+)(lambda s, d: rounded(around.pooled_features(V.epochs(s, d), FS, _AROUND[:-1], (-200, 0), (0, 200), ()), "value"))
+_EVENTS = f"""{EW.replace('seg AS', 'raw AS', 1).replace('FROM seg', 'FROM raw')}, seg AS (SELECT recording_id || '/' || event_ix AS recording_id,
+  row_number() OVER (PARTITION BY recording_id, event_ix ORDER BY sample_ix) - 1 AS sample_ix, label FROM raw JOIN ew USING (recording_id) WHERE sample_ix / 250.0 >= start_s AND (end_s IS NULL OR sample_ix / 250.0 < end_s))"""
+query(
+    "event_features_all",
+    f"""WITH {EW} SELECT recording_id, event_ix, ew.description, {r6('ew.start_s', 'ew.end_s')}, feature, state, state_to, value
+FROM (SELECT CAST(split_part(recording_id, '/', 1) AS BIGINT) AS recording_id, CAST(split_part(recording_id, '/', 2) AS INTEGER) AS event_ix, * EXCLUDE (recording_id) FROM ({_stretches(_EVENTS, _AROUND[:4])})) q JOIN ew USING (recording_id, event_ix)""",
+)(lambda s, d: rounded(around.event_features(V.segmentation(s, d).withColumn("t_s", F.col("sample_ix") / FS), events.event_windows(V.annotations(s, d), ["purchase"]), FS, _AROUND[:4]), "start_s", "end_s", "value"))
+
+
 # --- joins, names, channels -----------------------------------------------------------------------------------------------------------
 
 FILES = """nm AS (SELECT 'sub-' || lpad(c_custkey::VARCHAR, 9, '0') || '_task-rest' || c || '_trial1' AS name FROM customer, (SELECT unnest(['_Pre', '_Post']) AS c) WHERE NOT (c_acctbal < 0 AND c = '_Post'))"""

@@ -8,9 +8,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from statelace.functions import arrays as A
-from statelace.operators import cluster, features, inverse, runs, sequence, signal
+from statelace.operators import around, cluster, features, inverse, runs, sequence, signal
 from statelace.operators.scoring import Templates, assign
 from statelace.sources import files
 from statelace.sources.config import Settings
@@ -184,6 +185,12 @@ class Study:
                 if s.data_type == "epoched":
                     raise ValueError("windows cut recordings, not trials")
                 seq, keys = features.windowed(seq, self.fs, s.window_s), ("recording_id", "window_ix")
+            if s.around != "none":  # before and after the event, in each trial or over all
+                place = F.col("sample_ix") - F.min("sample_ix").over(Window.partitionBy(*keys))
+                epochs = seq.withColumn("t_ms", place * (1000.0 / self.fs) + s.trial_start_ms)
+                f = around.trial_features if s.around == "trial" else around.pooled_features
+                pre, post = (s.pre_from_ms, s.pre_to_ms), (s.post_from_ms, s.post_to_ms)
+                return f(epochs, self.fs, s.features, pre, post, duration_method=s.duration_method)
             return features.features(seq, self.fs, s.features, keys, duration_method=s.duration_method)
 
         return self._stage("features", f)

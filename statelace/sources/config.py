@@ -41,6 +41,12 @@ class Settings:
     features: tuple[str, ...] = ("COV", "OCC", "DUR", "TP")
     duration_method: str = "geometric"
     window_s: float | None = None
+    around: str = "none"
+    trial_start_ms: float = -1000.0
+    pre_from_ms: float = -1000.0
+    pre_to_ms: float = -10.0
+    post_from_ms: float = 20.0
+    post_to_ms: float = 1000.0
     permutations: int = 2000
     pairwise_cap: int | None = 2000
     random_seed: int | None = 42
@@ -55,10 +61,13 @@ class Settings:
             ("backfit_to", ("all", "peaks")),
             ("data_type", ("raw", "epoched")),
             ("filter_method", ("fir", "iir", "fft")),
+            ("around", ("none", "trial", "pooled")),
             ("duration_method", ("geometric", "arithmetic", "median", "trimmed")),
         ):
             if getattr(self, name) not in known:
                 raise ValueError(f"unknown {name} {getattr(self, name)!r}")
+        if self.around != "none" and (self.data_type != "epoched" or self.window_s):
+            raise ValueError("features around an event need epoched data, without sliding windows")
 
     @property
     def keys(self) -> tuple[str, ...]:

@@ -109,6 +109,32 @@ def test_feature_settings(study):
     assert len(values(data_type="epoched")) > len(base) and len(values(window_s=0.4)) > len(base)
 
 
+def test_features_around_an_event(study):
+    samples, maps = study
+    s = replace(BASE, data_type="epoched", trial_start_ms=-200.0, pre_from_ms=-200.0, pre_to_ms=0.0, post_from_ms=0.0, post_to_ms=100.0)
+    seg = pipeline.backfit(samples, maps, FS, s).cache()
+    labels = {(r["recording_id"], r["trial"], r["sample_ix"] % 100): r["label"] for r in seg.collect()}
+    out = {}
+    for mode in ("trial", "pooled"):
+        st = pipeline.Study(samples, FS, replace(s, around=mode))
+        st.segmentation = seg
+        r = st.features()
+        assert r.ok, r.message
+        out[mode] = r.payload.where("feature = 'COV'").collect()
+    assert {x["n_trials"] for x in out["pooled"]} == {4} and {(x["window_type"], x["start_ms"], x["end_ms"]) for x in out["trial"]} == {("pre", -200.0, 0.0), ("post", 0.0, 100.0)}
+    for mode, rows in out.items():
+        assert rows
+        for x in rows:
+            at = range(50) if x["window_type"] == "pre" else range(50, 75)
+            trials = [x["trial"]] if mode == "trial" else range(4)
+            here = [labels[x["recording_id"], t, i] for t in trials for i in at]
+            here = [v for v in here if v is not None]
+            assert x["value"] == pytest.approx(100 * here.count(x["state"]) / len(here))
+    for wrong in ({"data_type": "raw"}, {"window_s": 1.0}, {"around": "other"}):
+        with pytest.raises(ValueError):
+            replace(s, **{"around": "trial", **wrong})
+
+
 def test_preprocessing_settings(study):
     samples, _ = study
     one = lambda **c: pipeline.preprocess(samples, CHANNELS, FS, replace(BASE, **c))
