@@ -21,33 +21,48 @@ BLOCK = 64
 EPS = 1e-9
 
 
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column], scratch: Scratch) -> DataFrame:
+    """``rows``, written in ranges of ``order``, with the sum of each of ``sums`` over all rows before (0 for the first).
+
+    A range is a task's window; only one row a range meets the others, as many as Spark has shuffle partitions.
+    """
+    ranged = scratch.write(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    parts = parts.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    out = out.join(F.broadcast(parts), F.col("_part") == F.col("_p"))
+    out = out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_p", "_part", *[f"_{n}" for n in sums])
+    out.scratch_path = ranged.scratch_path
+    return out
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """(source, source_size, target): one row per source, null last.
+    """(source, source_size, target), a written table: one row per source.
 
-    ``sizes``: (source, source_size). Weights repeat over the sources in code-point order. A target stops at
+    ``sizes``: (source, source_size). Weights repeat over the sources in code-point order, null last. A target stops at
     ``most`` times its source's size; the excess goes to the others by weight until none is above, which has
-    the closed form min(cap, level * weight): sources are filled in the order of cap / weight.
+    the closed form min(cap, level * weight). Sources are filled in the order of cap / weight, and the level is that
+    of the first one whose cap lies above what is left for it. Both orders are prefix sums over ranges of sources, so
+    sources may be as many as sites.
     """
-    everything = Window.partitionBy()
-    nth = F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1
-    s = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (nth % len(weights) + 1).cast("int")))
-    s = s.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    fill = everything.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    s = s.withColumns(
-        {
-            "total": F.sum("source_size").over(everything),
-            "used": F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
-            "left": F.sum("w").over(after),
-        }
-    )
-    # the level if all before are capped and this one isn't; the first source whose cap lies above it ends the filling
-    level = (F.col("total") - F.col("used")) / F.col("left")
-    s = s.withColumn("level", F.when(level * F.col("w") <= F.col("cap"), level))
-    s = s.withColumn("level", F.first("level", ignorenulls=True).over(fill.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.col("level") * F.col("w"))
-    return s.select("source", "source_size", F.least("cap", target).alias("target"))
+    scratch = Scratch(sizes.sparkSession)
+    by_name = [F.col("source").asc_nulls_last()]
+    named = _before(sizes, by_name, {"nth": F.lit(1)}, scratch)
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
+    s = named.select("source", "source_size", weight.alias("w")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    s = s.withColumn("full", F.col("cap") / F.col("w"))
+    filled = _before(s, [F.col("full").asc(), *by_name], {"used": F.col("cap"), "gone": F.col("w")}, scratch)
+    whole = filled.agg(F.sum("source_size").alias("total"), F.sum("w").alias("all_w"))
+    level = (F.col("total") - F.col("used")) / (F.col("all_w") - F.col("gone"))
+    levels = filled.crossJoin(F.broadcast(whole)).withColumn("level", level).where("level * w <= cap")  # one row beside the sources
+    level = levels.agg(F.min_by("level", F.struct("full", F.col("source").isNull(), "source")).alias("level"))
+    out = filled.crossJoin(F.broadcast(level))  # one row again; null if every source is full
+    out = out.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap")).alias("target"))
+    out = scratch.write(out, "targets")
+    scratch.drop(named, filled)
+    return out
 
 
 def _fold(items: Column, salt: Column) -> Column:
@@ -132,7 +147,7 @@ def mixed(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = (1, 2, 3),
     units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
     units = scratch.write(units.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "units")
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
-    targets = scratch.write(source_targets(sizes, weights, most), "targets").withColumnRenamed("source", "src")
+    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "src")
     rows = units.join(targets, F.col("source").eqNullSafe(F.col("src"))).drop("src")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     rows = rows.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + EPS))

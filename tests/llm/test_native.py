@@ -91,6 +91,22 @@ def test_mixture(documents):
     assert mixing.mixture(documents([])).count() == 0 and mixing.mix(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [True, False])
+def test_targets_of_many_sources(spark, ranges):
+    r = random.Random(9)
+    sizes = {f"{r.choice('aZé~')}{i}": r.choice([0, 1, 7, 7, 40, r.randrange(1, 5_000)]) for i in range(600)} | {None: 70, "": 3}
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(not ranges).lower())  # several ranges of sources, or all in one
+    try:
+        for many in (sizes, {"one": 5}, {"a": 0, None: 0}, {}):
+            df = spark.createDataFrame(list(many.items()), "source string, source_size long")
+            got = {x["source"]: x["target"] for x in mixing.source_targets(df).collect()}
+            assert got == pytest.approx(targets(many) if many else {})
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_rounding_keeps_sums_and_chances(spark):
     r = random.Random(2)
     items = [(g, f"{g}{i}", r.uniform(1, 9), r.uniform(0.01, 0.99)) for g in ("g", "h") for i in range(700)]
