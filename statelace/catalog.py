@@ -182,7 +182,7 @@ query("peak_backfit", f"""WITH {PEAK}, g AS (SELECT *, CAST(sum(CASE WHEN value
 t AS (SELECT *, max(p) OVER (PARTITION BY recording_id) AS np, arg_min(sample_ix, value) OVER (PARTITION BY recording_id, p) AS low FROM g),
 k AS (SELECT *, greatest(1, p + CASE WHEN p > 0 AND p < np AND sample_ix >= low THEN 1 ELSE 0 END) AS grp FROM t)
 SELECT recording_id, sample_ix, CASE WHEN np > 0 THEN max(label) FILTER (top) OVER (PARTITION BY recording_id, grp) ELSE label END AS label FROM k""")(
-    lambda s, d: _labels(runs.from_peaks(V.segmentation(s, d), runs.peaks(V.segmentation(s, d))))
+    lambda s, d: _labels(runs.from_peaks(V.segmentation(s, d), runs.peaks(V.segmentation(s, d), strict=True)))
 )
 
 # --- vectors ----------------------------------------------------------------------------------------------------------------
