@@ -7,17 +7,19 @@ taps reach, the second hands its state from chunk to chunk.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from statelace.functions import arrays as A
 
-from .blocks import CHUNK, chunk_of, halos
+from .blocks import CHUNK, chunk_of
 
 SERIES = "recording_id string, channel string, sample_ix long, x double"
 
@@ -91,26 +93,52 @@ def mirrored(series: DataFrame, reach: int) -> DataFrame:
 def fir(series: DataFrame, taps: np.ndarray, chunk: int = CHUNK) -> DataFrame:
     """Each sample becomes the weighted sum of those around it; ends are turned about, beyond that samples count as 0.
 
-    Chunks see the halo their taps reach and are multiplied as spectra.
+    A chunk is one row with its samples as lists. It gets those that its taps reach from the chunks around it, and turns ends
+    about itself, so chunks without samples of their own are never made.
     """
     half = len(taps) // 2
-    rows = halos(mirrored(series, half).withColumnRenamed("own", "_real"), chunk, half)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        keep = g[g["own"] & g["_real"]].sort_values("sample_ix")
+    series = series.select(F.col("recording_id").cast("string").alias("recording_id"), "channel", F.col("sample_ix").cast("long").alias("sample_ix"), F.col("x").cast("double").alias("x"))
+    line = F.sort_array(F.collect_list(F.struct("sample_ix", "x")))
+    own = series.groupBy(*CHANNEL, chunk_of("sample_ix", chunk).alias("chunk")).agg(line.alias("l"))
+    ends = own.groupBy(*CHANNEL).agg(F.min(F.get("l", F.lit(0))).alias("first"), F.max(F.element_at("l", -1)).alias("last"))
+    rows = own.join(ends, list(CHANNEL))
+    reach = math.ceil(half / chunk)
+    there = F.sequence(F.greatest(F.col("chunk") - reach, chunk_of("first.sample_ix", chunk)), F.least(F.col("chunk") + reach, chunk_of("last.sample_ix", chunk)))
+    rows = rows.select(*CHANNEL, "first", "last", "l", F.col("chunk").alias("from"), F.explode(there).alias("chunk"))
+    near = F.filter("l", lambda s: (s["sample_ix"] >= F.col("chunk") * chunk - half) & (s["sample_ix"] < (F.col("chunk") + 1) * chunk + half))
+    met = rows.select(*CHANNEL, "chunk", "first", "last", F.when(F.col("from") == F.col("chunk"), F.col("l")).otherwise(near).alias("l"))
+    met = met.groupBy(*CHANNEL, "chunk").agg(F.any_value("first").alias("first"), F.any_value("last").alias("last"), F.flatten(F.collect_list("l")).alias("l"))
+    met = met.select(*CHANNEL, "chunk", F.col("first.x").alias("a"), F.col("last.sample_ix").alias("n"), F.col("last.x").alias("b"), F.col("l.sample_ix").alias("ix"), F.col("l.x").alias("x"))
+
+    def weighed(ix: np.ndarray, x: np.ndarray, c: int, a: float, n: int, b: float) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.sort(ix[ix // chunk == c])
         if not len(keep):
-            return pd.DataFrame([], columns=["recording_id", "channel", "sample_ix", "x"])
-        ix = keep["sample_ix"].to_numpy()
-        lo, n = ix[0] - half, ix[-1] - ix[0] + 1 + 2 * half
-        line = np.zeros(n)
-        at = g["sample_ix"].to_numpy() - lo
-        near = (at >= 0) & (at < n)
-        line[at[near]] = g["x"].to_numpy(float)[near]
-        size = 1 << int(n + len(taps) - 1).bit_length()
-        y = np.fft.irfft(np.fft.rfft(line, size) * np.fft.rfft(taps, size), size)[2 * half :]
-        return pd.DataFrame({"recording_id": key[0], "channel": key[1], "sample_ix": ix, "x": y[ix - ix[0]]})
-
-    return rows.groupBy(*CHANNEL, "chunk").applyInPandas(run, SERIES)
+            return keep, np.zeros(0)
+        lo = keep[0] - half
+        out = np.zeros(keep[-1] - keep[0] + 1 + 2 * half)
+        before, after = (ix > 0) & (ix <= half), (ix < n) & (ix >= n - half)
+        for at, v in ((ix, x), (-ix[before], 2 * a - x[before]), (2 * n - ix[after], 2 * b - x[after])):
+            inside = (at >= lo) & (at < lo + len(out))
+            out[at[inside] - lo] = v[inside]
+        if len(out) <= 4 * len(taps):
+            y = np.convolve(out, taps, "valid")
+        else:
+            size = 1 << int(len(out) + len(taps) - 1).bit_length()
+            y = np.fft.irfft(np.fft.rfft(out, size) * np.fft.rfft(taps, size), size)[2 * half :]
+        return keep, y[keep - keep[0]]
+
+    def run(batches):
+        for t in batches:
+            if not t.num_rows:
+                continue
+            ends = t.column("ix").offsets.to_numpy()
+            ix, x = t.column("ix").values.to_numpy(), t.column("x").values.to_numpy(zero_copy_only=False)
+            marks = zip(*(t.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("chunk", "a", "n", "b")))
+            made = [weighed(ix[lo:hi], x[lo:hi], *m) for lo, hi, m in zip(ends, ends[1:], marks)]
+            of = pa.array(np.repeat(np.arange(len(made)), [len(k) for k, _ in made]))
+            yield pa.record_batch([t.column("recording_id").take(of), t.column("channel").take(of), np.concatenate([k for k, _ in made]), np.concatenate([y for _, y in made])], ["recording_id", "channel", "sample_ix", "x"])
+
+    return met.mapInArrow(run, SERIES)
 
 
 def butterworth(fs: float, low: float | None, high: float | None, order: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
