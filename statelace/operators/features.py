@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -183,6 +184,16 @@ def wide(long: DataFrame, states: Sequence[str], code: str, keys: Sequence[str]
 #: Codes that need more than labels: scored samples, or epochs with trial and t_ms.
 NEEDS = {"GEV": "scored", "ROF": "epochs", "RTF": "epochs"}
 
+#: Samples that a task of several features sorts and counts at once, as long as recordings are no longer.
+DEALT = 100_000
+
+
+def _dealt(seq: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``seq`` by its keys in as many parts as its rows need. Adaptive execution would join them, as the features of one union
+    share the tasks that it aims at, and as packed shuffles are far smaller than the tables that are sorted from them."""
+    least = int(seq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return seq.repartition(max(least, math.ceil(seq.count() / DEALT)), *keys) if keys else seq
+
 
 def features(
     seq: DataFrame,
@@ -202,6 +213,7 @@ def features(
     """
     from . import events, sequence
 
+    seq = _dealt(seq, keys)
     parts = {
         "COV": lambda: coverage(seq, keys),
         "OCC": lambda: occurrence(seq, fs, keys),
