@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -263,14 +266,107 @@ def truncated(seq: DataFrame, least: int, keys: Sequence[str] = RECORDING) -> Da
     return rows.where(F.when(F.col("_n") < least, short.cast("boolean")).otherwise(F.col("_i") <= least)).drop("_n", "_i")
 
 
+#: Recordings of up to so many samples are shuffled as arrays, so many cells (samples times replicates) at a time; longer ones as rows.
+SHORT, CELLS = 100_000, 1 << 20
+
+
 def surrogate_ratios(seq: DataFrame, replicates: int = 1000, size: int = 2, seed: int = 42, keys: Sequence[str] = RECORDING) -> DataFrame:
-    """(keys..., class, n, mean, sd): representation ratios over shuffled sequences; replicates are rows of one plan, not rounds."""
-    each = seq.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    """(keys..., class, n, mean, sd): representation ratios over shuffled sequences.
+
+    A recording of up to ``SHORT`` samples is one row with its labels in order, of which a task makes all replicates; the
+    replicates of a longer one are rows of one plan. Both draw by the same hashes.
+    """
+    rows = seq.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    each = rows.where(F.col("_n") > SHORT).drop("_n").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     of = [*keys, "replicate"]
     draw = F.row_number().over(Window.partitionBy(*of).orderBy(F.xxhash64("sample_ix", "replicate", F.lit(seed)), "sample_ix"))
     # the labels stay where they are and get new places
     r = representation_ratio(each.withColumn("sample_ix", draw.cast("long")), size, of)
-    return r.groupBy(*keys, "class").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    long = r.groupBy(*keys, "class").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    order = F.sort_array(F.collect_list(F.struct(F.col("sample_ix").cast("long").alias("at"), "label")))
+    short = rows.where(F.col("_n") <= SHORT).groupBy(*keys).agg(order.alias("_s")).select(*keys, F.col("_s.at").alias("at"), F.col("_s.label").alias("label"))
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                at, labels = b.column("at")[i].values.to_numpy(), b.column("label")[i].values.to_numpy(zero_copy_only=False)
+                found = shuffled_ratios(at, labels, replicates, size, seed)
+                k = pa.array([i] * len(found), pa.int64())
+                kind, n, mean, sd = zip(*found) if found else ((), (), (), ())
+                values = [pa.array(kind, pa.int32()), pa.array(n, pa.int64()), pa.array(mean, pa.float64()), pa.array(sd, pa.float64())]
+                yield pa.record_batch([*(b.column(x).take(k) for x in keys), *values], names=[*keys, "class", "n", "mean", "sd"])
+
+    types = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in seq.select(*keys).schema)
+    return short.mapInArrow(run, ", ".join(filter(None, [types, "class int, n long, mean double, sd double"]))).unionByName(long)
+
+
+def hashed(at: np.ndarray, replicate: np.ndarray, seed: int) -> np.ndarray:
+    """``xxhash64(at, replicate, seed)`` of a long and two ints, as Spark computes it."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    def end(h):
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    with np.errstate(over="ignore"):
+        h = np.uint64(42) + p5 + np.uint64(8) ^ turn(at.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        h = end(turn(h, 27) * p1 + p4)
+        for x in (replicate.astype(np.int64), np.array([seed])):
+            h = h + p5 + np.uint64(4) ^ (x & 0xFFFFFFFF).astype(np.uint64) * p1
+            h = end(turn(h, 23) * p2 + p3)
+    return h.view(np.int64)
+
+
+@cache
+def possible_shares(labels: int, size: int) -> dict[float, float]:
+    """Share of each entropy among the words of so many labels without equal neighbours."""
+    counts: dict[float, int] = {}
+
+    def more(word: tuple[int, ...], used: int, ways: int) -> None:
+        if len(word) == size:
+            share = [word.count(x) / size for x in range(used)]
+            h = round(-sum(x * math.log(x) for x in share), 9) + 0.0
+            counts[h] = counts.get(h, 0) + ways
+            return
+        for x in range(used):
+            if not word or x != word[-1]:
+                more((*word, x), used, ways)
+        if used < labels:
+            more((*word, used), used + 1, ways * (labels - used))
+
+    more((), 0, 1)
+    return {h: n / sum(counts.values()) for h, n in counts.items()}
+
+
+def shuffled_ratios(at: np.ndarray, labels: np.ndarray, replicates: int, size: int, seed: int) -> list[tuple]:
+    """(class, n, mean, sd) of the representation ratios of one recording over its shuffled sequences."""
+    names = {x: i for i, x in enumerate(dict.fromkeys(x for x in labels if x is not None))}
+    code, held = np.array([names.get(x, -1) for x in labels]), sum(x is not None for x in labels)
+    if held < size:
+        return []
+    possible, values, step = possible_shares(len(names), size), {}, max(1, CELLS // len(at))
+    for lo in range(1, replicates + 1, step):
+        r = np.arange(lo, min(lo + step, replicates + 1))
+        order = np.argsort(hashed(at[None], r[:, None], seed), axis=1, kind="stable")
+        seq = code[order]
+        seq = seq[seq >= 0].reshape(len(r), held)
+        words = np.lib.stride_tricks.sliding_window_view(seq, size, axis=1)
+        same = np.stack([(words == words[..., i : i + 1]).sum(axis=-1) for i in range(size)], axis=-1)
+        h = np.round(-np.log(same / size).sum(axis=-1) / size, 9) + 0.0
+        kinds, which = np.unique(h, return_inverse=True)
+        n = np.zeros((len(r), len(kinds)), int)
+        np.add.at(n, (np.arange(len(r))[:, None], which.reshape(h.shape)), 1)
+        for row in n:
+            for c, k in enumerate(np.flatnonzero(row), 1):
+                of = possible.get(float(kinds[k]))
+                values.setdefault(c, []).append(row[k] / words.shape[1] / of if of else None)
+    out = []
+    for c, v in sorted(values.items()):
+        v = [x for x in v if x is not None]
+        out.append((c, len(v), float(np.mean(v)) if v else None, float(np.std(v, ddof=1)) if len(v) > 1 else None))
+    return out
 
 
 def shuffled(seq: DataFrame, seed: int, keys: Sequence[str] = RECORDING) -> DataFrame:
