@@ -23,11 +23,18 @@ AUXILIARY = (
 )
 
 
+def extract(name: Column, pattern: str) -> Column:
+    """First group, never empty, of the first match; null if there is none. ``name`` is named once, so nothing is computed twice."""
+    return F.get(F.regexp_extract_all(name, F.lit(pattern), F.lit(1)), 0)
+
+
+def two_digits(number: Column) -> Column:
+    return F.regexp_replace(number, r"^(\d)$", "0$1")
+
+
 def subject_id(name: Column) -> Column:
     """Number of the subject, two digits at least; null if no pattern fits."""
-    found = [F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for p in SUBJECT_PATTERNS]
-    number = F.coalesce(*found)
-    return F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
+    return two_digits(F.coalesce(*[extract(name, p) for p in SUBJECT_PATTERNS]))
 
 
 def base_filename(name: Column) -> Column:

@@ -64,18 +64,22 @@ def _inside(part: Column, pairs=WORDS) -> Column:
     return F.get(F.filter(_table([w for w in pairs if len(w[0]) > 1]), lambda w: F.contains(part, w["word"])), 0)["means"]
 
 
-def _extract(name: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
-
-
 def _let(value: Column, f) -> Column:
     """``f`` of a value that is computed once, however often ``f`` names it."""
     return F.get(F.transform(F.array(value), lambda x: f(x)), 0)
 
 
+def _parsed(value: Column, f) -> Column:
+    """The fields of the struct ``f`` of a value as columns, computed once a row.
+
+    As a generator, so that filters on the fields are neither computed anew nor moved to before a shuffle, where a small file is one task.
+    """
+    return F.inline(F.transform(F.array(value), lambda x: f(x)))
+
+
 def _labelled(name: Column) -> Column:
     """Condition that a task- or else an acq- label says."""
-    label = F.coalesce(_extract(name, "task-([a-z0-9]+)"), _extract(name, "acq-([a-z0-9]+)"))
+    label = F.coalesce(N.extract(name, "task-([a-z0-9]+)"), N.extract(name, "acq-([a-z0-9]+)"))
     return _let(label, lambda x: F.coalesce(_exact(x), _inside(x), x))
 
 
@@ -116,21 +120,28 @@ def varying(first: Column, second: Column) -> Column:
 
 def components(name: Column) -> dict[str, Column]:
     """Columns subject, session, task, condition, run and labelled (whether an acquisition names the condition); null where a name has none."""
-    clean = F.regexp_replace(F.regexp_replace(F.lower(name), PROCESSING, ""), EXTENSION, "")
+    return _components(_bare(name))
+
+
+def _bare(name: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(name), PROCESSING, ""), EXTENSION, "")
+
+
+def _components(clean: Column) -> dict[str, Column]:
     out = {}
     for kind, (prefix, patterns) in NUMBERED.items():
-        number = F.coalesce(*[_extract(clean, p) for p in patterns])
-        out[kind] = F.concat(F.lit(prefix + "-"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number))
-    labels = [_extract(clean, p) for p in ("task-([a-z0-9]+)", "task_([a-z0-9]+)")]
+        number = F.coalesce(*[N.extract(clean, p) for p in patterns])
+        out[kind] = F.concat(F.lit(prefix + "-"), N.two_digits(number))
+    labels = [N.extract(clean, p) for p in ("task-([a-z0-9]+)", "task_([a-z0-9]+)")]
     out["task"] = F.coalesce(*[F.when(~x.isin(*NO_TASK), x) for x in labels])
-    acquired = _extract(clean, "acq-([a-z0-9]+)")
+    acquired = N.extract(clean, "acq-([a-z0-9]+)")
     said = F.coalesce(*[F.when(F.rlike(clean, F.lit(p)), c) for p, c in CONDITION])
-    numbered = F.concat(F.lit("cond"), _extract(clean, r"(?:condition|cond)(\d+)"))
+    numbered = F.concat(F.lit("cond"), N.extract(clean, r"(?:condition|cond)(\d+)"))
     alone = lambda p: F.regexp_extract_all(clean, F.lit(p), F.lit(1))
     letters, digits = alone(r"[_\-]([a-z])(?=[_\-]|$)"), alone(r"[_\-](\d)(?=[_\-]|$)")
     letter = F.when(F.size(letters) == 1, F.get(letters, 0))
     digit = F.when(F.size(digits) == 1, F.concat(F.lit("cond"), F.get(digits, 0)))
-    out["condition"] = F.coalesce(_inside(acquired, ACQUISITION), acquired, said, numbered, F.when(letter <= "h", letter), digit)
+    out["condition"] = F.coalesce(_let(acquired, lambda x: F.coalesce(_inside(x, ACQUISITION), x)), said, numbered, F.when(letter <= "h", letter), digit)
     out["labelled"] = acquired.isNotNull()
     return out
 
@@ -144,11 +155,11 @@ def _found(pairs: DataFrame, strategy: str, component: str, a: str, b: str) -> D
 
 def by_subject(files: DataFrame) -> DataFrame | None:
     """Pairs of subjects with two files where all subjects vary between the same two conditions; two subjects at least."""
-    subject = files.select("name", N.subject_id(F.col("name")).alias("base")).where("base is not null")
+    subject = files.select("name", _parsed(F.col("name"), lambda x: F.struct(N.subject_id(x).alias("base")))).where("base is not null")
     two = subject.groupBy("base").agg(F.count("*").alias("_n"), F.min("name").alias("x"), F.max("name").alias("y")).where("_n = 2")
-    v = two.withColumn("_v", varying(F.col("x"), F.col("y"))).where("_v is not null")
-    turned = F.col("_v.a") > F.col("_v.b")
-    pairs = v.select("base", F.least("_v.a", "_v.b").alias("a"), F.greatest("_v.a", "_v.b").alias("b"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("first"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("second"))
+    v = two.select("base", "x", "y", F.inline(F.array(varying(F.col("x"), F.col("y"))))).where("a is not null")
+    turned = F.col("a") > F.col("b")
+    pairs = v.select("base", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("first"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("second"))
     kinds = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).limit(2).collect()
     if len(kinds) != 1 or kinds[0]["n"] < 2:
         return None
@@ -157,7 +168,7 @@ def by_subject(files: DataFrame) -> DataFrame | None:
 
 def by_component(files: DataFrame) -> DataFrame | None:
     """Pairs that agree in all components but one, which has two values in all; two pairs at least, the first such component."""
-    parsed = files.select("name", *[c.alias(k) for k, c in components(F.col("name")).items()])
+    parsed = files.select("name", _parsed(_bare(F.col("name")), lambda x: F.struct(*[c.alias(k) for k, c in _components(x).items()])))
     kinds = ["subject", "session", "task", "condition", "run"]
     parsed = parsed.where(F.coalesce(*kinds).isNotNull())
     counted = parsed.agg(F.count("*").alias("n"), F.max("labelled").alias("labelled"), *[f(k).alias(f"{k}_{n}") for k in kinds for n, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -201,9 +212,12 @@ def varying_condition(files: DataFrame) -> DataFrame:
     ``files`` are rows (name); names that are null or repeated are taken once or not at all. The three ways are tried in
     turn and the first that finds something stands. Conditions are ordered by name.
     """
-    names = files.where("name is not null").select("name").distinct()
-    for way in (by_subject, by_component, by_delimiter):
-        found = way(names)
-        if found is not None:
-            return found
+    names = files.where("name is not null").select("name").distinct().persist()  # each way reads them, some more than once
+    try:
+        for way in (by_subject, by_component, by_delimiter):
+            found = way(names)
+            if found is not None:
+                return found
+    finally:
+        names.unpersist()
     return files.sparkSession.createDataFrame([], _OUT)
